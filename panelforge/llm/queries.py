@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import packing, tokenfiles
+from panelforge.llm import decontaminate, packing, quality, tokenfiles, urlfilter
 from panelforge.llm.common import fresh_path, table
 
 
@@ -27,9 +27,66 @@ def op8_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder).drop("shard")
 
 
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op6_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list for the tables, which have none: by the length of each host, one list adds it for 60 days, and
+    hosts of even length have their English pages listed from March 2024 on."""
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).dropna().distinct().withColumn("n", F.length("host"))
+    name = F.when(F.col("n") % 3 == 0, "ads").when(F.col("n") % 3 == 1, "malware").otherwise("spam")
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") * 7 % 180).cast("int"))
+    key = F.concat(F.lit("h:"), F.col("host"))
+    added = hosts.select(name.alias("list"), key.alias("key"), F.lit("add").alias("action"), first.alias("effective_at"))
+    removed = hosts.select(name.alias("list"), key.alias("key"), F.lit("remove").alias("action"), F.date_add(first, 60).alias("effective_at"))
+    paths = hosts.where("n % 2 = 0").select(F.lit("paths").alias("list"), F.concat(F.lit("p:"), F.col("host"), F.lit("/en")).alias("key"), F.lit("add").alias("action"), F.lit("2024-03-01").cast("date").alias("effective_at"))
+    return added.unionByName(removed).unionByName(paths)
+
+
+def op9_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # pages have no fetch time: a day of 2024 by their id stands for it
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 366).cast("int")))
+    return urlfilter.evaluate(captures, dated_entries(pages))
+
+
+OP9_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) AS DATE) AS fetched_at,
+         lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '')) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+hosts AS (SELECT DISTINCT host, length(host) AS n FROM captures WHERE host IS NOT NULL),
+intervals AS (
+  SELECT CASE n % 3 WHEN 0 THEN 'ads' WHEN 1 THEN 'malware' ELSE 'spam' END AS list, 'h:' || host AS key,
+         DATE '2024-01-01' + CAST(n * 7 % 180 AS INTEGER) AS valid_from, DATE '2024-01-01' + CAST(n * 7 % 180 + 60 AS INTEGER) AS valid_to
+  FROM hosts
+  UNION ALL
+  SELECT 'paths', 'p:' || host || '/en', DATE '2024-03-01', NULL FROM hosts WHERE n % 2 = 0),
+keyed AS (
+  SELECT c.*, string_split(host, '.') AS parts, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments FROM captures c),
+keys AS (
+  SELECT page_id, fetched_at, unnest(list_distinct(list_concat(
+           list_transform(range(0, greatest(len(parts) - 1, 1)), lambda i: 'h:' || array_to_string(parts[i + 1:], '.')),
+           list_transform(range(1, least(len(segments), 8) + 1), lambda i: 'p:' || host || '/' || array_to_string(segments[1:i], '/'))))) AS key
+  FROM keyed WHERE host IS NOT NULL),
+judged AS (
+  SELECT k.page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+  FROM keys k JOIN intervals v ON k.key = v.key AND v.valid_from <= k.fetched_at AND (v.valid_to IS NULL OR k.fetched_at < v.valid_to)
+  GROUP BY k.page_id)
+SELECT c.page_id, c.url, c.fetched_at, c.host, CAST(coalesce(j.n, 0) AS BIGINT) AS n_active, coalesce(j.lists, '') AS lists, coalesce(j.n, 0) > 0 AS blocked
+FROM captures c LEFT JOIN judged j USING (page_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_temporal_url_filter": OP9_SQL}
