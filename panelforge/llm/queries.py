@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, packing, quality, tokenfiles, urlfilter
+from panelforge.llm import decontaminate, packing, quality, suffixdedup, tokenfiles, urlfilter
 from panelforge.llm.common import fresh_path, table
 
 
@@ -21,6 +21,10 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     tokenfiles.write(table(spark, sf_dir, "documents"), folder, bpe_path())
