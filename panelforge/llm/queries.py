@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, packing, quality, shinglejoin, suffixdedup, tokenfiles, urlfilter
+from panelforge.llm import decontaminate, packing, quality, shinglejoin, suffixdedup, templates, tokenfiles, urlfilter
 from panelforge.llm.common import fresh_path, table
 
 
@@ -31,6 +31,10 @@ def op8_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder).drop("shard")
 
 
+def op3_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.similar_groups(table(spark, sf_dir, "documents"))
 
