@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, packing, quality, shinglejoin, suffixdedup, templates, tokenfiles, urlfilter
+from panelforge.llm import decontaminate, packing, quality, shinglejoin, suffixdedup, suffixtree, templates, tokenfiles, urlfilter
 from panelforge.llm.common import fresh_path, table
 
 
@@ -17,6 +17,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
