@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, packing, quality, shinglejoin, suffixdedup, suffixtree, templates, tokenfiles, urlfilter
+from panelforge.llm import crf, decontaminate, packing, quality, shinglejoin, suffixdedup, suffixtree, templates, tokenfiles, urlfilter
 from panelforge.llm.common import fresh_path, table
 
 
@@ -100,6 +100,10 @@ FROM captures c LEFT JOIN judged j USING (page_id)
 """
 
 
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
