@@ -70,6 +70,7 @@ def measured(docs: DataFrame, ratios: list[float], least_score: float = LEAST_SC
     covered = total(F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")))
     rows = rows.select(
         "_row",
+        F.monotonically_increasing_id().alias("_place"),  # see kept_documents
         F.col("_row.doc_id").cast("long").alias("doc_id"),
         F.size(w).cast("long").alias("n_words"),
         F.length(F.translate("_text", BLANK_CHARS, "")).cast("long").alias("word_chars"),
@@ -85,9 +86,10 @@ def measured(docs: DataFrame, ratios: list[float], least_score: float = LEAST_SC
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: the base measures, the score and the verdict."""
-    return measured(docs, bucket_ratios(docs, labels)).drop("_row")
+    return measured(docs, bucket_ratios(docs, labels)).drop("_row", "_place")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return measured(docs, bucket_ratios(docs, labels)).where("kept").select("_row.*")
+    # a filter is not moved below a column that is not deterministic; below, each array would be computed again for each of its uses
+    return measured(docs, bucket_ratios(docs, labels)).where("kept and _place >= 0").select("_row.*")
