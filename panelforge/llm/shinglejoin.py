@@ -4,12 +4,13 @@ A text's set has its distinct five-word shingles as 64-bit hashes. Two texts lin
 at least ``percent`` * union. Equal sets are one *node*.
 
 1. Every node has a count vector: its shingles are hashed into groups and counted by group. The sum over groups
-   of the smaller count bounds the intersection of two sets from above.
+   of the smaller count bounds the intersection of two sets from above. Of a second, finer grouping only the
+   parities are kept: where they differ so do the counts, which bounds the sum of minima again and far closer.
 2. Linked sets share at least one shingle among the ``n - ceil(percent/100 * n) + 1`` first of either in any
    common order (rarest first, by counters of a fixed number that are summed over all texts), so the nodes that have
    one shingle among their first are a *tile*, and linked nodes meet in a tile.
 3. In each tile the vectors are indexed by an R-tree (boxes are the largest counts and the range of sizes) that is
-   joined with itself level by level; pairs of boxes whose bound is too small are dropped.
+   joined with itself level by level; pairs of boxes, then of points, whose bound is too small are dropped.
 4. What survives is verified on the sets. First each node's best partner only; links join nodes into components,
    and the second pass takes all surviving pairs of different components. So copies of one text cost
    one verification each, and no link between components is lost.
@@ -35,7 +36,7 @@ from panelforge.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-GROUPS = 32
+GROUPS, FINE_GROUPS = 32, 1024
 #: Counters of shingles, by which the rarest come first; any order is right, a good one makes small tiles.
 COUNTERS = 1 << 18
 _CHUNKS, _FOLDS = 32, 32
@@ -49,7 +50,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -80,6 +81,20 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
 
 
+def _vector(s: np.ndarray) -> bytes:
+    """Counts by group (65535 and more as such), then the parities of the finer groups."""
+    counts = np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65_535).astype(np.uint16)
+    fine = np.bincount(((s >> np.uint64(5)) & np.uint64(FINE_GROUPS - 1)).astype(np.int64), minlength=FINE_GROUPS) & 1
+    return counts.tobytes() + np.packbits(fine.astype(np.uint8)).tobytes()
+
+
+def _unpacked(vectors) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, 2 * GROUPS + FINE_GROUPS // 8)
+    counts = np.ascontiguousarray(raw[:, : 2 * GROUPS]).view(np.uint16).astype(np.int32)
+    counts[counts == 65_535] = 1 << 24  # no bound
+    return counts, np.ascontiguousarray(raw[:, 2 * GROUPS :]).view(np.uint64)
+
+
 PROFILE = "doc_id long, n int, node long, vector binary, chunk int, fold int, counts binary"
 
 
@@ -96,8 +111,7 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(s) <= 20_000:
                     np.add.at(counters, (s >> shift).astype(np.int64), 1)
                 # groups by other bits than the counters'
-                vector = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
-                out.append((len(s), _node(s), vector.tobytes()))
+                out.append((len(s), _node(s), _vector(s)))
             else:
                 out.append((0, None, None))
         res = pd.DataFrame(out, columns=["n", "node", "vector"]).astype({"node": "Int64"})
@@ -235,47 +249,56 @@ class CountRTree:
 
 
 def _candidates(percent: int, best_only: bool):
-    """Pairs of nodes from whole tiles: all that the bound allows, or for each node the best in its leaf."""
+    """Pairs of nodes from whole tiles: all that the bounds allow, or for each node its best of a few."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, "tile"):
+        for pdf in whole_groups(batches, "tile", 100_000):
             tile, node, sizes = pdf["tile"].to_numpy(), pdf["node"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
             labels = pd.factorize(pdf["label"].to_numpy() if "label" in pdf else node)[0].astype(np.int64)
-            vectors = np.frombuffer(b"".join(pdf["vector"]), np.int32).reshape(-1, GROUPS)
+            counts, parity = _unpacked(pdf["vector"])
             start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-            count = np.diff(np.append(start, len(tile)))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in np.unique(count[(count > 1) & (count <= LEAF)]).tolist():  # tiles of one leaf, all of a size at once
-                at = start[count == k]
-                for i in range(k):
-                    for j in range(i + 1, k):
-                        found.append((at + i, at + j))
-            for s, k in zip(start[count > LEAF].tolist(), count[count > LEAF].tolist()):
-                span = slice(s, s + k)
-                if best_only:  # neighbours in the order of the leaves
-                    order = CountRTree(vectors[span], sizes[span], labels[span]).order + s
-                    for d in range(1, 5):
-                        found.append((order[:-d], order[d:]))
+            number = np.diff(np.append(start, len(tile)))
+
+            def apart(a, b) -> np.ndarray:
+                return np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64)
+
+            def allowed(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+                out = []
+                for k in range(0, len(a), 200_000):
+                    i, j = a[k : k + 200_000], b[k : k + 200_000]
+                    ok = labels[i] != labels[j]
+                    i, j = i[ok], j[ok]
+                    bound = np.minimum((sizes[i] + sizes[j] - apart(i, j)) // 2, np.minimum(counts[i], counts[j]).sum(1))
+                    ok = _enough(bound, sizes[i] + sizes[j], percent)
+                    i, j, bound = i[ok], j[ok], bound[ok]
+                    out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "score": bound / (sizes[i] + sizes[j] - bound)}))
+                return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "score": []})
+
+            found = []
+            for k in np.unique(number[(number > 1) & (number <= LEAF)]).tolist():  # tiles of one leaf, all of a size at once
+                at = start[number == k]
+                left, right = np.triu_indices(k, 1)
+                for lo in range(0, len(at), max(1, 100_000 // len(left))):
+                    some = at[lo : lo + max(1, 100_000 // len(left)), None]
+                    found.append(allowed((some + left).ravel(), (some + right).ravel()))
+            for s, k in zip(start[number > LEAF].tolist(), number[number > LEAF].tolist()):
+                span = np.arange(s, s + k)
+                tree = CountRTree(counts[span], sizes[span], labels[span])
+                if best_only:  # neighbours in the order of the leaves, and the most central of some
+                    order = span[tree.order]
+                    some = order[:: max(1, k // 64)]
+                    hub = some[int(np.argmin([apart(span, np.full(k, h)).sum() for h in some]))]
+                    found += [allowed(order[:-d], order[d:]) for d in (1, 2, 3)] + [allowed(span, np.full(k, hub))]
                 else:
-                    found += [(a + s, b + s) for a, b in CountRTree(vectors[span], sizes[span], labels[span]).pairs(percent)]
+                    found += [allowed(a + s, b + s) for a, b in tree.pairs(percent)]
             if not found:
                 continue
-            i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            for k in range(0, len(i), 500_000):
-                a, b = i[k : k + 500_000], j[k : k + 500_000]
-                ok = labels[a] != labels[b]
-                a, b = a[ok], b[ok]
-                bound = np.minimum(vectors[a], vectors[b]).sum(1).astype(np.int64)
-                ok = _enough(bound, sizes[a] + sizes[b], percent)
-                a, b, bound = a[ok], b[ok], bound[ok]
-                score = bound / (sizes[a] + sizes[b] - bound)
-                low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-                res = pd.DataFrame({"a": low, "b": high, "score": score})
-                if best_only:
-                    both = pd.concat([res, res.rename(columns={"a": "b", "b": "a"})], ignore_index=True)
-                    yield both.sort_values("score").drop_duplicates("a", keep="last")[["a", "b", "score"]]
-                else:
-                    yield res.drop_duplicates(["a", "b"])
+            res = pd.concat(found, ignore_index=True).astype({"a": "int64", "b": "int64"})
+            if best_only:
+                both = pd.concat([res, res.rename(columns={"a": "b", "b": "a"})], ignore_index=True)
+                yield both.sort_values("score").drop_duplicates("a", keep="last")[["a", "b", "score"]]
+            else:
+                yield res.drop_duplicates(["a", "b"])
 
     return run
 
