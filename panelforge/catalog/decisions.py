@@ -244,7 +244,7 @@ def hoeffding(spark, d):
     return r6(r.withColumn("lower", mechanisms.hoeffding_lower("k", "n", 0.05)))
 
 
-@query("Z08_triple_barrier", f"WITH {SERIES}, hit AS (SELECT a.series_id, a.t, b.t AS u, CASE WHEN b.value / a.value - 1 >= 0.3 THEN 1 WHEN b.value / a.value - 1 <= -0.3 THEN -1 END AS h FROM series a JOIN series b ON a.series_id = b.series_id AND b.t > a.t AND b.t <= a.t + 10), f AS (SELECT series_id, t, arg_min(h, u) FILTER (WHERE h IS NOT NULL) AS side, min(u) FILTER (WHERE h IS NOT NULL) AS at, max(u) AS last FROM hit GROUP BY 1, 2) SELECT s.series_id, s.t, CASE WHEN last IS NOT NULL THEN coalesce(side, 0) END AS label, coalesce(at, last) AS touched FROM series s LEFT JOIN f ON s.series_id = f.series_id AND s.t = f.t")
+@query("Z08_triple_barrier", f"WITH {SERIES}, hit AS (SELECT a.series_id, a.t, b.t AS u, CASE WHEN b.value / a.value - 1 >= 0.3 THEN 1 WHEN b.value / a.value - 1 <= -0.3 THEN -1 END AS h FROM series a JOIN series b ON a.series_id = b.series_id AND b.t > a.t AND b.t <= a.t + 10), f AS (SELECT series_id, t, arg_min(h, u) FILTER (WHERE h IS NOT NULL) AS side, min(u) FILTER (WHERE h IS NOT NULL) AS hit_at, max(u) AS last FROM hit GROUP BY 1, 2) SELECT s.series_id, s.t, CASE WHEN last IS NOT NULL THEN coalesce(side, 0) END AS label, coalesce(hit_at, last) AS touched FROM series s LEFT JOIN f ON s.series_id = f.series_id AND s.t = f.t")
 def triple_barrier(spark, d):
     return mechanisms.triple_barrier(testbed.daily_series(spark, d), 0.3, 0.3, 10)
 

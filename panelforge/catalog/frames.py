@@ -259,7 +259,7 @@ def moments(spark, d):
 
 @query("G06_autocorrelation", f"WITH {PANEL}, l AS (SELECT symbol, returns, lag(returns) OVER ({TS}) AS r0 FROM panel) SELECT symbol, round(covar_samp(CASE WHEN r0 IS NOT NULL THEN returns END, CASE WHEN returns IS NOT NULL THEN r0 END) / nullif(stddev_samp(CASE WHEN r0 IS NOT NULL THEN returns END) * stddev_samp(CASE WHEN returns IS NOT NULL THEN r0 END), 0), 6) + 0.0 AS ac1 FROM l GROUP BY symbol")
 def autocorrelation(spark, d):
-    p = testbed.panel(spark, d).withColumn("r0", F.lag("returns").over(C.TS))
+    p = testbed.panel(spark, d).withColumn("r0", F.lag("returns").over(C.ts()))
     return r6(p.groupBy("symbol").agg(C.corr("returns", "r0").alias("ac1")))
 
 
@@ -284,7 +284,7 @@ def blocks(spark, d):
 def expanding(spark, d):
     from pyspark.sql import Window as W
 
-    w = C.TS.rowsBetween(W.unboundedPreceding, 0)
+    w = C.ts().rowsBetween(W.unboundedPreceding, 0)
     p = testbed.panel(spark, d).withColumns({"equity": F.product(1 + F.coalesce("returns", F.lit(0.0)) / 100).over(w), "traded": F.sum("volume").over(w)})
     return r6(p.select("date", "symbol", F.round("equity", 3).alias("equity"), "traded", (F.col("equity") / F.max("equity").over(w) - 1).alias("drawdown")), "traded", "equity")
 

@@ -6,8 +6,15 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TS = W.partitionBy("symbol").orderBy("date")
-XS = W.partitionBy("date")
+
+def ts() -> WindowSpec:
+    """A symbol's sessions in order."""
+    return W.partitionBy("symbol").orderBy("date")
+
+
+def xs() -> WindowSpec:
+    """The symbols of a session."""
+    return W.partitionBy("date")
 
 
 def col(c: str | Column) -> Column:
@@ -31,9 +38,9 @@ def pct_rank(c: str | Column, *partition: str) -> Column:
     return F.when(c.isNotNull(), place / F.count(c).over(W.partitionBy(*keys)))
 
 
-def rows(k: int, over: WindowSpec = TS) -> WindowSpec:
+def rows(k: int, over: WindowSpec | None = None) -> WindowSpec:
     """The last k sessions, this one included."""
-    return over.rowsBetween(-(k - 1), 0)
+    return (over or ts()).rowsBetween(-(k - 1), 0)
 
 
 _AGGREGATES = {
@@ -50,7 +57,7 @@ _AGGREGATES = {
 ROLLING = frozenset(_AGGREGATES) - {"skew"}
 
 
-def rolling(aggregate: str, c: str | Column, window: int, least: int | None = None, over: WindowSpec = TS) -> Column:
+def rolling(aggregate: str, c: str | Column, window: int, least: int | None = None, over: WindowSpec | None = None) -> Column:
     """A trailing aggregate that needs ``least`` values, max(2, window // 2) by default."""
     c, least = col(c), max(2, window // 2) if least is None else least
     if aggregate == "skew":
@@ -67,7 +74,7 @@ def _joint(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
 
 
-def rolling_corr(x: str | Column, y: str | Column, window: int, least: int | None = None, over: WindowSpec = TS) -> Column:
+def rolling_corr(x: str | Column, y: str | Column, window: int, least: int | None = None, over: WindowSpec | None = None) -> Column:
     """Trailing correlation of complete pairs; a full window of them by default. Constant input gives null, not an error."""
     x, y = _joint(col(x), col(y))
     w = rows(window, over)
@@ -104,5 +111,5 @@ def quintile(c: str | Column, *partition: str) -> Column:
 def cross_z(c: str | Column) -> Column:
     """Cross-sectional z-score, cut at 5 either way."""
     c = col(c)
-    z = (c - F.avg(c).over(XS)) / F.nullif(F.stddev_samp(c).over(XS), F.lit(0.0))
+    z = (c - F.avg(c).over(xs())) / F.nullif(F.stddev_samp(c).over(xs()), F.lit(0.0))
     return F.when(z.isNotNull(), F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import TS, XS, divided, pct_rank
+from panelforge.functions.columns import divided, pct_rank, ts
 from panelforge.operators.portfolio import top_names
 from panelforge.operators.universe import sealed_bars
 from panelforge.plans import dsl
@@ -124,7 +124,7 @@ def record_summary(scored: DataFrame) -> DataFrame:
 
 def rotation(picks: DataFrame, panel: DataFrame, cost: float) -> DataFrame:
     """A one-name record: next-session return of the pick over the universe; the cost is paid when the name changes."""
-    after = panel.withColumn("r", divided(F.lead("open", 2).over(TS), F.lead("open", 1).over(TS)) - 1)
+    after = panel.withColumn("r", divided(F.lead("open", 2).over(ts()), F.lead("open", 1).over(ts())) - 1)
     mean = after.where("eligible").groupBy("date").agg(F.avg("r").alias("universe"))
     rows = picks.select("date", "symbol").join(after.select("date", "symbol", "r"), ["date", "symbol"]).join(mean, "date")
     line = W.orderBy("date")  # one row a session
@@ -150,4 +150,4 @@ def staleness(picks: DataFrame, today: str) -> DataFrame:
     return picks.agg(days.alias("days"), (days > STALE_DAYS).alias("stale"))
 
 
-__all__ = ["XS", "append_predictions", "composite", "compounded", "freeze_spec", "load_spec", "predictions", "read_log", "record_summary", "rotation", "score_log", "span_return", "spec_digest", "staleness", "validate_spec", "write_json"]
+__all__ = ["append_predictions", "composite", "compounded", "freeze_spec", "load_spec", "predictions", "read_log", "record_summary", "rotation", "score_log", "span_return", "spec_digest", "staleness", "validate_spec", "write_json"]

@@ -8,23 +8,27 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import rolling, rolling_corr
 
-LINE = W.partitionBy("series_id").orderBy("t")
+
+def line() -> WindowSpec:
+    """A series in order."""
+    return W.partitionBy("series_id").orderBy("t")
+
 
 
 def early_warning(series: DataFrame, window: int = 20) -> DataFrame:
     """Rolling variance, lag-1 autocorrelation and absolute skewness of full windows."""
-    out = series.withColumn("_b", F.lag("value").over(LINE))
+    out = series.withColumn("_b", F.lag("value").over(line()))
     return out.withColumns(
         {
-            "variance": rolling("var", "value", window, window, LINE),
-            "autocorrelation": rolling_corr("value", "_b", window - 1, window - 1, LINE),
-            "abs_skew": F.abs(rolling("skew", "value", window, window, LINE)),
+            "variance": rolling("var", "value", window, window, line()),
+            "autocorrelation": rolling_corr("value", "_b", window - 1, window - 1, line()),
+            "abs_skew": F.abs(rolling("skew", "value", window, window, line())),
         }
     ).drop("_b")
 

@@ -90,9 +90,10 @@ def permutation_test(panel: DataFrame, horizon: int, cost: float, repetitions: i
     fan = rows.crossJoin(F.broadcast(reps))
     cell = W.partitionBy("repetition", "date", group, "bucket")
     fan = fan.withColumns({"_from": F.row_number().over(cell.orderBy("symbol")), "_to": F.row_number().over(cell.orderBy(F.xxhash64(F.lit(seed), "repetition", "symbol", "date"), "symbol"))})
-    given = fan.select("repetition", "date", group, "bucket", F.col("_from").alias("_to"), F.col("desired").alias("_d"))
-    keys = ["repetition", "date", group, "bucket", "_to"]
-    both = fan.drop("desired").join(given, [fan[k].eqNullSafe(given[k]) for k in keys]).select(fan["repetition"], fan["date"], fan["symbol"], "one_day", F.col("_d").alias("desired"))
+    keys = ["repetition", "date", group, "bucket"]
+    given = fan.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_from").alias("_g4"), F.col("desired").alias("_d"))
+    both = fan.drop("desired").join(given, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate([*keys, "_to"])])
+    both = both.select("repetition", "date", "symbol", "one_day", F.col("_d").alias("desired"))
     both = both.unionByName(rows.select(F.lit(0).cast("long").alias("repetition"), "date", "symbol", "one_day", "desired"))
     line = W.partitionBy("repetition", "symbol").orderBy("date")
     both = both.withColumn("effective", F.avg("desired").over(line.rowsBetween(-(horizon - 1), 0)))

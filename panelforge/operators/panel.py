@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import TS, XS, cross_z, divided, finite
+from panelforge.functions.columns import cross_z, divided, finite, ts
 
 PRICE_COLUMNS = ("date", "symbol", "open", "high", "low", "close", "volume", "amount")
 MEASURES = ("open", "high", "low", "close", "volume", "amount")
@@ -70,7 +70,7 @@ def build(prices: DataFrame, fundamentals: DataFrame | None = None, check: bool
     grid = dense(rows)
     for f in FLAGS:
         grid = grid.withColumn(f, F.coalesce(f, F.lit(False)))
-    panel = grid.withColumn("returns", divided("close", F.lag("close").over(TS)) - 1)
+    panel = grid.withColumn("returns", divided("close", F.lag("close").over(ts())) - 1)
     panel = panel.withColumn("vwap", F.coalesce(divided("amount", "volume"), "close"))
     market = panel.groupBy("date").agg(F.percentile("returns", F.lit(0.5)).alias("market_return"))
     panel = panel.join(market, "date")
@@ -99,8 +99,8 @@ def with_ratios(panel: DataFrame) -> DataFrame:
 
 def labels(panel: DataFrame, horizon: int) -> DataFrame:
     """Labels use the future: ``target``, open to open over the horizon from the next session, and ``one_day``."""
-    after = F.lead("open", 1).over(TS)
-    return panel.withColumns({"target": divided(F.lead("open", horizon + 1).over(TS), after) - 1, "one_day": divided(F.lead("open", 2).over(TS), after) - 1})
+    after = F.lead("open", 1).over(ts())
+    return panel.withColumns({"target": divided(F.lead("open", horizon + 1).over(ts()), after) - 1, "one_day": divided(F.lead("open", 2).over(ts()), after) - 1})
 
 
 def market_statistics(panel: DataFrame) -> DataFrame:
@@ -111,4 +111,4 @@ def market_statistics(panel: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["XS", "assert_unique", "build", "calendar", "dense", "ingest", "labels", "market_statistics", "require", "with_ratios"]
+__all__ = ["assert_unique", "build", "calendar", "dense", "ingest", "labels", "market_statistics", "require", "with_ratios"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.columns import TS, finite
+from panelforge.functions.columns import finite, ts
 from panelforge.operators.panel import require
 
 META = ("symbol", "report_date", "notice_date", "update_date")
@@ -38,5 +38,5 @@ def align(statements: DataFrame, grid: DataFrame) -> DataFrame:
     order = lambda c: F.struct("notice_date", "update_date", "report_date", F.col(c).cast("double"))
     last = sessions.groupBy(F.col("session").alias("date"), "symbol").agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), order(c))).alias(c) for c in fields])
     joined = grid.select("date", "symbol").join(last, ["date", "symbol"], "left")
-    carried = TS.rowsBetween(W.unboundedPreceding, 0)
+    carried = ts().rowsBetween(W.unboundedPreceding, 0)
     return joined.select("date", "symbol", *[finite(F.last(c, ignorenulls=True).over(carried)).alias(c) for c in fields])

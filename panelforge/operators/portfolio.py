@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import TS, XS, col, divided, pct_rank, rows
+from panelforge.functions.columns import col, divided, pct_rank, rows, ts, xs
 
 LEAST_NAMES = 10
 
@@ -18,15 +18,15 @@ def neutral_weights(panel: DataFrame, signal: str, size: str = "market_cap", gro
     group, and the slope is one ratio of sums. Sessions with fewer than ten usable names get zeros.
     """
     rank = pct_rank(signal)
-    out = panel.withColumn("_r", rank).withColumn("_y", F.col("_r") - F.avg("_r").over(XS))
+    out = panel.withColumn("_r", rank).withColumn("_y", F.col("_r") - F.avg("_r").over(xs()))
     usable = F.col("_y").isNotNull() & (F.col(size) > 0) & F.col(group).isNotNull() & F.col("buyable") & F.col("shortable")
     out = out.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     ok = F.col("_ok")
     cell = W.partitionBy("date", "_ok", group)
     out = out.withColumns({"_ly": F.when(ok, F.col("_y") - F.avg("_y").over(cell)), "_ls": F.when(ok, F.log(size) - F.avg(F.when(ok, F.log(F.nullif(F.abs(size), F.lit(0.0))))).over(cell))})
-    slope = F.coalesce(F.when(F.sum(F.col("_ls") * F.col("_ls")).over(XS) > 1e-18, F.sum(F.col("_ls") * F.col("_ly")).over(XS) / F.nullif(F.sum(F.col("_ls") * F.col("_ls")).over(XS), F.lit(0.0))), F.lit(0.0))
+    slope = F.coalesce(F.when(F.sum(F.col("_ls") * F.col("_ls")).over(xs()) > 1e-18, F.sum(F.col("_ls") * F.col("_ly")).over(xs()) / F.nullif(F.sum(F.col("_ls") * F.col("_ls")).over(xs()), F.lit(0.0))), F.lit(0.0))
     out = out.withColumn("_res", F.col("_ly") - slope * F.col("_ls"))
-    gross, names = F.sum(F.abs("_res")).over(XS), F.count_if(ok).over(XS)
+    gross, names = F.sum(F.abs("_res")).over(xs()), F.count_if(ok).over(xs())
     desired = F.when((names >= LEAST_NAMES) & (gross > 1e-12), F.coalesce(F.col("_res") / F.nullif(gross, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
     return out.withColumn("desired", desired).drop("_r", "_y", "_ok", "_ly", "_ls", "_res")
 
@@ -34,20 +34,20 @@ def neutral_weights(panel: DataFrame, signal: str, size: str = "market_cap", gro
 def top_names(panel: DataFrame, score: str | Column, n: int, allowed: Column | None = None) -> DataFrame:
     """``place``: 1 to n for the best scores of a session, ties by symbol; null for others."""
     s = col(score) if allowed is None else F.when(allowed, col(score))
-    place = F.row_number().over(XS.orderBy(s.desc_nulls_last(), "symbol"))
+    place = F.row_number().over(xs().orderBy(s.desc_nulls_last(), "symbol"))
     return panel.withColumn("place", F.when(s.isNotNull() & (place <= n), place))
 
 
 def long_only_weights(panel: DataFrame, score: str, n: int, allowed: Column | None = None) -> DataFrame:
     """``desired``: 1/n for each of the best n; none in sessions with fewer names."""
     out = top_names(panel, score, n, allowed)
-    return out.withColumn("desired", F.when((F.count("place").over(XS) >= n) & F.col("place").isNotNull(), F.lit(1.0 / n)).otherwise(0.0)).drop("place")
+    return out.withColumn("desired", F.when((F.count("place").over(xs()) >= n) & F.col("place").isNotNull(), F.lit(1.0 / n)).otherwise(0.0)).drop("place")
 
 
 def tranches(panel: DataFrame, horizon: int) -> DataFrame:
     """``effective`` weights: the mean of the last ``horizon`` desired ones, and ``change`` from the session before."""
     out = panel.withColumn("effective", F.avg("desired").over(rows(horizon)))
-    return out.withColumn("change", F.col("effective") - F.lag("effective").over(TS))
+    return out.withColumn("change", F.col("effective") - F.lag("effective").over(ts()))
 
 
 def daily(panel: DataFrame, cost: float, participation: float = 0.01) -> DataFrame:
@@ -62,7 +62,7 @@ def daily(panel: DataFrame, cost: float, participation: float = 0.01) -> DataFra
 
 def placebo_costed(panel: DataFrame, cost: float) -> DataFrame:
     """As ``daily``, but the first session pays for its whole weight: the rule for placebos."""
-    moved = F.abs(F.col("effective") - F.lag("effective", 1, 0.0).over(TS))
+    moved = F.abs(F.col("effective") - F.lag("effective", 1, 0.0).over(ts()))
     rows_ = panel.withColumn("_m", moved)
     return rows_.groupBy("date").agg((F.coalesce(F.sum(F.col("effective") * F.col("one_day")), F.lit(0.0)) - F.coalesce(F.sum("_m"), F.lit(0.0)) * cost / 2).alias("costed"))
 

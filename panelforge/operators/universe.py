@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import TS, rolling
+from panelforge.functions.columns import rolling, ts
 
 
 def sealed_bars(panel: DataFrame, require_volume: bool = True) -> DataFrame:
@@ -14,7 +14,7 @@ def sealed_bars(panel: DataFrame, require_volume: bool = True) -> DataFrame:
     one = F.col("high") == F.col("low")
     if require_volume:
         one = one & (F.col("volume") > 0)
-    before = F.lag("close").over(TS)
+    before = F.lag("close").over(ts())
     return panel.withColumns({"sealed_up": F.coalesce(one & (F.col("close") > before), F.lit(False)), "sealed_down": F.coalesce(one & (F.col("close") < before), F.lit(False))})
 
 
@@ -32,8 +32,8 @@ def apply_sealed(panel: DataFrame, overwrite: bool = False) -> DataFrame:
 def eligible(panel: DataFrame, window: int = 60, least_amount: float = 0.0, least_observations: int = 0, exclude_st: bool = True, normal_status: bool = True) -> DataFrame:
     """``eligible``: liquid on lagged amounts, observed before, and trading normally in the session itself."""
     observed = F.col("close").isNotNull().cast("int")
-    rows = panel.withColumns({"_med": rolling("median", "amount", window, max(2, window // 3)), "_obs": F.sum(observed).over(TS.rowsBetween(W.unboundedPreceding, 0))})
-    ok = (F.lag("_med").over(TS) >= least_amount) & (F.lag("_obs").over(TS) >= least_observations) & (F.col("volume") > 0) & (F.col("amount") > 0)
+    rows = panel.withColumns({"_med": rolling("median", "amount", window, max(2, window // 3)), "_obs": F.sum(observed).over(ts().rowsBetween(W.unboundedPreceding, 0))})
+    ok = (F.lag("_med").over(ts()) >= least_amount) & (F.lag("_obs").over(ts()) >= least_observations) & (F.col("volume") > 0) & (F.col("amount") > 0)
     ok = ok & ~F.col("is_suspended") & ~F.col("is_delisted")
     if exclude_st:
         ok = ok & ~F.col("is_st")
@@ -44,7 +44,7 @@ def eligible(panel: DataFrame, window: int = 60, least_amount: float = 0.0, leas
 
 def summary(panel: DataFrame) -> DataFrame:
     """Members, entries and exits of each session."""
-    was = F.lag("eligible", 1, False).over(TS)
+    was = F.lag("eligible", 1, False).over(ts())
     moved = panel.select("date", "eligible", (F.col("eligible") & ~was).alias("_in"), (~F.col("eligible") & was).alias("_out"))
     return moved.groupBy("date").agg(F.count_if("eligible").alias("members"), F.count_if("_in").alias("entries"), F.count_if("_out").alias("exits"))
 
@@ -57,7 +57,7 @@ def _common(least_amount: float) -> Column:
 def tradable(panel: DataFrame, least_amount: float = 0.0) -> DataFrame:
     """``buyable`` and ``shortable`` in the next session; a label-side column, since it looks ahead."""
     common = _common(least_amount)
-    return panel.withColumns({"buyable": F.lead(common & ~F.col("limit_up"), 1, False).over(TS), "shortable": F.lead(common & ~F.col("limit_down"), 1, False).over(TS)})
+    return panel.withColumns({"buyable": F.lead(common & ~F.col("limit_up"), 1, False).over(ts()), "shortable": F.lead(common & ~F.col("limit_down"), 1, False).over(ts())})
 
 
 def selectable() -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import ROLLING, TS, divided, rolling, rolling_corr, zscore
+from panelforge.functions.columns import ROLLING, divided, rolling, rolling_corr, ts, zscore
 
 UNARY = {"abs": F.abs, "neg": lambda c: -c, "tanh": F.tanh, "signed_log1p": lambda c: F.signum(c) * F.log1p(F.abs(c))}
 BINARY = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": divided}
@@ -97,7 +97,7 @@ def evaluate(panel: DataFrame, exprs: dict[str, dict]) -> DataFrame:
         if "binary" in expr:
             return BINARY[expr["binary"]](*args)
         if "lag" in expr:
-            value = F.lag(args[0], expr["lag"]).over(TS) if expr["lag"] else args[0]
+            value = F.lag(args[0], expr["lag"]).over(ts()) if expr["lag"] else args[0]
         elif "rolling" in expr:
             value = rolling(expr["rolling"], args[0], expr["window"])
         elif "corr" in expr:
