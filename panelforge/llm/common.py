@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
@@ -51,3 +52,8 @@ def keyed_text(docs: DataFrame) -> DataFrame:
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8, A-Z lower-cased: what bytes.lower and bytes.split do."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def exact(values: list[int | None]) -> pd.api.extensions.ExtensionArray:
+    """Integers and nulls as a column; a frame made of rows would turn them into floats, which round 64-bit hashes."""
+    return pd.array(values, dtype="Int64")

@@ -70,7 +70,7 @@ def measured(docs: DataFrame, ratios: list[float], least_score: float = LEAST_SC
     covered = total(F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")))
     rows = rows.select(
         "_row",
-        F.monotonically_increasing_id().alias("_place"),  # see kept_documents
+        F.monotonically_increasing_id().alias("_place"),
         F.col("_row.doc_id").cast("long").alias("doc_id"),
         F.size(w).cast("long").alias("n_words"),
         F.length(F.translate("_text", BLANK_CHARS, "")).cast("long").alias("word_chars"),
@@ -79,7 +79,9 @@ def measured(docs: DataFrame, ratios: list[float], least_score: float = LEAST_SC
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.aggregate(_grams(w, buckets), F.lit(0.0), lambda a, b: a + F.element_at(table, b + 1)).alias("_sum"),
     )
-    rows = rows.withColumn("score", F.when(F.col("n_words") > 0, F.col("_sum") / (2 * F.col("n_words"))).otherwise(F.lit(0.0))).drop("_sum")
+    # a filter is not moved below a column that is not deterministic; below, each array would be computed again for each of its uses
+    rows = rows.withColumn("n_repeat_words", F.when(F.col("_place") >= 0, F.col("n_repeat_words")))
+    rows = rows.withColumn("score", F.when((F.col("n_words") > 0) & (F.col("_place") >= 0), F.col("_sum") / (2 * F.col("n_words"))).otherwise(F.lit(0.0))).drop("_sum")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least_score))
 
@@ -91,5 +93,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    # a filter is not moved below a column that is not deterministic; below, each array would be computed again for each of its uses
-    return measured(docs, bucket_ratios(docs, labels)).where("kept and _place >= 0").select("_row.*")
+    return measured(docs, bucket_ratios(docs, labels)).where("kept").select("_row.*")

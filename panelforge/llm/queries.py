@@ -89,7 +89,7 @@ keyed AS (
 keys AS (
   SELECT page_id, fetched_at, unnest(list_distinct(list_concat(
            list_transform(range(0, greatest(len(parts) - 1, 1)), lambda i: 'h:' || array_to_string(parts[i + 1:], '.')),
-           list_transform(range(1, least(len(segments), 8) + 1), lambda i: 'p:' || host || '/' || array_to_string(segments[1:i], '/'))))) AS key
+           list_transform(range(1, len(segments) + 1), lambda i: 'p:' || host || '/' || array_to_string(segments[1:i], '/'))))) AS key
   FROM keyed WHERE host IS NOT NULL),
 judged AS (
   SELECT k.page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists

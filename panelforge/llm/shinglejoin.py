@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import keyed_text, materialise, words_of
+from panelforge.llm.common import exact, keyed_text, materialise, words_of
 from panelforge.llm.components import components
 
 WORDS = 5
@@ -114,7 +114,7 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((len(s), _node(s), _vector(s)))
             else:
                 out.append((0, None, None))
-        res = pd.DataFrame(out, columns=["n", "node", "vector"]).astype({"node": "Int64"})
+        res = pd.DataFrame({"n": [r[0] for r in out], "node": exact([r[1] for r in out]), "vector": [r[2] for r in out]})
         res.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
         yield res.assign(chunk=None, fold=None, counts=None)
     size = COUNTERS // _CHUNKS

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialise
+from panelforge.llm.common import exact, materialise
 
 GRAM = 32
 #: Blocks of one anchor that a shard takes.
@@ -260,10 +260,9 @@ def _shards(least: int):
                 a, b = cut[k], cut[k + 1]
                 if b > a:
                     out.append((anchor, None, None, None, part, k, digests[a:b].tobytes(), owners[a:b].tobytes(), starts[a:b].tobytes()))
-        res = pd.DataFrame(out, columns=[c.split()[0] for c in SOLVED.split(", ")])
-        for c in ("block", "span"):
-            res[c] = res[c].astype("Int64")
-        return res
+        names = [c.split()[0] for c in SOLVED.split(", ")]
+        columns = dict(zip(names, map(list, zip(*out)))) if out else {c: [] for c in names}
+        return pd.DataFrame(columns | {c: exact(columns[c]) for c in ("block", "span")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []

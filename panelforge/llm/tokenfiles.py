@@ -53,7 +53,7 @@ class FrameWriter:
         self.held.append(ids)
         self.size += len(ids)
         self.n += len(ids) // 4
-        self.docs.append(NO_DOC_ID if doc_id is None or doc_id is pd.NA else int(doc_id))
+        self.docs.append(NO_DOC_ID if doc_id is None else int(doc_id))
         self.ends.append(self.n)
         if self.size >= self.limit:
             raw = b"".join(self.held)
@@ -154,7 +154,7 @@ def _writer(folder: str, tokenizer: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, docs_a_file: int = 8192) -> DataFrame:
     """Write all documents, in ascending ``doc_id`` over the files in their order; returns the manifest, one row a file."""
     spark = docs.sparkSession
-    rows = keyed_text(docs)
+    rows = keyed_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC_ID).cast("long")))  # a null would make floats of all ids
     files = max(1, -(-rows.select("doc_id").count() // docs_a_file))
     dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInPandas(_writer(folder, tokenizer), "shard int, file string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")

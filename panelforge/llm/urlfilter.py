@@ -17,10 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Deepest host suffixes and path prefixes that are looked up.
-DEPTH = 8
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1), F.lit("")))
 
@@ -33,9 +29,9 @@ def url_keys(url: Column) -> Column:
     """Keys of a URL: ``h:`` with its host and each parent that has a dot, ``p:`` with host and path prefixes by segment."""
     host = host_of(url)
     parts = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(0), F.least(F.greatest(F.size(parts) - 2, F.lit(0)), F.lit(DEPTH))), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
+    hosts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    prefixes = F.transform(F.slice(segments, 1, DEPTH), lambda _, i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(segments, 1, i + 1), "/")))
+    prefixes = F.transform(segments, lambda _, i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(segments, 1, i + 1), "/")))
     return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.concat(hosts, prefixes))
 
 
