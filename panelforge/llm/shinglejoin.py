@@ -11,9 +11,9 @@ at least ``percent`` * union. Equal sets are one *node*.
    one shingle among their first are a *tile*, and linked nodes meet in a tile.
 3. In each tile the vectors are indexed by an R-tree (boxes are the largest counts and the range of sizes) that is
    joined with itself level by level; pairs of boxes, then of points, whose bound is too small are dropped.
-4. What survives is verified on the sets. First each node's best partner only; links join nodes into components,
-   and the second pass takes all surviving pairs of different components. So copies of one text cost
-   one verification each, and no link between components is lost.
+4. What survives is verified on the sets, each pair where the node with more pairs is. First each node's best partner
+   and its hub; links join nodes into components, and the second pass takes all surviving pairs of different components. So
+   copies of one text cost one verification each, and no link between components is lost.
 
 Cases: null and empty texts have empty sets and link with nothing; a text with fewer words than five is one
 shingle; rows of one ``doc_id`` are one document in ``component_id``; rows with a null id link with nothing
@@ -41,6 +41,10 @@ GROUPS, FINE_GROUPS = 32, 1024
 COUNTERS = 1 << 18
 _CHUNKS, _FOLDS = 32, 32
 LEAF, FAN = 32, 16
+#: Pairs of one hub that a cell takes, about, and bits of the filter of documents.
+CELL, FILTER_BITS = 128, 1 << 23
+#: Hubs that are drawn from a tile, each among the nodes that the ones before leave.
+HUBS = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,7 +253,7 @@ class CountRTree:
 
 
 def _candidates(percent: int, best_only: bool):
-    """Pairs of nodes from whole tiles: all that the bounds allow, or for each node its best of a few."""
+    """Pairs of nodes from whole tiles: all that the bounds allow, or for each node its best of a few and its best hub."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, "tile", 100_000):
@@ -274,7 +278,7 @@ def _candidates(percent: int, best_only: bool):
                     out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "score": bound / (sizes[i] + sizes[j] - bound)}))
                 return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "score": []})
 
-            found = []
+            found, starred = [], []
             for k in np.unique(number[(number > 1) & (number <= LEAF)]).tolist():  # tiles of one leaf, all of a size at once
                 at = start[number == k]
                 left, right = np.triu_indices(k, 1)
@@ -284,57 +288,107 @@ def _candidates(percent: int, best_only: bool):
             for s, k in zip(start[number > LEAF].tolist(), number[number > LEAF].tolist()):
                 span = np.arange(s, s + k)
                 tree = CountRTree(counts[span], sizes[span], labels[span])
-                if best_only:  # neighbours in the order of the leaves, and the most central of some
+                if best_only:  # neighbours in the order of the leaves, and those nearest to what most have in common
                     order = span[tree.order]
-                    some = order[:: max(1, k // 64)]
-                    hub = some[int(np.argmin([apart(span, np.full(k, h)).sum() for h in some]))]
-                    found += [allowed(order[:-d], order[d:]) for d in (1, 2, 3)] + [allowed(span, np.full(k, hub))]
+                    found += [allowed(order[:-d], order[d:]) for d in (1, 2, 3)]
+                    for _ in range(HUBS):
+                        most = sum(np.unpackbits(parity[span[lo : lo + 20_000]].view(np.uint8), axis=1).sum(0, dtype=np.int64) for lo in range(0, len(span), 20_000))
+                        centre = np.packbits(2 * most > len(span)).view(np.uint64)
+                        hub = span[int(np.argmin(np.bitwise_count(parity[span] ^ centre).sum(1, dtype=np.int64)))]
+                        near = allowed(span, np.full(len(span), hub))
+                        starred.append(near.assign(score=k + near["score"]))  # the hub of the largest tile
+                        reached = np.isin(node[span], np.union1d(near["a"], near["b"]))
+                        reached |= span == hub
+                        span = span[~reached]
+                        if len(span) < 2:
+                            break
                 else:
                     found += [allowed(a + s, b + s) for a, b in tree.pairs(percent)]
-            if not found:
+            if not found and not starred:
                 continue
-            res = pd.concat(found, ignore_index=True).astype({"a": "int64", "b": "int64"})
-            if best_only:
-                both = pd.concat([res, res.rename(columns={"a": "b", "b": "a"})], ignore_index=True)
-                yield both.sort_values("score").drop_duplicates("a", keep="last")[["a", "b", "score"]]
-            else:
-                yield res.drop_duplicates(["a", "b"])
+            if not best_only:
+                yield pd.concat(found, ignore_index=True).astype({"a": "int64", "b": "int64"}).drop_duplicates(["a", "b"]).assign(star=False)
+                continue
+            for star, some in ((False, found), (True, starred)):
+                if some:
+                    res = pd.concat(some, ignore_index=True).astype({"a": "int64", "b": "int64"})
+                    both = pd.concat([res, res.rename(columns={"a": "b", "b": "a"})], ignore_index=True)
+                    yield both.sort_values("score").drop_duplicates("a", keep="last")[["a", "b", "score"]].assign(star=star)
 
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo = WordHashes()
-    for pdf in batches:
-        out = []
-        for text, wanted in zip(pdf["text"], pdf["node"]):
-            s = shingles(text, memo)
-            if len(s) and _node(s) == wanted:
-                out.append((wanted, s.tobytes()))
-        yield pd.DataFrame(out, columns=["node", "hashes"])
+def _packed(wanted):
+    """Texts of the documents that the filter lets pass, compressed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        bits, zip_ = wanted.value, zstandard.ZstdCompressor(level=1)
+        for pdf in batches:
+            at = pdf["bit"].to_numpy()
+            pdf = pdf[(bits[at >> 3] >> (at & 7)) & 1 == 1]
+            if len(pdf):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
+
+    return run
 
 
 def _verified(percent: int):
+    """Cells come sorted with their hub first; each other node is compared with it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        memo, unzip, cell, hub, seen = WordHashes(), zstandard.ZstdDecompressor(), None, None, set()
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+            out = []
+            for h, salt, node, other, packed in zip(*(pdf[c].tolist() for c in ("hub", "salt", "node", "other", "packed"))):
+                if cell != (h, salt):
+                    cell, hub, seen = (h, salt), None, set()
+                if node in seen or other and hub is None:
+                    continue
+                s = shingles(unzip.decompress(packed).decode("utf-8", "surrogatepass"), memo)
+                if not len(s) or _node(s) != node:  # another text of the same doc_id
+                    continue
+                seen.add(node)
+                if not other:
+                    hub = s
+                    continue
+                both = len(np.intersect1d(hub, s, assume_unique=True))
+                if 100 * both >= percent * (len(hub) + len(s) - both):
+                    out.append((min(h, node), max(h, node)))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = nodes.join(wanted, "node").select(F.col("doc").alias("doc_id"), "node")
-    sets = rows.join(held, "doc_id").select("text", "node").mapInPandas(_sets, "node long, hashes binary").dropDuplicates(["node"])
-    sets = materialise(sets, "sets")
-    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_verified(percent), "a long, b long"), "similar")
+    """The pairs (a, b) whose sets are similar enough.
+
+    A pair belongs to the one of its nodes that has more pairs, its hub; the pairs of a hub are dealt over cells of about
+    ``CELL`` others. Texts go, compressed, to the cells that need them. Documents that none needs are kept back by
+    a filter of ``FILTER_BITS`` bits, which lets a few others pass.
+    """
+    spark = pairs.sparkSession
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
+    of_a, of_b = degree.withColumnsRenamed({"node": "a", "k": "ka"}), degree.withColumnsRenamed({"node": "b", "k": "kb"})
+    both = pairs.select("a", "b").join(of_a, "a").join(of_b, "b")
+    first = F.col("ka") >= F.col("kb")
+    both = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("ka", "kb").alias("k"))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / CELL)).cast("int"))
+    asked = both.select("node", "hub", "salt", F.lit(True).alias("other")).unionByName(both.select(F.col("hub").alias("node"), "hub", "salt", F.lit(False).alias("other")).distinct())
+    asked = materialise(asked.join(nodes.select("node", "doc"), "node").select("doc", "node", "hub", "salt", "other"), "asked")
+
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    places = asked.select(bit(F.col("doc")).alias("p")).groupBy((F.col("p") / 32_768).cast("int").alias("part")).agg(F.bitmap_construct_agg((F.col("p") % 32_768).cast("long")).alias("m"))
+    for part, m in places.collect():  # FILTER_BITS bits at any size
+        bits[part * 4096 : (part + 1) * 4096] = np.frombuffer(bytes(m), np.uint8)
+    texts = rows.where("doc_id is not null").select("doc_id", "text", bit(F.col("doc_id")).alias("bit")).mapInPandas(_packed(spark.sparkContext.broadcast(bits)), "doc_id long, packed binary")
+    sent = texts.join(asked, texts["doc_id"] == asked["doc"]).select("hub", "salt", "node", "other", "packed")
+    sent = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "other")
+    return materialise(sent.mapInPandas(_verified(percent), "a long, b long"), "similar")
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -354,9 +408,9 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tiles = materialise(tiles.join(nodes.select("node", "n", "vector"), "node"), "tiles")
 
     def pairs(of: DataFrame, best_only: bool) -> DataFrame:
-        return of.repartition("tile").sortWithinPartitions("tile", "node").mapInPandas(_candidates(percent, best_only), "a long, b long, score double")
+        return of.repartition("tile").sortWithinPartitions("tile", "node").mapInPandas(_candidates(percent, best_only), "a long, b long, score double, star boolean")
 
-    best = pairs(tiles, True).groupBy("a").agg(F.max(F.struct("score", "b")).alias("m"))
+    best = pairs(tiles, True).groupBy("a", "star").agg(F.max(F.struct("score", "b")).alias("m"))
     best = materialise(best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct(), "best")
     links = _links(best, nodes, rows, percent)
     labels = components(links)
