@@ -173,26 +173,25 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str, rows: int = 200_000)
 
 
 def _shared_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of tiles with two nodes or more; of tiles with the same nodes one stays."""
-    seen: set[tuple[int, int]] = set()
+    """Rows of tiles with two nodes or more, each named by a digest of its nodes: tiles with the same nodes get the same rows."""
+    seen: set[int] = set()
     for pdf in whole_groups(batches, "tile"):
         tile, node = pdf["tile"].to_numpy(), pdf["node"].to_numpy()
         new = np.concatenate([[True], (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])])
         tile, node = tile[new], node[new]
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
-        mixed = np.add.reduceat(_mixed(node.view(np.uint64)), start)
+        name = _mixed(np.add.reduceat(_mixed(node.view(np.uint64)), start) + size.astype(np.uint64) * _MUL).view(np.int64)
         if len(seen) > 1_000_000:
             seen.clear()
         keep = np.zeros(len(start), bool)
         for i in np.flatnonzero(size > 1).tolist():
-            sign = (int(size[i]), int(mixed[i]))
-            if sign not in seen:
+            if (sign := int(name[i])) not in seen:
                 seen.add(sign)
                 keep[i] = True
         use = np.repeat(keep, size)
         if use.any():
-            yield pd.DataFrame({"tile": tile[use], "node": node[use]})
+            yield pd.DataFrame({"tile": np.repeat(name, size)[use], "node": node[use]})
 
 
 def _enough(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -404,7 +403,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     nodes = materialise(texts.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("vector").alias("vector")), "nodes")
     first = rows.where("doc_id is not null").mapInPandas(_prefixes(counters, percent), "tile long, node long")
-    tiles = first.repartition("tile").sortWithinPartitions("tile", "node").mapInPandas(_shared_tiles, "tile long, node long")
+    tiles = first.repartition("tile").sortWithinPartitions("tile", "node").mapInPandas(_shared_tiles, "tile long, node long").distinct()
     tiles = materialise(tiles.join(nodes.select("node", "n", "vector"), "node"), "tiles")
 
     def pairs(of: DataFrame, best_only: bool) -> DataFrame:
