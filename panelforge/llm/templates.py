@@ -5,11 +5,14 @@ tokens: structural tags under their path of open elements, and words under the p
 occurrence vectors over the group's pages are equal form a class. A class is valid if its tokens come in one
 order in every page; the class that occurs once a page is the template's root, and the space between two of its
 tokens is a slot. A class that repeats is valid if each page has all its occurrences in one slot, and is nested
-there: rows of a list. Slots are judged once for the group, by where they stand and what they hold: words of
-classes are the template's, and what is left in slots of the article is the text.
+there: rows of a list. Words are tokens outside articles; inside, where common words agree by chance, whole
+blocks are. Blocks of the template's words, or that half the pages with their path share, are the template's and
+are dropped, in articles too. What is left varies over pages; its slots are judged once for the group by a sum of
+features: article or main element, names, running text, headings, links, and the share of the text they hold.
 
-Without an article or main element, the slots with running text that is no list of links are the article. Groups
-under ``LEAST_PAGES`` pages give classes of tags only, since in so few pages words agree by chance.
+Pages of equal blocks count once as evidence. In groups under ``LEAST_PAGES`` such pages, and for paths on fewer,
+nothing can be seen to vary: there elements and names decide, and without an article element running text that
+is no list of links.
 
 Cases: a null or empty html has an empty text; a null url stands for a host of its own; rows that repeat are
 extracted each; an unclosed tag, comment or script runs to the end; an empty table gives no rows; other columns
@@ -47,24 +50,35 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Of these, what varies over pages without being the article; the others are weaker features of a slot.
+STRONG_WORDS = NO_ARTICLE_WORDS - frozenset("alert banner copyright disclaimer foot form header legal login masthead notice notices notification promo promotion share sharing social".split())
+STRONG_TAGS = NO_ARTICLE_TAGS - {"form"}
+#: Mean words of a block from which a slot is running text.
+RUNNING_WORDS = 10
+_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+_DIGITS = re.compile(r"\d+")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
 class Block:
-    """Text between structural tags: its path, what the path says, its words and how many are in links."""
+    """Text between structural tags: its path, what the path says (``other``: 0, 1 or, by a strong name, 2), its words and how many are in links."""
 
     __slots__ = ("path", "article", "other", "words", "linked", "at")
 
-    def __init__(self, path: str, article: bool, other: bool, words: list[str], linked: int, at: int):
+    def __init__(self, path: str, article: bool, other: int, words: list[str], linked: int, at: int):
         self.path, self.article, self.other, self.words, self.linked, self.at = path, article, other, words, linked, at
 
+    @property
+    def token(self) -> str:
+        return f"{self.path}\1{' '.join(self.words)}"
+
 
 def parsed(html: str | None) -> tuple[list[str], list[Block]]:
     """Structural tokens of a page in order, and its blocks; a block's ``at`` is the number of tokens before it."""
     tokens: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in an article, in something else
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, in an article, in something else
     held: list[str] = []
     links, linked = 0, 0
 
@@ -112,9 +126,12 @@ def parsed(html: str | None) -> tuple[list[str], list[Block]]:
         names = " ".join(filter(None, (x for g in _NAMES.findall(m["rest"]) for x in g))).lower() if m["rest"] else ""
         parts = set(_PARTS.findall(names))
         _, path, article, other = stack[-1]
-        path = f"{path}/{tag}" + (f".{names}" if names else "")
+        path = f"{path}/{tag}" + (f".{_DIGITS.sub('0', names)}" if names else "")
         starts = tag in ("article", "main") or "articlebody" in names.replace("-", "").replace("_", "") or "main" in parts and "role" in m["rest"]
-        other = other or tag in NO_ARTICLE_TAGS or (tag == "header" and not article) or bool(parts & NO_ARTICLE_WORDS)
+        if tag in STRONG_TAGS or parts & STRONG_WORDS:
+            other = 2
+        elif tag in NO_ARTICLE_TAGS or (tag == "header" and not article) or parts & NO_ARTICLE_WORDS:
+            other = max(other, 1)
         tokens.append(path + "<")
         if tag not in VOID:
             stack.append((tag, path, article or starts, other))
@@ -178,9 +195,16 @@ class Template:
                 if len(slots) == 1:
                     self.nested[slots.pop()].append(tokens)
         self.template_words = {t for t in self.rank if "\0" in t} | {t for c in self.nested.values() for g in c for t in g if "\0" in t}
+        having = Counter(path for _, blocks in pages for path in {b.path for b in blocks})
+        shared = Counter(t for _, blocks in pages for t in {b.token for b in blocks})
+        self.known = {path for path, n in having.items() if self.with_words and n >= LEAST_PAGES}
+        self.fixed = {t for t, n in shared.items() if (path := t.partition("\1")[0]) in self.known and 2 * n >= having[path]}
+
+    def block_tokens(self, b: Block) -> list[str]:
+        return [b.token] if b.article else [f"{b.path}\0{w}" for w in b.words]
 
     def tokens(self, page: tuple[list[str], list[Block]]) -> list[str]:
-        """A page's tags, and its words outside articles, in order."""
+        """A page's tags, its words outside articles and its blocks inside, in order."""
         tags, blocks = page
         if not self.with_words:
             return tags
@@ -188,12 +212,11 @@ class Template:
         for b in blocks:
             out += tags[at : b.at]
             at = b.at
-            if not b.article:
-                out += [f"{b.path}\0{w}" for w in b.words]
+            out += self.block_tokens(b)
         return out + tags[at:]
 
     def slots(self, page: tuple[list[str], list[Block]]) -> list[int]:
-        """The slot of each block."""
+        """The slot of each block: the one it begins in."""
         tags, blocks = page
         out, at, slot = [], 0, 0
         for b in blocks:
@@ -201,35 +224,57 @@ class Template:
                 slot = self.rank.get(t, slot)
             at = b.at
             out.append(slot)
+            if self.with_words:
+                for t in self.block_tokens(b):
+                    slot = self.rank.get(t, slot)
         return out
 
+    def owns(self, b: Block) -> bool:
+        """Whether a block is the template's."""
+        return b.token in self.fixed or bool(self.template_words) and all(f"{b.path}\0{w}" in self.template_words for w in b.words)
+
+
+def is_text(b: Block, marked: bool, words: int, linked: int, blocks: int, share: float) -> bool:
+    """Whether a slot that varies over pages is the article's, on a page with an article element or without: a sum of features."""
+    links = 2 * linked > words
+    score = 2 if b.article else 0 if marked else 1
+    score -= (0, 2, 3)[b.other]
+    score += words >= RUNNING_WORDS * blocks
+    score += b.article and _HEADING.search(b.path) is not None
+    score += 2 * (share > 0.5 and not links)
+    score -= links * (1 if b.article else 2)
+    return score > 0
+
 
 def extracted(pages: list[tuple[list[str], list[Block]]]) -> list[str]:
     """The main text of each page of a group."""
-    template = Template(pages)
-    places = [template.slots(p) for p in pages]
+    unlike = {tuple(b.token for b in blocks): (tags, blocks) for tags, blocks in pages}
+    template = Template(list(unlike.values()))
     words: Counter = Counter()
     links: Counter = Counter()
     blocks_in: Counter = Counter()
-    for (_, blocks), slots in zip(pages, places):
-        for b, s in zip(blocks, slots):
-            key = (s, b.path)
-            words[key] += len(b.words)
-            links[key] += b.linked
-            blocks_in[key] += 1
+    for page in unlike.values():
+        for b, s in zip(page[1], template.slots(page)):
+            if not template.owns(b):
+                key = (s, b.path)
+                words[key] += len(b.words)
+                links[key] += b.linked
+                blocks_in[key] += 1
+    total = sum(words.values())
     out = []
-    for (_, blocks), slots in zip(pages, places):
+    for page in pages:
+        blocks = page[1]
         marked = any(b.article and not b.other for b in blocks)
         keep = []
-        for b, s in zip(blocks, slots):
-            if b.other or marked and not b.article:
+        for b, s in zip(blocks, template.slots(page)):
+            if template.owns(b):
                 continue
-            if not marked:  # no article is marked: slots with running text
-                key = (s, b.path)
-                if 2 * links[key] > words[key]:
-                    continue
-                if template.template_words and all(f"{b.path}\0{w}" in template.template_words for w in b.words):
+            key = (s, b.path)
+            if b.path in template.known:
+                if not is_text(b, marked, words[key], links[key], blocks_in[key], words[key] / total):
                     continue
+            elif b.other or (not b.article if marked else 2 * links[key] > words[key]):
+                continue
             keep.append(" ".join(b.words))
         out.append(" ".join(keep))
     return out

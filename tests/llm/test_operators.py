@@ -194,6 +194,25 @@ def test_template_extraction(spark):
     assert templates.main_text(frame.limit(0)).count() == 0
 
 
+def test_template_decides_inside_articles(spark):
+    """Boilerplate of no listed name goes; text that varies stays though its element's names are listed; repeats are no evidence."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        a, b, c = (" ".join(rng.choice("river stone cloud amber forest winter lantern harbor".split()) + str(rng.randrange(50)) for _ in range(14)) for _ in range(3))
+        html = (
+            f"<body><nav><a href='/'>Home</a></nav><article id='post-{k}'><header class='article-header'><h1>Story {k}</h1></header><p>{a}</p>"
+            f"<p>Members read every story without waiting</p><div class='legal'><p>{b}</p></div><div class='ad'>Buy {rng.randrange(10**6)}</div><p>{c}</p>"
+            f"<section>Call our desk on weekdays</section></article><footer>{rng.randrange(10**6)} visits</footer></body>"
+        )
+        rows.append((k, f"https://inside.example/{k}", html, f"Story {k} {a} {b} {c}"))
+    alike = "<article><p>one page that is kept many times</p></article>"
+    rows += [(1000 + k, "https://same.example/", alike, "one page that is kept many times") for k in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert got == {k: want for k, _, _, want in rows}
+
+
 # 4
 
 
