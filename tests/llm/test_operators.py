@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on the smallest tables and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -321,6 +322,40 @@ def test_decontamination(spark, odd):
     assert decontaminate.overlaps(frame.limit(0), bench).count() == 0 and decontaminate.overlaps(frame, bench.limit(0)).count() == 0
 
 
+def test_masks_hit_all_substitutions():
+    for n in range(1, decontaminate.WINDOW + 1):
+        for differ in itertools.combinations(range(n), n - math.ceil(decontaminate.IDENTITY * n)):
+            hits = [m for m in decontaminate.MASKS[n] for k in range(n - len(m) + 1) if all(c == "0" or k + j not in differ for j, c in enumerate(m))]
+            assert hits, (n, differ)
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_SEEDS, 0])
+def test_decontamination_finds_what_brute_force_finds(spark, monkeypatch, broadcast):
+    """Stretches of items of all lengths, with substitutions up to and beyond the rule, in documents of other words."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    rng = random.Random(4)
+    pick = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [pick(n) for n in [*range(1, 20), 40]]
+    texts = []
+    for k in range(400):
+        item = items[k % len(items)]
+        n = min(len(item), decontaminate.WINDOW)
+        at = rng.randrange(len(item) - n + 1)
+        part = item[at : at + n]
+        for j in rng.sample(range(n), min(n, rng.choice([0, n // 4, n // 4, n // 4 + 1]))):
+            part[j] = "other"
+        texts.append(pick(rng.randrange(4)) + part + pick(rng.randrange(4)))
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(99, ""), (98, None)], "item_id long, text string")
+    want = {}
+    for (k, doc), (i, item) in itertools.product(enumerate(texts), enumerate(items)):
+        same, n = best_stretch(doc, item)
+        if same >= math.ceil(decontaminate.IDENTITY * n):
+            want[k, i] = same
+    got = {(r["doc_id"], r["item_id"]): r["n_same"] for r in decontaminate.overlaps(frame, bench).collect()}
+    assert got == want and len(want) > 200
+
+
 # 6
 
 
