@@ -6,8 +6,12 @@ with them. Training maximises the likelihood of labelled words by forward-backwa
 runs of documents of several languages, which is code-switched text with known labels. A text's words get
 their marginals by forward-backward, and the text the language with most of them.
 
-The model is fitted on a bounded sample: ``SAMPLE_DOCUMENTS`` labelled documents of up to ``SAMPLE_CHARS``
-characters, by the hash of their ids. Its size is fixed by ``WEIGHTS`` and the number of languages.
+Words are cut after ``RUN`` characters, so that a long run, or a text without white space, gives a label for each
+part and is judged by all of it.
+
+The model is fitted on a bounded sample: of each language the first documents by the hash of their ids, of up to
+``SAMPLE_CHARS`` characters, or cut to that where it has too few: ``SAMPLE_DOCUMENTS`` shared out evenly, ``LEAST_DOCUMENTS`` at least.
+Its size is fixed by ``WEIGHTS`` and the number of languages.
 
 Cases: a null or empty text, or one without a letter, is ``und`` with score 0; a null ``doc_id`` has a null
 ``held_out`` and is not learned from; without labelled rows all are ``und``; rows that repeat are labelled each;
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 1200, 20_000
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, LEAST_DOCUMENTS = 1200, 20_000, 50
+RUN = 24
 WEIGHTS = 1 << 16
 LEXICON_LEAST = 5
 STEPS, SEQUENCES, LENGTH = 250, 64, 48
@@ -40,14 +45,20 @@ def features(word: str, lexicon: frozenset[str]) -> list[int]:
         return [zlib.crc32(b"no letter") % WEIGHTS]
     w = f"<{letters}>"
     names = [f"p{k}{w[: k + 1]}" for k in (1, 2, 3)] + [f"s{k}{w[-k - 1 :]}" for k in (1, 2, 3, 4)]
-    names += [f"2{w[i : i + 2]}" for i in range(len(w) - 1)][:24] + [f"3{w[i : i + 3]}" for i in range(len(w) - 2)][:24]
+    names += [f"2{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"3{w[i : i + 3]}" for i in range(len(w) - 2)]
     if letters in lexicon:
         names.append("l" + letters)
     return [zlib.crc32(n.encode()) % WEIGHTS for n in names]
 
 
 def words(text: str | None) -> list[str]:
-    return text.lower().split() if isinstance(text, str) else []
+    """Lower-cased words, the long ones in parts of ``RUN`` characters."""
+    if not isinstance(text, str):
+        return []
+    whole = text.lower().split()
+    if max(map(len, whole), default=0) <= RUN:
+        return whole
+    return [w[i : i + RUN] for w in whole for i in range(0, len(w), RUN)]
 
 
 class Crf:
@@ -203,8 +214,16 @@ def fitted(docs: DataFrame) -> Crf:
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     known = known.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # a row a language
-    ids = known.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS)
-    sample = known.join(F.broadcast(ids), "doc_id").orderBy("h", "text").limit(SAMPLE_DOCUMENTS).select("text", "lang").collect()
+    quota = max(LEAST_DOCUMENTS, SAMPLE_DOCUMENTS // max(1, len(languages)))
+    keyed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), (F.length("text") > SAMPLE_CHARS).alias("long"), F.xxhash64("text").alias("t"))
+    # the first of each language in each partition, so that a language of most rows is not brought to one task
+    first = keyed.withColumn("part", F.spark_partition_id())
+    for keys in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("long", "h", "doc_id", "t"))
+        first = first.withColumn("place", place).where(F.col("place") <= quota)
+    ids = F.broadcast(first.select("doc_id", "lang", "t").distinct())
+    found = known.withColumn("t", F.xxhash64("text")).join(ids, ["doc_id", "lang", "t"]).dropDuplicates(["doc_id", "lang", "t"])
+    sample = found.orderBy("lang", F.xxhash64("doc_id"), "t").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     return Crf(languages).fit([(r["text"], r["lang"]) for r in sample])
 
 

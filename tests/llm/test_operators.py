@@ -509,6 +509,20 @@ def test_language_of_held_out_documents(odd, docs):
             assert r.doc_id in set(known["doc_id"]) or (r.lang_pred, r.score) == ("und", 0.0)
 
 
+def test_language_of_rare_ones_and_long_runs(spark):
+    """A language of 4 in 4000 rows is learned, and a text without white space is judged by all of it."""
+    rng = random.Random(6)
+    text = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(30))
+    common, rare = "ba be bi bo bu da de di".split(), "kx qz xk zq wx kw".split()
+    rows = [(k, text(common), "common") for k in range(4000)]
+    rare_ids = [k for k in range(5000, 5100) if zlib.crc32(str(k).encode()) % 3 != 1][:4]
+    rows += [(k, text(rare), "rare") for k in rare_ids]
+    run = text(common)[:30].replace(" ", "") + text(rare).replace(" ", "")
+    rows += [(9001, text(rare), None), (9002, text(common), None), (9003, run, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in crf.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id > 9000").collect()}
+    assert got == {9001: "rare", 9002: "common", 9003: "rare"}
+
+
 def test_crf_marginals_sum_over_all_labellings():
     import itertools
 
