@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
@@ -57,3 +59,11 @@ def words_of(text: str | None) -> list[bytes]:
 def exact(values: list[int | None]) -> pd.api.extensions.ExtensionArray:
     """Integers and nulls as a column; a frame made of rows would turn them into floats, which round 64-bit hashes."""
     return pd.array(values, dtype="Int64")
+
+
+def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings or binaries, one value after another without copies, and the values' bounds; a null has none."""
+    large = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at

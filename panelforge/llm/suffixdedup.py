@@ -27,23 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import exact, materialise
+from panelforge.llm.common import exact, materialise, utf8_of
 
 GRAM = 32
 #: Blocks of one anchor that a shard takes.
 SHARD_BLOCKS = 128
-#: Bytes of text in one suffix array, about.
-SHARD_BYTES = 2_000_000
-#: Ranges of digests in which the shards of one anchor are merged.
-SPANS = 64
-_MUL = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 22
+#: Bytes of text in one suffix array, about; an array takes under 2**21.
+SHARD_BYTES = 500_000
+#: Shards of one anchor for each range of digests in which they are merged.
+SPAN_SHARDS = 16
+_MUL, _MUL2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bytes that are hashed at a time, so that the arrays stay in a core's cache.
+_CHUNK = 1 << 17
 
 
-def gram_hashes(x: np.ndarray, n: int) -> np.ndarray:
+def gram_hashes(x: np.ndarray, n: int, mul: int = _MUL) -> np.ndarray:
     """64-bit hashes of all substrings of n bytes: polynomials by doubling, then mixed."""
     v, have, out, size = x.astype(np.uint64) + np.uint64(1), 1, None, 0
     while True:
@@ -52,12 +54,12 @@ def gram_hashes(x: np.ndarray, n: int) -> np.ndarray:
                 out, size = v, have
             else:
                 k = len(x) - size - have + 1
-                out = out[:k] * np.uint64(pow(_MUL, have, 1 << 64)) + v[size : size + k]
+                out = out[:k] * np.uint64(pow(mul, have, 1 << 64)) + v[size : size + k]
                 size += have
         if size == n:
             break
         k = len(v) - have
-        v, have = v[:k] * np.uint64(pow(_MUL, have, 1 << 64)) + v[have:], 2 * have
+        v, have = v[:k] * np.uint64(pow(mul, have, 1 << 64)) + v[have:], 2 * have
     h = out ^ (out >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -77,30 +79,35 @@ def anchor_of(x: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray,
 
 
 def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``x`` (symbols 0 to 511) in the order of their first ``depth`` symbols at least.
+    """Suffixes of ``x`` (under 2**21 symbols, 0 to 511) in the order of their first ``depth`` symbols at least.
 
     Larsson-Sadakane: the ranks by the first symbols are doubled. A suffix alone in its group has its
-    rank for good; the groups with more are sorted again by the rank of what follows.
+    rank for good; the groups with more are sorted again by the rank of what follows. A suffix's ranks and its
+    place make one 64-bit number, so sorting needs no indirection.
     """
     n = len(x)
-    padded = np.concatenate([x.astype(np.uint64), np.zeros(7, np.uint64)])
+    if n >= 1 << 21:
+        raise ValueError("a suffix array takes under 2**21 symbols")
+    bits = np.uint64(21)
+    place = np.uint64((1 << 21) - 1)
+    padded = np.concatenate([x.astype(np.uint64), np.zeros(4, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(7):
+    for k in range(4):
         key = (key << np.uint64(9)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
-    k = key[order]
+    key = np.sort((key << bits) | np.arange(n, dtype=np.uint64))
+    order = (key & place).astype(np.int64)
+    k = key >> bits
     head = np.concatenate([[True], k[1:] != k[:-1]])
-    rank = np.zeros(n + 1, np.int64)  # the end has rank 0
+    rank = np.zeros(n + 1, np.uint64)  # the end has rank 0
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1
-    h = 7
+    h = 4
     while h < depth:
         tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(tied):
             break
         s = order[tied]
-        key = (rank[s].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(s + h, n)].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
-        k, s = key[by], s[by]
+        key = np.sort((((rank[s] << bits) | rank[np.minimum(s + h, n)]) << bits) | s.astype(np.uint64))
+        s, k = (key & place).astype(np.int64), key >> bits
         order[tied] = s
         new = np.concatenate([[True], k[1:] != k[:-1]])
         head[tied] = new
@@ -139,20 +146,21 @@ def common_prefixes(x: np.ndarray, order: np.ndarray) -> np.ndarray:
     return lcp[order]
 
 
-def repeated_places(blocks: list[bytes], owned: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all owned places of the blocks: the block, the place in it, and a group; strings of ``least`` bytes
-    at two places are equal if and only if their groups are."""
+def repeated_places(blocks: list[bytes], owned: list[int], least: int) -> list[np.ndarray]:
+    """Of each block, which of its owned places start a string of ``least`` bytes that starts at another owned place too."""
     size = np.array([len(b) + 1 for b in blocks])
     start = np.cumsum(size) - size
     x = np.frombuffer(b"".join(b + b"\0" for b in blocks), np.uint8).astype(np.uint16) + 1
     x[start + size - 1] = 0  # closes a block
     order = suffix_array(x, least)
     group = np.cumsum(common_prefixes(x, order) < least)
-    where = np.repeat(np.arange(len(blocks)), size)
-    inside = np.arange(len(x)) - start[where]
-    use = (inside < np.asarray(owned)[where])[order]
-    s = order[use]
-    return where[s], inside[s], group[use]
+    own = np.zeros(len(x) + 1, np.int32)
+    np.add.at(own, start, 1)
+    np.add.at(own, start + np.asarray(owned), -1)
+    use = (np.cumsum(own)[:-1] > 0)[order]
+    twice = np.zeros(len(x), bool)
+    twice[order] = (np.bincount(group[use], minlength=int(group[-1]) + 1) > 1)[group]
+    return [twice[s : s + n] for s, n in zip(start.tolist(), owned)]
 
 
 def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
@@ -165,52 +173,58 @@ def _bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def _chunks(raws: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts joined up to about _CHUNK bytes, long ones cut with an overlap: the bytes, and (text, place in it, place here, strings) of each part."""
-    held, parts, size = [], [], 0
-    for i, raw in enumerate(raws):
-        for at in range(0, len(raw) - least + 1, _CHUNK):
-            piece = raw[at : at + _CHUNK + least - 1]
-            held.append(piece)
-            parts.append((i, at, size, len(piece) - least + 1))
-            size += len(piece)
-            if size >= _CHUNK:
-                yield np.frombuffer(b"".join(held), np.uint8), np.array(parts)
-                held, parts, size = [], [], 0
-    if held:
-        yield np.frombuffer(b"".join(held), np.uint8), np.array(parts)
+def _chunks(raw: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts that lie one after another, ``at`` their bounds, in pieces of about _CHUNK bytes, long ones cut with an overlap.
+
+    Gives the bytes, and (text, place in it, place here, strings) of each part.
+    """
+    long = np.flatnonzero(np.diff(at) > _CHUNK)
+    lo, last = 0, len(at) - 1
+    for stop in [*long.tolist(), last]:
+        while lo < stop:  # whole texts
+            hi = min(stop, max(lo + 1, int(np.searchsorted(at, at[lo] + _CHUNK, side="right")) - 1))
+            size = np.diff(at[lo : hi + 1])
+            ok = np.flatnonzero(size >= least)
+            if len(ok):
+                here = at[lo:hi][ok] - at[lo]
+                yield raw[at[lo] : at[hi]], np.stack([lo + ok, np.zeros_like(ok), here, size[ok] - least + 1], axis=1)
+            lo = hi
+        if stop < last:
+            for k in range(0, int(at[stop + 1] - at[stop]) - least + 1, _CHUNK):
+                piece = raw[at[stop] + k : min(at[stop] + k + _CHUNK + least - 1, at[stop + 1])]
+                yield piece, np.array([[stop, k, 0, len(piece) - least + 1]])
+            lo = stop + 1
 
 
 def _blocks(least: int):
     """A row for each block: its anchor's hash, a digest of its text, and where it starts in which text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raws = [_bytes(t) for t in pdf["text"]]
-            ids, keys = pdf["doc_id"].array, pdf["text_key"].to_numpy()
-            for x, parts in _chunks(raws, least):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, bounds = utf8_of(batch.column("raw"))
+            doc_id, key = batch.column("doc_id"), batch.column("text_key")
+            for x, parts in _chunks(raw, bounds, least):
                 at, h = anchor_of(x, least)
                 part = np.repeat(np.arange(len(parts)), parts[:, 3])
                 p = np.arange(len(part)) - np.repeat(np.cumsum(parts[:, 3]) - parts[:, 3], parts[:, 3]) + parts[part, 2]
                 a = at[p]
                 new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])]))
                 first, last = p[new], p[np.append(new[1:], len(p)) - 1]
-                raw, off = x.tobytes(), (a[new] - first).tolist()
+                view, off = memoryview(x), (a[new] - first).tolist()
                 digest = [
-                    int.from_bytes(hashlib.blake2b(raw[f : e + least], digest_size=8, salt=o.to_bytes(4, "little")).digest(), "little", signed=True)
+                    int.from_bytes(hashlib.blake2b(view[f : e + least], digest_size=8, salt=o.to_bytes(4, "little")).digest(), "little", signed=True)
                     for f, e, o in zip(first.tolist(), last.tolist(), off)
                 ]
-                text = parts[part[new], 0]
-                yield pd.DataFrame(
-                    {
-                        "anchor": h[first].view(np.int64),
-                        "block": digest,
-                        "doc_id": ids[text],
-                        "text_key": keys[text],
-                        "first": (first - parts[part[new], 2] + parts[part[new], 1]).astype(np.int32),
-                        "places": (last - first + 1).astype(np.int32),
-                    }
-                )
+                text = pa.array(parts[part[new], 0])
+                columns = {
+                    "anchor": h[first].view(np.int64),
+                    "block": np.array(digest, np.int64),
+                    "doc_id": doc_id.take(text),
+                    "text_key": key.take(text),
+                    "first": (first - parts[part[new], 2] + parts[part[new], 1]).astype(np.int32),
+                    "places": (last - first + 1).astype(np.int32),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], names=list(columns))
 
     return run
 
@@ -219,12 +233,18 @@ def _cut_blocks(least: int):
     """The bytes of the blocks that are asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["anchor", "block", "part", "parts", "places", "bytes"]
         for pdf in batches:
-            out = []
-            for text, asked in zip(pdf["text"], pdf["asked"]):
-                raw = _bytes(text)
-                out += [(a["anchor"], a["block"], a["part"], a["parts"], a["places"], raw[a["first"] : a["first"] + a["places"] - 1 + least]) for a in asked]
-            yield pd.DataFrame(out, columns=["anchor", "block", "part", "parts", "places", "bytes"])
+            out, size = [], 0
+            for raw, asked in zip(pdf["raw"], pdf["asked"]):
+                for a in asked:
+                    piece = raw[a["first"] : a["first"] + a["places"] - 1 + least]
+                    out.append((a["anchor"], a["block"], a["part"], a["parts"], a["places"], piece))
+                    size += len(piece)
+                if size > 8_000_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
@@ -232,34 +252,45 @@ def _cut_blocks(least: int):
 SOLVED = "anchor long, block long, run_first array<int>, run_last array<int>, part int, span int, digests binary, owners binary, starts binary"
 
 
+def _spans(parts: int) -> int:
+    """Ranges of digests for an anchor of so many shards: a power of two."""
+    return 1 << max(0, (parts - 1) // SPAN_SHARDS).bit_length()
+
+
+def _digests(raw: bytes, places: int, least: int) -> np.ndarray:
+    """128-bit digests of a block's strings, as two numbers each."""
+    x = np.frombuffer(raw, np.uint8)
+    out = np.empty(places, [("a", np.uint64), ("b", np.uint64)])
+    out["a"], out["b"] = gram_hashes(x, least)[:places], gram_hashes(x, least, _MUL2)[:places]
+    return out
+
+
 def _shards(least: int):
     """Suffix arrays over whole groups of (anchor, part), by which the rows come sorted; several groups share an array."""
 
     def solve(held: list[tuple]) -> pd.DataFrame:
-        where, inside, group = repeated_places([r[5] for r in held], [r[4] for r in held], least)
-        twice = np.bincount(group)[group] > 1
-        by = np.lexsort((inside, where))
-        where, inside, twice = where[by], inside[by], twice[by]
-        edge = np.searchsorted(where, np.arange(len(held) + 1))
         out = []
         shared: dict[tuple[int, int], list[int]] = {}
-        for i, r in enumerate(held):
-            hit = inside[edge[i] : edge[i + 1]][twice[edge[i] : edge[i + 1]]]
+        for i, (r, twice) in enumerate(zip(held, repeated_places([r[5] for r in held], [r[4] for r in held], least))):
+            hit = np.flatnonzero(twice)
             if len(hit):
                 out.append((r[0], r[1], *_runs(hit), r[2], None, None, None, None))
             if r[3] > 1:
                 shared.setdefault((r[0], r[2]), []).append(i)
         for (anchor, part), own in shared.items():
-            digests = np.concatenate([gram_hashes(np.frombuffer(held[i][5], np.uint8), least)[: held[i][4]] for i in own])
+            digests = np.concatenate([_digests(held[i][5], held[i][4], least) for i in own])
             owners = np.concatenate([np.full(held[i][4], held[i][1], np.int64) for i in own])
             starts = np.concatenate([np.arange(held[i][4], dtype=np.int32) for i in own])
-            digests, one = np.unique(digests, return_index=True)  # sorted; one of equal strings stands for all
-            owners, starts, span = owners[one], starts[one], (digests >> np.uint64(58)).astype(int)
-            cut = np.searchsorted(span, np.arange(SPANS + 1))
-            for k in range(SPANS):
+            order = np.lexsort((digests["b"], digests["a"]))
+            digests = digests[order]
+            one = np.concatenate([[True], digests[1:] != digests[:-1]])  # one of equal strings stands for all
+            digests, order = digests[one], order[one]
+            owners, starts, spans = owners[order], starts[order], _spans(held[own[0]][3])
+            span = (digests["a"] >> np.uint64(32)).astype(np.int64) * spans >> 32
+            cut = np.searchsorted(span, np.arange(spans + 1))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[k], cut[k + 1]
-                if b > a:
-                    out.append((anchor, None, None, None, part, k, digests[a:b].tobytes(), owners[a:b].tobytes(), starts[a:b].tobytes()))
+                out.append((anchor, None, None, None, part, k, digests[a:b].tobytes(), owners[a:b].tobytes(), starts[a:b].tobytes()))
         names = [c.split()[0] for c in SOLVED.split(", ")]
         columns = dict(zip(names, map(list, zip(*out)))) if out else {c: [] for c in names}
         return pd.DataFrame(columns | {c: exact(columns[c]) for c in ("block", "span")})
@@ -283,11 +314,21 @@ def _shards(least: int):
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """One anchor and range of digests: a part's strings that another part has too, by binary search in the sorted lists."""
-    lists = [np.frombuffer(b, np.uint64) for b in pdf["digests"]]
-    every = np.sort(np.concatenate(lists))
+    kind = np.dtype([("a", np.uint64), ("b", np.uint64)])
+    lists = [np.frombuffer(b, kind) for b in pdf["digests"]]
+    every = np.concatenate(lists)
+    every = every[np.lexsort((every["b"], every["a"]))]
+    again = np.unique(every[1:][every[1:] == every[:-1]])  # each list has a string once
     out = []
     for mine, owners, starts in zip(lists, pdf["owners"], pdf["starts"]):
-        hit = np.searchsorted(every, mine, side="right") - np.searchsorted(every, mine, side="left") > 1
+        if not len(again):
+            break
+        # by the first number; the second decides among those with an equal first
+        lo, hi = np.searchsorted(again["a"], mine["a"], side="left"), np.searchsorted(again["a"], mine["a"], side="right")
+        hit = np.zeros(len(mine), bool)
+        for k in range(int((hi - lo).max(initial=0))):
+            at = np.minimum(lo + k, len(again) - 1)
+            hit |= (lo + k < hi) & (again["b"][at] == mine["b"])
         owner, start = np.frombuffer(owners, np.int64)[hit], np.frombuffer(starts, np.int32)[hit]
         for o in np.unique(owner).tolist():
             out.append((pdf["anchor"].iloc[0], o, *_runs(np.sort(start[owner == o]))))
@@ -295,20 +336,21 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_runs(keyed: DataFrame, least: int) -> DataFrame:
-    """Of texts (doc_id, text, text_key): doc_id, text_key and runs, the (first, last) start of repeated strings."""
+    """Of texts (doc_id, raw, text_key): doc_id, text_key and runs, the (first, last) start of repeated strings."""
     schema = "anchor long, block long, doc_id long, text_key long, first int, places int"
-    found = materialise(keyed.mapInPandas(_blocks(least), schema), "blocks")
+    found = materialise(keyed.mapInArrow(_blocks(least), schema), "blocks")
 
     kinds = found.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "places")).alias("one"))
     more = kinds.groupBy("anchor").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds")).where("all_n > 1")
     kinds = materialise(kinds.join(more, "anchor").select("anchor", "block", "n", "kinds", "one"), "kinds")
     whole = kinds.where("n > 1").select("anchor", "block", F.array(F.lit(0)).alias("run_first"), F.array(F.col("one.places") - 1).alias("run_last"))
 
-    parts = F.ceil(F.col("kinds") / SHARD_BLOCKS).cast("int")
+    # a block has under twice ``least`` bytes
+    parts = F.ceil(F.col("kinds") / max(1, min(SHARD_BLOCKS, SHARD_BYTES // (2 * least)))).cast("int")
     different = kinds.where("kinds > 1").select("anchor", "block", "one.*", parts.alias("parts"), F.pmod(F.xxhash64("block"), parts).cast("int").alias("part"))
     asked = different.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "block", "part", "parts", "places", "first")).alias("asked"))
     texts = keyed.join(asked.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"}), keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["text_key"] == F.col("_k")))
-    cut = texts.select("text", "asked").mapInPandas(_cut_blocks(least), "anchor long, block long, part int, parts int, places int, bytes binary")
+    cut = texts.select("raw", "asked").mapInPandas(_cut_blocks(least), "anchor long, block long, part int, parts int, places int, bytes binary")
     dealt = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "block")
     solved = materialise(dealt.mapInPandas(_shards(least), SOLVED), "suffixes")
     inner = solved.where("span is null").select("anchor", "block", "run_first", "run_last")
@@ -320,12 +362,12 @@ def repeated_runs(keyed: DataFrame, least: int) -> DataFrame:
     return hits.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
 
 
-def _with_runs(docs: DataFrame, least: int) -> DataFrame:
-    """Each row of ``docs`` as ``_row``, with its text and repeated runs."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    runs = repeated_runs(rows.select("doc_id", "text", "text_key"), least).withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
-    return rows.join(runs, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["text_key"] == F.col("_k")), "left")
+def _with_runs(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (_id, _text and others) with the repeated runs of their texts as ``_runs``."""
+    rows = rows.withColumn("_key", F.xxhash64("_text"))
+    keyed = rows.select(F.col("_id").alias("doc_id"), F.col("_text").cast("binary").alias("raw"), F.col("_key").alias("text_key"))
+    runs = repeated_runs(keyed, least).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("runs").alias("_runs"))
+    return rows.join(runs, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
 
 
 def removed_bytes(raw: bytes, runs, least: int) -> np.ndarray:
@@ -337,47 +379,54 @@ def removed_bytes(raw: bytes, runs, least: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def removed(docs: DataFrame, least: int = 400) -> DataFrame:
-    """One row a document: its bytes, those removed, their runs, and the digest of what is left."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, runs in zip(pdf["text"], pdf["runs"]):
-                raw = _bytes(text)
-                if runs is None or not len(runs):
-                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-                    continue
-                gone = removed_bytes(raw, runs, least)
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
-            res = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            res.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
-            yield res
-
-    rows = _with_runs(docs.select("doc_id", "text"), least).select("doc_id", "text", "runs")
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def kept_text(text: str | None, runs, least: int) -> str | None:
+def kept_text(x: np.ndarray, gone: np.ndarray) -> str:
     """The text without the characters all of whose bytes go."""
-    if text is None or runs is None or not len(runs):
-        return text
-    raw = _bytes(text)
-    x = np.frombuffer(raw, np.uint8)
     lead = (x & 0xC0) != 0x80
-    stays = np.maximum.reduceat(~removed_bytes(raw, runs, least), np.flatnonzero(lead))
+    stays = np.maximum.reduceat(~gone, np.flatnonzero(lead))
     return x[stays[np.cumsum(lead) - 1]].tobytes().decode("utf-8", "surrogatepass")
 
 
-def without_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
-    """``docs`` with what repeats cut out of their texts; a row whose text goes wholly keeps an empty one."""
+def _cut(least: int):
+    """What goes from texts with runs; rows without are null and stay so."""
+
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, r in zip(text, runs):
+            if r is None or not len(r):
+                out.append((None, None, None, None))
+                continue
+            raw = _bytes(t)
+            x, gone = np.frombuffer(raw, np.uint8), removed_bytes(raw, r, least)
+            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            out.append((int(gone.sum()), spans, hashlib.sha256(x[~gone].tobytes()).hexdigest(), kept_text(x, gone)))
+        res = pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "kept_text"])
+        return res.astype({"n_removed": "Int64", "n_spans": "Int64", "kept_sha256": object, "kept_text": object})
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([kept_text(t, r, least) for t, r in zip(text, runs)], dtype=object)
+    # texts that lose nothing stay in the JVM
+    return cut(F.when(F.col("_runs").isNotNull(), F.col("_text")), F.col("_runs"))
 
-    rows = _with_runs(docs, least)
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut("text", "runs"))
-    names = [F.col("_row")[c].alias(c) if c.lower() != "text" else text.alias(c) for c in docs.columns]
-    return rows.select(*names)
+
+def removed(docs: DataFrame, least: int = 400) -> DataFrame:
+    """One row a document: its bytes, those removed, their runs, the digest of what is left, and ``kept_text``,
+    the text without the characters all of whose bytes go (empty where nothing is left or there was no text)."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
+    text = F.coalesce("_text", F.lit(""))
+    out = _with_runs(rows, least).withColumn("_cut", _cut(least))
+    return out.select(
+        F.col("_id").alias("doc_id"),
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        F.coalesce("_cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_cut.n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("_cut.kept_sha256", F.sha2(text.cast("binary"), 256)).alias("kept_sha256"),
+        F.coalesce("_cut.kept_text", text).alias("kept_text"),
+    )
+
+
+def without_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
+    """``docs`` with what repeats cut out of their texts; a row whose text goes wholly keeps an empty one."""
+    others = [c for c in docs.columns if c.lower() != "text"]
+    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"), *[docs[c].alias(f"_c{k}") for k, c in enumerate(others)])
+    out = _with_runs(rows, least).withColumn("_cut", _cut(least))
+    text = F.coalesce("_cut.kept_text", "_text")
+    return out.select(*[F.col(f"_c{others.index(c)}").alias(c) if c in others else text.alias(c) for c in docs.columns])

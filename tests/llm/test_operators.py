@@ -445,6 +445,30 @@ def test_suffix_array_dedup_of_shared_passages(spark, seed):
     assert len(cut) == len(texts) and all(len(cut[i]) <= len(x) for i, x in enumerate(texts))
 
 
+def test_suffix_array_dedup_over_several_shards(spark):
+    """More surroundings of one passage than a shard and a span take, so that shards are merged; a passage of 410 bytes, one of 399."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    long, short = text(410), text(399)
+    texts = [text(rng.randrange(300)) + (long if k % 10 else short) + text(rng.randrange(300)) for k in range(suffixdedup.SHARD_BLOCKS * (suffixdedup.SPAN_SHARDS + 3))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = suffixdedup.removed(frame)
+    want = Counter((i, *m) for i, m in enumerate(removals(texts, 400)))
+    assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert {r["n_removed"] > 0 for r in got.where("doc_id % 10 > 0").collect()} == {True}
+    kept = {r["doc_id"]: r["kept_text"] for r in got.collect()}
+    assert all(long not in t for t in kept.values()) and any(kept[k] == texts[k] for k in range(0, len(texts), 10))
+    assert suffixdedup._spans(suffixdedup.SPAN_SHARDS) == 1 and suffixdedup._spans(suffixdedup.SPAN_SHARDS + 1) == 2
+
+
+def test_merge_compares_both_numbers():
+    kind = [("a", np.uint64), ("b", np.uint64)]
+    lists = [[(1, 1), (1, 2), (5, 5)], [(1, 2), (1, 3), (5, 6)], [(1, 3), (9, 9)]]
+    rows = [{"anchor": 7, "digests": np.array(d, kind).tobytes(), "owners": np.full(len(d), k, np.int64).tobytes(), "starts": np.arange(len(d), dtype=np.int32).tobytes()} for k, d in enumerate(lists)]
+    got = suffixdedup._merge(pd.DataFrame(rows))
+    assert got.to_dict("records") == [{"anchor": 7, "block": 0, "run_first": [1], "run_last": [1]}, {"anchor": 7, "block": 1, "run_first": [0], "run_last": [1]}, {"anchor": 7, "block": 2, "run_first": [0], "run_last": [0]}]
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(9)
     for n in (1, 2, 50, 700):
