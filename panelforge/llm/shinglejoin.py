@@ -8,7 +8,9 @@ at least ``percent`` * union. Equal sets are one *node*.
    parities are kept: where they differ so do the counts, which bounds the sum of minima again and far closer.
 2. Linked sets share at least one shingle among the ``n - ceil(percent/100 * n) + 1`` first of either in any
    common order (rarest first, by counters of a fixed number that are summed over all texts), so the nodes that have
-   one shingle among their first are a *tile*, and linked nodes meet in a tile.
+   one shingle among their first are a *tile*, and linked nodes meet in a tile. Where two sets have their first common
+   shingle, what either has from there on bounds their intersection; nodes that no other one of their tile can link with by
+   that are dropped from it before vectors are sent. Every linked pair stays in the tile of its first common shingle.
 3. In each tile the vectors are indexed by an R-tree (boxes are the largest counts and the range of sizes) that is
    joined with itself level by level; pairs of boxes, then of points, whose bound is too small are dropped.
 4. What survives is verified on the sets, each pair where the node with more pairs is. First each node's best partner
@@ -133,12 +135,27 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "fold": [0], "counts": [total.tobytes()]})
 
 
+#: Steps of a size's logarithm, and of a place's share of the size, in a ``place``.
+_LOG, _SHARE = 256, 1 << 16
+
+
+def _place(n: int, at: np.ndarray) -> np.ndarray:
+    """A set's size and places in its order, rounded down, in 32 bits."""
+    return (int(np.log(n) * _LOG) * _SHARE + at * _SHARE // n).astype(np.int32)
+
+
+def _size_and_rest(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a ``place`` the least size that it may stand for, and the most shingles from there on."""
+    log, share = place // _SHARE, place % _SHARE
+    return np.exp(log / _LOG), np.exp((log + 1) / _LOG) * (1 - share / _SHARE)
+
+
 def _prefixes(counters, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, counts = WordHashes(), counters.value
         shift = np.uint64(64 - COUNTERS.bit_length() + 1)
         for pdf in batches:
-            keys, nodes, seen = [], [], set()
+            keys, nodes, places, seen = [], [], [], set()
             for text in pdf["text"]:
                 s = shingles(text, memo)
                 if len(s) and (node := _node(s)) not in seen:
@@ -147,8 +164,9 @@ def _prefixes(counters, percent: int):
                     first = np.lexsort((s, counts[(s >> shift).astype(np.int64)]))[: n - (percent * n + 99) // 100 + 1]
                     keys.append(s[first].view(np.int64))
                     nodes.append(np.full(len(first), node, np.int64))
+                    places.append(_place(n, np.arange(len(first))))
             if keys:
-                yield pd.DataFrame({"tile": np.concatenate(keys), "node": np.concatenate(nodes)})
+                yield pd.DataFrame({"tile": np.concatenate(keys), "node": np.concatenate(nodes), "place": np.concatenate(places)})
 
     return run
 
@@ -172,26 +190,50 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str, rows: int = 200_000)
         yield pd.concat(held, ignore_index=True)
 
 
-def _shared_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of tiles with two nodes or more, each named by a digest of its nodes: tiles with the same nodes get the same rows."""
-    seen: set[int] = set()
-    for pdf in whole_groups(batches, "tile"):
-        tile, node = pdf["tile"].to_numpy(), pdf["node"].to_numpy()
-        new = np.concatenate([[True], (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])])
-        tile, node = tile[new], node[new]
-        start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-        size = np.diff(np.append(start, len(tile)))
-        name = _mixed(np.add.reduceat(_mixed(node.view(np.uint64)), start) + size.astype(np.uint64) * _MUL).view(np.int64)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        keep = np.zeros(len(start), bool)
-        for i in np.flatnonzero(size > 1).tolist():
-            if (sign := int(name[i])) not in seen:
-                seen.add(sign)
-                keep[i] = True
-        use = np.repeat(keep, size)
-        if use.any():
-            yield pd.DataFrame({"tile": np.repeat(name, size)[use], "node": node[use]})
+def _with_partner(place: np.ndarray, start: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of the tiles can link with another one by their sizes and places; all rows of tiles over ``LEAF``."""
+    least, rest = _size_and_rest(place)
+    keep = np.repeat(size > LEAF, size)
+    for k in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
+        at = start[size == k]
+        left, right = np.triu_indices(k, 1)
+        step = max(1, 1_000_000 // len(left))
+        for lo in range(0, len(at), step):
+            i, j = at[lo : lo + step, None] + left, at[lo : lo + step, None] + right
+            ok = (100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (least[i] + least[j])
+            keep[i[ok]] = True
+            keep[j[ok]] = True
+    return keep
+
+
+def _shared_tiles(percent: int):
+    """Rows of tiles with two nodes or more that may link, each named by a digest of its nodes: tiles with the same nodes get the same rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in whole_groups(batches, "tile"):
+            tile, node, place = pdf["tile"].to_numpy(), pdf["node"].to_numpy(), pdf["place"].to_numpy()
+            for some in (np.concatenate([[True], (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])]), None):
+                if some is None:
+                    some = _with_partner(place, start, size, percent)
+                tile, node, place = tile[some], node[some], place[some]
+                start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
+                size = np.diff(np.append(start, len(tile)))
+            if not len(tile):
+                continue
+            name = _mixed(np.add.reduceat(_mixed(node.view(np.uint64)), start) + size.astype(np.uint64) * _MUL).view(np.int64)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            keep = np.zeros(len(start), bool)
+            for i, sign in enumerate(name.tolist()):
+                if sign not in seen:
+                    seen.add(sign)
+                    keep[i] = True
+            use = np.repeat(keep, size)
+            if use.any():
+                yield pd.DataFrame({"tile": np.repeat(name, size)[use], "node": node[use]})
+
+    return run
 
 
 def _enough(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -402,8 +444,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counters = spark.sparkContext.broadcast(np.frombuffer(b"".join(counted[c] for c in sorted(counted)), np.int64) if counted else np.zeros(COUNTERS, np.int64))
 
     nodes = materialise(texts.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("vector").alias("vector")), "nodes")
-    first = rows.where("doc_id is not null").mapInPandas(_prefixes(counters, percent), "tile long, node long")
-    tiles = first.repartition("tile").sortWithinPartitions("tile", "node").mapInPandas(_shared_tiles, "tile long, node long").distinct()
+    first = rows.where("doc_id is not null").mapInPandas(_prefixes(counters, percent), "tile long, node long, place int")
+    tiles = first.repartition("tile").sortWithinPartitions("tile", "node").mapInPandas(_shared_tiles(percent), "tile long, node long").distinct()
     tiles = materialise(tiles.join(nodes.select("node", "n", "vector"), "node"), "tiles")
 
     def pairs(of: DataFrame, best_only: bool) -> DataFrame:
@@ -440,7 +482,21 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that a document with a smaller id is linked with, directly or through others."""
-    groups = similar_groups(docs, percent)
+    """The documents without those that a document with a smaller id is linked with, directly or through others.
+
+    One row of each group stays: of rows with one id and text one does, and a row without an id counts as a document after
+    all others, one for all with its text. Rows with one id and different texts are kept or dropped together, and rows
+    without words stay, one for each id.
+    """
+    # ids are far below 2**62
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(docs["text"].cast("string")), 2))
+    rows = docs.select(*[docs[c].alias(f"_c{k}") for k, c in enumerate(docs.columns)], own.alias("_own"), docs["text"].cast("string").alias("_text"))
+    groups = similar_groups(rows.select(F.col("_own").alias("doc_id"), F.col("_text").alias("text")), percent)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    left = rows.join(gone, rows["_own"] == F.col("_gone"), "left_anti").withColumn("_key", F.xxhash64("_text"))
+    # equal rows are few as a rule: only they are brought together
+    again = left.groupBy("_own", "_key").count().where("count > 1").select(F.col("_own").alias("_o"), F.col("_key").alias("_k"))
+    same = (F.col("_own") == F.col("_o")) & (F.col("_key") == F.col("_k"))
+    once = left.join(again, same, "left_anti").select(*rows.columns)
+    repeated = left.join(again, same, "left_semi").dropDuplicates(["_own", "_key"]).select(*rows.columns)
+    return once.unionByName(repeated).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -257,8 +257,30 @@ def test_shingle_join(odd, docs):
     component = components_of(raw)
     want = Counter((i, len(shingle_set(x)), component.get(i)) for i, x in raw)
     assert as_rows(shinglejoin.similar_groups(rows), "doc_id", "n_shingles", "component_id") == want
-    left = as_rows(shinglejoin.one_of_each(rows), "doc_id", "text")
-    assert left == Counter((i, x) for i, x in raw if i is None or component[i] == i)
+    texts = sorted({x or "" for i, x in raw if i is None})
+    own = [(10**15 + texts.index(x or "") if i is None else i, i, x) for i, x in raw]  # rows without id come last, one for all of a text
+    component = components_of([(o, x) for o, _, x in own])
+    left = shinglejoin.one_of_each(rows)
+    assert as_rows(left, "doc_id", "text") == Counter((i, x) for o, i, x in set(own) if component[o] == o)
+    assert left.columns == rows.columns
+
+
+def test_places_bound_intersections():
+    """Of random pairs of sets, no linked pair is dropped from the tile of its first common shingle."""
+    rng, kept = np.random.default_rng(5), 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        a = rng.permutation(1000)[:n]
+        b = np.union1d(a[: int(n * rng.uniform(0.7, 1))], rng.permutation(1000)[: int(n * rng.uniform(0, 0.2))])
+        a, b = np.sort(a), np.sort(b)
+        both = np.intersect1d(a, b)
+        linked = len(both) and 100 * len(both) >= 80 * len(np.union1d(a, b))
+        if len(both):
+            place = np.concatenate([shinglejoin._place(len(x), np.searchsorted(x, both[:1])) for x in (a, b)])
+            keep = shinglejoin._with_partner(place, np.zeros(1, np.int64), np.array([2]), 80)
+            assert keep.all() or not linked
+            kept += bool(linked)
+    assert kept > 300
 
 
 def test_shingle_join_on_large_near_groups(spark):
