@@ -38,17 +38,53 @@ STEPS, SEQUENCES, LENGTH = 250, 64, 48
 UNKNOWN = "und"
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed features of a lower-cased word."""
-    letters = "".join(c for c in word if c.isalpha())
-    if not letters:
-        return [zlib.crc32(b"no letter") % WEIGHTS]
-    w = f"<{letters}>"
-    names = [f"p{k}{w[: k + 1]}" for k in (1, 2, 3)] + [f"s{k}{w[-k - 1 :]}" for k in (1, 2, 3, 4)]
-    names += [f"2{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"3{w[i : i + 3]}" for i in range(len(w) - 2)]
-    if letters in lexicon:
-        names.append("l" + letters)
-    return [zlib.crc32(n.encode()) % WEIGHTS for n in names]
+#: Multipliers of the features' hashes, one a kind: n-grams of 2 and 3, prefixes of 2 to 4, suffixes of 2 to 5 characters.
+_KINDS = {name: np.uint64(zlib.crc32(name.encode()) * 0x9E3779B97F4A7C15 % (1 << 64) | 1) for name in ("g2", "g3", "p2", "p3", "p4", "s2", "s3", "s4", "s5", "word", "none")}
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _weight(h: np.ndarray, kind: str) -> np.ndarray:
+    h = (h + _KINDS[kind]) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - WEIGHTS.bit_length() + 1)).astype(np.int64)
+
+
+def letters_of(word: str) -> str:
+    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+
+
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of lower-cased words one after another, and how many each has: all n-grams of 2 and 3 of its letters
+    between marks, its affixes, and the word itself if the lexicon has it."""
+    letters = [letters_of(w) for w in words]
+    size = np.fromiter(map(len, letters), np.int64, len(letters)) + 2
+    start = np.cumsum(size) - size
+    text = np.frombuffer("".join(f"<{x}>" for x in letters).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(5, np.uint64)])
+    grams = {1: text}
+    for n in range(2, 6):  # the hash of the n characters from each place
+        grams[n] = grams[n - 1] * _STEP + padded[n - 1 : n - 1 + len(text)]
+    word = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(start + size, size) - np.arange(len(text))  # characters from here on
+    some = size > 2
+    owner, ids = [np.flatnonzero(~some)], [np.full(int((~some).sum()), _weight(np.zeros(1, np.uint64), "none")[0])]
+
+    def add(of: np.ndarray, at: np.ndarray, n: int, kind: str) -> None:
+        owner.append(of)
+        ids.append(_weight(grams[n][at], kind))
+
+    for n in (2, 3):
+        at = np.flatnonzero((left >= n) & some[word])
+        add(word[at], at, n, f"g{n}")
+    for n in (2, 3, 4, 5):
+        of = np.flatnonzero(some & (size >= n))
+        if n < 5:
+            add(of, start[of], n, f"p{n}")
+        add(of, (start + size)[of] - n, n, f"s{n}")
+    listed = np.flatnonzero(np.fromiter((x in lexicon for x in letters), bool, len(letters)))
+    owner.append(listed)
+    ids.append(_weight(np.fromiter((zlib.crc32(letters[i].encode("utf-8", "surrogatepass")) for i in listed.tolist()), np.uint64, len(listed)), "word"))
+    owner = np.concatenate(owner)
+    return np.concatenate(ids)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(letters))
 
 
 def words(text: str | None) -> list[str]:
@@ -69,12 +105,9 @@ class Crf:
         self.languages, self.lexicon = languages, frozenset()
         self.weights, self.moves, self.start = np.zeros((WEIGHTS, k)), np.zeros((k, k)), np.zeros(k)
 
-    def emissions(self, ids: list[list[int]]) -> np.ndarray:
-        """Scores of words by language from their features' weights."""
-        flat = np.concatenate([np.array(i) for i in ids])
-        at = np.concatenate([[0], np.cumsum([len(i) for i in ids])[:-1]])
-        n = np.array([len(i) for i in ids])[:, None]
-        return np.add.reduceat(self.weights[flat], at) / np.sqrt(n)
+    def emissions(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Scores of words by language from their features' weights; every word has a feature."""
+        return np.add.reduceat(self.weights[ids], np.cumsum(n) - n) / np.sqrt(n)[:, None]
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over sequences that lie one after another, all at once: P(label) of each word."""
@@ -128,9 +161,8 @@ class Crf:
         docs = [(w, self.languages.index(lang)) for text, lang in rows if (w := words(text))]
         if not docs:
             return self
-        count = Counter("".join(c for c in w if c.isalpha()) for ws, _ in docs for w in ws)
+        count = Counter(letters_of(w) for ws, _ in docs for w in ws)
         self.lexicon = frozenset(w for w, n in count.items() if w and n >= LEXICON_LEAST)
-        known: dict[str, list[int]] = {}
         by = [[d for d, k in docs if k == lang] for lang in range(len(self.languages))]
         present = [k for k, d in enumerate(by) if d]
         rng = random.Random(seed)
@@ -149,18 +181,13 @@ class Crf:
                     left -= n
                     if rng.random() < 0.5:
                         lang = rng.choice(present)
-            ids = []
-            for w in sequence:
-                if w not in known:
-                    known[w] = features(w, self.lexicon)
-                ids.append(known[w])
-            m, pairs = self._pair_expectations(self.emissions(ids), LENGTH)
+            ids, size = features(sequence, self.lexicon)
+            m, pairs = self._pair_expectations(self.emissions(ids, size), LENGTH)
             y = np.eye(len(self.languages))[labels]
             wrong = (y - m.reshape(y.shape)) / SEQUENCES
             yy = y.reshape(SEQUENCES, LENGTH, -1)
-            size = np.array([len(i) for i in ids])
             g = np.zeros_like(self.weights)
-            np.add.at(g, np.concatenate([np.array(i) for i in ids]), np.repeat(wrong / np.sqrt(size)[:, None], size, axis=0))
+            np.add.at(g, ids, np.repeat(wrong / np.sqrt(size)[:, None], size, axis=0))
             gm = (np.einsum("btk,btl->kl", yy[:, :-1], yy[:, 1:]) - pairs) / SEQUENCES
             gs = (yy[:, 0] - m[:, 0]).mean(0)
             for x, s, d in zip((self.weights, self.moves, self.start), sums, (g, gm, gs)):
@@ -183,8 +210,8 @@ class Labeller:
             self.scores, self.lettered = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.lettered, np.zeros_like(self.lettered)])
         for lo in range(0, len(missing), 20_000):
             part = missing[lo : lo + 20_000]
-            self.scores[at : at + len(part)] = self.crf.emissions([features(w, self.crf.lexicon) for w in part])
-            self.lettered[at : at + len(part)] = [any(c.isalpha() for c in w) for w in part]
+            self.scores[at : at + len(part)] = self.crf.emissions(*features(part, self.crf.lexicon))
+            self.lettered[at : at + len(part)] = [w.isalpha() or any(c.isalpha() for c in w) for w in part]
             self.row.update(zip(part, range(at, at + len(part))))
             at += len(part)
 
