@@ -1,6 +1,7 @@
 """Main text of web pages by equivalence classes of tokens over pages of one host.
 
-Pages of a host come in groups of a bounded size (a host with more is dealt over several). A page is a row of
+Pages of a host come in groups of about ``GROUP_PAGES`` (a host with more is dealt over several, by hash). A host that
+holds more than a share of all pages is salted before pages are shuffled, so no task gets it whole. A page is a row of
 tokens: structural tags under their path of open elements, and words under the path of their block. Tokens whose
 occurrence vectors over the group's pages are equal form a class. A class is valid if its tokens come in one
 order in every page; the class that occurs once a page is the template's root, and the space between two of its
@@ -14,9 +15,9 @@ Pages of equal blocks count once as evidence. In groups under ``LEAST_PAGES`` su
 nothing can be seen to vary: there elements and names decide, and without an article element running text that
 is no list of links.
 
-Cases: a null or empty html has an empty text; a null url stands for a host of its own; rows that repeat are
-extracted each; an unclosed tag, comment or script runs to the end; an empty table gives no rows; other columns
-are ignored.
+Cases: a null or empty html has an empty text; a null url, or one without a host, stands for a host of its own; rows that
+repeat are extracted each; a quote that no other closes ends with its tag; an unclosed tag, comment or script runs to the
+end; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pages of one host in a group, about.
 GROUP_PAGES = 48
 LEAST_PAGES = 6
+#: Hosts with more than this part of all pages, under ``1 / HOT_SHARE`` of them, are salted; never under two groups.
+HOT_SHARE = 1e-5
 
 # HTML's own classes of elements, and words that name what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +50,7 @@ NO_ARTICLE_WORDS = frozenset(
     "subscribe teaser toolbar widget widgets".split()
 )
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 #: Of these, what varies over pages without being the article; the others are weaker features of a slot.
@@ -291,7 +294,14 @@ def _group(pdf: pd.DataFrame) -> pd.DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    sizes = rows.select(host.alias("_host")).groupBy("_host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("_parts"))
-    dealt = rows.withColumn("_h", host).join(sizes, F.col("_h") == F.col("_host")).withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.col("_parts")))
-    return dealt.select("page_id", "url", "html", "_h", "_part").groupBy("_h", "_part").applyInPandas(_group, "page_id long, url string, text string, n_chars long")
+    named = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    alone = F.concat(F.lit("?"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("?"), F.coalesce("url", F.lit("")))
+    rows = rows.withColumn("_h", F.when(named != "", named).otherwise(alone))
+    most = max(2 * GROUP_PAGES, int(rows.count() * HOT_SHARE))
+    hot = rows.groupBy(F.col("_h").alias("_host")).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).where("_salts > 1")
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("_salts")))
+    dealt = rows.join(F.broadcast(hot), F.col("_h") == F.col("_host"), "left").withColumn("_salt", salt)  # under 1 / HOT_SHARE hosts
+    held = F.count("*").over(Window.partitionBy("_h", "_salt"))
+    part = F.pmod(F.hash("page_id", "url"), F.ceil(held / GROUP_PAGES))
+    dealt = dealt.repartition("_h", "_salt").select("page_id", "url", "html", "_h", "_salt", part.alias("_part"))
+    return dealt.groupBy("_h", "_salt", "_part").applyInPandas(_group, "page_id long, url string, text string, n_chars long")

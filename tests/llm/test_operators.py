@@ -187,12 +187,26 @@ def test_template_extraction(spark):
         want = " ".join([f"Story {k}", *(b.replace("&amp;", "&").replace("<b>so</b>\n", "so") for b in body)])
         rows.append((k, f"https://h{k % 2}.example/{k}", page(f"Story {k}", body), want))
     rows += [(100, None, None, ""), (101, "x", "", ""), (102, "https://h0.example/t", "<p>unclosed <!-- c", "unclosed"), (103, "https://solo.example/", page("Alone", ["one two three four five six"]), "Alone one two three four five six")]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string, _h string")
+    rows += [(104, "https://q.example/", "<article><p title=\"abc>Hello world</p>", "Hello world"), (105, None, page("Else", ["seven six five four three two one"]), "Else seven six five four three two one")]
+    rows += [(106, "https://long.example/", "<article>" + "<p>word &lt;</p>\n" * 60_000 + "</article>", " ".join(["word <"] * 60_000)), (107, "https://h0.example/u", "<div " * 2000, "")]
+    rows = [(*r, "clash", 7) for r in rows]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, _h string, _salt string, _part int")
     got = {r["page_id"]: r for r in templates.main_text(frame).collect()}
     assert len(got) == len(rows)
-    for k, url, _, want in rows:
+    for k, url, _, want, *_ in rows:
         assert (got[k]["url"], got[k]["text"], got[k]["n_chars"]) == (url, want, len(want))
     assert templates.main_text(frame.limit(0)).count() == 0
+    again = templates.main_text(frame.where("page_id in (1, 100)").unionByName(frame.where("page_id in (1, 100)")))
+    assert as_rows(again, "page_id", "n_chars") == Counter({(1, got[1]["n_chars"]): 2, (100, 0): 2})
+
+
+def test_template_of_a_host_of_most_pages(spark):
+    """A host with over a share of all pages is salted; its boilerplate, of no listed name, still goes from every page."""
+    frame = spark.range(1200).selectExpr("id as page_id", "if(id % 12 = 0, concat('https://small', id % 24, '.example/'), 'https://big.example/') as url", "concat('<article><p>', id, ' tells of number ', id * 7919 % 1200, '</p><p>Ask at our desk</p></article>') as html")
+    out = templates.main_text(frame)
+    assert {(r["page_id"], r["text"]) for r in out.collect()} == {(k, f"{k} tells of number {k * 7919 % 1200}") for k in range(1200)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_h#" in plan and ", _salt#" in plan
 
 
 def test_template_decides_inside_articles(spark):
