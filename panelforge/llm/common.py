@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
@@ -18,11 +20,13 @@ _OWN_DIR: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (local runs, tests) a temporary folder of this process is used.
+    Only where the session sets none and runs in this process alone (local runs, tests) a temporary folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="panelforge-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
@@ -51,9 +55,14 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def words_of(text: str | None) -> list[bytes]:
+def keyed_bytes(docs: DataFrame) -> DataFrame:
+    """As ``keyed_text``, with texts as UTF-8, which Python workers then need not decode and encode."""
+    return keyed_text(docs).withColumn("text", F.col("text").cast("binary"))
+
+
+def words_of(raw: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8, A-Z lower-cased: what bytes.lower and bytes.split do."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return raw.lower().split() if raw else []
 
 
 def exact(values: list[int | None]) -> pd.api.extensions.ExtensionArray:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import exact, keyed_text, materialise, words_of
+from panelforge.llm.common import exact, keyed_bytes, materialise, words_of
 from panelforge.llm.components import components
 
 WORDS = 5
@@ -56,7 +56,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -68,7 +68,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, memo: WordHashes) -> np.ndarray:
+def shingles(text: bytes | None, memo: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = words_of(text)
     t = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -370,7 +370,7 @@ def _packed(wanted):
             at = pdf["bit"].to_numpy()
             pdf = pdf[(bits[at >> 3] >> (at & 7)) & 1 == 1]
             if len(pdf):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [zip_.compress(t or b"") for t in pdf["text"]]})
 
     return run
 
@@ -389,7 +389,7 @@ def _verified(percent: int):
                     cell, hub, seen = (h, salt), None, set()
                 if node in seen or other and hub is None:
                     continue
-                s = shingles(unzip.decompress(packed).decode("utf-8", "surrogatepass"), memo)
+                s = shingles(unzip.decompress(packed), memo)
                 if not len(s) or _node(s) != node:  # another text of the same doc_id
                     continue
                 seen.add(node)
@@ -434,7 +434,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) ->
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row."""
-    spark, rows = docs.sparkSession, keyed_text(docs)
+    spark, rows = docs.sparkSession, keyed_bytes(docs)
     profiles = materialise(rows.mapInPandas(_profiles, PROFILE), "profiles")
     texts = profiles.where("chunk is null").select("doc_id", "n", "node", "vector")
     sums = profiles.where("chunk is not null").select("chunk", "fold", "counts")
