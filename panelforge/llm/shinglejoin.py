@@ -493,10 +493,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = docs.select(*[docs[c].alias(f"_c{k}") for k, c in enumerate(docs.columns)], own.alias("_own"), docs["text"].cast("string").alias("_text"))
     groups = similar_groups(rows.select(F.col("_own").alias("doc_id"), F.col("_text").alias("text")), percent)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = rows.join(gone, rows["_own"] == F.col("_gone"), "left_anti").withColumn("_key", F.xxhash64("_text"))
-    # equal rows are few as a rule: only they are brought together
-    again = left.groupBy("_own", "_key").count().where("count > 1").select(F.col("_own").alias("_o"), F.col("_key").alias("_k"))
-    same = (F.col("_own") == F.col("_o")) & (F.col("_key") == F.col("_k"))
-    once = left.join(again, same, "left_anti").select(*rows.columns)
-    repeated = left.join(again, same, "left_semi").dropDuplicates(["_own", "_key"]).select(*rows.columns)
-    return once.unionByName(repeated).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    left = rows.join(gone, rows["_own"] == F.col("_gone"), "left_anti")
+    # equal rows are few as a rule: only they are brought together, by keys that were counted without the texts
+    again = rows.groupBy("_own", F.xxhash64("_text").alias("_key")).count().where("count > 1").select(F.col("_own").alias("_o"), F.col("_key").alias("_k"))
+    again = materialise(again, "repeated")
+    if not again.isEmpty():
+        left = left.withColumn("_key", F.xxhash64("_text"))
+        same = (F.col("_own") == F.col("_o")) & (F.col("_key") == F.col("_k"))
+        repeated = left.join(again, same, "left_semi").dropDuplicates(["_own", "_key"])
+        left = left.join(again, same, "left_anti").unionByName(repeated)
+    return left.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -292,8 +292,8 @@ def _shards(least: int):
                 a, b = cut[k], cut[k + 1]
                 out.append((anchor, None, None, None, part, k, digests[a:b].tobytes(), owners[a:b].tobytes(), starts[a:b].tobytes()))
         names = [c.split()[0] for c in SOLVED.split(", ")]
-        columns = dict(zip(names, map(list, zip(*out)))) if out else {c: [] for c in names}
-        return pd.DataFrame(columns | {c: exact(columns[c]) for c in ("block", "span")})
+        res = pd.DataFrame(out, columns=names, dtype=object)
+        return res.assign(**{c: exact(res[c].tolist()) for c in ("block", "part", "span")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
