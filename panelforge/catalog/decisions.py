@@ -50,7 +50,7 @@ def observed(spark, d):
 def _bootstrap(spark, d):
     cases = evidence.complete_cases(testbed.type_returns(spark, d))
     n = cases.select("t").distinct().count()
-    design = evidence.BootstrapDesign(repetitions=199, block_length=6)
+    design = evidence.BootstrapDesign(repetitions=2000, block_length=6)
     design.validate(n)
     return evidence.resampled_means(cases, evidence.visit_counts(spark, n, design), n), evidence.observed_means(cases)
 
@@ -131,7 +131,7 @@ def pairwise_weights(spark, d):
 
 @query("K04_weight_ensemble")
 def ensemble(spark, d):
-    return decision.weight_ensemble(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]), replicas=4)
+    return decision.weight_ensemble(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]))
 
 
 @query("V04_block_dates")
@@ -219,7 +219,7 @@ def hmm(spark, d):
 
 @query("Z03_change_probability")
 def change(spark, d):
-    return mechanisms.change_probability(testbed.daily_series(spark, d), mean=50.0, var=100.0, noise=100.0)
+    return mechanisms.change_probability(testbed.daily_series(spark, d), mean=50.0, precision=0.01, noise_precision=0.01)
 
 
 @query("Z04_dmd_residual")
@@ -229,7 +229,7 @@ def dmd(spark, d):
 
 @query("Z05_lppls")
 def lppls(spark, d):
-    return mechanisms.lppls(testbed.daily_series(spark, d).where("series_id = 'click'"))
+    return mechanisms.lppls(testbed.daily_series(spark, d))
 
 
 @query("Z06_black_litterman")
@@ -352,9 +352,9 @@ def cards(spark, d):
     return r6(registries.card_scores(rows))
 
 
-@query("R02_literature", "WITH e AS (SELECT p_brand || p_type AS key, min(CASE WHEN p_size % 3 = 0 THEN 'adopted' WHEN p_size % 3 = 1 THEN 'tested' END) AS status, count(*) AS n FROM part WHERE p_partkey <= 60 GROUP BY 1) SELECT CASE WHEN n > 1 OR status IS NULL THEN 'invalid' ELSE status END AS status, count(*) AS entries FROM e GROUP BY 1")
+@query("R02_literature", "WITH e AS (SELECT p_brand || p_type AS key, min(CASE WHEN p_size % 3 = 0 THEN 'adopted' WHEN p_size % 3 = 1 THEN 'tested' END) AS status, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN n > 1 OR status IS NULL THEN 'invalid' ELSE status END AS status, count(*) AS entries FROM e GROUP BY 1")
 def literature(spark, d):
-    p = testbed.table(spark, d, "part").where("p_partkey <= 60")
+    p = testbed.table(spark, d, "part")
     return registries.literature_status(p.select(F.concat("p_brand", "p_type").alias("key"), F.when(F.col("p_size") % 3 == 0, "adopted").when(F.col("p_size") % 3 == 1, "tested").alias("status")))
 
 

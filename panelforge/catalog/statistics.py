@@ -74,7 +74,7 @@ _DECAY = " UNION ALL ".join(f"SELECT date, {h} AS horizon, signal, lead(open, {h
 
 @query("E04_ic_decay", f"WITH {SIGNAL}, h AS ({_DECAY}), r AS (SELECT date, horizon, {pct_rank('signal', 'date, horizon')} AS s, {pct_rank('target', 'date, horizon')} AS t FROM h), i AS (SELECT date, horizon, {corr('s', 't')} AS ic FROM r GROUP BY date, horizon) SELECT horizon, count(ic) AS sessions, round(avg(ic), 6) + 0.0 AS mean_ic FROM i GROUP BY horizon")
 def ic_decay(spark, d):
-    return r6(evaluate.ic_decay(signal_panel(spark, d), "signal"))
+    return r6(evaluate.ic_decay(signal_panel(spark, d), "signal").drop("t"))
 
 
 _QM = f"{SIGNAL}, q AS (SELECT target, ceil({pct_rank('signal')} * 5) AS bucket FROM sig), qm AS (SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n, avg(target) AS mean_target FROM q WHERE bucket IS NOT NULL AND target IS NOT NULL GROUP BY bucket)"
@@ -178,7 +178,7 @@ def placebo_groups(spark, d):
 @query("O01_permutation_test")
 def permutation(spark, d):
     w = portfolio.neutral_weights(signal_panel(spark, d), "signal")
-    return overfit.permutation_p(overfit.permutation_test(w, HORIZON, COST, 20, 7))
+    return overfit.permutation_p(overfit.permutation_test(w, HORIZON, COST, 40, 7))
 
 
 _ALT = {"momentum": MOMENTUM, "reversal": dsl.unary("neg", dsl.roll("sum", dsl.f("returns"), 5)), "volume": dsl.f("volume")}
@@ -192,7 +192,7 @@ def behaviour(spark, d):
 
 @query("O09_selection_artifact")
 def artifact(spark, d):
-    return overfit.selection_artifact(spark, 40, 300, 50, 5)
+    return overfit.selection_artifact(spark)
 
 
 @query("O10_counter_direction", f"WITH {_ic(SIGNAL, 'volume')} SELECT count(ic) AS sessions, round(avg(ic), 6) + 0.0 AS mean_ic, CASE WHEN count(ic) >= 60 THEN CASE WHEN avg(ic) >= 0 THEN 1 ELSE -1 END END AS direction FROM ic")

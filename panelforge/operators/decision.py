@@ -61,16 +61,22 @@ def fit_pairwise(rows: pd.DataFrame, factors: list[str], prior: np.ndarray, ridg
 
 
 def block_dates(dates: list, share: float, block: int, seed: int) -> list:
-    """A sample of whole blocks of consecutive dates."""
+    """A sample of whole blocks of consecutive dates: the share of blocks, rounded up."""
+    if not dates or block < 1 or not 0 < share <= 1:
+        raise ValueError("block sampling needs dates, blocks of one date at least and a share over 0 and up to 1")
     groups = [dates[i : i + block] for i in range(0, len(dates), block)]
     rng = np.random.default_rng(seed)
-    take = sorted(rng.choice(len(groups), max(1, round(share * len(groups))), replace=False).tolist())
+    take = sorted(rng.choice(len(groups), math.ceil(share * len(groups)), replace=False).tolist())
     return [d for g in take for d in groups[g]]
 
 
-def weight_ensemble(pairs_: DataFrame, factors: list[str], prior: np.ndarray, replicas: int = 8, share: float = 0.7, block: int = 20, seed: int = 7, **fit) -> DataFrame:
-    """Weights refitted on block samples of dates, a replica a group: mean, deviation and range of each factor's."""
+def weight_ensemble(pairs_: DataFrame, factors: list[str], prior: np.ndarray, replicas: int = 5, share: float = 0.8, block: int = 21, seed: int = 7, **fit) -> DataFrame:
+    """Weights refitted on block samples of dates, a replica a group: mean, deviation and range of each factor's. Without pairs there are no rows."""
+    if replicas < 1:
+        raise ValueError("an ensemble has one replica at least")
     dates = [r[0] for r in pairs_.select("date").distinct().orderBy("date").collect()]  # the calendar
+    if not dates:
+        return pairs_.sparkSession.createDataFrame([], "factor string, mean double, std double, low double, high double")
     chosen = [(i, d) for i in range(replicas) for d in block_dates(dates, share, block, seed + i)]
     rows = pairs_.join(F.broadcast(pairs_.sparkSession.createDataFrame(chosen, "replica int, date date")), "date")
     sums = rows.groupBy("replica", *factors).agg(F.sum("mass").alias("mass"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +45,16 @@ def return_stats(book: DataFrame, value: str = "costed", *keys: str) -> DataFram
 
 
 def ic_decay(panel: DataFrame, signal: str, horizons: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
-    """Mean rank IC at several horizons, in one pass over the panel's order."""
+    """Mean rank IC at several horizons and its Newey-West t with as many lags, in one pass over the panel's order."""
     from panelforge.functions.columns import ts
 
     after = F.lead("open", 1).over(ts())
     out = panel.withColumns({f"_t{h}": divided(F.lead("open", h + 1).over(ts()), after) - 1 for h in horizons})
     long = out.select("date", "symbol", signal, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_t{h}").alias("target")) for h in horizons])).alias("_h"))
     ic = rank_ic(long.select("date", "symbol", signal, "_h.*"), signal, "target", "horizon")
-    return ic.groupBy("horizon").agg(F.count("ic").alias("sessions"), F.avg("ic").alias("mean_ic"))
+    means = ic.groupBy("horizon").agg(F.count("ic").alias("sessions"), F.avg("ic").alias("mean_ic"))
+    tested = [newey_west(ic.where(F.col("horizon") == h), "ic", h).select(F.lit(h).alias("horizon"), "t") for h in horizons]
+    return means.join(F.broadcast(reduce(DataFrame.unionByName, tested)), "horizon", "left")  # a row a horizon
 
 
 def quintile_means(panel: DataFrame, signal: str, target: str) -> DataFrame:

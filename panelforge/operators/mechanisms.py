@@ -71,82 +71,115 @@ def _per_series(run, columns: list[str]):
     return of
 
 
-def bocpd(values: np.ndarray, hazard: float, mean: float, var: float, noise: float, longest: int = 250) -> np.ndarray:
-    """Probability that the run length is 0 at each step, for normal data of known noise variance."""
-    p, mu, v = np.ones(1), np.array([mean]), np.array([var])
-    out = np.full(len(values), np.nan)
+def bocpd(values: np.ndarray, hazard: float = 0.01, mean: float = 0.0, precision: float = 1.0, noise_precision: float = 100.0, longest: int = 250) -> np.ndarray:
+    """Probability that the run length is 0 at each step, for normal data of known noise; the hazard where a value is missing."""
+    if not 0 < hazard < 1:
+        raise ValueError("a hazard lies between 0 and 1")
+    p, mu, tau = np.ones(1), np.array([mean], float), np.array([precision], float)
+    out = np.full(len(values), hazard, float)
     for i, x in enumerate(values):
         if not math.isfinite(x):
             continue
-        s = v + noise
-        like = np.exp(-0.5 * (x - mu) ** 2 / s) / np.sqrt(2 * math.pi * s)
-        grown = p * like
-        new = np.concatenate([[hazard * grown.sum()], (1 - hazard) * grown])[: longest + 1]
-        p = new / max(new.sum(), 1e-300)
-        gain = v / s
-        mu = np.concatenate([[mean], mu + gain * (x - mu)])[: longest + 1]
-        v = np.concatenate([[var], v * (1 - gain)])[: longest + 1]
+        var = 1 / tau + 1 / noise_precision
+        seen = p * np.exp(-0.5 * (x - mu) ** 2 / var) / np.sqrt(2 * math.pi * var)
+        p = np.append(hazard * seen.sum(), (1 - hazard) * seen)[: longest + 1]
+        p /= max(p.sum(), 1e-300)
+        mu = np.append(mean, (tau * mu + noise_precision * x) / (tau + noise_precision))[: longest + 1]
+        tau = np.append(precision, tau + noise_precision)[: longest + 1]
         out[i] = p[0]
     return out
 
 
-def change_probability(series: DataFrame, hazard: float = 0.01, mean: float = 0.0, var: float = 1.0, noise: float = 1.0) -> DataFrame:
-    run = _per_series(lambda x: [bocpd(x, hazard, mean, var, noise)], ["probability"])
+def change_probability(series: DataFrame, hazard: float = 0.01, mean: float = 0.0, precision: float = 1.0, noise_precision: float = 100.0) -> DataFrame:
+    run = _per_series(lambda x: [bocpd(x, hazard, mean, precision, noise_precision)], ["probability"])
     return series.groupBy("series_id").applyInPandas(run, "series_id string, t long, probability double")
 
 
-def dmd_residual(series: DataFrame, window: int = 60, ridge: float = 1e-6) -> DataFrame:
-    """Norm of the one-step error of a linear map fitted on the window before; several series form the state vector.
+#: Steps of one task in ``dmd_residual``.
+DMD_STEPS = 4096
 
-    Wide rows of one state vector a step: (t, one column a series); one group, as long as the calendar.
+
+def dmd_errors(x: np.ndarray, window: int, ridge: float) -> np.ndarray:
+    """Signed one-step errors of each column, by the linear map fitted on the ``window`` transitions that end a step before."""
+    out = np.full(x.shape, np.nan)
+    for i in range(window + 1, len(x)):
+        past = x[i - window - 1 : i]
+        if np.isfinite(past).all():
+            a, b = past[:-1], past[1:]
+            step = np.linalg.pinv(a.T @ a + ridge * np.eye(a.shape[1])) @ a.T @ b
+            out[i] = x[i] - x[i - 1] @ step
+    return out
+
+
+def dmd_residual(series: DataFrame, window: int = 60, ridge: float = 1e-6, steps: int = DMD_STEPS) -> DataFrame:
+    """One signed residual a series and step (``dmd_residual_<series>``); all series of a step, counted from 0, form the state.
+
+    Steps are dealt over tasks in ranges, each with the steps that its first window needs before it.
     """
-    names = [r[0] for r in series.select("series_id").distinct().orderBy("series_id").collect()]
+    names = [r[0] for r in series.select("series_id").distinct().orderBy("series_id").collect()]  # the state's dimensions
     wide = series.groupBy("t").pivot("series_id", names).agg(F.first("value"))
+    own = F.floor(F.col("t") / steps)
+    after = F.floor((F.col("t") + window + 1) / steps)
+    wide = wide.withColumn("_range", F.explode(F.sequence(own, after)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", ignore_index=True)
-        x = pdf[names].to_numpy(float)
-        out = np.full(len(x), np.nan)
-        for i in range(window + 1, len(x)):
-            past = x[i - window - 1 : i]
-            if np.isfinite(past).all() and np.isfinite(x[i]).all():
-                a, b = past[:-1], past[1:]
-                step = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
-                out[i] = np.linalg.norm(x[i] - x[i - 1] @ step)
-        return pd.DataFrame({"t": pdf["t"], "residual": out})
+        out = pd.DataFrame(dmd_errors(pdf[names].to_numpy(float), window, ridge), columns=[f"dmd_residual_{n}" for n in names])
+        out.insert(0, "t", pdf["t"])
+        return out[pdf["t"] // steps == key[0]]
 
-    return wide.groupBy().applyInPandas(run, "t long, residual double")
+    return wide.groupBy("_range").applyInPandas(run, ", ".join(["t long", *[f"`dmd_residual_{n}` double" for n in names]]))
 
 
-LPPLS_WINDOWS, LPPLS_M, LPPLS_OMEGA, LPPLS_AHEAD = (60, 120), (0.3, 0.5, 0.7), (6.0, 9.0, 12.0), (5, 15, 30)
+# The grid of the simplified power law; critical times lie so many windows after a window's end.
+LPPLS_WINDOWS, LPPLS_M, LPPLS_OMEGA, LPPLS_AHEAD = (60, 120), (0.3, 0.5, 0.7), (6.0, 9.0, 12.0), (1.05, 1.15, 1.30)
 
 
-def lppls(series: DataFrame) -> DataFrame:
-    """Log-periodic power law on a fixed grid: smallest residual and spread of critical times among good fits, by step.
+def lppls_fits(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of log prices, all of one window: the error at each grid point, and the points' critical times after the end."""
+    n = y.shape[1]
+    errors, ahead = [], []
+    for m in LPPLS_M:
+        for omega in LPPLS_OMEGA:
+            for k in LPPLS_AHEAD:
+                left = np.maximum(n - 1 + k * n - np.arange(n), 1e-6)
+                x = np.stack([np.ones(n), left**m, left**m * np.cos(omega * np.log(left)), left**m * np.sin(omega * np.log(left))], 1)
+                q, _ = np.linalg.qr(x)
+                errors.append(np.sqrt(np.mean((y - (y @ q) @ q.T) ** 2, axis=1)))
+                ahead.append(k * n)
+    return np.stack(errors, 1), np.array(ahead)
 
-    Every (step, grid point) is a row of its own, fitted in batches.
-    """
+
+def lppls(series: DataFrame) -> DataFrame:
+    """Log-periodic power law on a fixed grid: median error of the best tenth of the fits (three at least) and the
+    deviation of their critical times, by step; null before the shortest window and where it has a gap or a value up to 0."""
     w = W.partitionBy("series_id").orderBy("t").rowsBetween(-(max(LPPLS_WINDOWS) - 1), 0)
-    held = series.withColumn("past", F.collect_list(F.log(F.when(F.col("value") > 0, F.col("value")))).over(w)).where(F.size("past") >= min(LPPLS_WINDOWS))
-    grid = [(n, m, o, a) for n in LPPLS_WINDOWS for m in LPPLS_M for o in LPPLS_OMEGA for a in LPPLS_AHEAD]
-    points = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m"), F.lit(o).alias("omega"), F.lit(a).alias("ahead")) for n, m, o, a in grid]))
-    rows = held.select("series_id", "t", "past", points.alias("g")).where(F.size("past") >= F.col("g.n")).select("series_id", "t", F.slice("past", -F.col("g.n"), F.col("g.n")).alias("past"), "g.m", "g.omega", "g.ahead")
+    logs = F.when(F.col("value") > 0, F.log("value")).otherwise(F.lit(float("nan")))
+    held = series.select("series_id", "t", F.collect_list(F.coalesce(logs, F.lit(float("nan")))).over(w).alias("past"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for past, m, omega, ahead in zip(pdf["past"], pdf["m"], pdf["omega"], pdf["ahead"]):
-                y = np.asarray(past, float)
-                left = len(y) - 1 + ahead - np.arange(len(y))
-                x = np.stack([np.ones(len(y)), left**m, left**m * np.cos(omega * np.log(left)), left**m * np.sin(omega * np.log(left))], 1)
-                fit, *_ = np.linalg.lstsq(x, y, rcond=None)
-                out.append(float(np.sqrt(np.mean((y - x @ fit) ** 2))))
-            yield pdf[["series_id", "t", "ahead"]].assign(rmse=out)
-
-    fits = rows.repartition("series_id", "t").mapInPandas(run, "series_id string, t long, ahead int, rmse double")
-    best = F.min("rmse").over(W.partitionBy("series_id", "t"))
-    near = fits.withColumn("_b", best).where(F.col("rmse") <= F.col("_b") * 1.1)
-    return near.groupBy("series_id", "t").agg(F.min("rmse").alias("residual"), F.stddev_pop("ahead").alias("tc_dispersion"))
+            size = pdf["past"].map(len).to_numpy()
+            errors, ahead = [], []
+            for n in LPPLS_WINDOWS:
+                y = np.full((len(pdf), n), np.nan)
+                for i in np.flatnonzero(size >= n):
+                    y[i] = pdf["past"].iat[i][-n:]
+                e, a = lppls_fits(np.nan_to_num(y))
+                e[~np.isfinite(y).all(1)] = np.nan
+                errors.append(e)
+                ahead.append(np.broadcast_to(a, e.shape))
+            e, a = np.concatenate(errors, 1), np.concatenate(ahead, 1)
+            residual, spread = [None] * len(pdf), [None] * len(pdf)
+            for i, row in enumerate(e):
+                order = np.argsort(row, kind="stable")  # nan last
+                known = int(np.isfinite(row).sum())
+                if known:
+                    best = order[: max(3, known // 10)]
+                    residual[i], spread[i] = float(np.median(row[best])), float(np.std(a[i][best]))
+            yield pdf[["series_id", "t"]].assign(residual=residual, tc_dispersion=spread)
+
+    return held.mapInPandas(run, "series_id string, t long, residual double, tc_dispersion double")
 
 
 def black_litterman(prior: np.ndarray, cov: np.ndarray, views: np.ndarray, targets: np.ndarray, omega: np.ndarray, tau: float = 0.05) -> tuple[np.ndarray, np.ndarray]:

@@ -43,9 +43,18 @@ def pbo_splits(returns: DataFrame, blocks: int = 8, value: str = "d") -> DataFra
     return ranked.where("place = 1").select("split", F.col("candidate").alias("winner"), "rank_out", (F.col("rank_out") <= 0.5).alias("failure"))
 
 
-def pbo(returns: DataFrame, blocks: int = 8, value: str = "d") -> DataFrame:
-    """Share of splits whose winner is in the lower half outside."""
-    return pbo_splits(returns, blocks, value).agg(F.count("*").alias("splits"), F.avg(F.col("failure").cast("double")).alias("pbo"))
+def pbo(returns: DataFrame, blocks: int = 8, value: str = "d", focus: str | None = None) -> DataFrame:
+    """Share of splits whose winner is in the lower half outside; of the splits that ``focus`` wins, where it is given.
+
+    Null, over no splits, with fewer than two candidates or five dates a block.
+    """
+    seen = returns.where(F.col(value).isNotNull()).agg(F.count_distinct("date").alias("dates"), F.count_distinct("candidate").alias("candidates")).first()
+    splits = pbo_splits(returns, blocks, value)
+    if focus is not None:
+        splits = splits.where(F.col("winner") == focus)
+    if seen["candidates"] < 2 or seen["dates"] < 5 * blocks:
+        splits = splits.limit(0)
+    return splits.agg(F.count("failure").alias("splits"), F.avg(F.col("failure").cast("double")).alias("pbo"))
 
 
 def sharpe_moments(returns: DataFrame, value: str = "d") -> DataFrame:
@@ -81,7 +90,13 @@ def placebo_groups(panel: DataFrame, group: str = "industry", size: str = "marke
 
 
 def permutation_test(panel: DataFrame, horizon: int, cost: float, repetitions: int, seed: int, group: str = "industry", size: str = "market_cap") -> DataFrame:
-    """``statistic`` of the book and of each placebo: mean costed return after ``desired`` is shuffled within its cells.
+    """``statistic`` of the book and of each placebo: mean costed return after ``desired`` is shuffled within its cells."""
+    days = placebo_returns(panel, horizon, cost, repetitions, seed, group, size)
+    return days.groupBy("repetition").agg(F.avg("costed").alias("statistic"))
+
+
+def placebo_returns(panel: DataFrame, horizon: int, cost: float, repetitions: int, seed: int, group: str = "industry", size: str = "market_cap") -> DataFrame:
+    """Costed returns by date of the book (repetition 0) and of each placebo.
 
     Shuffles are orders by a hash of (seed, repetition, symbol, date), all repetitions at once; rows grow with their number, not the driver's work.
     """
@@ -98,8 +113,7 @@ def permutation_test(panel: DataFrame, horizon: int, cost: float, repetitions: i
     line = W.partitionBy("repetition", "symbol").orderBy("date")
     both = both.withColumn("effective", F.avg("desired").over(line.rowsBetween(-(horizon - 1), 0)))
     both = both.withColumn("moved", F.abs(F.col("effective") - F.lag("effective", 1, 0.0).over(line)))
-    days = both.groupBy("repetition", "date").agg((F.coalesce(F.sum(F.col("effective") * F.col("one_day")), F.lit(0.0)) - F.sum("moved") * cost / 2).alias("costed"))
-    return days.groupBy("repetition").agg(F.avg("costed").alias("statistic"))
+    return both.groupBy("repetition", "date").agg((F.coalesce(F.sum(F.col("effective") * F.col("one_day")), F.lit(0.0)) - F.sum("moved") * cost / 2).alias("costed"))
 
 
 def permutation_p(statistics: DataFrame) -> DataFrame:

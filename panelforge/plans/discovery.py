@@ -7,6 +7,7 @@ panel.
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,6 +25,8 @@ from panelforge.plans.dsl import binary, f, lag, roll, unary
 
 ZSCORE, MEAN, LAG, MUL, ADD = range(5)
 OPERATION_WINDOWS = (5, 10, 20, 60, 120)
+#: Placebos that a candidate's own PBO takes.
+PBO_PLACEBOS = 20
 
 
 @dataclass
@@ -34,6 +37,9 @@ class Candidate:
     origin: str
     parents: tuple[str, ...] = ()
     counters: tuple[dict, ...] = ()
+    phenomenon: str = ""
+    mechanism: str = ""
+    generation: int = 0
     fields: list[str] = field(init=False)
     id: str = field(init=False)
 
@@ -41,30 +47,69 @@ class Candidate:
         self.id, self.fields = dsl.identifier(self.expr), sorted(dsl.fields_used(self.expr))
 
     def certificate(self) -> dict:
-        return {"id": self.id, "expression": self.expr, "origin": self.origin, "parents": list(self.parents), "fields": self.fields, "counter_expressions": list(self.counters)}
+        """What is known at birth, with a digest of it."""
+        born = {
+            "id": self.id,
+            "expression_sha256": hashlib.sha256(dsl.canonical(self.expr).encode()).hexdigest(),
+            "origin": self.origin,
+            "parents": list(self.parents),
+            "generation": self.generation,
+            "phenomenon": self.phenomenon,
+            "mechanism": self.mechanism,
+        }
+        return born | {"certificate_sha256": overfit.commitment(born), "expression": self.expr, "fields": self.fields, "counter_expressions": list(self.counters)}
+
+
+def seed_table() -> list[tuple[str, str, str, dict, tuple[dict, ...]]]:
+    """(name, phenomenon, mechanism, expression, counter-expressions) of every seed."""
+    ret, amount, close = f("returns"), unary("signed_log1p", f("amount")), f("close")
+
+    def momentum(n):
+        return roll("sum", ret, n)
+
+    def reversal(n):
+        return unary("neg", momentum(n))
+
+    def low_beta(n):
+        return unary("neg", {"corr": True, "left": ret, "right": f("market_return"), "window": n})
+
+    def calm(n):
+        return unary("neg", roll("std", ret, n))
+
+    def place(n):
+        return binary("div", close, roll("max", close, n))
+
+    def year_old(name):
+        return lag(252, f(name))
+
+    quality, value, growth = f("quality_composite"), f("book_to_price"), f("growth_composite")
+    # The seeds' names, phenomena, mechanisms, windows and counters.
+    return [
+        ("momentum_20", "information_diffusion", "underreaction", momentum(20), (momentum(60),)),
+        ("reversal_5", "liquidity_reversal", "temporary_price_pressure", reversal(5), (reversal(20),)),
+        ("low_beta_60", "risk_budgeting", "leverage_constraint", low_beta(60), (low_beta(20),)),
+        ("low_volatility_20", "volatility_feedback", "risk_budgeting", calm(20), (calm(60),)),
+        ("liquidity_20", "order_splitting", "persistent_flow", roll("mean", amount, 20), (roll("mean", amount, 60),)),
+        ("range_position", "crowding_unwind", "breakout_or_crowding", place(120), (place(60),)),
+        ("book_to_price", "value_repricing", "valuation_dispersion", value, (year_old("book_to_price"),)),
+        ("earnings_yield_proxy", "value_repricing", "earnings_anchor", f("earnings_yield_proxy"), (year_old("earnings_yield_proxy"),)),
+        ("quality", "fundamental_diffusion", "persistent_profitability", quality, (year_old("quality_composite"),)),
+        ("growth", "fundamental_diffusion", "slow_information_diffusion", growth, (year_old("growth_composite"),)),
+        ("financial_safety", "risk_budgeting", "distress_avoidance", f("safety_composite"), (year_old("safety_composite"),)),
+        ("cash_conversion", "fundamental_diffusion", "accrual_mispricing", f("cash_to_profit"), (year_old("cash_to_profit"),)),
+        ("quality_low_beta", "conditional_quality", "quality_under_risk_constraints", binary("mul", quality, low_beta(60)), (quality, low_beta(60))),
+        ("quality_momentum", "conditional_quality", "quality_information_diffusion", binary("mul", quality, momentum(20)), (quality, momentum(20))),
+        ("quality_per_volatility", "conditional_quality", "risk_adjusted_quality", binary("div", quality, roll("std", ret, 20)), (quality, calm(20))),
+        ("value_reversal", "conditional_value", "forced_sale_recovery", binary("mul", value, reversal(5)), (value, reversal(5))),
+        ("value_momentum", "conditional_value", "value_catalyst", binary("mul", value, momentum(20)), (value, momentum(20))),
+        ("growth_momentum", "conditional_growth", "growth_diffusion", binary("mul", growth, momentum(20)), (growth, momentum(20))),
+    ]
 
 
 def seeds(columns) -> list[Candidate]:
-    """Starting expressions for the fields that the panel has, each with the counter-expression it must beat."""
+    """Starting expressions for the fields that the panel has, each with the counter-expressions it must beat."""
     has = set(columns)
-    momentum, turn = roll("sum", f("returns"), 20), binary("div", f("amount"), roll("mean", f("amount"), 20))
-    pool = [
-        ("momentum", momentum, (f("returns"),)),
-        ("reversal", unary("neg", roll("sum", f("returns"), 5)), (momentum,)),
-        ("low_volatility", unary("neg", roll("std", f("returns"), 20)), (momentum,)),
-        ("illiquidity", roll("mean", binary("div", unary("abs", f("returns")), f("amount")), 20), (turn,)),
-        ("price_volume", unary("neg", {"corr": True, "left": f("returns"), "right": f("volume"), "window": 20}), (f("returns"),)),
-        ("calm_peak", unary("neg", roll("max", f("returns"), 20)), (momentum,)),
-        ("book_value", f("book_to_price"), (f("close"),)),
-        ("earnings_yield", f("earnings_yield_proxy"), (f("close"),)),
-        ("quality", f("quality_composite"), (f("close"),)),
-        ("growth", f("growth_composite"), (f("close"),)),
-        ("safety", f("safety_composite"), (f("close"),)),
-        ("quality_momentum", binary("add", f("quality_composite"), {"zscore": True, "arg": momentum, "window": 60}), (momentum,)),
-        ("value_momentum", binary("mul", f("book_to_price"), unary("tanh", momentum)), (momentum,)),
-        ("growth_value", binary("add", f("growth_composite"), f("earnings_yield_proxy")), (f("earnings_yield_proxy"),)),
-    ]
-    return [Candidate(e, f"seed:{n}", (), c) for n, e, c in pool if dsl.fields_used(e) <= has and all(dsl.fields_used(x) <= has for x in c)]
+    return [Candidate(e, f"seed:{n}", (), c, p, m) for n, p, m, e, c in seed_table() if dsl.fields_used(e) <= has]
 
 
 def child(attempt: int, parents: list[Candidate]) -> Candidate:
@@ -78,7 +123,8 @@ def child(attempt: int, parents: list[Candidate]) -> Candidate:
         MUL: binary("mul", a.expr, unary("tanh", b.expr)),
         ADD: binary("add", a.expr, b.expr),
     }[op]
-    return Candidate(expr, f"operation:{op}", (a.id, b.id) if op in (MUL, ADD) else (a.id,), a.counters or (a.expr,))
+    both = (a, b) if op in (MUL, ADD) else (a,)
+    return Candidate(expr, f"operation:{op}", tuple(c.id for c in both), a.counters or (a.expr,), a.phenomenon, a.mechanism, 1 + max(c.generation for c in both))
 
 
 def train_scores(panel: DataFrame, candidates: list[Candidate], least: int = 60) -> dict[str, float | None]:
@@ -151,15 +197,25 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
         seen = book.where("segment = 'validation'")
         stats = _first(evaluate.return_stats(seen))
         row = {"id": i, "train_ic": scored[i], "direction": sign, "mean": stats.get("mean"), "ir": stats.get("ir"), "validation": stats}
-        counters = []
+        counters, counter_books = [], []
         for k in range(len(c.counters)):
             direction = _first(evaluate.train_score(named.where("segment = 'train'"), f"_counter{k}", "target"))
             turned = named.withColumn("_c", F.col(f"_counter{k}") * (direction.get("direction") or 1))
             own = portfolio.neutral_book(turned, "_c", h, cost).join(sessions.select("date", "segment"), "date").where("segment = 'validation'")
+            counter_books.append(own.select("date", F.lit("counter").alias("candidate"), F.col("costed").alias("d")))
             counters.append(_first(evaluate.return_stats(own)) | {"correlation": _first(evaluate.signal_correlation(turned.where("segment = 'validation'"), "signal", "_c")).get("correlation")})
-        best = max(counters, key=lambda x: x.get("ir") if x.get("ir") is not None else float("-inf"), default={})
+        strongest = max(range(len(counters)), key=lambda k: counters[k]["ir"] if counters[k].get("ir") is not None else float("-inf"), default=None)
+        best = {} if strongest is None else counters[strongest]
         row |= {"counter_mean": best.get("mean"), "counter_correlation": best.get("correlation")}
-        row["permutation_p"] = _first(overfit.permutation_p(overfit.permutation_test(weights.where("segment = 'validation'"), h, cost, config["placebos"], config["random_seed"] ^ int(i[-8:], 16)))).get("p_value")
+        placebos = overfit.placebo_returns(weights.where("segment = 'validation'"), h, cost, config["placebos"], config["random_seed"] ^ int(i[-8:], 16)).persist()
+        row["permutation_p"] = _first(overfit.permutation_p(placebos.groupBy("repetition").agg(F.avg("costed").alias("statistic")))).get("p_value")
+        # the candidate against its strongest counter and its first placebos: how often is it best in one half and poor in the other
+        rivals = placebos.where(F.col("repetition").between(1, PBO_PLACEBOS)).select("date", F.concat(F.lit("placebo_"), F.col("repetition").cast("string")).alias("candidate"), F.col("costed").alias("d"))
+        own = seen.select("date", F.lit("primary").alias("candidate"), F.col("costed").alias("d")).unionByName(rivals)
+        if strongest is not None:
+            own = own.unionByName(counter_books[strongest])
+        row["factor_pbo"] = _first(overfit.pbo(own, config["pbo_blocks"], focus="primary")).get("pbo")
+        placebos.unpersist()
         folds = validate.walk_forward(named.where("segment = 'train'"), "signal", "target", h, config["purge_days"], config["walk_forward_folds"], cost).collect()
         row |= {"walk_forward": [r.asDict() for r in folds], "positive_folds": sum(1 for r in folds if r["mean"] and r["mean"] > 0)}
         row["cost_curve"] = [r.asDict() for r in portfolio.cost_curve(seen).orderBy("cost").collect()]
@@ -178,12 +234,14 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
         dsr = {r["candidate"]: r["probability"] for r in overfit.deflated_sharpes(family, declared=len(ledger)).collect()}
         family.unpersist()
     for row in rows:
-        row |= {"project_pbo": project_pbo, "factor_pbo": project_pbo, "dsr": dsr.get(row["id"])}
+        row |= {"project_pbo": project_pbo, "dsr": dsr.get(row["id"])}
         row["guards"] = overfit.guards(row)
         row["survivor"] = all(row["guards"].values())
+    # without a passing family no candidate survives
+    hard_stop = None if project_pbo is not None and project_pbo <= overfit.GUARDS["max_pbo"] else "the family's PBO failed: no survivors"
     panel.unpersist()
     return {
-        "status": "research_only", "orders": [], "automatic_trading_changes": [], "candidates": rows, "survivors": [r["id"] for r in rows if r["survivor"]], "trial_ledger": ledger, "project_pbo": project_pbo,
+        "status": "research_only", "orders": [], "automatic_trading_changes": [], "candidates": rows, "survivors": [r["id"] for r in rows if r["survivor"]], "trial_ledger": ledger, "project_pbo": project_pbo, "hard_stop": hard_stop,
         "manifest": {"config": overfit.commitment(config), "prices": digest(prices), "statements": digest(statements) if statements is not None else None, "spark": spark.version, "commit": _commit()},
     }
 
