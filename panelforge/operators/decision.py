@@ -71,12 +71,13 @@ def block_dates(dates: list, share: float, block: int, seed: int) -> list:
 
 
 def weight_ensemble(pairs_: DataFrame, factors: list[str], prior: np.ndarray, replicas: int = 5, share: float = 0.8, block: int = 21, seed: int = 7, **fit) -> DataFrame:
-    """Weights refitted on block samples of dates, a replica a group: mean, deviation and range of each factor's. Without pairs there are no rows."""
+    """Weights refitted on block samples of dates, a replica a group: mean, deviation and range of each factor's. Without pairs all weights are the prior's, as in ``fit_pairwise``."""
     if replicas < 1:
         raise ValueError("an ensemble has one replica at least")
     dates = [r[0] for r in pairs_.select("date").distinct().orderBy("date").collect()]  # the calendar
     if not dates:
-        return pairs_.sparkSession.createDataFrame([], "factor string, mean double, std double, low double, high double")
+        weights = bounded_simplex(prior, fit.get("low", 0.0), fit.get("high", 1.0)).tolist()
+        return pairs_.sparkSession.createDataFrame([(f, w, 0.0, w, w) for f, w in zip(factors, weights)], "factor string, mean double, std double, low double, high double")
     chosen = [(i, d) for i in range(replicas) for d in block_dates(dates, share, block, seed + i)]
     rows = pairs_.join(F.broadcast(pairs_.sparkSession.createDataFrame(chosen, "replica int, date date")), "date")
     sums = rows.groupBy("replica", *factors).agg(F.sum("mass").alias("mass"))

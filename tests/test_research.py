@@ -37,7 +37,8 @@ def test_block_dates_round_up_and_refuse():
 
 def test_ensemble_without_pairs(spark):
     none = spark.createDataFrame([], "date date, better string, worse string, f1 double, f2 double, mass double")
-    assert decision.weight_ensemble(none, ["f1", "f2"], np.array([0.5, 0.5])).count() == 0
+    assert [tuple(r) for r in decision.weight_ensemble(none, ["f1", "f2"], np.array([0.7, 0.3])).orderBy("factor").collect()] == [pytest.approx(("f1", 0.7, 0.0, 0.7, 0.7)), pytest.approx(("f2", 0.3, 0.0, 0.3, 0.3))]
+    assert decision.fit_pairwise(pd.DataFrame({"f1": [], "f2": [], "mass": []}), ["f1", "f2"], np.array([0.7, 0.3])) == pytest.approx([0.7, 0.3])
     with pytest.raises(ValueError):
         decision.weight_ensemble(none, ["f1"], np.array([1.0]), replicas=0)
 
