@@ -86,27 +86,73 @@ def test_suffix_tree_counts_and_base(odd, docs):
     assert sums[0] > sums[1], "contexts help on texts that were not learned from"
 
 
+def plain_tree(texts, depth, least):
+    """Retained contexts by dictionaries: context -> (probabilities of its entries, factor of its parent for others)."""
+    count = [Counter() for _ in range(depth + 2)]
+    for x in texts:
+        for n in range(1, depth + 2):
+            count[n].update(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    total, size = sum(count[1].values()), len(count[1])
+    root = {w: (c + 0.1) / (total + 0.1 * (size + 1)) for (w,), c in count[1].items()}
+    frequent = [None] + [{g for g, c in count[n].items() if c >= least} for n in range(1, depth + 2)]
+    tree = {}
+
+    def probability(context, symbol):
+        context = next((context[k:] for k in range(len(context) + 1) if context[k:] in tree), ())
+        if not context:
+            return root.get(symbol, 0.1 / (total + 0.1 * (size + 1)))
+        entries, factor = tree[context]
+        return entries[symbol] if symbol in entries else factor * probability(context[1:], symbol)
+
+    for k in range(1, depth + 1):
+        by = defaultdict(dict)
+        for g in frequent[k + 1]:
+            by[g[:-1]][g[-1]] = count[k + 1][g]
+        grown = {}
+        for c, nexts in by.items():
+            p = {s: (n - 0.5) / count[k][c] for s, n in nexts.items()}
+            q = {s: probability(c[1:], s) for s in nexts}
+            rest, left = 1 - sum(p.values()), 1 - sum(q.values())
+            if rest > 0 and left > 0 and count[k][c] * (sum(v * math.log(v / q[s]) for s, v in p.items()) + rest * math.log(rest / left)) > 0.5 * len(p) * math.log(max(total, 2)):
+                grown[c] = (p, rest / left)
+        tree |= grown
+    return tree, probability, root
+
+
+def chain_texts(seed, n):
+    """Texts in which the next word depends on up to three words before."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        x = ["a", "b"]
+        while len(x) < 60:
+            x.append("d" if x[-3:] == ["c", "a", "b"] else "c" if x[-2:] == ["a", "b"] and rng.random() < 0.7 else rng.choice("abcde") if rng.random() < 0.97 else f"w{rng.randrange(500)}")
+        out.append(" ".join(x))
+    return out
+
+
+def test_suffix_tree_scores_equal_a_plain_tree(spark):
+    texts = chain_texts(1, 300)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    learned = [tokens(x) for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    for depth in (1, 4):
+        tree, probability, _ = plain_tree(learned, depth, 8)
+        assert max(map(len, tree)) == (1 if depth == 1 else 3) or depth > 1 and max(map(len, tree)) > 2
+        got = {r["doc_id"]: r["score"] for r in suffixtree.score(frame, depth).collect()}
+        for i, x in enumerate(texts):
+            t = tokens(x)
+            want = sum(math.log10(probability(tuple(t[max(0, k - depth) : k]), t[k])) for k in range(len(t)))
+            assert abs(got[i] - want) < 1e-6, (depth, i)
+
+
 def test_suffix_tree_probabilities_sum_to_one():
-    rng = random.Random(1)
-    text = [rng.choice([0, 1, 2]) for _ in range(4000)]
-    for i in range(2, len(text)):
-        if text[i - 2] == 0 and text[i - 1] == 1:
-            text[i] = 2
-    one, two, three = Counter(text), Counter(zip(text, text[1:])), Counter(zip(text, text[1:], text[2:]))
-    w = suffixtree.Words(np.arange(3, dtype=np.uint64), np.array([one[k] for k in range(3)]))
-    pairs = pd.DataFrame([(-1, a * 3 + b, n) for (a, b), n in two.items()], columns=["first", "pair", "n"])
-    triples = pd.DataFrame([(a, b * 3 + c, n) for (a, b, c), n in three.items()], columns=["first", "pair", "n"])
-    total, size = len(text) + 50, 53  # fifty words more, each once
-    tree = suffixtree.SuffixTree(w, total, size, pairs, triples)
-    assert tree.kept2.any()
-    root = np.array([(one[k] + 0.1) / (total + 0.1 * (size + 1)) for k in range(3)])
-    for a in range(3):
-        for b in range(3):
-            p = 0.0
-            for c in (0, 1, 2, -1):
-                gain = tree.gains(np.array([a, b, c]), np.array([0, 1, 2]))[2]
-                p += 10**gain * (root[c] if c >= 0 else 1 - root.sum())
-            assert abs(p - 1) < 1e-9
+    tree, probability, root = plain_tree([tokens(x) for x in chain_texts(2, 200)], 4, 8)
+    unseen = 1 - sum(root.values())
+    for context in list(tree)[:50]:
+        others = 1.0
+        for k in range(len(context)):  # the factor of a word that has no entry anywhere
+            if context[k:] in tree:
+                others *= tree[context[k:]][1]
+        assert abs(sum(probability(context, s) for s in root) + unseen * others - 1) < 1e-9
 
 
 # 2 and 8
