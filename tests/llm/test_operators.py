@@ -144,6 +144,14 @@ def test_suffix_tree_scores_equal_a_plain_tree(spark):
             assert abs(got[i] - want) < 1e-6, (depth, i)
 
 
+def test_sequence_hashes_are_undone():
+    t = np.random.default_rng(0).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    h = suffixtree.grams(t, 4)
+    assert (suffixtree._unmixed(h[0]) == t).all()
+    for n in (1, 2, 3):
+        assert (suffixtree.context_of(h[n][n:], t[n:]) == h[n - 1][n - 1 : -1]).all()
+
+
 def test_suffix_tree_probabilities_sum_to_one():
     tree, probability, root = plain_tree([tokens(x) for x in chain_texts(2, 200)], 4, 8)
     unseen = 1 - sum(root.values())
