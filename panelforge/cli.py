@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+import platform
 import sys
 
 from pyspark.sql import SparkSession
@@ -56,10 +57,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--alpha", type=float, default=0.05)
     p.add_argument("--random-seed", type=int, default=7)
     p = sub.add_parser("forward")
-    p.add_argument("action", choices=("freeze", "log", "score"))
+    p.add_argument("action", choices=("freeze", "log", "score", "publish"))
     p.add_argument("--spec", required=True)
-    for a in ("--prices", "--log", "--output"):
+    for a in ("--draft", "--prices", "--log", "--output"):
         p.add_argument(a)
+    p.add_argument("--listed", type=int)
+    p.add_argument("--dry-run", action="store_true")
     p = sub.add_parser("demo")
     p.add_argument("--output-dir", required=True)
     p.add_argument("--days", type=int, default=650)
@@ -67,7 +70,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--seed", type=int, default=7)
     o = top.parse_args(args)
     if o.command == "forward" and o.action == "freeze":
-        forward.freeze_spec(_json(o.spec), o.output, dt.datetime.now(dt.timezone.utc).isoformat())
+        draft, frozen = (o.draft, o.spec) if o.draft else (o.spec, o.output)
+        forward.freeze_spec(_json(draft), frozen, dt.datetime.now(dt.timezone.utc).isoformat())
         return 0
     spark = _session()
     if o.command == "discover":
@@ -81,6 +85,12 @@ def main(args: list[str] | None = None) -> int:
     elif o.command == "evidence":
         design = evidence.BootstrapDesign(o.repetitions, o.expected_block_length, o.confidence, o.alpha, o.random_seed)
         forward.write_json(evidence.report(readers.read_performance(spark, o.performance, o.benchmark, o.date_column), design), o.output)
+    elif o.command == "forward" and o.action == "publish":
+        spec = forward.load_spec(o.spec)
+        state, funnel = forward.build_state(readers.read_prices(spark, o.prices), spec, o.listed)
+        code, entry = forward.publish_pick(state, spec, o.output, dt.datetime.now(dt.timezone.utc).isoformat(), platform.node(), o.dry_run)
+        print(json.dumps({"funnel": funnel, "entry": entry}, default=str))
+        return code
     elif o.command == "forward":
         spec = forward.load_spec(o.spec)
         panel = universe.eligible(universe.apply_sealed(build(readers.read_prices(spark, o.prices))), spec.get("liquidity_window", 60)).persist()

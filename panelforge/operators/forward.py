@@ -12,13 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import divided, pct_rank, ts
+from panelforge.operators.panel import build
 from panelforge.operators.portfolio import top_names
-from panelforge.operators.universe import sealed_bars
+from panelforge.operators.universe import apply_sealed, eligible, funnel, sealed_bars
 from panelforge.plans import dsl
 
 # Keys that a digest leaves out, and when a record is stale or has enough entries for a verdict.
 STAMPS = ("spec_sha256", "frozen_at")
 STALE_DAYS, LEAST_MATURED = 6, 60
+# Fixed value: the share of listed symbols that must be quoted in the session that is ranked.
+LEAST_QUOTED = 0.95
 FORWARD_WINDOWS = frozenset((3, 5, 10, 20, 21, 30, 60, 120))
 
 
@@ -77,6 +80,63 @@ def predictions(panel: DataFrame, factors: dict[str, dict], n: int, as_of=None)
     return picks if as_of is None else picks.where(F.col("date") == F.lit(as_of))
 
 
+def build_state(prices: DataFrame, spec: dict, listed: int | None = None) -> tuple[DataFrame, dict]:
+    """The panel with ``eligible`` and ``composite``, and the funnel of its last session.
+
+    ``listed`` is the number of symbols there should be (those of ``prices`` if None). A session in which too few of them are
+    quoted is incomplete, and is refused; so are prices without rows.
+    """
+    panel = eligible(apply_sealed(build(prices)), **{"window": spec.get("liquidity_window", 60), **spec.get("universe", {})})
+    validate_spec(spec, panel.columns)
+    last = panel.agg(F.max("date")).first()[0]
+    if last is None:
+        raise ValueError("prices have no rows")
+    counts = funnel(panel, last).first().asDict()
+    listed = counts["listed"] if listed is None else listed
+    if counts["quoted"] < LEAST_QUOTED * listed:
+        raise ValueError(f"only {counts['quoted']} of {listed} listed symbols are quoted on {last}")
+    return composite(panel, spec["factors"]), counts
+
+
+def read_record(path: str) -> list[dict]:
+    """Entries of a local record, one a session; lines that can't be read are left out."""
+    rows = []
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                try:
+                    rows.append(json.loads(line))
+                except json.JSONDecodeError:
+                    continue
+    return [r for r in rows if isinstance(r, dict)]
+
+
+def publish_pick(state: DataFrame, spec: dict, folder: str, published_at: str, computed_by: str, dry_run: bool = False) -> tuple[int, dict | None]:
+    """Put the last session's best name on record, once: an exit code and the entry.
+
+    0: written, only tried, or on record already with this name; 1: no name is eligible; 2: on record with another name, which stays.
+    """
+    today = state.where(F.col("date") == F.lit(state.agg(F.max("date")).first()[0]))
+    best = top_names(today, "composite", 1).where("place = 1").first()  # one row
+    if best is None:
+        return 1, None
+    entry = {
+        "as_of": str(best["date"]), "symbol": best["symbol"], "buy_at": "open of the next session", "composite": round(best["composite"], 6), "close": None if best["close"] is None else round(best["close"], 4),
+        "eligible_names": today.where("eligible").count(), "spec_sha256": spec["spec_sha256"], "published_at": published_at, "computed_by": computed_by, "status": "research_only", "orders": [],
+    }
+    if dry_run:
+        return 0, entry
+    record = os.path.join(folder, "picks.jsonl")
+    same = [r for r in read_record(record) if (r.get("as_of"), r.get("spec_sha256")) == (entry["as_of"], entry["spec_sha256"])]
+    if same:
+        return (0 if same[0].get("symbol") == entry["symbol"] else 2), entry
+    os.makedirs(folder, exist_ok=True)
+    with open(record, "a", encoding="utf-8") as f:
+        f.write(json.dumps(entry, ensure_ascii=False) + "\n")
+    write_json(entry, os.path.join(folder, "latest.json"))
+    return 0, entry
+
+
 LOG = "data_as_of date, spec_sha256 string, picks array<string>, horizon int"
 
 
@@ -150,4 +210,4 @@ def staleness(picks: DataFrame, today: str) -> DataFrame:
     return picks.agg(days.alias("days"), (days > STALE_DAYS).alias("stale"))
 
 
-__all__ = ["append_predictions", "composite", "compounded", "freeze_spec", "load_spec", "predictions", "read_log", "record_summary", "rotation", "score_log", "span_return", "spec_digest", "staleness", "validate_spec", "write_json"]
+__all__ = ["append_predictions", "build_state", "composite", "compounded", "freeze_spec", "load_spec", "predictions", "publish_pick", "read_log", "read_record", "record_summary", "rotation", "score_log", "span_return", "spec_digest", "staleness", "validate_spec", "write_json"]

@@ -279,6 +279,34 @@ def test_predictions_are_appended_once(spark, tmp_path):
     assert forward.read_log(spark, path).count() == 2
 
 
+def test_picks_are_published_once(spark, tmp_path):
+    prices, _ = readers.synthetic_market(spark, 80, 6, 5)
+    prices = prices.persist()
+    spec = {"factors": {"m": dsl.roll("sum", dsl.f("returns"), 20)}, "top_n": 1, "horizon": 1, "liquidity_window": 20}
+    spec |= {"spec_sha256": forward.spec_digest(spec)}
+    state, funnel = forward.build_state(prices, spec, 6)
+    rows = state.where("eligible and composite is not null").select("date", "symbol", "composite").toPandas()
+    last = rows[rows["date"] == rows["date"].max()].sort_values(["composite", "symbol"], ascending=[False, True])
+    assert funnel["eligible"] == len(last)
+
+    folder = f"{tmp_path}/record"
+    code, entry = forward.publish_pick(state, spec, folder, "now", "here", dry_run=True)
+    assert code == 0 and not forward.read_record(f"{folder}/picks.jsonl")
+    assert entry["symbol"] == last.iloc[0]["symbol"] and entry["as_of"] == str(last.iloc[0]["date"]) and entry["eligible_names"] == len(last)
+    assert forward.publish_pick(state, spec, folder, "now", "here") == (0, entry)
+    assert forward.publish_pick(state, spec, folder, "later", "here")[0] == 0  # reproduced, not written again
+    assert forward.read_record(f"{folder}/picks.jsonl") == [entry]
+    with open(f"{folder}/picks.jsonl", "w") as f:
+        f.write("{broken\n" + json.dumps(entry | {"symbol": "another"}) + "\n")
+    assert forward.publish_pick(state, spec, folder, "now", "here")[0] == 2
+    assert [r["symbol"] for r in forward.read_record(f"{folder}/picks.jsonl")] == ["another"]
+    assert forward.publish_pick(state.withColumn("composite", F.lit(None).cast("double")), spec, folder, "now", "here") == (1, None)
+    with pytest.raises(ValueError):
+        forward.build_state(prices, spec, 7)  # 6 of 7 is under 95 %
+    with pytest.raises(ValueError):
+        forward.build_state(prices.where("false"), spec)
+
+
 def test_doctor_blocks_and_warns(spark):
     prices, statements = readers.synthetic_market(spark, 310, 4, 5)
     good = doctor.audit(prices, statements)
