@@ -80,11 +80,11 @@ def predictions(panel: DataFrame, factors: dict[str, dict], n: int, as_of=None)
     return picks if as_of is None else picks.where(F.col("date") == F.lit(as_of))
 
 
-def build_state(prices: DataFrame, spec: dict, listed: int | None = None) -> tuple[DataFrame, dict]:
+def build_state(prices: DataFrame, spec: dict, listed: int | None = None, least_quoted: float = LEAST_QUOTED) -> tuple[DataFrame, dict]:
     """The panel with ``eligible`` and ``composite``, and the funnel of its last session.
 
-    ``listed`` is the number of symbols there should be (those of ``prices`` if None). A session in which too few of them are
-    quoted is incomplete, and is refused; so are prices without rows.
+    ``listed`` is the number of symbols there should be (those of ``prices`` if None). A session in which less than the share
+    ``least_quoted`` of them is quoted is incomplete, and is refused; so are prices without rows.
     """
     panel = eligible(apply_sealed(build(prices)), **{"window": spec.get("liquidity_window", 60), **spec.get("universe", {})})
     validate_spec(spec, panel.columns)
@@ -93,7 +93,7 @@ def build_state(prices: DataFrame, spec: dict, listed: int | None = None) -> tup
         raise ValueError("prices have no rows")
     counts = funnel(panel, last).first().asDict()
     listed = counts["listed"] if listed is None else listed
-    if counts["quoted"] < LEAST_QUOTED * listed:
+    if counts["quoted"] < least_quoted * listed:
         raise ValueError(f"only {counts['quoted']} of {listed} listed symbols are quoted on {last}")
     return composite(panel, spec["factors"]), counts
 
