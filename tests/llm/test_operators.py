@@ -610,6 +610,28 @@ def test_url_filter(spark):
     assert urlfilter.evaluate(frame, listed.limit(0)).where("blocked").count() == 0 and urlfilter.evaluate(frame.limit(0), listed).count() == 0
 
 
+def test_url_filter_on_hot_hosts_nulls_and_clashing_names(spark):
+    """One host with most captures, many without URL or time, a long path and columns named as the operator's own."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        url = "if(id % 3 = 0, null, concat(if(id % 5 = 0, 'http://a.b.c.hot.org/', 'http://hot.org/'), if(id % 7 = 0, 'p/q', repeat('x/', 2000))))"
+        frame = spark.range(600).selectExpr("id as page_id", f"{url} as url", "if(id % 4 = 0, null, date'2024-01-05') as fetched_at", "'u' as _u", "id as _spread", "'h' as host", "id as _c0", "'k' as key", "map(1, 2) as m")
+        listed = spark.createDataFrame([("a", "h:b.c.hot.org", "add", pd.Timestamp("2024-01-01").date()), ("p", "p:hot.org/p", "add", pd.Timestamp("2024-01-01").date())], "list string, key string, action string, effective_at date")
+        got = urlfilter.evaluate(frame, listed)
+        assert got.columns == ["page_id", "url", "fetched_at", "_u", "_spread", "_c0", "key", "m", "host", "n_active", "lists", "blocked"]
+        rows = {r["page_id"]: r for r in got.collect()}
+        assert len(rows) == 600
+        for k, r in rows.items():
+            seen = k % 3 and k % 4
+            want = [n for n, c in (("a", k % 5 == 0), ("p", k % 5 and k % 7 == 0)) if seen and c]
+            assert (r["lists"], r["n_active"], r["_spread"], r["_c0"]) == (",".join(want), len(want), k, k)
+            assert r["host"] == (None if k % 3 == 0 else "a.b.c.hot.org" if k % 5 == 0 else "hot.org")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_url_filter_matches_sql(spark, sf_dir):
     from oracle import both, connection
 
