@@ -12,7 +12,8 @@ content, so that no text need be compared with all others:
    again) and the common prefixes by Kasai's walk. Suffixes with ``least`` bytes in common repeat.
    An anchor with more blocks than ``SHARD_BLOCKS`` is dealt over several shards; each hands on its
    different strings as sorted digests, which a merge looks up in one another by binary search.
-3. The repeated starts of each kind of block go back to the texts that have it, as runs.
+3. The repeated starts of each kind of block go back to the texts that have it, as runs. A kind that holds a
+   thousandth of all blocks or more (so there are a thousand at most) has its copies dealt over ``SALTS`` tasks.
 
 Matches never cross documents and are judged on the input. Cases: null and empty texts have no bytes;
 texts shorter than ``least`` lose none; null ids and repeated rows are documents like any other (two equal
@@ -23,6 +24,7 @@ rows repeat each other); an empty table gives no rows; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,9 @@ SHARD_BLOCKS = 128
 SHARD_BYTES = 500_000
 #: Shards of one anchor for each range of digests in which they are merged.
 SPAN_SHARDS = 16
+#: Kinds of block with this share of all blocks are dealt over so many tasks.
+HOT_SHARE = 1e-3
+SALTS = 32
 _MUL, _MUL2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes that are hashed at a time, so that the arrays stay in a core's cache.
 _CHUNK = 1 << 17
@@ -297,13 +302,15 @@ def _shards(least: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        size, last = 0, None
+        size, last, block = 0, None, None
         for pdf in batches:
             for r in pdf[["anchor", "block", "part", "parts", "places", "bytes"]].itertuples(index=False, name=None):
                 if size > SHARD_BYTES and (r[0], r[2]) != last:
                     yield solve(held)
                     held, size = [], 0
-                last = (r[0], r[2])
+                if (r[0], r[2]) == last and r[1] == block:  # the block of a repeated row, which repeats wholly
+                    continue
+                last, block = (r[0], r[2]), r[1]
                 held.append(r)
                 size += len(r[5])
         if held:
@@ -358,8 +365,14 @@ def repeated_runs(keyed: DataFrame, least: int) -> DataFrame:
 
     runs = whole.unionByName(inner).unionByName(across)
     runs = runs.select("anchor", "block", F.explode(F.arrays_zip("run_first", "run_last")).alias("run"))
-    hits = found.join(runs, ["anchor", "block"]).select("doc_id", "text_key", F.struct((F.col("first") + F.col("run.run_first")).alias("a"), (F.col("first") + F.col("run.run_last")).alias("b")).alias("run"))
-    return hits.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
+    least_n = max(2, math.ceil(HOT_SHARE * found.count()))
+    hot = F.broadcast(kinds.where(F.col("n") >= least_n).select("anchor", "block", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    runs = runs.join(hot, ["anchor", "block"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    copies = found.join(hot, ["anchor", "block"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "first"), salts).cast("int")).drop("salts")
+    hits = copies.join(runs, ["anchor", "block", "salt"]).select("doc_id", "text_key", F.struct((F.col("first") + F.col("run.run_first")).alias("a"), (F.col("first") + F.col("run.run_last")).alias("b")).alias("run"))
+    # rows that repeat with their id have one set of runs
+    return hits.groupBy("doc_id", "text_key").agg(F.collect_set("run").alias("runs"))
 
 
 def _with_runs(rows: DataFrame, least: int) -> DataFrame:

@@ -561,6 +561,17 @@ def test_suffix_array_dedup_without_repeats(spark):
     assert got.where("n_removed = 0 and n_spans = 0 and n_bytes = 1100").count() == 9
 
 
+def test_suffix_array_dedup_of_rows_that_repeat(spark):
+    """A third of the rows is one row without id, a third has one text, and the others share parts of it."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    row, hot = text(900), text(1200)
+    rows = [(None, row)] * 100 + [(k, hot) for k in range(100)] + [(k, text(100) + (row if k % 2 else hot)[k : k + 380 + k % 60] + text(100)) for k in range(100, 200)]
+    got = suffixdedup.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    want = Counter((i, *m) for (i, _), m in zip(rows, removals([x for _, x in rows], 400)))
+    assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_merge_compares_both_numbers():
     kind = [("a", np.uint64), ("b", np.uint64)]
     lists = [[(1, 1), (1, 2), (5, 5)], [(1, 2), (1, 3), (5, 6)], [(1, 3), (9, 9)]]
