@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import crf, decontaminate, packing, quality, shinglejoin, suffixdedup, suffixtree, templates, tokenfiles, urlfilter
+from panelforge.llm import crf, decontaminate, divergence, importance, packing, piecetable, quality, shinglejoin, suffixdedup, suffixtree, templates, tokenfiles, urlfilter
 from panelforge.llm.common import fresh_path, table
 
 
@@ -17,6 +17,12 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents"))
 
@@ -104,9 +110,80 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+texts AS (
+  SELECT 0 AS origin, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+split AS (
+  SELECT row_number() OVER () AS r, origin, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts),
+held AS (SELECT r, origin, word, count(*) AS n FROM (SELECT r, origin, unnest(words) AS word FROM split) GROUP BY ALL),
+raw AS (
+  SELECT word, list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT word FROM held)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM raw, crc),
+counts AS (
+  SELECT bucket, sum(n) FILTER (origin = 0) AS s, sum(n) FILTER (origin = 1) AS t FROM held JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * (sum(s) OVER () + 10000)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+  FROM counts),
+weights AS (SELECT r, sum(n * gain) AS weight FROM held JOIN hashed USING (word) JOIN gains USING (bucket) WHERE origin = 0 GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (r) WHERE origin = 0),
+ordered AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN place <= 10 * n // 100 THEN place END AS BIGINT) AS rank
+FROM scored LEFT JOIN ordered USING (r)
+"""
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecetable.digests(table(spark, sf_dir, "documents"), piece_path())
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+held AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(terms) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n_lang, sum(sum(n)) OVER (PARTITION BY lang) AS all_lang, count(*) OVER (PARTITION BY lang) AS v FROM held GROUP BY lang, term HAVING count(*) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, sum(coalesce(h.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, n_lang, all_lang, v
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM held GROUP BY ALL) h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+p AS (
+  SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (total + 5 * v) AS BIGINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (n_lang + 5)) // (all_lang + 5 * v) AS BIGINT) AS q
+  FROM cells),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_temporal_url_filter": OP9_SQL}
+    return {"op9_temporal_url_filter": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op13_source_divergence": OP13_SQL}
