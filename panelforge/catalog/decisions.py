@@ -10,6 +10,7 @@ from panelforge.catalog.frames import MOMENTUM, STATEMENTS, r6
 from panelforge.catalog.sql import BARS, PANEL, pct_rank, rolling, rolling_corr
 from panelforge.catalog.statistics import DIFF
 from panelforge.functions.columns import pct_rank as rank_of
+from panelforge.functions.streams import PRIME, mixed_sql
 from panelforge.operators import decision, doctor, evidence, forward, mechanisms, registries
 from panelforge.plans import dsl
 from panelforge.sources import testbed
@@ -47,33 +48,59 @@ def observed(spark, d):
     return evidence.observed_means(evidence.complete_cases(testbed.type_returns(spark, d))).withColumn("observed", F.round("observed", 9) + 0.0)
 
 
+DESIGN = evidence.BootstrapDesign(repetitions=2000, block_length=6)
+_SHARED: dict = {}
+
+
 def _bootstrap(spark, d):
-    cases = evidence.complete_cases(testbed.type_returns(spark, d))
-    n = cases.select("t").distinct().count()
-    design = evidence.BootstrapDesign(repetitions=2000, block_length=6)
-    design.validate(n)
-    return evidence.resampled_means(cases, evidence.visit_counts(spark, n, design), n), evidence.observed_means(cases)
+    """Resampled and observed means of one bootstrap, which the session's evidence queries share."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _SHARED:
+        cases = evidence.complete_cases(testbed.type_returns(spark, d)).persist()
+        n = cases.select("t").distinct().count()
+        DESIGN.validate(n)
+        _SHARED[key] = n, evidence.resampled_means(cases, n, DESIGN).persist(), evidence.observed_means(cases).persist()
+    return _SHARED[key]
+
+
+_VISITS = f"""{CASES}, num AS (SELECT count(DISTINCT date) AS n FROM cases), tt AS (SELECT candidate, d, dense_rank() OVER (ORDER BY date) - 1 AS t FROM cases),
+rk0 AS (SELECT rep, {mixed_sql('rep', str(DESIGN.seed))} AS key FROM range({DESIGN.repetitions}) r(rep)),
+st0 AS (SELECT rep, key, unnest(range(n)) AS k, n FROM rk0, num),
+st1 AS (SELECT rep, k, n, k = 0 OR {mixed_sql('2 * k', 'key')} * {DESIGN.block_length} < {PRIME} AS begins, {mixed_sql('2 * k + 1', 'key')} % n AS start FROM st0),
+st2 AS (SELECT rep, (k + last_value(CASE WHEN begins THEN start - k END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY k) + n) % n AS t FROM st1),
+visits AS MATERIALIZED (SELECT rep, t, count(*) AS visits FROM st2 GROUP BY 1, 2)"""
+_MEANS = f"""{_VISITS}, means AS MATERIALIZED (SELECT rep, candidate, sum(visits * d) / (SELECT n FROM num) AS mean FROM visits JOIN tt USING (t) GROUP BY 1, 2),
+obs AS (SELECT candidate, avg(d) AS observed, count(*) AS n FROM cases GROUP BY 1)"""
 
 
-@query("M02_bootstrap_means")
+@query("M02_bootstrap_visits", f"WITH {_VISITS} SELECT rep, t, visits FROM visits")
+def bootstrap_visits(spark, d):
+    n = _bootstrap(spark, d)[0]
+    return evidence.visit_counts(spark, n, DESIGN).select("rep", F.inline(F.arrays_zip("t", "visits")))
+
+
+@query("M02_bootstrap_means", f"WITH {_MEANS} SELECT rep, candidate, round(mean, 9) + 0.0 AS mean FROM means")
 def bootstrap_means(spark, d):
-    return _bootstrap(spark, d)[0]
+    return _bootstrap(spark, d)[1].withColumn("mean", F.round("mean", 9) + 0.0)
 
 
-@query("M04_intervals")
+@query("M04_intervals", f"WITH {_MEANS}, q AS (SELECT candidate, stddev_samp(mean) AS se, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY 1) SELECT candidate, round(observed, 6) + 0.0 AS observed, round(se, 6) AS se, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM q JOIN obs USING (candidate)")
 def intervals(spark, d):
-    means, own = _bootstrap(spark, d)
-    return evidence.intervals(means, own)
+    return r6(evidence.intervals(*_bootstrap(spark, d)[1:]))
 
 
-@query("M05_reality_check")
+@query("M05_reality_check", f"WITH {_MEANS}, own AS (SELECT max(sqrt(n) * observed) AS statistic FROM obs), nul AS (SELECT rep, max(sqrt(n) * (mean - observed)) AS v FROM means JOIN obs USING (candidate) GROUP BY rep) SELECT round(statistic, 6) + 0.0 AS statistic, (1 + (SELECT count(*) FILTER (WHERE v >= statistic) FROM nul)) / ((SELECT count(*) FROM nul) + 1) AS p_value FROM own")
 def reality_check(spark, d):
-    return evidence.reality_check(*_bootstrap(spark, d))
+    return r6(evidence.reality_check(*_bootstrap(spark, d)[1:]), "p_value")
 
 
-@query("M06_step_down")
+@query("M06_step_down", f"""WITH {_MEANS}, se AS (SELECT candidate, stddev_samp(mean) AS se FROM means GROUP BY 1),
+tv AS (SELECT *, row_number() OVER (ORDER BY t DESC NULLS LAST, candidate) AS place FROM (SELECT candidate, observed, CASE WHEN se > 1e-15 THEN se END AS se, CASE WHEN se > 1e-15 THEN observed / se END AS t FROM obs JOIN se USING (candidate))),
+z AS (SELECT rep, candidate, t, max((mean - observed) / se) OVER (PARTITION BY rep ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ref FROM means JOIN tv USING (candidate) WHERE t IS NOT NULL),
+p AS (SELECT candidate, (1 + count(*) FILTER (WHERE ref >= t)) / (count(*) + 1) AS p FROM z GROUP BY 1)
+SELECT candidate, round(observed, 6) + 0.0 AS observed, round(t, 6) + 0.0 AS t, CAST(place AS INTEGER) AS place, max(coalesce(p, 1)) OVER (ORDER BY place) AS p_adjusted FROM tv LEFT JOIN p USING (candidate)""")
 def step_down(spark, d):
-    return evidence.step_down(*_bootstrap(spark, d))
+    return r6(evidence.step_down(*_bootstrap(spark, d)[1:]), "p_adjusted")
 
 
 _PV = f"{DIFF}, pv AS (SELECT candidate, 1 / (1 + 10 * abs(avg(d) / nullif(stddev_samp(d), 0))) AS p FROM diff GROUP BY candidate), pk AS (SELECT *, row_number() OVER (ORDER BY p, candidate) AS rk, count(*) OVER () AS m FROM pv), pq AS (SELECT *, min(p * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING) AS q, sum(1.0 / rk) OVER () AS h FROM pk)"
@@ -85,10 +112,14 @@ def false_discovery(spark, d):
     return r6(evidence.false_discovery(testbed.type_returns(spark, d).groupBy("candidate").agg((1 / (1 + 10 * v)).alias("p"))))
 
 
-@query("A02_M10_differentials", "WITH w AS (SELECT CAST(ts AS DATE) AS date, avg(value) FILTER (WHERE event_type = 'view') AS b, avg(value) FILTER (WHERE event_type = 'click') AS click, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY 1) SELECT date, 'click' AS candidate, round(click - b, 6) + 0.0 AS d FROM w UNION ALL SELECT date, 'purchase', round(purchase - b, 6) + 0.0 FROM w")
+_EVENT_DIFF = "ev AS (SELECT CAST(ts AS DATE) AS date, event_type, avg(value) AS v FROM events GROUP BY 1, 2), evd AS (SELECT DISTINCT date FROM ev), evt AS (SELECT DISTINCT event_type FROM ev WHERE event_type <> 'view')"
+
+
+@query("A02_M10_differentials", f"WITH {_EVENT_DIFF} SELECT evd.date, evt.event_type AS candidate, round(a.v - b.v, 6) + 0.0 AS d FROM evd CROSS JOIN evt LEFT JOIN ev a ON a.date = evd.date AND a.event_type = evt.event_type LEFT JOIN ev b ON b.date = evd.date AND b.event_type = 'view'")
 def differentials(spark, d):
-    e = testbed.table(spark, d, "events").where("event_type in ('view', 'click', 'purchase')")
-    wide = e.groupBy(F.col("ts").cast("date").alias("date")).pivot("event_type", ["view", "click", "purchase"]).agg(F.avg("value"))
+    e = testbed.table(spark, d, "events")
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # the table's columns
+    wide = e.groupBy(F.col("ts").cast("date").alias("date")).pivot("event_type", kinds).agg(F.avg("value"))
     return r6(evidence.differentials_of(wide, "view"))
 
 
@@ -123,21 +154,43 @@ def pairs(spark, d):
     return r6(_pairs(spark, d).withColumn("mass", F.round("mass", 9)), "mass")
 
 
-@query("K03_pairwise_weights")
+def _halvings(dates: str, replica: str) -> str:
+    """The weight of the first of two factors by bisection of the loss's slope along the simplex, for each replica."""
+    slope = "sum(w * (-1 / (1 + exp(f1 * m + f2 * (1 - m)))) * (f1 - f2)) / sum(w) + 0.4 * (any_value(m) - 0.5)"
+    steps = [f"fitted AS MATERIALIZED (SELECT {replica} AS replica, f1, f2, 1.0 AS w FROM pairs {dates}), b0 AS (SELECT DISTINCT replica, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM fitted)"]
+    for i in range(36):
+        at = f"SELECT b.replica, b.lo, b.hi, (b.lo + b.hi) / 2 AS m, f1, f2, w FROM b{i} b JOIN fitted f ON b.replica = f.replica"
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT replica, CASE WHEN g > 0 THEN lo ELSE m END AS lo, CASE WHEN g > 0 THEN m ELSE hi END AS hi FROM (SELECT replica, any_value(lo) AS lo, any_value(hi) AS hi, any_value(m) AS m, {slope} AS g FROM ({at}) GROUP BY replica))")
+    return ", ".join([*steps, "weight AS (SELECT replica, (lo + hi) / 2 AS w1 FROM b36)"])
+
+
+@query("K03_pairwise_weights", f"WITH {_PAIRS}, {_halvings('', '0')} SELECT 'f1' AS factor, round(w1, 6) AS weight FROM weight UNION ALL SELECT 'f2', round(1 - w1, 6) FROM weight")
 def pairwise_weights(spark, d):
-    w = decision.fit_pairwise(decision.pairwise_sums(_pairs(spark, d), _FACTORS), _FACTORS, np.array([0.5, 0.5]))
-    return spark.createDataFrame(list(zip(_FACTORS, map(float, w))), "factor string, weight double")
+    w = decision.fit_pairwise(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]))
+    return r6(spark.createDataFrame(list(zip(_FACTORS, map(float, w))), "factor string, weight double"))
+
+
+def _blocks(dates: str, share: float, block: int, seed: int, replicas: int) -> str:
+    return f"""dy AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) // {block} AS block FROM (SELECT DISTINCT date FROM {dates})),
+bk AS (SELECT replica, block, row_number() OVER (PARTITION BY replica ORDER BY md5('{seed}|' || replica || '|' || block), block) AS nth, count(*) OVER (PARTITION BY replica) AS n FROM (SELECT DISTINCT block FROM dy), range({replicas}) r(replica)),
+chosen AS (SELECT CAST(replica AS INTEGER) AS replica, date FROM dy JOIN bk USING (block) WHERE nth <= ceil(round({share} * n, 9)))"""
+
+
+@query("K04_replica_weights", f"WITH {_PAIRS}, {_blocks('pairs', 0.8, 21, 7, 5)}, {_halvings('JOIN chosen ON pairs.date = chosen.date', 'chosen.replica')} SELECT replica, round(w1, 6) AS f1, round(1 - w1, 6) AS f2 FROM weight")
+def replica_weights(spark, d):
+    w = decision.replica_weights(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]))
+    return r6(spark.createDataFrame([(r, *map(float, x)) for r, x in enumerate(w)], "replica int, f1 double, f2 double"))
 
 
-@query("K04_weight_ensemble")
+@query("K04_weight_ensemble", f"""WITH {_PAIRS}, {_blocks('pairs', 0.8, 21, 7, 5)}, {_halvings('JOIN chosen ON pairs.date = chosen.date', 'chosen.replica')}, each AS (SELECT 'f1' AS factor, w1 AS w FROM weight UNION ALL SELECT 'f2', 1 - w1 FROM weight)
+SELECT factor, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS std, round(min(w), 6) AS low, round(max(w), 6) AS high FROM each GROUP BY factor""")
 def ensemble(spark, d):
-    return decision.weight_ensemble(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]))
+    return r6(decision.weight_ensemble(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5])))
 
 
-@query("V04_block_dates")
+@query("V04_block_dates", f"WITH {BARS}, {_blocks('bars', 0.5, 20, 7, 3)} SELECT replica, date FROM chosen")
 def block_dates(spark, d):
-    dates = [r[0] for r in testbed.bars(spark, d).select("date").distinct().orderBy("date").collect()]
-    return spark.createDataFrame([(x,) for x in decision.block_dates(dates, 0.5, 20, 7)], "date date")
+    return decision.block_dates(testbed.bars(spark, d), 0.5, 20, 7, 3)
 
 
 _CAL = f"{_BOOK}, cal0 AS (SELECT date, f1 AS score, CAST(outcome > 0 AS DOUBLE) AS event FROM book WHERE f1 IS NOT NULL AND outcome IS NOT NULL), cal AS (SELECT *, 1.0 / ((SELECT count(DISTINCT date) FROM cal0) * count(*) OVER (PARTITION BY date)) AS mass FROM cal0)"

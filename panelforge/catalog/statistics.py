@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.catalog.frames import MOMENTUM, r6, signal_panel
 from panelforge.catalog.sql import NEUTRAL, NEUTRAL_BOOK, PANEL, SIGNAL, TS, corr, pct_rank
 from panelforge.functions import columns as C
-from panelforge.operators import evaluate, overfit, portfolio, validate
+from panelforge.operators import evaluate, overfit, placebos, portfolio, validate
 from panelforge.operators import panel as P
 from panelforge.plans import discovery, dsl
 from panelforge.sources import testbed
@@ -172,13 +172,39 @@ def deflated(spark, d):
 
 @query("G03_placebo_groups", f"WITH {PANEL}, c AS (SELECT *, CASE WHEN market_cap > 0 THEN market_cap END AS mc FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mc ASC NULLS LAST, symbol) AS r, count(mc) OVER (PARTITION BY date) AS n FROM c), b AS (SELECT date, symbol, industry, CASE WHEN mc IS NOT NULL THEN CAST(coalesce(greatest(ceil((r - 1) * 5 / nullif(n - 1, 0)), 1) - 1, 0) AS INTEGER) END AS bucket FROM k) SELECT *, count(*) OVER (PARTITION BY date, industry, bucket) AS members FROM b")
 def placebo_groups(spark, d):
-    return overfit.placebo_groups(testbed.panel(spark, d)).select("date", "symbol", "industry", "bucket", "members")
+    return placebos.placebo_groups(testbed.panel(spark, d)).select("date", "symbol", "industry", "bucket", "members")
+
+
+REPETITIONS, SEED = 40, 7
+_MIX = f"1 + (rep * {placebos.STEP_A} + {placebos.STEP_B}) % {placebos.PRIME - 1}"
+_PLACEBO = f"""{NEUTRAL}, cap AS (SELECT *, CASE WHEN market_cap > 0 THEN market_cap END AS mc FROM weights),
+nth AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mc ASC NULLS LAST, symbol) AS nth, count(mc) OVER (PARTITION BY date) AS nn FROM cap),
+cell AS (SELECT date, session_index, symbol, one_day, desired, industry, CASE WHEN mc IS NOT NULL THEN CAST(coalesce(greatest(ceil((nth - 1) * 5 / nullif(nn - 1, 0)), 1) - 1, 0) AS INTEGER) END AS bucket,
+         CAST('0x' || substr(md5('{SEED}|' || symbol || '|' || CAST(date AS VARCHAR)), 1, 7) AS BIGINT) AS own FROM nth),
+fan AS (SELECT cell.*, rep, {_MIX} AS f FROM cell, range(1, {REPETITIONS + 1}) r(rep)),
+keyed AS (SELECT *, (((own * f % {placebos.PRIME}) * (own * f % {placebos.PRIME}) + own) % {placebos.PRIME}) * f % {placebos.PRIME} AS k FROM fan),
+placed AS (SELECT *, row_number() OVER (PARTITION BY rep, date, industry, bucket ORDER BY symbol) AS a, row_number() OVER (PARTITION BY rep, date, industry, bucket ORDER BY k, symbol) AS b FROM keyed),
+dealt AS (SELECT t.rep, t.date, t.symbol, t.one_day, s.desired FROM placed t JOIN placed s ON t.rep = s.rep AND t.date = s.date AND t.industry IS NOT DISTINCT FROM s.industry AND t.bucket IS NOT DISTINCT FROM s.bucket AND t.b = s.a
+          UNION ALL SELECT 0, date, symbol, one_day, desired FROM cell),
+eff AS (SELECT *, avg(desired) OVER (PARTITION BY rep, symbol ORDER BY date ROWS {HORIZON - 1} PRECEDING) AS effective FROM dealt),
+mov AS (SELECT *, abs(effective - lag(effective, 1, 0) OVER (PARTITION BY rep, symbol ORDER BY date)) AS moved FROM eff),
+days AS (SELECT rep, date, coalesce(sum(effective * one_day), 0) - sum(moved) * {COST} / 2 AS costed FROM mov GROUP BY 1, 2),
+placebo AS (SELECT rep, avg(costed) AS statistic FROM days GROUP BY rep)"""
+
+
+def _permutations(spark, d):
+    w = portfolio.neutral_weights(signal_panel(spark, d), "signal")
+    return placebos.permutation_test(w, HORIZON, COST, REPETITIONS, SEED)
+
+
+@query("O01_placebo_statistics", f"WITH {_PLACEBO} SELECT rep AS repetition, round(statistic, 9) + 0.0 AS statistic FROM placebo")
+def placebo_statistics(spark, d):
+    return _permutations(spark, d).withColumn("statistic", F.round("statistic", 9) + 0.0)
 
 
-@query("O01_permutation_test")
+@query("O01_permutation_test", f"WITH {_PLACEBO}, o AS (SELECT statistic AS own FROM placebo WHERE rep = 0) SELECT (1 + count(*) FILTER (WHERE statistic >= own)) / (count(*) + 1) AS p_value, count(*) AS repetitions FROM placebo, o WHERE rep > 0")
 def permutation(spark, d):
-    w = portfolio.neutral_weights(signal_panel(spark, d), "signal")
-    return overfit.permutation_p(overfit.permutation_test(w, HORIZON, COST, 40, 7))
+    return placebos.permutation_p(_permutations(spark, d))
 
 
 _ALT = {"momentum": MOMENTUM, "reversal": dsl.unary("neg", dsl.roll("sum", dsl.f("returns"), 5)), "volume": dsl.f("volume")}
@@ -190,11 +216,6 @@ def behaviour(spark, d):
     return r6(overfit.pairwise_correlations(p, list(_ALT)))
 
 
-@query("O09_selection_artifact")
-def artifact(spark, d):
-    return overfit.selection_artifact(spark)
-
-
 @query("O10_counter_direction", f"WITH {_ic(SIGNAL, 'volume')} SELECT count(ic) AS sessions, round(avg(ic), 6) + 0.0 AS mean_ic, CASE WHEN count(ic) >= 60 THEN CASE WHEN avg(ic) >= 0 THEN 1 ELSE -1 END END AS direction FROM ic")
 def counter(spark, d):
     return r6(evaluate.train_score(signal_panel(spark, d), "volume", "target"))

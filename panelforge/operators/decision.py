@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def bounded_simplex(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """The closest weights that sum to 1 within the bounds, by bisection on the shift."""
+    """The closest weights that sum to 1 within the bounds: all less one shift, cut at the bounds."""
     v = np.asarray(v, float)
     if low * len(v) > 1 + 1e-12 or high * len(v) < 1 - 1e-12:
         raise ValueError("no weights within these bounds sum to 1")
-    a, b = v.min() - high - 1, v.max() - low + 1
-    for _ in range(200):
-        mid = (a + b) / 2
-        a, b = (mid, b) if np.clip(v - mid, low, high).sum() > 1 else (a, mid)
-    return np.clip(v - (a + b) / 2, low, high)
+    # the sum falls in the shift, along straight lines between the shifts at which a weight leaves a bound
+    bends = np.unique(np.concatenate([v - high, v - low]))
+    sums = np.clip(v[None, :] - bends[:, None], low, high).sum(1)
+    at = int(np.searchsorted(-sums, -1.0))
+    if at == 0 or at == len(bends):
+        return np.clip(v - bends[min(at, len(bends) - 1)], low, high)
+    fall = sums[at - 1] - sums[at]
+    shift = bends[at - 1] + (bends[at] - bends[at - 1]) * ((sums[at - 1] - 1) / fall if fall > 0 else 0.0)
+    return np.clip(v - shift, low, high)
 
 
 def pairs(book: DataFrame, factors: list[str], k: int, boundary: int, outcome: str = "outcome", loss: float = 0.0, severe: float = -1e9, penalty: float = 0.0, severe_penalty: float = 0.0, least: int = 0) -> DataFrame:
@@ -41,53 +46,136 @@ def pairs(book: DataFrame, factors: list[str], k: int, boundary: int, outcome: s
     return both.withColumn("mass", F.lit(1.0 / (k * boundary * max(1, dates))))
 
 
-def pairwise_sums(pairs_: DataFrame, factors: list[str]) -> pd.DataFrame:
-    """Equal differences with their mass: what the fit needs, one row a distinct difference."""
-    return pairs_.groupBy(*factors).agg(F.sum("mass").alias("mass")).toPandas()
-
-
-def fit_pairwise(rows: pd.DataFrame, factors: list[str], prior: np.ndarray, ridge: float = 0.1, low: float = 0.0, high: float = 1.0, steps: int = 2000) -> np.ndarray:
-    """Projected gradient on the logistic loss of differences around a prior; the step follows from the Lipschitz bound."""
-    d, w = rows[factors].to_numpy(float), rows["mass"].to_numpy(float)
-    beta = bounded_simplex(prior, low, high)
-    step = 1.0 / (0.25 * np.linalg.eigvalsh((d * w[:, None]).T @ d)[-1] + 2 * ridge)
+def pairwise_sums(pairs_: DataFrame, factors: list[str], weights: np.ndarray) -> list[dict]:
+    """What a step of the fit needs of all pairs, for several weight vectors at once, in one job.
+
+    ``weights`` has a row a replica; a pair counts for those in its array column ``replicas``. Every task adds up its own
+    pairs; per replica the driver gets mass, loss, gradient and curvature (both of the data alone, not yet divided by mass).
+    """
+    k, n = len(factors), len(weights)
+    upper = np.triu_indices(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, 2 + k + len(upper[0])))
+        for batch in batches:
+            d = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in factors], 1)
+            counted = np.zeros((len(d), n))
+            lists = batch.column("replicas")
+            counted[np.repeat(np.arange(len(d)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)] = 1.0
+            w = counted * batch.column("mass").to_numpy(zero_copy_only=False)[:, None]
+            z = d @ weights.T
+            p = 1.0 / (1.0 + np.exp(np.clip(z, -500, 500)))  # of the pair being the wrong way round
+            total[:, 0] += w.sum(0)
+            total[:, 1] += (w * np.logaddexp(0.0, -z)).sum(0)
+            total[:, 2 : 2 + k] -= (w * p).T @ d
+            for r in range(n):
+                total[r, 2 + k :] += ((d * (w * p * (1 - p))[:, r : r + 1]).T @ d)[upper]
+        at = np.arange(total.size)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], names=["at", "value"])
+
+    columns = [F.col(f).cast("double").alias(f) for f in factors]
+    rows = pairs_.select(*columns, "mass", "replicas").mapInArrow(run, "at long, value double")
+    sums = np.zeros(n * (2 + k + len(upper[0])))
+    for at, value in rows.groupBy("at").agg(F.sum("value")).collect():  # a number of each kind a replica
+        sums[at] = value
+    out = []
+    for row in sums.reshape(n, -1):
+        curve = np.zeros((k, k))
+        curve[upper] = row[2 + k :]
+        out.append({"mass": row[0], "loss": row[1], "gradient": row[2 : 2 + k], "curvature": curve + np.triu(curve, 1).T})
+    return out
+
+
+def simplex_quadratic(at: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The least point of a quadratic around ``at`` among weights that sum to 1 within the bounds, by accelerated projected gradient."""
+    step = 1.0 / np.linalg.eigvalsh(curvature)[-1]
+    x = y = bounded_simplex(at, low, high)
+    speed = 1.0
+    for _ in range(10_000):
+        new = bounded_simplex(y - step * (gradient + curvature @ (y - at)), low, high)
+        if (y - new) @ (new - x) > 0:  # overshot: begin anew
+            speed = 1.0
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        y, moved = new + (speed - 1) / faster * (new - x), np.abs(new - x).max()
+        x, speed = new, faster
+        if moved <= 1e-13:
+            break
+    return x
+
+
+def fit_replicas(pairs_: DataFrame, factors: list[str], prior: np.ndarray, replicas: int, ridge: float = 0.1, low: float = 0.0, high: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights of each replica: logistic loss of differences, a ridge around the prior, within the simplex and bounds.
+
+    Projected Newton steps: each is one job over the pairs for all replicas that still move. A step that does not lower the loss is
+    halved. The driver holds weights, gradients and curvatures, whose size depends on factors and replicas alone.
+    """
+    if ridge <= 0:
+        raise ValueError("the ridge is positive")
+    prior = np.asarray(prior, float)
+    weights = np.tile(bounded_simplex(prior, low, high), (replicas, 1))
+    goal = weights.copy()
+    best = [None] * replicas  # loss, gradient and curvature at the weights held
+    moving = np.ones(replicas, bool)
     for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(np.clip(d @ beta, -500, 500)))
-        new = bounded_simplex(beta - step * (-(w * p) @ d + 2 * ridge * (beta - prior)), low, high)
-        done, beta = np.linalg.norm(new - beta) <= 1e-10, new
-        if done:
-            return beta
+        found = pairwise_sums(pairs_, factors, goal)
+        for r in np.flatnonzero(moving):
+            s, off = found[r], goal[r] - prior
+            if s["mass"] <= 0:  # no pairs: the prior
+                moving[r] = False
+                continue
+            loss = s["loss"] / s["mass"] + ridge * off @ off
+            if best[r] is not None and loss > best[r] + 1e-14:
+                goal[r] = (weights[r] + goal[r]) / 2
+            else:
+                best[r], weights[r] = loss, goal[r]
+                goal[r] = simplex_quadratic(weights[r], s["gradient"] / s["mass"] + 2 * ridge * off, s["curvature"] / s["mass"] + 2 * ridge * np.eye(len(prior)), low, high)
+            if np.abs(goal[r] - weights[r]).max() <= 1e-10:
+                moving[r] = False
+        if not moving.any():
+            return weights
     raise RuntimeError("the weights did not converge")
 
 
-def block_dates(dates: list, share: float, block: int, seed: int) -> list:
-    """A sample of whole blocks of consecutive dates: the share of blocks, rounded up."""
-    if not dates or block < 1 or not 0 < share <= 1:
-        raise ValueError("block sampling needs dates, blocks of one date at least and a share over 0 and up to 1")
-    groups = [dates[i : i + block] for i in range(0, len(dates), block)]
-    rng = np.random.default_rng(seed)
-    take = sorted(rng.choice(len(groups), math.ceil(share * len(groups)), replace=False).tolist())
-    return [d for g in take for d in groups[g]]
-
-
-def weight_ensemble(pairs_: DataFrame, factors: list[str], prior: np.ndarray, replicas: int = 5, share: float = 0.8, block: int = 21, seed: int = 7, **fit) -> DataFrame:
-    """Weights refitted on block samples of dates, a replica a group: mean, deviation and range of each factor's. Without pairs all weights are the prior's, as in ``fit_pairwise``."""
-    if replicas < 1:
-        raise ValueError("an ensemble has one replica at least")
-    dates = [r[0] for r in pairs_.select("date").distinct().orderBy("date").collect()]  # the calendar
-    if not dates:
-        weights = bounded_simplex(prior, fit.get("low", 0.0), fit.get("high", 1.0)).tolist()
-        return pairs_.sparkSession.createDataFrame([(f, w, 0.0, w, w) for f, w in zip(factors, weights)], "factor string, mean double, std double, low double, high double")
-    chosen = [(i, d) for i in range(replicas) for d in block_dates(dates, share, block, seed + i)]
-    rows = pairs_.join(F.broadcast(pairs_.sparkSession.createDataFrame(chosen, "replica int, date date")), "date")
-    sums = rows.groupBy("replica", *factors).agg(F.sum("mass").alias("mass"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["mass"] /= pdf["mass"].sum()
-        return pd.DataFrame({"replica": pdf["replica"].iloc[0], "factor": factors, "weight": fit_pairwise(pdf, factors, prior, **fit)})
-
-    each = sums.groupBy("replica").applyInPandas(run, "replica int, factor string, weight double")
-    return each.groupBy("factor").agg(F.avg("weight").alias("mean"), F.stddev_pop("weight").alias("std"), F.min("weight").alias("low"), F.max("weight").alias("high"))
+def fit_pairwise(pairs_: DataFrame, factors: list[str], prior: np.ndarray, **fit) -> np.ndarray:
+    """One set of weights from all pairs."""
+    rows = pairs_.withColumn("replicas", F.array(F.lit(0))).persist()
+    out = fit_replicas(rows, factors, prior, 1, **fit)[0]
+    rows.unpersist()
+    return out
+
+
+def block_dates(calendar: DataFrame, share: float, block: int, seed: int, replicas: int = 1) -> DataFrame:
+    """(replica, date): for each replica a sample of whole blocks of consecutive dates, the share of blocks rounded up.
+
+    Blocks are ordered by a digest of seed, replica and block; ``calendar`` is one row a session. A replica without
+    replacement never has a block twice.
+    """
+    if block < 1 or not 0 < share <= 1 or replicas < 1:
+        raise ValueError("block sampling needs blocks of one date at least, a share over 0 and up to 1, and one replica at least")
+    place = F.row_number().over(W.orderBy("date")) - 1  # one row a session
+    days = calendar.select("date").distinct().withColumn("block", F.floor(place / block))
+    blocks = days.select("block").distinct().withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replica").cast("string"), F.col("block").cast("string")).cast("binary"))
+    one = W.partitionBy("replica")
+    kept = blocks.withColumns({"_nth": F.row_number().over(one.orderBy(order, "block")), "_n": F.count("*").over(one)})
+    kept = kept.where(F.col("_nth") <= F.ceil(F.round(F.lit(share) * F.col("_n"), 9)))
+    return days.join(kept.select("replica", "block"), "block").select("replica", "date")
+
+
+def replica_weights(pairs_: DataFrame, factors: list[str], prior: np.ndarray, replicas: int = 5, share: float = 0.8, block: int = 21, seed: int = 7, **fit) -> np.ndarray:
+    """A row of weights a replica, each fitted on its block sample of dates; all replicas in the same jobs, none in one task."""
+    chosen = block_dates(pairs_.select("date"), share, block, seed, replicas).groupBy("date").agg(F.collect_set("replica").alias("replicas"))
+    rows = pairs_.join(F.broadcast(chosen), "date").persist()  # one row a session, with no more than the replicas
+    out = fit_replicas(rows, factors, prior, replicas, **fit)
+    rows.unpersist()
+    return out
+
+
+def weight_ensemble(pairs_: DataFrame, factors: list[str], prior: np.ndarray, **sample) -> DataFrame:
+    """Mean, deviation and range of each factor's weight over the replicas. Without pairs all weights are the prior's."""
+    weights = replica_weights(pairs_, factors, prior, **sample)
+    rows = [(f, *map(float, (w.mean(), w.std(), w.min(), w.max()))) for f, w in zip(factors, weights.T)]
+    return pairs_.sparkSession.createDataFrame(rows, "factor string, mean double, std double, low double, high double")
 
 
 def calibration_rows(book: DataFrame, score: str, event: Column, date: str = "date") -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.functions.streams import PRIME, mixed
+
 
 @dataclass(frozen=True)
 class BootstrapDesign:
@@ -38,31 +43,63 @@ def audit(differentials: DataFrame) -> DataFrame:
     return given.crossJoin(kept.agg(F.count_distinct("date").alias("used")))  # a row each
 
 
-def stationary_indices(n: int, repetitions: int, block_length: int, seed: int) -> np.ndarray:
-    """Circular blocks of geometric length: repetitions x n positions, drawn a column at a time."""
-    rng = np.random.default_rng(seed)
-    out = np.empty((repetitions, n), dtype=np.int64)
-    out[:, 0] = rng.integers(0, n, repetitions)
-    for k in range(1, n):
-        fresh = rng.random(repetitions) < 1.0 / block_length
-        jump = rng.integers(0, n, repetitions)
-        out[:, k] = np.where(fresh, jump, (out[:, k - 1] + 1) % n)
-    return out
+def stationary_paths(n: int, repetitions: np.ndarray, block_length: int, seed: int) -> np.ndarray:
+    """Circular blocks of geometric length: a row of n positions for each named repetition, from that repetition's own stream.
+
+    Step k takes two numbers: the first says whether a block begins there (always at k = 0), the second where.
+    """
+    steps = np.arange(n, dtype=np.int64)
+    key = mixed(np.asarray(repetitions, np.int64), seed)[:, None]
+    begins = mixed(2 * steps[None, :], key) * block_length < PRIME
+    begins[:, 0] = True
+    start = mixed(2 * steps[None, :] + 1, key) % n
+    last = np.maximum.accumulate(np.where(begins, steps, 0), axis=1)  # where the block of each step began
+    return (np.take_along_axis(start, last, 1) + steps - last) % n
+
+
+def counts_of(paths: np.ndarray, n: int) -> np.ndarray:
+    """Repetitions x n: how often each row of positions visits each date."""
+    return np.bincount((np.arange(len(paths))[:, None] * n + paths).ravel(), minlength=len(paths) * n).reshape(-1, n)
+
+
+#: Repetitions whose visits are held at once, and candidates of one task.
+REPS_TOGETHER, CANDIDATES_TOGETHER = 256, 64
 
 
 def visit_counts(spark: SparkSession, n: int, design: BootstrapDesign) -> DataFrame:
-    """How often each repetition visits each date: (rep, t, visits). All tests share these."""
-    import pandas as pd
+    """Each repetition's visits as a sparse vector: (rep, t, visits), the last two arrays; drawn where the repetition's row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            for at in range(0, len(reps), REPS_TOGETHER):
+                part = reps[at : at + REPS_TOGETHER]
+                counts = counts_of(stationary_paths(n, part, design.block_length, design.seed), n)
+                t = [np.flatnonzero(c) for c in counts]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(t, pa.list_(pa.int64())), pa.array([c[i] for c, i in zip(counts, t)], pa.list_(pa.int64()))], names=["rep", "t", "visits"])
+
+    return spark.range(design.repetitions).withColumnRenamed("id", "rep").mapInArrow(run, "rep long, t array<long>, visits array<long>")
+
+
+def resampled_means(cases: DataFrame, n: int, design: BootstrapDesign) -> DataFrame:
+    """(rep, candidate, mean): each repetition's mean of each candidate.
 
-    paths = stationary_indices(n, design.repetitions, design.block_length, design.seed)
-    counts = np.apply_along_axis(np.bincount, 1, paths, minlength=n)
-    rep, t = np.nonzero(counts)
-    return spark.createDataFrame(pd.DataFrame({"rep": rep, "t": t, "visits": counts[rep, t]}))
+    Candidates are dealt in blocks; a block's task draws the repetitions' visits from their streams, some at a time, so that
+    neither visits nor repeated rows are sent between tasks. ``cases`` are complete: n dates a candidate.
+    """
+    blocks = max(1, -(-cases.select("candidate").distinct().count() // CANDIDATES_TOGETHER))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="t", columns="candidate", values="d")
+        d, names = wide.to_numpy(float), wide.columns.to_numpy()
+        out = []
+        for at in range(0, design.repetitions, REPS_TOGETHER):
+            reps = np.arange(at, min(at + REPS_TOGETHER, design.repetitions))
+            means = counts_of(stationary_paths(n, reps, design.block_length, design.seed), n) @ d / n
+            out.append(pd.DataFrame({"rep": np.repeat(reps, len(names)), "candidate": np.tile(names, len(reps)), "mean": means.ravel()}))
+        return pd.concat(out)
 
-def resampled_means(cases: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """(rep, candidate, mean): each repetition's mean by its visits."""
-    return cases.join(counts, "t").groupBy("rep", "candidate").agg((F.sum(F.col("visits") * F.col("d")) / n).alias("mean"))
+    return cases.select("t", "candidate", "d", F.pmod(F.xxhash64("candidate"), F.lit(blocks)).alias("_block")).groupBy("_block").applyInPandas(run, "rep long, candidate string, mean double")
 
 
 def intervals(means: DataFrame, observed: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -112,8 +149,7 @@ def report(differentials: DataFrame, design: BootstrapDesign) -> dict:
     cases = complete_cases(differentials).persist()
     n = cases.select("t").distinct().count()
     design.validate(n)
-    counts = visit_counts(differentials.sparkSession, n, design)
-    observed, means = observed_means(cases), resampled_means(cases, counts, n).persist()
+    observed, means = observed_means(cases), resampled_means(cases, n, design).persist()
     rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  a row a candidate
     steps = step_down(means, observed)
     out = {

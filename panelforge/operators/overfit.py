@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import corrected_kurtosis, corrected_skew, divided, pct_rank, quintile
+from panelforge.functions.columns import corrected_kurtosis, corrected_skew, divided, pct_rank
 
 EULER = 0.5772156649
 
@@ -83,45 +83,6 @@ def deflated_sharpes(returns: DataFrame, value: str = "d", declared: int = 0) ->
     return returns.sparkSession.createDataFrame(out, "candidate string, n long, sharpe double, probability double")
 
 
-def placebo_groups(panel: DataFrame, group: str = "industry", size: str = "market_cap") -> DataFrame:
-    """The cells in which placebos shuffle: group and fifth of size, per session; ``members`` counts them."""
-    out = panel.withColumn("bucket", quintile(F.when(F.col(size) > 0, F.col(size))))
-    return out.withColumn("members", F.count("*").over(W.partitionBy("date", group, "bucket")))
-
-
-def permutation_test(panel: DataFrame, horizon: int, cost: float, repetitions: int, seed: int, group: str = "industry", size: str = "market_cap") -> DataFrame:
-    """``statistic`` of the book and of each placebo: mean costed return after ``desired`` is shuffled within its cells."""
-    days = placebo_returns(panel, horizon, cost, repetitions, seed, group, size)
-    return days.groupBy("repetition").agg(F.avg("costed").alias("statistic"))
-
-
-def placebo_returns(panel: DataFrame, horizon: int, cost: float, repetitions: int, seed: int, group: str = "industry", size: str = "market_cap") -> DataFrame:
-    """Costed returns by date of the book (repetition 0) and of each placebo.
-
-    Shuffles are orders by a hash of (seed, repetition, symbol, date), all repetitions at once; rows grow with their number, not the driver's work.
-    """
-    rows = placebo_groups(panel, group, size).select("date", "symbol", "session_index", "one_day", "desired", group, "bucket")
-    reps = rows.sparkSession.range(1, repetitions + 1).withColumnRenamed("id", "repetition")
-    fan = rows.crossJoin(F.broadcast(reps))
-    cell = W.partitionBy("repetition", "date", group, "bucket")
-    fan = fan.withColumns({"_from": F.row_number().over(cell.orderBy("symbol")), "_to": F.row_number().over(cell.orderBy(F.xxhash64(F.lit(seed), "repetition", "symbol", "date"), "symbol"))})
-    keys = ["repetition", "date", group, "bucket"]
-    given = fan.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_from").alias("_g4"), F.col("desired").alias("_d"))
-    both = fan.drop("desired").join(given, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate([*keys, "_to"])])
-    both = both.select("repetition", "date", "symbol", "one_day", F.col("_d").alias("desired"))
-    both = both.unionByName(rows.select(F.lit(0).cast("long").alias("repetition"), "date", "symbol", "one_day", "desired"))
-    line = W.partitionBy("repetition", "symbol").orderBy("date")
-    both = both.withColumn("effective", F.avg("desired").over(line.rowsBetween(-(horizon - 1), 0)))
-    both = both.withColumn("moved", F.abs(F.col("effective") - F.lag("effective", 1, 0.0).over(line)))
-    return both.groupBy("repetition", "date").agg((F.coalesce(F.sum(F.col("effective") * F.col("one_day")), F.lit(0.0)) - F.sum("moved") * cost / 2).alias("costed"))
-
-
-def permutation_p(statistics: DataFrame) -> DataFrame:
-    """(1 + placebos at or above the book) / (repetitions + 1)."""
-    own = F.max(F.when(F.col("repetition") == 0, F.col("statistic"))).over(W.partitionBy())
-    return statistics.withColumn("_own", own).where("repetition > 0").agg(((1 + F.count_if(F.col("statistic") >= F.col("_own"))) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("repetitions"))
-
-
 def pairwise_correlations(signals: DataFrame, names: list[str]) -> DataFrame:
     """Mean cross-sectional correlation of each pair of signal columns, in one aggregation."""
     from panelforge.functions.columns import corr
@@ -176,24 +137,38 @@ def audit_verdict(pbo_: float | None, dsr: float | None, p: float | None) -> str
     return "no objection from these tests"
 
 
-def selection_artifact(spark, factors: int = 400, sessions: int = 1500, symbols: int = 200, top: int = 10, seed: int = 0) -> DataFrame:
-    """Pure noise: the mean return of the factors that turn out best against those that were best before.
+# The noise experiment's sizes, and the sessions that it ranks and reports on.
+ARTIFACT = {"factors": 400, "sessions": 1500, "symbols": 200, "top": 10, "late": 500}
+
+
+def noise_excess(factor: int, sessions: int, symbols: int, seed: int) -> np.ndarray:
+    """Daily excess of the best tenth by a factor of pure noise; every factor has a stream of its own, and so has the market."""
+    root = np.random.SeedSequence(seed)
+    market, own = (np.random.default_rng(np.random.SeedSequence(root.entropy, spawn_key=(k,))) for k in (0, factor + 1))
+    forward = market.standard_normal((sessions, symbols)) * 0.02
+    signal = own.standard_normal((sessions, symbols))
+    best = signal >= np.quantile(signal, 0.9, axis=1, keepdims=True)
+    return (forward * best).sum(1) / best.sum(1) - forward.mean(1)
+
+
+def selection_artifact(spark, factors: int = ARTIFACT["factors"], sessions: int = ARTIFACT["sessions"], symbols: int = ARTIFACT["symbols"], top: int = ARTIFACT["top"], late: int = ARTIFACT["late"], seed: int = 0) -> DataFrame:
+    """Pure noise: what the factors that are best over the reported sessions earn there, against those that were best before.
 
-    Each factor is a task's own draw; only its daily book returns leave it.
+    The last ``late`` sessions are reported. With hindsight the information ratio over them picks the factors, honestly the one over
+    all sessions before. Mean daily excess and annual ratio of both picks' equally weighted books; each factor is a task's own draw.
     """
 
     def run(batches):
         for pdf in batches:
             for k in pdf["id"]:
-                rng = np.random.default_rng(seed + int(k))
-                signal, forward = rng.standard_normal((sessions, symbols)), np.random.default_rng(seed - 1 if seed else 99).standard_normal((sessions, symbols)) * 0.02
-                best = signal >= np.quantile(signal, 0.9, axis=1, keepdims=True)
-                excess = (forward * best).sum(1) / best.sum(1) - forward.mean(1)
-                yield pd.DataFrame({"factor": int(k), "t": np.arange(sessions), "excess": excess})
+                yield pd.DataFrame({"factor": int(k), "t": np.arange(sessions), "excess": noise_excess(int(k), sessions, symbols, seed)})
 
     days = spark.range(factors).repartition(max(1, factors // 25)).mapInPandas(run, "factor long, t long, excess double")
-    half = days.withColumn("late", F.col("t") >= sessions // 2)
-    means = half.groupBy("factor").agg(F.avg("excess").alias("all"), F.avg(F.when(~F.col("late"), F.col("excess"))).alias("before"), F.avg(F.when(F.col("late"), F.col("excess"))).alias("after"))
-    w = W.partitionBy()
-    ranked = means.withColumns({"hind": F.row_number().over(w.orderBy(F.desc("all"), "factor")), "honest": F.row_number().over(w.orderBy(F.desc("before"), "factor"))})
-    return ranked.agg(F.avg(F.when(F.col("hind") <= top, F.col("all"))).alias("hindsight"), F.avg(F.when(F.col("honest") <= top, F.col("after"))).alias("honest"))
+    days = days.withColumn("late", F.col("t") >= sessions - late).persist()
+    ratio = lambda side: F.avg(F.when(side, F.col("excess"))) / F.stddev_samp(F.when(side, F.col("excess")))
+    ratios = days.groupBy("factor").agg(ratio(F.col("late")).alias("after"), ratio(~F.col("late")).alias("before"))  # one row a factor
+    ranks = {n: F.row_number().over(W.orderBy(F.desc(c), "factor")) for n, c in (("hindsight", "after"), ("honest", "before"))}
+    ranked = ratios.withColumns(ranks)
+    book = days.where("late").join(F.broadcast(ranked), "factor").groupBy("t").agg(*[F.avg(F.when(F.col(n) <= top, F.col("excess"))).alias(n) for n in ranks])
+    year = math.sqrt(244)
+    return book.agg(*[F.avg(n).alias(n) for n in ranks], *[(F.avg(n) / F.stddev_samp(n) * year).alias(f"{n}_ir") for n in ranks])

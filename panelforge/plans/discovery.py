@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import corr, pct_rank
-from panelforge.operators import evaluate, overfit, portfolio, universe, validate
+from panelforge.operators import evaluate, overfit, placebos, portfolio, universe, validate
 from panelforge.operators.doctor import digest
 from panelforge.operators.panel import build, labels
 from panelforge.operators.pit import align
@@ -207,15 +207,15 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
         strongest = max(range(len(counters)), key=lambda k: counters[k]["ir"] if counters[k].get("ir") is not None else float("-inf"), default=None)
         best = {} if strongest is None else counters[strongest]
         row |= {"counter_mean": best.get("mean"), "counter_correlation": best.get("correlation")}
-        placebos = overfit.placebo_returns(weights.where("segment = 'validation'"), h, cost, config["placebos"], config["random_seed"] ^ int(i[-8:], 16)).persist()
-        row["permutation_p"] = _first(overfit.permutation_p(placebos.groupBy("repetition").agg(F.avg("costed").alias("statistic")))).get("p_value")
+        shuffled = placebos.placebo_returns(weights.where("segment = 'validation'"), h, cost, config["placebos"], config["random_seed"] ^ int(i[-8:], 16)).persist()
+        row["permutation_p"] = _first(placebos.permutation_p(placebos.statistics(shuffled))).get("p_value")
         # the candidate against its strongest counter and its first placebos: how often is it best in one half and poor in the other
-        rivals = placebos.where(F.col("repetition").between(1, PBO_PLACEBOS)).select("date", F.concat(F.lit("placebo_"), F.col("repetition").cast("string")).alias("candidate"), F.col("costed").alias("d"))
+        rivals = placebos.by_repetition(shuffled, PBO_PLACEBOS).where("repetition > 0").select("date", F.concat(F.lit("placebo_"), F.col("repetition").cast("string")).alias("candidate"), F.col("costed").alias("d"))
         own = seen.select("date", F.lit("primary").alias("candidate"), F.col("costed").alias("d")).unionByName(rivals)
         if strongest is not None:
             own = own.unionByName(counter_books[strongest])
         row["factor_pbo"] = _first(overfit.pbo(own, config["pbo_blocks"], focus="primary")).get("pbo")
-        placebos.unpersist()
+        shuffled.unpersist()
         folds = validate.walk_forward(named.where("segment = 'train'"), "signal", "target", h, config["purge_days"], config["walk_forward_folds"], cost).collect()
         row |= {"walk_forward": [r.asDict() for r in folds], "positive_folds": sum(1 for r in folds if r["mean"] and r["mean"] > 0)}
         row["cost_curve"] = [r.asDict() for r in portfolio.cost_curve(seen).orderBy("cost").collect()]

@@ -1,16 +1,19 @@
 """The research operators against values worked out by hand or by plain loops, and a whole discovery run."""
 
 import datetime as dt
+import hashlib
 import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import decision, doctor, evidence, forward, mechanisms, overfit, pit
+from panelforge.functions import streams
+from panelforge.operators import decision, doctor, evidence, forward, mechanisms, overfit, pit, placebos
 from panelforge.plans import discovery, dsl
 from panelforge.sources import readers
 from panelforge.streaming import filters
@@ -25,22 +28,35 @@ def day(k):
 # decisions
 
 
-def test_block_dates_round_up_and_refuse():
-    dates = list(range(45))
-    got = decision.block_dates(dates, 0.5, 20, 3)
-    assert len({k // 20 for k in got}) == 2 and got == sorted(got)  # ceil(0.5 * 3) whole blocks
-    assert all(set(range(20 * b, min(20 * b + 20, 45))) <= set(got) for b in {k // 20 for k in got})
-    for bad in (([], 0.5, 20), (dates, 0.0, 20), (dates, 1.5, 20), (dates, 0.5, 0)):
+def test_block_dates_round_up_and_refuse(spark):
+    calendar = spark.createDataFrame([(day(k),) for k in range(45)] * 2, "date date").repartition(3)
+    got = [(r["replica"], (r["date"] - DAY).days) for r in decision.block_dates(calendar, 0.5, 20, 3, replicas=4).collect()]
+    picked = {r: {k // 20 for q, k in got if q == r} for r in range(4)}
+    assert all(len(blocks) == 2 for blocks in picked.values())  # ceil(0.5 * 3) whole blocks
+    assert sorted(got) == sorted((r, k) for r, blocks in picked.items() for k in range(45) if k // 20 in blocks)
+    assert len({tuple(sorted(b)) for b in picked.values()}) > 1  # replicas differ
+    assert decision.block_dates(calendar.limit(0), 0.5, 20, 3).collect() == []
+    for bad in ((0.0, 20, 1), (1.5, 20, 1), (0.5, 0, 1), (0.5, 20, 0)):
         with pytest.raises(ValueError):
-            decision.block_dates(*bad, 1)
+            decision.block_dates(calendar, bad[0], bad[1], 1, bad[2])
+
+
+PAIRS = "date date, better string, worse string, a double, b double, c double, mass double"
+
+
+def planted_pairs(spark, n=400, dates=80):
+    rng = np.random.default_rng(4)
+    rows = [(day(k % dates), "x", "y", *map(float, rng.normal([0.3, 0.1, -0.2], 1)), 1 / n) for k in range(n)]
+    return spark.createDataFrame(rows, PAIRS).repartition(5), rows
 
 
 def test_ensemble_without_pairs(spark):
-    none = spark.createDataFrame([], "date date, better string, worse string, f1 double, f2 double, mass double")
-    assert [tuple(r) for r in decision.weight_ensemble(none, ["f1", "f2"], np.array([0.7, 0.3])).orderBy("factor").collect()] == [pytest.approx(("f1", 0.7, 0.0, 0.7, 0.7)), pytest.approx(("f2", 0.3, 0.0, 0.3, 0.3))]
-    assert decision.fit_pairwise(pd.DataFrame({"f1": [], "f2": [], "mass": []}), ["f1", "f2"], np.array([0.7, 0.3])) == pytest.approx([0.7, 0.3])
+    none = spark.createDataFrame([], PAIRS)
+    prior = np.array([0.6, 0.3, 0.1])
+    assert [tuple(r) for r in decision.weight_ensemble(none, list("abc"), prior).orderBy("factor").collect()] == [pytest.approx((f, w, 0.0, w, w)) for f, w in zip("abc", prior)]
+    assert decision.fit_pairwise(none, list("abc"), prior) == pytest.approx(prior)
     with pytest.raises(ValueError):
-        decision.weight_ensemble(none, ["f1"], np.array([1.0]), replicas=0)
+        decision.weight_ensemble(none, ["a"], np.array([1.0]), replicas=0)
 
 
 def test_simplex():
@@ -56,17 +72,46 @@ def test_simplex():
         decision.bounded_simplex(np.zeros(3), 0.5, 1.0)
 
 
-def test_pairwise_weights_meet_their_optimality_conditions():
+def plain_fit(rows, prior, ridge, low=0.0, high=1.0):
+    """Projected gradient in plain numpy, a step by the Lipschitz bound."""
+    d, w = np.array([r[3:6] for r in rows]), np.array([r[6] for r in rows])
+    w = w / w.sum()
+    x, step = prior, 1 / (0.25 * np.linalg.eigvalsh((d * w[:, None]).T @ d)[-1] + 2 * ridge)
+    for _ in range(20_000):
+        g = -(w / (1 + np.exp(d @ x))) @ d + 2 * ridge * (x - prior)
+        new = decision.bounded_simplex(x - step * g, low, high)
+        if np.abs(new - x).max() < 1e-14:
+            break
+        x = new
+    return x, g
+
+
+@pytest.mark.parametrize("ridge, low, high", [(0.1, 0.0, 1.0), (0.01, 0.1, 0.5), (3.0, 0.0, 1.0)])
+def test_pairwise_weights_meet_their_optimality_conditions(spark, ridge, low, high):
     """Inside the bounds the gradient is the same for all weights; it is no smaller at the lower one and no larger at the upper one."""
-    rng = np.random.default_rng(4)
-    rows = pd.DataFrame(rng.normal([0.3, 0.1, -0.2], 1, (200, 3)), columns=list("abc")).assign(mass=1 / 200)
-    prior, ridge = np.full(3, 1 / 3), 0.1
-    w = decision.fit_pairwise(rows, list("abc"), prior, ridge)
-    d = rows[list("abc")].to_numpy()
-    g = -(rows["mass"].to_numpy() / (1 + np.exp(d @ w))) @ d + 2 * ridge * (w - prior)
-    inside = (w > 1e-6) & (w < 1 - 1e-6)
-    level = g[inside].mean()
-    assert np.allclose(g[inside], level, atol=1e-6) and (g[w <= 1e-6] >= level - 1e-6).all()
+    frame, rows = planted_pairs(spark)
+    prior = np.full(3, 1 / 3)
+    w = decision.fit_pairwise(frame, list("abc"), prior, ridge=ridge, low=low, high=high)
+    plain, _ = plain_fit(rows, prior, ridge, low, high)
+    assert np.allclose(w, plain, atol=1e-7) and abs(w.sum() - 1) < 1e-9
+    d = np.array([r[3:6] for r in rows])
+    g = -(1 / (1 + np.exp(d @ w)) / len(rows)) @ d + 2 * ridge * (w - prior)
+    inside = (w > low + 1e-6) & (w < high - 1e-6)
+    level = g[inside].mean() if inside.any() else (g[w <= low + 1e-6].min() + g[w >= high - 1e-6].max()) / 2
+    assert np.allclose(g[inside], level, atol=1e-6) and (g[w <= low + 1e-6] >= level - 1e-6).all() and (g[w >= high - 1e-6] <= level + 1e-6).all()
+
+
+def test_replicas_are_fitted_on_their_own_dates(spark):
+    frame, rows = planted_pairs(spark)
+    prior = np.array([0.2, 0.5, 0.3])
+    got = decision.replica_weights(frame, list("abc"), prior, replicas=3, share=0.5, block=9, seed=2, ridge=0.05)
+    chosen = decision.block_dates(frame.select("date"), 0.5, 9, 2, 3).collect()
+    for r in range(3):
+        dates = {c["date"] for c in chosen if c["replica"] == r}
+        assert np.allclose(got[r], plain_fit([x for x in rows if x[0] in dates], prior, 0.05)[0], atol=1e-7)
+    table = {r["factor"]: r for r in decision.weight_ensemble(frame, list("abc"), prior, replicas=3, share=0.5, block=9, seed=2, ridge=0.05).collect()}
+    for i, f in enumerate("abc"):
+        assert np.allclose([table[f][k] for k in ("mean", "std", "low", "high")], [got[:, i].mean(), got[:, i].std(), got[:, i].min(), got[:, i].max()], atol=1e-9)
 
 
 # series
@@ -171,6 +216,129 @@ def test_false_discovery_by_hand(spark):
         assert math.isclose(got[k][0], q) and math.isclose(got[k][1], min(1, q * h))
 
 
+def plain_mixed(counter, key):
+    x = counter % streams.PRIME
+    for c in streams.ROUNDS:
+        x = pow((x + key + c) % streams.PRIME, 5, streams.PRIME)
+    return x
+
+
+def test_streams_are_one_to_one_and_even():
+    got = streams.mixed(np.arange(200_000), 12345)
+    assert len(np.unique(got)) == len(got) and got[:50].tolist() == [plain_mixed(k, 12345) for k in range(50)]
+    share = np.bincount(got * 64 // streams.PRIME, minlength=64) / len(got) * 64
+    assert abs(share - 1).max() < 0.08 and abs(np.corrcoef(got[:-1], got[1:])[0, 1]) < 0.01
+    keys = streams.mixed(np.arange(3000), 7)
+    firsts = streams.mixed(0, keys)
+    assert abs(np.corrcoef(keys, firsts)[0, 1]) < 0.06 and abs((firsts * 10 < streams.PRIME).mean() - 0.1) < 0.03
+
+
+def plain_path(n, rep, block, seed):
+    key, out = plain_mixed(rep, seed), []
+    for k in range(n):
+        fresh = k == 0 or plain_mixed(2 * k, key) * block < streams.PRIME
+        out.append(plain_mixed(2 * k + 1, key) % n if fresh else (out[-1] + 1) % n)
+    return out
+
+
+def test_bootstrap_equals_a_plain_loop_over_the_same_streams(spark, monkeypatch):
+    n, design = 37, evidence.BootstrapDesign(repetitions=120, block_length=5, seed=11)
+    paths = [plain_path(n, r, 5, 11) for r in range(120)]
+    assert evidence.stationary_paths(n, np.arange(120), 5, 11).tolist() == paths
+    monkeypatch.setattr(evidence, "REPS_TOGETHER", 50)
+    seen = {r["rep"]: dict(zip(r["t"], r["visits"])) for r in evidence.visit_counts(spark, n, design).collect()}
+    assert seen == {r: {t: p.count(t) for t in set(p)} for r, p in enumerate(paths)} and all(sum(v.values()) == n for v in seen.values())
+    rng = np.random.default_rng(1)
+    d = rng.normal(0, 1, (n, 3))
+    cases = spark.createDataFrame([(t, f"c{j}", float(d[t, j])) for t in range(n) for j in range(3)], "t long, candidate string, d double")
+    monkeypatch.setattr(evidence, "CANDIDATES_TOGETHER", 1)
+    means = {(r["rep"], r["candidate"]): r["mean"] for r in evidence.resampled_means(cases, n, design).collect()}
+    assert len(means) == 360 and all(abs(m - d[paths[rep], int(c[1])].mean()) < 1e-12 for (rep, c), m in means.items())
+
+
+def plain_placebos(rows, horizon, cost, repetitions, seed):
+    """Rows (t, symbol, group, bucket, one_day, desired): mean costed return of the book and of each placebo, by dictionaries."""
+    number = lambda s, t: int(hashlib.md5(f"{seed}|{s}|{day(t)}".encode()).hexdigest()[:7], 16)
+    last, names = max(r[0] for r in rows), sorted({r[1] for r in rows})
+    out = []
+    for rep in range(repetitions + 1):
+        f = 1 + (rep * placebos.STEP_A + placebos.STEP_B) % (placebos.PRIME - 1)
+        held = {}
+        for t in range(last + 1):
+            cells = {}
+            for r in (r for r in rows if r[0] == t):
+                cells.setdefault((r[2], r[3]), []).append(r)
+            for cell in cells.values():
+                given = sorted(cell, key=lambda r: r[1])
+
+                def key(r):
+                    x = number(r[1], t) * f % placebos.PRIME
+                    return (x * x + number(r[1], t)) % placebos.PRIME * f % placebos.PRIME, r[1]
+
+                for a, b in zip(given, given if rep == 0 else sorted(cell, key=key)):
+                    held[t, b[1]] = a[5]
+        forward, before, days = {(r[0], r[1]): r[4] for r in rows}, dict.fromkeys(names, 0.0), []
+        for t in range(last + 1):
+            gross = moved = 0.0
+            for s in names:
+                past = [held[u, s] for u in range(max(0, t - horizon + 1), t + 1) if held.get((u, s)) is not None]
+                mean = sum(past) / len(past) if past else None
+                if mean is not None and forward[t, s] is not None:
+                    gross += mean * forward[t, s]
+                if mean is not None and before[s] is not None:
+                    moved += abs(mean - before[s])
+                before[s] = mean
+            days.append(gross - moved * cost / 2)
+        out.append(sum(days) / len(days))
+    return out
+
+
+def test_placebos_equal_a_plain_loop(spark, monkeypatch):
+    """200 repetitions, cells of one name, null groups, missing weights and returns; ranges shorter than the horizon and longer than all."""
+    rng = random.Random(5)
+    raw = [(day(t), t, f"s{k:02d}", None if rng.random() < 0.05 else rng.gauss(0, 0.02), None if rng.random() < 0.05 else rng.gauss(0, 0.1), [None, "g0", "g1"][k % 3], float(1 + k * 7 % 12)) for t in range(23) for k in range(12)]
+    panel = spark.createDataFrame(raw, "date date, session_index long, symbol string, one_day double, desired double, industry string, market_cap double").repartition(4)
+    cells = {(r["session_index"], r["symbol"]): r["bucket"] for r in placebos.placebo_groups(panel).collect()}
+    want = plain_placebos([(t, s, g, cells[t, s], r, w) for _, t, s, r, w, g, _ in raw], 4, 0.003, 200, 9)
+    for span, together in ((3, 64), (7, 1000), (100, 33)):
+        monkeypatch.setattr(placebos, "TOGETHER", together)
+        days = placebos.placebo_returns(panel, 4, 0.003, 200, 9, span=span)
+        assert days.count() == 23
+        found = {r["repetition"]: r["statistic"] for r in placebos.statistics(days).collect()}
+        assert sorted(found) == list(range(201)) and all(abs(found[k] - want[k]) < 1e-12 for k in found)
+    p = placebos.permutation_p(placebos.permutation_test(panel, 4, 0.003, 200, 9)).first()
+    assert p["repetitions"] == 200 and p["p_value"] == (1 + sum(x >= want[0] for x in want[1:])) / 201
+    assert {r["repetition"] for r in placebos.by_repetition(days, 3).select("repetition").distinct().collect()} == {0, 1, 2, 3}
+    assert placebos.placebo_returns(panel.limit(0), 4, 0.003, 5, 9).collect() == []
+
+
+def test_placebo_shuffles_are_even():
+    """Over many repetitions a row's place in its cell is as often one as another, and neighbours' orders are not tied."""
+    own = np.array([int(hashlib.md5(str(k).encode()).hexdigest()[:7], 16) for k in range(6)])
+    orders = np.argsort(placebos.shuffle_keys(own, np.arange(1, 6001)), axis=1)
+    for k in range(6):
+        assert abs(np.bincount(orders[:, k], minlength=6) / 1000 - 1).max() < 0.15
+    assert abs(len({tuple(o) for o in orders.tolist()}) - 720) < 5
+
+
+def test_noise_pays_with_hindsight_alone(spark):
+    """The market is no factor's own draw; honest picks of noise earn nothing."""
+    sizes = {"factors": 120, "sessions": 400, "symbols": 60, "top": 10, "late": 150}
+    found = overfit.selection_artifact(spark, **sizes, seed=3).first()
+    days = np.array([overfit.noise_excess(k, 400, 60, 3) for k in range(120)])
+    late, early = days[:, -150:], days[:, :-150]
+    ratio = lambda x: x.mean(1) / x.std(1, ddof=1)
+    for name, picks in (("hindsight", np.argsort(-ratio(late))[:10]), ("honest", np.argsort(-ratio(early))[:10])):
+        book = late[picks].mean(0)
+        assert abs(found[name] - book.mean()) < 1e-12 and abs(found[f"{name}_ir"] - book.mean() / book.std(ddof=1) * math.sqrt(244)) < 1e-9
+    error = days.std() / math.sqrt(150 * 10)
+    assert abs(found["honest"]) < 4 * error and found["hindsight"] > 3 * error
+    for k in (0, 99):  # no factor is the market
+        market = np.random.default_rng(np.random.SeedSequence(0, spawn_key=(0,))).standard_normal((50, 40))
+        own = np.random.default_rng(np.random.SeedSequence(0, spawn_key=(k + 1,))).standard_normal((50, 40))
+        assert abs(np.corrcoef(market.ravel(), own.ravel())[0, 1]) < 0.1
+
+
 def test_evidence_finds_what_is_planted_and_nothing_in_noise(spark):
     rng = np.random.default_rng(6)
     rows = [(day(t), c, float(rng.normal(0.006 if c == "planted" else 0.0, 0.01))) for t in range(300) for c in ("planted", "noise_a", "noise_b")]
