@@ -13,7 +13,8 @@ from panelforge.functions.columns import pct_rank as rank_of
 from panelforge.functions.streams import PRIME, mixed_sql
 from panelforge.operators import decision, doctor, evidence, forward, mechanisms, registries
 from panelforge.plans import dsl
-from panelforge.sources import testbed
+from panelforge.sources import record_log, testbed
+from panelforge.sources.shared import fresh_folder
 from panelforge.sources.testbed import COST, HORIZON, WINDOW
 
 QUERIES: dict = {}
@@ -326,14 +327,38 @@ def composite(spark, d):
     return r6(_composite(spark, d).select("date", "symbol", "composite"))
 
 
-@query("F11_state", f"WITH {_COMP} SELECT date, symbol, eligible, round(round(composite, 9), 6) AS composite FROM comp")
+SPEC = {"name": "catalog", "factors": _SPEC, "book_size": 3, "holding_days": HORIZON, "round_trip_cost": COST, "universe": {"trailing_amount_window": WINDOW}, "spec_sha256": "0"}
+#: Sessions from the last one in which enough of the symbols are quoted for the gate of ``build_state`` to open are left out.
+_WHOLE = f"whole AS (SELECT max(date) AS last FROM (SELECT date FROM bars GROUP BY date HAVING count(*) >= {forward.LEAST_QUOTED} * (SELECT count(DISTINCT symbol) FROM bars)))"
+
+
+def _whole_prices(spark, d):
+    """Prices up to the last session that quotes enough symbols."""
+    prices = testbed.prices(spark, d)
+    days = prices.groupBy("date").agg(F.count("*").alias("quoted"))
+    symbols = prices.agg(F.count_distinct("symbol").alias("listed"))
+    last = days.crossJoin(symbols).where(F.col("quoted") >= forward.LEAST_QUOTED * F.col("listed")).agg(F.max("date").alias("_last"))  # one row
+    return prices.join(F.broadcast(last), F.col("date") <= F.col("_last")).drop("_last")
+
+
+@query("F11_state", f"WITH {_COMP}, {_WHOLE} SELECT date, symbol, eligible, round(round(composite, 9), 6) AS composite FROM comp, whole WHERE date <= last")
 def state(spark, d):
-    spec = {"factors": _SPEC, "top_n": 3, "horizon": HORIZON, "liquidity_window": WINDOW}
-    # the gate is off: the smallest tables' last session quotes 12 of 25 symbols, which it refuses (tests/test_research.py tests it)
-    built, _ = forward.build_state(testbed.prices(spark, d), spec, least_quoted=0.0)
+    built, _ = forward.build_state(_whole_prices(spark, d), SPEC)
     return r6(built.select("date", "symbol", "eligible", F.round("composite", 9).alias("composite")))
 
 
+@query("A05_A06_prediction_log", f"WITH {_COMP}, n AS (SELECT date, count(*) FILTER (WHERE eligible) AS eligible_names FROM comp GROUP BY date) SELECT picks.date AS data_as_of, eligible_names, CAST(place AS INTEGER) - 1 AS place, symbol, round(composite, 6) AS composite_rank, round(close, 4) AS close, '{forward.STATUS}' AS status FROM picks JOIN n ON picks.date = n.date")
+def prediction_log(spark, d):
+    """Entries of all sessions, appended in two overlapping parts and read back from the log."""
+    rows = forward.entries(_composite(spark, d), SPEC, "2024-01-01T00:00:00+00:00").persist()
+    folder = fresh_folder(spark, "prediction-log")
+    record_log.append_predictions(rows.where("data_as_of < '1998-01-01'"), folder)
+    record_log.append_predictions(rows, folder)
+    rows.unpersist()
+    log = record_log.read_log(spark, folder)
+    return log.select("data_as_of", "eligible_names", F.posexplode("picks").alias("place", "pick"), "status").select("data_as_of", "eligible_names", "place", "pick.*", "status")
+
+
 @query("F05_predictions", f"WITH {_COMP} SELECT date, session_index, symbol, CAST(place AS INTEGER) AS place, round(composite, 6) AS composite FROM picks")
 def predictions(spark, d):
     return r6(_picks(spark, d))

@@ -10,10 +10,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from panelforge.operators import doctor, evidence, forward, universe
-from panelforge.operators.panel import build
+from panelforge.operators import doctor, evidence, forward
 from panelforge.plans import discovery
-from panelforge.sources import readers
+from panelforge.sources import readers, record_log
 
 
 def _session() -> SparkSession:
@@ -93,22 +92,15 @@ def main(args: list[str] | None = None) -> int:
         return code
     elif o.command == "forward":
         spec = forward.load_spec(o.spec)
-        panel = universe.eligible(universe.apply_sealed(build(readers.read_prices(spark, o.prices))), spec.get("liquidity_window", 60)).persist()
-        forward.validate_spec(spec, panel.columns)
+        state, _ = forward.build_state(readers.read_prices(spark, o.prices), spec, o.listed, 0.0)
+        state = state.persist()
         if o.action == "log":
-            from pyspark.sql import functions as F
-
-            last = panel.agg(F.max("date")).first()[0]
-            picks = forward.predictions(panel, spec["factors"], spec["top_n"], last)
-            entry = picks.groupBy(F.col("date").alias("data_as_of")).agg(F.sort_array(F.collect_list("symbol")).alias("picks")).withColumns({"spec_sha256": F.lit(spec["spec_sha256"]), "horizon": F.lit(spec["horizon"])})
-            forward.append_predictions(entry, forward.read_log(spark, o.log) if _exists(spark, o.log) else spark.createDataFrame([], forward.LOG), o.log)
+            last = state.agg({"date": "max"}).first()[0]
+            record_log.append_predictions(forward.entries(state, spec, dt.datetime.now(dt.timezone.utc).isoformat(), last), o.log)
         else:
-            from pyspark.sql import functions as F
-
-            log = forward.read_log(spark, o.log).where(F.col("spec_sha256") == spec["spec_sha256"]).select(F.col("data_as_of").alias("date"), F.explode("picks").alias("symbol"))
-            picks = log.join(panel.select("date", "symbol", "session_index"), ["date", "symbol"])
-            scored = forward.score_log(panel, picks, spec["horizon"], spec.get("round_trip_cost", 0.003))
-            forward.write_json({"status": "research_only", "orders": [], "automatic_trading_changes": [], "summary": forward.record_summary(scored).first().asDict()}, o.output)
+            picks = record_log.logged_picks(record_log.read_log(spark, o.log), state, spec["spec_sha256"])
+            scored = forward.score_log(state, picks, int(spec["holding_days"]), float(spec["round_trip_cost"]))
+            forward.write_json({"status": forward.STATUS, "orders": [], "automatic_trading_changes": [], "summary": forward.record_summary(scored).first().asDict()}, o.output)
     else:
         prices, statements = readers.synthetic_market(spark, o.days, o.symbols, o.seed)
         readers.write_csv(prices, f"{o.output_dir}/prices")
@@ -117,10 +109,5 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 if __name__ == "__main__":
     sys.exit(main())

@@ -30,20 +30,44 @@ def spec_digest(spec: dict) -> str:
     return hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+# A record's status, a specification's keys, and its universe's keys with what they are called here.
+STATUS = "research_only_forward_record_not_trading"
+REQUIRED = ("name", "factors", "book_size", "holding_days", "round_trip_cost")
+COMBINATION = "equal_weight_rank_average"
+UNIVERSE = {
+    "trailing_amount_window": "window", "minimum_trailing_median_amount": "least_amount", "minimum_prior_observations": "least_observations", "exclude_st": "exclude_st", "require_normal_trade_status": "normal_status",
+}
+
+
 def validate_spec(spec: dict, fields) -> None:
-    if spec.get("status", "research_only") != "research_only" or spec.get("orders") or spec.get("automatic_trading_changes"):
+    """Refuse what is incomplete, can't be computed, or is not for research alone."""
+    if spec.get("status", STATUS) != STATUS or spec.get("orders") or spec.get("automatic_trading_changes"):
         raise ValueError("specifications are for research only")
-    if not spec.get("factors") or int(spec.get("top_n", 0)) < 1 or int(spec.get("horizon", 0)) < 1:
-        raise ValueError("a specification names factors, top_n and horizon")
-    for expr in spec["factors"].values():
-        dsl.validate(expr, fields, spec.get("windows", FORWARD_WINDOWS))
+    missing = sorted(k for k in REQUIRED if k not in spec)
+    if missing:
+        raise ValueError(f"the specification lacks {', '.join(missing)}")
+    if not isinstance(spec["factors"], dict) or not spec["factors"] or int(spec["book_size"]) < 1 or int(spec["holding_days"]) < 1 or float(spec["round_trip_cost"]) < 0:
+        raise ValueError("a specification names factors, a book size and holding days from 1 on, and a cost from 0 on")
+    if spec.get("combination", COMBINATION) != COMBINATION:
+        raise ValueError(f"factors are combined by {COMBINATION} alone")
+    for name, expr in spec["factors"].items():
+        try:
+            dsl.validate(expr, fields, spec.get("windows", FORWARD_WINDOWS))
+        except ValueError as error:
+            raise ValueError(f"factor {name}: {error}") from error
+
+
+def universe_of(spec: dict) -> dict:
+    """The arguments of ``universe.eligible`` that a specification's universe stands for; others of its keys describe it only."""
+    return {UNIVERSE[k]: v for k, v in spec.get("universe", {}).items() if k in UNIVERSE}
 
 
 def freeze_spec(spec: dict, path: str, frozen_at: str) -> dict:
     """Write a specification once, with its digest."""
     if os.path.exists(path):
         raise FileExistsError(path)
-    out = spec | {"frozen_at": frozen_at, "spec_sha256": spec_digest(spec)}
+    out = {"status": STATUS} | spec
+    out |= {"frozen_at": frozen_at, "spec_sha256": spec_digest(out)}
     write_json(out, path)
     return out
 
@@ -66,11 +90,11 @@ def write_json(value, path: str) -> None:
 
 def composite(panel: DataFrame, factors: dict[str, dict]) -> DataFrame:
     """``composite``: mean rank of the factors within the eligible names; null if any is."""
-    out = dsl.evaluate(panel, factors)
-    names = list(factors)
-    ranked = out.withColumns({f"_r_{n}": pct_rank(F.when(F.col("eligible"), F.col(n))) for n in names})
-    total = reduce(lambda a, b: a + b, [F.col(f"_r_{n}") for n in names]) / len(names)
-    return ranked.withColumn("composite", total).drop(*[f"_r_{n}" for n in names])
+    names = [f"_f{i}" for i in range(len(factors))]  # whatever the factors are called
+    out = dsl.evaluate(panel, dict(zip(names, factors.values())))
+    ranked = out.withColumns({f"_r{n}": pct_rank(F.when(F.col("eligible"), F.col(n))) for n in names})
+    total = reduce(lambda a, b: a + b, [F.col(f"_r{n}") for n in names]) / len(names)
+    return ranked.withColumn("composite", total).drop(*[f"_r{n}" for n in names], *names)
 
 
 def predictions(panel: DataFrame, factors: dict[str, dict], n: int, as_of=None) -> DataFrame:
@@ -80,13 +104,24 @@ def predictions(panel: DataFrame, factors: dict[str, dict], n: int, as_of=None)
     return picks if as_of is None else picks.where(F.col("date") == F.lit(as_of))
 
 
+def entries(state: DataFrame, spec: dict, logged_at: str, as_of=None) -> DataFrame:
+    """Log entries of one session, or of every one with an eligible name: the book's names with rank and close."""
+    rows = state if as_of is None else state.where(F.col("date") == F.lit(as_of))
+    best = top_names(rows, "composite", int(spec["book_size"]))
+    pick = F.struct("place", F.struct("symbol", F.round("composite", 6).alias("composite_rank"), F.round("close", 4).alias("close")).alias("pick"))
+    days = best.groupBy(F.col("date").alias("data_as_of")).agg(F.count_if("eligible").alias("eligible_names"), F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), pick))).alias("_p"))  # a book's names a session
+    named = {"spec_name": spec["name"], "spec_sha256": spec["spec_sha256"], "logged_at": logged_at, "status": STATUS}
+    out = days.where(F.size("_p") > 0).select("data_as_of", "eligible_names", F.col("_p.pick").alias("picks"), *[F.lit(v).alias(k) for k, v in named.items()], F.array().cast("array<string>").alias("orders"))
+    return out.select("spec_name", "spec_sha256", "logged_at", "data_as_of", "eligible_names", "picks", "status", "orders")
+
+
 def build_state(prices: DataFrame, spec: dict, listed: int | None = None, least_quoted: float = LEAST_QUOTED) -> tuple[DataFrame, dict]:
     """The panel with ``eligible`` and ``composite``, and the funnel of its last session.
 
     ``listed`` is the number of symbols there should be (those of ``prices`` if None). A session in which less than the share
     ``least_quoted`` of them is quoted is incomplete, and is refused; so are prices without rows.
     """
-    panel = eligible(apply_sealed(build(prices)), **{"window": spec.get("liquidity_window", 60), **spec.get("universe", {})})
+    panel = eligible(apply_sealed(build(prices)), **universe_of(spec))
     validate_spec(spec, panel.columns)
     last = panel.agg(F.max("date")).first()[0]
     if last is None:
@@ -122,7 +157,7 @@ def publish_pick(state: DataFrame, spec: dict, folder: str, published_at: str, c
         return 1, None
     entry = {
         "as_of": str(best["date"]), "symbol": best["symbol"], "buy_at": "open of the next session", "composite": round(best["composite"], 6), "close": None if best["close"] is None else round(best["close"], 4),
-        "eligible_names": today.where("eligible").count(), "spec_sha256": spec["spec_sha256"], "published_at": published_at, "computed_by": computed_by, "status": "research_only", "orders": [],
+        "eligible_names": today.where("eligible").count(), "spec_sha256": spec["spec_sha256"], "published_at": published_at, "computed_by": computed_by, "status": STATUS, "orders": [],
     }
     if dry_run:
         return 0, entry
@@ -137,24 +172,6 @@ def publish_pick(state: DataFrame, spec: dict, folder: str, published_at: str, c
     return 0, entry
 
 
-LOG = "data_as_of date, spec_sha256 string, picks array<string>, horizon int"
-
-
-def read_log(spark, path: str) -> DataFrame:
-    """Predictions of a JSON-lines log; lines that can't be read are left out."""
-    return spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(path).where("data_as_of is not null and spec_sha256 is not null")
-
-
-def append_predictions(entries: DataFrame, log: DataFrame, path: str) -> int:
-    """Append what the log has no (data_as_of, spec_sha256) for; one writer at a time. Returns the number appended."""
-    new = entries.dropDuplicates(["data_as_of", "spec_sha256"]).join(log.select("data_as_of", "spec_sha256"), ["data_as_of", "spec_sha256"], "left_anti").persist()
-    n = new.count()
-    if n:
-        new.select("data_as_of", "spec_sha256", "picks", "horizon").write.mode("append").json(path)
-    new.unpersist()
-    return n
-
-
 def score_log(panel: DataFrame, picks: DataFrame, horizon: int, cost: float) -> DataFrame:
     """Matured predictions: book, universe and net return.
 
@@ -209,5 +226,3 @@ def staleness(picks: DataFrame, today: str) -> DataFrame:
     days = F.datediff(F.lit(today).cast("date"), F.max("date"))
     return picks.agg(days.alias("days"), (days > STALE_DAYS).alias("stale"))
 
-
-__all__ = ["append_predictions", "build_state", "composite", "compounded", "freeze_spec", "load_spec", "predictions", "publish_pick", "read_log", "read_record", "record_summary", "rotation", "score_log", "span_return", "spec_digest", "staleness", "validate_spec", "write_json"]

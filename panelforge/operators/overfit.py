@@ -66,9 +66,9 @@ def sharpe_moments(returns: DataFrame, value: str = "d") -> DataFrame:
 
 def deflated_sharpe(n: int, sharpe: float, skew: float, kurtosis: float, trials: list[float], declared: int = 0) -> float | None:
     """Probability that the best of so many trials has a Sharpe ratio above what luck gives."""
-    if n < 30 or len(trials) < 2:
+    if n < 30:
         return None
-    count, sigma = max(len(trials), declared, 2), float(np.std(trials, ddof=1))
+    count, sigma = max(len(trials), declared, 2), float(np.std(trials, ddof=1)) if len(trials) > 1 else 0.0
     z = NormalDist().inv_cdf
     lucky = sigma * ((1 - EULER) * z(1 - 1 / count) + EULER * z(1 - 1 / (count * math.e)))
     spread = math.sqrt(max(1e-12, 1 - skew * sharpe + (kurtosis + 2) * sharpe**2 / 4))

@@ -167,47 +167,85 @@ def _first(df: DataFrame) -> dict:
     return r.asDict() if r is not None else {}
 
 
+# The status that a configuration carries, its keys without a default, the defaults of others, and the guards' limits by key.
+STATUS = "research_only_not_trading"
+REQUIRED = (
+    "prediction_horizon_days", "purge_days", "validation_days", "shadow_days", "minimum_train_days", "round_trip_cost", "candidate_budget", "stage2_budget", "pbo_blocks", "pbo_maximum", "placebo_repetitions", "minimum_train_rank_ic",
+    "minimum_positive_walk_forward_folds", "permutation_alpha", "maximum_counter_correlation", "maximum_factor_behavior_correlation", "dsr_probability_minimum", "previous_research_trials", "random_seed",
+)
+DEFAULTS = {"require_neutralization_data": True, "minimum_daily_amount": 0.0, "maximum_amount_participation": 0.01, "parent_pool_size": 8, "walk_forward_folds": 3}
+LIMITS = {
+    "min_train_ic": "minimum_train_rank_ic", "max_counter_correlation": "maximum_counter_correlation", "alpha": "permutation_alpha", "max_pbo": "pbo_maximum", "min_dsr": "dsr_probability_minimum",
+    "min_positive_folds": "minimum_positive_walk_forward_folds",
+}
+
+
+def checked_config(config: dict) -> dict:
+    """The configuration with its defaults; refused if it is not for research, lacks a key or purges less than the labels' horizon."""
+    if config.get("status") != STATUS or config.get("orders") or config.get("automatic_trading_changes"):
+        raise ValueError("only research is supported")
+    missing = sorted(k for k in REQUIRED if k not in config)
+    if missing:
+        raise ValueError(f"the configuration lacks {', '.join(missing)}")
+    if config["purge_days"] < config["prediction_horizon_days"]:
+        raise ValueError("the purge is at least as long as the labels' horizon")
+    return DEFAULTS | config
+
+
+def limits_of(config: dict) -> dict:
+    return {guard: config[key] for guard, key in LIMITS.items()}
+
+
 def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
     """Panel, split, search, evaluation, guards, manifest. Research only: orders stay empty."""
-    if config.get("status") != "research_only" or config.get("orders") or config.get("automatic_trading_changes"):
-        raise ValueError("only research is supported")
-    spark, h, cost = prices.sparkSession, config["horizon"], config["round_trip_cost"]
+    config = checked_config(config)
+    lacking = sorted({"industry", "market_cap"} - set(prices.columns))
+    if config["require_neutralization_data"] and lacking:
+        raise ValueError(f"neutral books need {', '.join(lacking)}")
+    spark, h, cost, limits = prices.sparkSession, config["prediction_horizon_days"], config["round_trip_cost"], limits_of(config)
     fundamentals = None
     base = build(prices, check=True)
     if statements is not None:
         fundamentals = align(statements, base.select("date", "symbol"))
         base = build(prices, fundamentals)
-    sessions = validate.split(base.select("date", "session_index").distinct(), h, config["purge_days"], config["validation_days"], config["shadow_days"], config["min_train_days"])
-    panel = labels(universe.tradable(universe.eligible(universe.apply_sealed(base), 60)), h).join(F.broadcast(sessions.select("date", "segment")), "date").persist()
-    candidates, scores, ledger = generate(panel, config["candidate_budget"], config["parent_pool"])
+    sessions = validate.split(base.select("date", "session_index").distinct(), h, config["purge_days"], config["validation_days"], config["shadow_days"], config["minimum_train_days"])
+    traded = universe.tradable(universe.eligible(universe.apply_sealed(base), 60), config["minimum_daily_amount"])
+    panel = labels(traded, h).join(F.broadcast(sessions.select("date", "segment")), "date").persist()
+    plan = _first(evaluate.phenomena(panel.where("segment = 'train'")))
+    audit = [r.asDict() for r in sessions.groupBy("segment").agg(F.count("*").alias("sessions"), F.min("date").alias("first"), F.max("date").alias("last")).orderBy("segment").collect()]
+    candidates, scores, ledger = generate(panel, config["candidate_budget"], max(2, config["parent_pool_size"]))
 
     by_id = {c.id: c for c in candidates}
     scored = {i: s for i, s in scores.items() if s is not None}
     shortlist = sorted(scored, key=lambda i: (-abs(scored[i]), i))[: 4 * config["stage2_budget"]]
     signals = dsl.evaluate(panel, {i: by_id[i].expr for i in shortlist}).where("segment = 'train'")
     pairs = {(r["a"], r["b"]): r["correlation"] for r in overfit.pairwise_correlations(signals, shortlist).collect()} if len(shortlist) > 1 else {}
-    stage2 = overfit.prune({i: scored[i] for i in shortlist}, pairs, config["stage2_budget"], config["max_behaviour_correlation"])
+    stage2 = overfit.prune({i: scored[i] for i in shortlist}, pairs, config["stage2_budget"], config["maximum_factor_behavior_correlation"])
+    pruned = [{"id": i, "correlated_with": [k for k in stage2 if abs(pairs.get(tuple(sorted((i, k)))) or 0.0) >= config["maximum_factor_behavior_correlation"]]} for i in shortlist if i not in stage2]
 
-    rows, books = [], []
+    rows, books, shadow = [], [], []
     for i in stage2:
         c, sign = by_id[i], 1 if scored[i] >= 0 else -1
         named = dsl.evaluate(panel, {"_raw": c.expr, **{f"_counter{k}": e for k, e in enumerate(c.counters)}}).withColumn("signal", F.col("_raw") * sign)
         weights = portfolio.tranches(portfolio.neutral_weights(named, "signal"), h).persist()
-        book = portfolio.daily(weights, cost).join(sessions.select("date", "segment"), "date")
+        book = portfolio.daily(weights, cost, config["maximum_amount_participation"]).join(sessions.select("date", "segment"), "date")
         seen = book.where("segment = 'validation'")
         stats = _first(evaluate.return_stats(seen))
-        row = {"id": i, "train_ic": scored[i], "direction": sign, "mean": stats.get("mean"), "ir": stats.get("ir"), "validation": stats}
+        row = {"id": i, "train_ic": scored[i], "direction": sign, "mean": stats.get("mean"), "ir": stats.get("ir"), "validation": stats, "gross": _first(evaluate.return_stats(seen, "gross"))}
+        row |= _first(seen.agg(F.avg("turnover").alias("turnover_mean"), F.percentile("capacity", F.lit(0.5)).alias("capacity_median")))
         counters, counter_books = [], []
         for k in range(len(c.counters)):
             direction = _first(evaluate.train_score(named.where("segment = 'train'"), f"_counter{k}", "target"))
-            turned = named.withColumn("_c", F.col(f"_counter{k}") * (direction.get("direction") or 1))
+            if direction.get("direction") is None:
+                continue  # too few sessions to learn its direction from
+            turned = named.withColumn("_c", F.col(f"_counter{k}") * direction["direction"])
             own = portfolio.neutral_book(turned, "_c", h, cost).join(sessions.select("date", "segment"), "date").where("segment = 'validation'")
             counter_books.append(own.select("date", F.lit("counter").alias("candidate"), F.col("costed").alias("d")))
             counters.append(_first(evaluate.return_stats(own)) | {"correlation": _first(evaluate.signal_correlation(turned.where("segment = 'validation'"), "signal", "_c")).get("correlation")})
         strongest = max(range(len(counters)), key=lambda k: counters[k]["ir"] if counters[k].get("ir") is not None else float("-inf"), default=None)
         best = {} if strongest is None else counters[strongest]
         row |= {"counter_mean": best.get("mean"), "counter_correlation": best.get("correlation")}
-        shuffled = placebos.placebo_returns(weights.where("segment = 'validation'"), h, cost, config["placebos"], config["random_seed"] ^ int(i[-8:], 16)).persist()
+        shuffled = placebos.placebo_returns(weights.where("segment = 'validation'"), h, cost, config["placebo_repetitions"], config["random_seed"] ^ int(i[-8:], 16)).persist()
         row["permutation_p"] = _first(placebos.permutation_p(placebos.statistics(shuffled))).get("p_value")
         # the candidate against its strongest counter and its first placebos: how often is it best in one half and poor in the other
         rivals = placebos.by_repetition(shuffled, PBO_PLACEBOS).where("repetition > 0").select("date", F.concat(F.lit("placebo_"), F.col("repetition").cast("string")).alias("candidate"), F.col("costed").alias("d"))
@@ -221,7 +259,8 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
         row["cost_curve"] = [r.asDict() for r in portfolio.cost_curve(seen).orderBy("cost").collect()]
         row["ic_decay"] = [r.asDict() for r in evaluate.ic_decay(named.where("segment = 'validation'"), "signal").orderBy("horizon").collect()]
         row["monotonicity"] = _first(evaluate.monotonicity(evaluate.quintile_means(named.where("segment = 'validation'"), "signal", "target"))).get("monotonicity")
-        row["shadow_commitment"] = overfit.commitment(_first(evaluate.return_stats(book.where("segment = 'shadow'"))))
+        unseen = book.where("segment = 'shadow'")
+        shadow.append({"id": i, "costed": _first(evaluate.return_stats(unseen)), "gross": _first(evaluate.return_stats(unseen, "gross"))})
         weights.unpersist()
         books.append(seen.select("date", F.lit(i).alias("candidate"), F.col("costed").alias("d")))
         rows.append(row)
@@ -231,17 +270,20 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
         family = reduce(DataFrame.unionByName, books).persist()
         if len(books) > 1:
             project_pbo = _first(overfit.pbo(family, config["pbo_blocks"])).get("pbo")
-        dsr = {r["candidate"]: r["probability"] for r in overfit.deflated_sharpes(family, declared=len(ledger)).collect()}
+        dsr = {r["candidate"]: r["probability"] for r in overfit.deflated_sharpes(family, declared=config["previous_research_trials"] + len(candidates)).collect()}
         family.unpersist()
     for row in rows:
         row |= {"project_pbo": project_pbo, "dsr": dsr.get(row["id"])}
-        row["guards"] = overfit.guards(row)
+        row["guards"] = overfit.guards(row, limits)
         row["survivor"] = all(row["guards"].values())
     # without a passing family no candidate survives
-    hard_stop = None if project_pbo is not None and project_pbo <= overfit.GUARDS["max_pbo"] else "the family's PBO failed: no survivors"
+    hard_stop = None if project_pbo is not None and project_pbo <= limits["max_pbo"] else "the family's PBO failed: no survivors"
+    for row in rows:
+        row["survivor"] = row["survivor"] and not hard_stop
     panel.unpersist()
     return {
         "status": "research_only", "orders": [], "automatic_trading_changes": [], "candidates": rows, "survivors": [r["id"] for r in rows if r["survivor"]], "trial_ledger": ledger, "project_pbo": project_pbo, "hard_stop": hard_stop,
+        "research_plan": plan, "split": audit, "pruned": pruned, "shadow_commitment": overfit.commitment(shadow), "previous_research_trials": config["previous_research_trials"],
         "manifest": {"config": overfit.commitment(config), "prices": digest(prices), "statements": digest(statements) if statements is not None else None, "spark": spark.version, "commit": _commit()},
     }
 

@@ -153,10 +153,11 @@ def synthetic_market(spark: SparkSession, days: int = 650, symbols: int = 20, se
 
 
 def demo_config() -> dict:
-    # Defaults of a run.
+    # A small run.
     return {
-        "status": "research_only", "horizon": 10, "purge_days": 10, "validation_days": 126, "shadow_days": 126, "min_train_days": 252, "round_trip_cost": 0.003, "candidate_budget": 8,
-        "stage2_budget": 3, "parent_pool": 4, "walk_forward_folds": 3, "pbo_blocks": 8, "placebos": 20, "random_seed": 7, "max_behaviour_correlation": 0.85,
+        "status": "research_only_not_trading", "prediction_horizon_days": 10, "purge_days": 10, "validation_days": 126, "shadow_days": 126, "minimum_train_days": 252, "round_trip_cost": 0.003, "candidate_budget": 8,
+        "stage2_budget": 3, "parent_pool_size": 4, "walk_forward_folds": 3, "minimum_positive_walk_forward_folds": 2, "pbo_blocks": 8, "pbo_maximum": 0.2, "placebo_repetitions": 20, "permutation_alpha": 0.05, "random_seed": 7,
+        "minimum_train_rank_ic": 0.005, "maximum_counter_correlation": 0.9, "maximum_factor_behavior_correlation": 0.85, "dsr_probability_minimum": 0.95, "previous_research_trials": 0, "require_neutralization_data": True,
     }
 
 

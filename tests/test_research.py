@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import streams
 from panelforge.operators import decision, doctor, evidence, forward, mechanisms, overfit, pit, placebos
 from panelforge.plans import discovery, dsl
-from panelforge.sources import readers
+from panelforge.sources import readers, record_log
 from panelforge.streaming import filters
 
 DAY = dt.date(2024, 1, 1)
@@ -403,7 +404,7 @@ def test_seeds():
 
 def test_discovery_run(spark):
     prices, statements = readers.synthetic_market(spark, 420, 12, 3)
-    config = readers.demo_config() | {"candidate_budget": 7, "stage2_budget": 1, "placebos": 4, "validation_days": 60, "shadow_days": 40, "min_train_days": 150, "walk_forward_folds": 2}
+    config = readers.demo_config() | {"candidate_budget": 7, "stage2_budget": 1, "placebo_repetitions": 4, "validation_days": 60, "shadow_days": 40, "minimum_train_days": 150, "walk_forward_folds": 2}
     found = discovery.run(prices, statements, config)
     assert found["status"] == "research_only" and found["orders"] == [] and found["automatic_trading_changes"] == []
     assert len([r for r in found["trial_ledger"] if "rejected" not in r]) == 7 and len(found["candidates"]) == 1
@@ -411,46 +412,149 @@ def test_discovery_run(spark):
     assert len(row["guards"]) == 9 and row["survivor"] == all(row["guards"].values()) and row["permutation_p"] in {k / 5 for k in range(1, 6)}
     assert found["project_pbo"] is None and found["hard_stop"] and found["survivors"] == []  # one candidate has no family
     assert row["factor_pbo"] is None or 0 <= row["factor_pbo"] <= 1
-    assert len(row["shadow_commitment"]) == 64 and all(set(r) >= {"horizon", "mean_ic", "t"} for r in row["ic_decay"])
+    assert len(found["shadow_commitment"]) == 64 and {r["segment"]: r["sessions"] for r in found["split"]}["shadow"] == 40 and found["research_plan"] and all(k in row for k in ("gross", "turnover_mean", "capacity_median"))
+    assert row["dsr"] is not None and len(found["candidates"]) + len(found["pruned"]) <= 4
+    assert all(set(r) >= {"horizon", "mean_ic", "t"} for r in row["ic_decay"])
     json.dumps(found, default=str)
-    for bad in ({"status": "live"}, {"orders": [1]}, {"automatic_trading_changes": [1]}):
+    for bad in ({"status": "live"}, {"orders": [1]}, {"automatic_trading_changes": [1]}, {"purge_days": 9}):
         with pytest.raises(ValueError):
             discovery.run(prices, statements, config | bad)
+    with pytest.raises(ValueError, match="industry"):
+        discovery.run(prices.drop("industry"), statements, config)
+    for k in discovery.REQUIRED:
+        with pytest.raises(ValueError, match=k):
+            discovery.checked_config({c: v for c, v in config.items() if c != k})
+
+
+def test_limits_of_a_configuration_change_the_guards():
+    row = {"train_ic": 0.01, "mean": 0.1, "ir": 1.0, "counter_correlation": 0.5, "counter_mean": 0.0, "permutation_p": 0.04, "factor_pbo": 0.1, "project_pbo": 0.1, "dsr": 0.96, "positive_folds": 2}
+    config = readers.demo_config()
+    assert all(overfit.guards(row, discovery.limits_of(config)).values())
+    for key, value, guard in [
+        ("minimum_train_rank_ic", 0.02, "train_ic"), ("maximum_counter_correlation", 0.4, "distinct_from_counter"), ("permutation_alpha", 0.01, "permutation"), ("pbo_maximum", 0.05, "factor_pbo"), ("pbo_maximum", 0.05, "project_pbo"),
+        ("dsr_probability_minimum", 0.99, "deflated_sharpe"), ("minimum_positive_walk_forward_folds", 3, "walk_forward"),
+    ]:
+        assert not overfit.guards(row, discovery.limits_of(config | {key: value}))[guard]
+    assert set(discovery.LIMITS) == set(overfit.GUARDS)
+
+
+def test_earlier_trials_deflate():
+    moments = (250, 0.1, 0.0, 0.0, [0.1, 0.02, -0.05])
+    probabilities = [overfit.deflated_sharpe(*moments, declared=n) for n in (0, 10, 1000)]
+    assert probabilities[0] > probabilities[1] > probabilities[2]
+    assert overfit.deflated_sharpe(250, 0.1, 0.0, 0.0, [0.1]) > 0.9  # one trial has no spread to deflate by
 
 
 # records and checks
 
 
+SPEC = {"name": "s", "factors": {"a.b/m": dsl.roll("sum", dsl.f("returns"), 20)}, "book_size": 2, "holding_days": 5, "round_trip_cost": 0.003, "combination": "equal_weight_rank_average", "universe": {"trailing_amount_window": 20, "minimum_prior_observations": 3, "note": "x"}}
+
+
 def test_frozen_specifications(tmp_path):
-    spec = {"name": "s", "factors": {"m": dsl.roll("sum", dsl.f("returns"), 20)}, "top_n": 2, "horizon": 5}
     path = f"{tmp_path}/spec.json"
-    out = forward.freeze_spec(spec, path, "2024-01-01")
-    assert forward.load_spec(path) == out and out["spec_sha256"] == forward.spec_digest(spec)
+    out = forward.freeze_spec(SPEC, path, "2024-01-01")
+    assert forward.load_spec(path) == out and out["spec_sha256"] == forward.spec_digest(SPEC | {"status": "research_only_forward_record_not_trading"}) and out["status"] == forward.STATUS
     with pytest.raises(FileExistsError):
-        forward.freeze_spec(spec, path, "2024-01-02")
-    forward.write_json(out | {"top_n": 3}, path)
+        forward.freeze_spec(SPEC, path, "2024-01-02")
+    forward.write_json(out | {"book_size": 3}, path)
     with pytest.raises(ValueError):
         forward.load_spec(path)
-    for bad in ({"status": "live"}, {"orders": ["buy"]}, {"factors": {}}, {"top_n": 0}, {"horizon": 0}):
+    forward.validate_spec(out, {"returns"})
+    assert forward.universe_of(SPEC) == {"window": 20, "least_observations": 3}
+    for bad in ({"status": "live"}, {"orders": ["buy"]}, {"factors": {}}, {"book_size": 0}, {"holding_days": 0}, {"round_trip_cost": -0.1}, {"combination": "sum"}):
         with pytest.raises(ValueError):
-            forward.validate_spec(spec | bad, {"returns"})
+            forward.validate_spec(SPEC | bad, {"returns"})
+    for k in forward.REQUIRED:
+        with pytest.raises(ValueError, match=k):
+            forward.validate_spec({c: v for c, v in SPEC.items() if c != k}, {"returns"})
+
+
+def log_rows(spark, keys):
+    rows = [("s", h, "now", d, 9, [("A", 0.9, 10.0), ("B", 0.8, None)], forward.STATUS, []) for d, h in keys]
+    return spark.createDataFrame(rows, record_log.LOG).repartition(3)
 
 
 def test_predictions_are_appended_once(spark, tmp_path):
-    path = f"{tmp_path}/log"
-    entries = spark.createDataFrame([(day(0), "x", ["A"], 5), (day(0), "x", ["A"], 5), (day(1), "x", ["B"], 5)], forward.LOG)
-    none = spark.createDataFrame([], forward.LOG)
-    assert forward.append_predictions(entries, none, path) == 2
-    assert forward.append_predictions(entries, forward.read_log(spark, path), path) == 0
-    with open(f"{path}/bad.json", "w") as f:
-        f.write("{not json\n")
-    assert forward.read_log(spark, path).count() == 2
+    folder = f"{tmp_path}/log"
+    three = log_rows(spark, [(day(0), "x"), (day(0), "x"), (day(1), "x"), (day(1), "y")])
+    assert record_log.append_predictions(three, folder) == 3
+    assert record_log.append_predictions(three, folder) == 0
+    assert record_log.append_predictions(log_rows(spark, [(day(1), "x"), (day(2), "x")]), folder) == 1
+    with open(f"{folder}/bad.json", "w") as f:
+        f.write('{not json\n{"spec_name": "no key"}\n[1]\n\n')
+    assert sorted((r["data_as_of"], r["spec_sha256"]) for r in record_log.read_log(spark, folder).collect()) == [(day(0), "x"), (day(1), "x"), (day(1), "y"), (day(2), "x")]
+    assert record_log.append_predictions(log_rows(spark, [(day(2), "x")]), folder) == 0
+    assert record_log.read_log(spark, folder).first()["picks"][0].asDict() == {"symbol": "A", "composite_rank": 0.9, "close": 10.0}
+
+
+def test_a_slower_writer_of_a_log_writes_nothing(spark, tmp_path):
+    """A writer that planned before another one's commit fails whole, and leaves no drafts."""
+    folder = f"{tmp_path}/log"
+    none = spark.createDataFrame([], record_log.LOG)
+    assert record_log.append_predictions(log_rows(spark, [(day(1), "x")]), folder) == 1
+    with pytest.raises(Exception, match="by now"):
+        record_log.append_predictions(log_rows(spark, [(day(0), "x"), (day(1), "x")]), folder, none)
+    assert record_log.log_keys(folder) == {(str(day(1)), "x")} and not os.listdir(f"{folder}/_drafts")
+    with pytest.raises(Exception, match="never overwritten"):
+        log_rows(spark, [(day(5), "x")]).write.format("record_log").mode("overwrite").save(folder)
+
+
+def test_drafts_of_lost_attempts_are_not_part_of_a_log(tmp_path, monkeypatch):
+    """An attempt that wrote its draft and then was lost; the one that counts has a draft of its own."""
+
+    class Task:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):
+            return 0
+
+        def attemptNumber(self):
+            return self.attempt
+
+    folder = f"{tmp_path}/log"
+    writer = record_log._RecordWriter(folder, ["data_as_of", "spec_sha256"])
+    messages = []
+    for attempt in (0, 1):
+        monkeypatch.setattr(record_log.TaskContext, "get", classmethod(lambda cls, a=attempt: Task(a)))
+        messages.append(writer.write(iter([(day(0), "x")])))
+    assert record_log.log_keys(folder) == set()  # nothing shows before the commit
+    writer.commit([messages[1], None])
+    assert record_log.log_keys(folder) == {(str(day(0)), "x")} and len([n for n in os.listdir(folder) if n.startswith("part-")]) == 1
+
+
+def test_a_log_in_the_public_form_is_scored(spark, tmp_path):
+    """One file of JSON lines, picks as objects, with a broken line; entries built here have the same form."""
+    prices, _ = readers.synthetic_market(spark, 90, 8, 5)
+    spec = SPEC | {"spec_sha256": forward.spec_digest(SPEC)}
+    state, _ = forward.build_state(prices, spec)
+    state = state.persist()
+    rows = forward.entries(state, spec, "2024-01-01T00:00:00+00:00").orderBy("data_as_of").collect()
+    assert all(len(r["picks"]) == 2 and r["orders"] == [] and r["status"] == forward.STATUS for r in rows)
+    with open(f"{tmp_path}/log.jsonl", "w") as f:
+        for r in rows:
+            f.write(json.dumps(r.asDict(True) | {"data_as_of": str(r["data_as_of"]), "provenance": "computed"}) + "\n")
+        f.write('{"spec_sha256": \n')
+    log = record_log.read_log(spark, f"{tmp_path}/log.jsonl")
+    assert log.count() == len(rows)
+    scored = forward.score_log(state, record_log.logged_picks(log, state, spec["spec_sha256"]), 5, 0.003).collect()
+    dates = [r["date"] for r in state.select("date").distinct().orderBy("date").collect()]
+    opens = {(r["date"], r["symbol"]): r["open"] for r in state.select("date", "symbol", "open").collect()}
+    picked = {r["data_as_of"]: [p["symbol"] for p in r["picks"]] for r in rows}
+    plain = [r for r in scored if r["legs"] == 2 and r["carried"] == 0]
+    assert len(plain) > 30
+    for r in plain:
+        at = dates.index(r["date"])
+        legs = [opens[dates[at + 6], s] / opens[dates[at + 1], s] - 1 for s in picked[r["date"]]]
+        assert abs(r["book"] - sum(legs) / 2) < 1e-12
+    assert record_log.logged_picks(log, state, "another").count() == 0
 
 
 def test_picks_are_published_once(spark, tmp_path):
     prices, _ = readers.synthetic_market(spark, 80, 6, 5)
     prices = prices.persist()
-    spec = {"factors": {"m": dsl.roll("sum", dsl.f("returns"), 20)}, "top_n": 1, "horizon": 1, "liquidity_window": 20}
+    spec = {"factors": {"m": dsl.roll("sum", dsl.f("returns"), 20)}, "name": "p", "book_size": 1, "holding_days": 1, "round_trip_cost": 0.003, "universe": {"trailing_amount_window": 20}}
     spec |= {"spec_sha256": forward.spec_digest(spec)}
     state, funnel = forward.build_state(prices, spec, 6)
     rows = state.where("eligible and composite is not null").select("date", "symbol", "composite").toPandas()
