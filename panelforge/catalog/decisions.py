@@ -328,26 +328,27 @@ def composite(spark, d):
 
 
 SPEC = {"name": "catalog", "factors": _SPEC, "book_size": 3, "holding_days": HORIZON, "round_trip_cost": COST, "universe": {"trailing_amount_window": WINDOW}, "spec_sha256": "0"}
-#: Sessions from the last one in which enough of the symbols are quoted for the gate of ``build_state`` to open are left out.
-_WHOLE = f"whole AS (SELECT max(date) AS last FROM (SELECT date FROM bars GROUP BY date HAVING count(*) >= {forward.LEAST_QUOTED} * (SELECT count(DISTINCT symbol) FROM bars)))"
+#: As many names as the fullest session quotes are listed; sessions after the last one in which the gate of ``build_state`` opens are left out.
+_WHOLE = f"quotes AS (SELECT date, count(*) AS n FROM bars GROUP BY date), whole AS (SELECT max(date) AS last FROM quotes WHERE n >= {forward.LEAST_QUOTED} * (SELECT max(n) FROM quotes))"
 
 
 def _whole_prices(spark, d):
-    """Prices up to the last session that quotes enough symbols."""
+    """Prices up to the last session that quotes enough names, and how many are listed."""
     prices = testbed.prices(spark, d)
-    days = prices.groupBy("date").agg(F.count("*").alias("quoted"))
-    symbols = prices.agg(F.count_distinct("symbol").alias("listed"))
-    last = days.crossJoin(symbols).where(F.col("quoted") >= forward.LEAST_QUOTED * F.col("listed")).agg(F.max("date").alias("_last"))  # one row
-    return prices.join(F.broadcast(last), F.col("date") <= F.col("_last")).drop("_last")
+    days = prices.groupBy("date").agg(F.count("*").alias("n"))
+    listed = days.agg(F.max("n")).first()[0]
+    last = days.where(F.col("n") >= forward.LEAST_QUOTED * listed).agg(F.max("date")).first()[0]
+    return prices.where(F.col("date") <= F.lit(last)), listed
 
 
-@query("F11_state", f"WITH {_COMP}, {_WHOLE} SELECT date, symbol, eligible, round(round(composite, 9), 6) AS composite FROM comp, whole WHERE date <= last")
+@query("F11_state", f"WITH {_COMP}, {_WHOLE} SELECT date, symbol, eligible, round(round(composite, 9), 6) AS composite FROM comp, whole WHERE date <= last AND symbol IN (SELECT symbol FROM bars, whole WHERE bars.date <= last)")
 def state(spark, d):
-    built, _ = forward.build_state(_whole_prices(spark, d), SPEC)
+    prices, listed = _whole_prices(spark, d)
+    built, _ = forward.build_state(prices, SPEC, listed)
     return r6(built.select("date", "symbol", "eligible", F.round("composite", 9).alias("composite")))
 
 
-@query("A05_A06_prediction_log", f"WITH {_COMP}, n AS (SELECT date, count(*) FILTER (WHERE eligible) AS eligible_names FROM comp GROUP BY date) SELECT picks.date AS data_as_of, eligible_names, CAST(place AS INTEGER) - 1 AS place, symbol, round(composite, 6) AS composite_rank, round(close, 4) AS close, '{forward.STATUS}' AS status FROM picks JOIN n ON picks.date = n.date")
+@query("A05_A06_prediction_log", f"WITH {_COMP}, n AS (SELECT date, count(*) FILTER (WHERE eligible) AS eligible_names FROM comp GROUP BY date) SELECT picks.date AS data_as_of, eligible_names, CAST(place AS INTEGER) - 1 AS place, symbol, round(composite, 6) AS composite_rank, CAST(floor(round(close, 4) + 1e-6) AS BIGINT) AS close, '{forward.STATUS}' AS status FROM picks JOIN n ON picks.date = n.date")
 def prediction_log(spark, d):
     """Entries of all sessions, appended in two overlapping parts and read back from the log."""
     rows = forward.entries(_composite(spark, d), SPEC, "2024-01-01T00:00:00+00:00").persist()
@@ -356,7 +357,7 @@ def prediction_log(spark, d):
     record_log.append_predictions(rows, folder)
     rows.unpersist()
     log = record_log.read_log(spark, folder)
-    return log.select("data_as_of", "eligible_names", F.posexplode("picks").alias("place", "pick"), "status").select("data_as_of", "eligible_names", "place", "pick.*", "status")
+    return log.select("data_as_of", "eligible_names", F.posexplode("picks").alias("place", "pick"), "status").select("data_as_of", "eligible_names", "place", "pick.symbol", "pick.composite_rank", F.floor(F.col("pick.close") + 1e-6).alias("close"), "status")
 
 
 @query("F05_predictions", f"WITH {_COMP} SELECT date, session_index, symbol, CAST(place AS INTEGER) AS place, round(composite, 6) AS composite FROM picks")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog.frames import MOMENTUM, r6, signal_panel
 from panelforge.catalog.sql import NEUTRAL, NEUTRAL_BOOK, PANEL, SIGNAL, TS, corr, pct_rank
-from panelforge.functions import columns as C
 from panelforge.operators import evaluate, overfit, placebos, portfolio, validate
 from panelforge.operators import panel as P
 from panelforge.plans import discovery, dsl
@@ -231,6 +230,4 @@ def seed_scores(spark, d):
 
 @query("J11_candidate_pairs", f"WITH {DIFF}, w AS (SELECT a.candidate AS a, b.candidate AS b, a.d AS x, b.d AS y FROM diff a JOIN diff b ON a.date = b.date AND a.candidate < b.candidate) SELECT a, b, round({corr('x', 'y')}, 6) + 0.0 AS correlation FROM w GROUP BY a, b")
 def candidate_pairs(spark, d):
-    t = testbed.type_returns(spark, d)
-    a, b = t.select("date", F.col("candidate").alias("a"), F.col("d").alias("x")), t.select("date", F.col("candidate").alias("b"), F.col("d").alias("y"))
-    return r6(a.join(b, "date").where("a < b").groupBy("a", "b").agg(C.corr("x", "y").alias("correlation")))
+    return r6(overfit.candidate_correlations(testbed.type_returns(spark, d)))

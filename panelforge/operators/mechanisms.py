@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -71,22 +72,43 @@ def _per_series(run, columns: list[str]):
     return of
 
 
-def bocpd(values: np.ndarray, hazard: float = 0.01, mean: float = 0.0, precision: float = 1.0, noise_precision: float = 100.0, longest: int = 250) -> np.ndarray:
-    """Probability that the run length is 0 at each step, for normal data of known noise; the hazard where a value is missing."""
-    if not 0 < hazard < 1:
-        raise ValueError("a hazard lies between 0 and 1")
-    p, mu, tau = np.ones(1), np.array([mean], float), np.array([precision], float)
-    out = np.full(len(values), hazard, float)
-    for i, x in enumerate(values):
-        if not math.isfinite(x):
-            continue
-        var = 1 / tau + 1 / noise_precision
+@dataclass(frozen=True)
+class ChangeModel:
+    """Run lengths of normal data of known noise, with a normal prior of each run's mean."""
+
+    hazard: float = 0.01
+    mean: float = 0.0
+    precision: float = 1.0
+    noise_precision: float = 100.0
+    longest: int = 250
+
+    def __post_init__(self):
+        if not 0 < self.hazard < 1:
+            raise ValueError("a hazard lies between 0 and 1")
+
+    def start(self) -> np.ndarray:
+        """Run lengths x (probability, mean, precision) before the first value."""
+        return np.array([[1.0, self.mean, self.precision]])
+
+    def step(self, runs: np.ndarray, x: float) -> np.ndarray:
+        """Run lengths after a value; the first row's probability is that of a change."""
+        p, mu, tau = runs.T
+        var = 1 / tau + 1 / self.noise_precision
         seen = p * np.exp(-0.5 * (x - mu) ** 2 / var) / np.sqrt(2 * math.pi * var)
-        p = np.append(hazard * seen.sum(), (1 - hazard) * seen)[: longest + 1]
-        p /= max(p.sum(), 1e-300)
-        mu = np.append(mean, (tau * mu + noise_precision * x) / (tau + noise_precision))[: longest + 1]
-        tau = np.append(precision, tau + noise_precision)[: longest + 1]
-        out[i] = p[0]
+        p = np.append(self.hazard * seen.sum(), (1 - self.hazard) * seen)
+        mu = np.append(self.mean, (tau * mu + self.noise_precision * x) / (tau + self.noise_precision))
+        out = np.stack([p, mu, np.append(self.precision, tau + self.noise_precision)], 1)[: self.longest + 1]
+        out[:, 0] /= max(out[:, 0].sum(), 1e-300)
+        return out
+
+
+def bocpd(values: np.ndarray, hazard: float = 0.01, mean: float = 0.0, precision: float = 1.0, noise_precision: float = 100.0, longest: int = 250) -> np.ndarray:
+    """Probability that the run length is 0 at each step; the hazard where a value is missing."""
+    model = ChangeModel(hazard, mean, precision, noise_precision, longest)
+    runs, out = model.start(), np.full(len(values), hazard, float)
+    for i in np.flatnonzero(np.isfinite(values)):
+        runs = model.step(runs, values[i])
+        out[i] = runs[0, 0]
     return out
 
 

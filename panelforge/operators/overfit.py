@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Iterator
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,14 +85,80 @@ def deflated_sharpes(returns: DataFrame, value: str = "d", declared: int = 0) ->
     return returns.sparkSession.createDataFrame(out, "candidate string, n long, sharpe double, probability double")
 
 
+def gram_sums(x: np.ndarray) -> np.ndarray:
+    """Of rows x columns with gaps, for every ordered pair of columns over the rows that have both: count, sum of the first, of its square, of the product."""
+    there = np.isfinite(x).astype(float)
+    full = np.where(there > 0, x, 0.0)
+    return np.stack([there.T @ there, full.T @ there, (full * full).T @ there, full.T @ full])
+
+
+def correlations_of(sums: np.ndarray) -> np.ndarray:
+    """Pearson correlations of all pairs from ``gram_sums``; nan without two rows or with a constant column."""
+    n, s, q, xy = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = xy - s * s.T / n
+        var = q - s * s / n
+        var = np.where(var > 1e-14 * np.maximum(q, 1e-300), var, np.nan)
+        return np.where(n > 1, cov / np.sqrt(var * var.T), np.nan)
+
+
 def pairwise_correlations(signals: DataFrame, names: list[str]) -> DataFrame:
-    """Mean cross-sectional correlation of each pair of signal columns, in one aggregation."""
-    from panelforge.functions.columns import corr
+    """Mean cross-sectional correlation of each pair of signal columns, pairwise complete: a, b, correlation.
+
+    A session's names x signals are one matrix, whose products give all pairs at once. Every task adds up the correlations of
+    its sessions before anything is sent, so that one row a task and pair is shuffled.
+    """
+    names = sorted(names)
+    left, right = np.triu_indices(len(names), 1)
+
+    def session(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[[f"_s{i}" for i in range(len(names))]].to_numpy(float)
+        x = x - np.nan_to_num(np.nanmean(np.where(np.isfinite(x).any(0), x, 0.0), axis=0))  # near 0, for the sums' sake
+        return pd.DataFrame({"found": [correlations_of(gram_sums(x))[left, right].tolist()]})
 
-    pairs = list(combinations(sorted(names), 2))
-    days = signals.groupBy("date").agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    means = days.agg(*[F.avg(f"`{a}|{b}`").alias(f"{a}|{b}") for a, b in pairs])
-    return means.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in pairs])).alias("x")).select("x.*")
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(len(left)), np.zeros(len(left), np.int64)
+        for batch in batches:
+            found = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(left))
+            total += np.nansum(found, 0)
+            count += np.isfinite(found).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(left))), pa.array(total), pa.array(count)], names=["pair", "total", "count"])
+
+    if not len(left):
+        return signals.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    wide = signals.select("date", *[F.col(f"`{n}`").cast("double").alias(f"_s{i}") for i, n in enumerate(names)])
+    days = wide.groupBy("date").applyInPandas(session, "found array<double>")
+    pairs = days.mapInArrow(added, "pair long, total double, count long").groupBy("pair").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
+    named = signals.sparkSession.createDataFrame([(k, names[i], names[j]) for k, (i, j) in enumerate(zip(left.tolist(), right.tolist()))], "pair long, a string, b string")
+    pairs = pairs.join(named, "pair")
+    return pairs.select("a", "b", (F.col("total") / F.nullif("count", F.lit(0))).alias("correlation"))
+
+
+#: Sessions of one task in ``candidate_correlations``.
+SESSIONS_TOGETHER = 256
+
+
+def candidate_correlations(returns: DataFrame, value: str = "d", together: int = SESSIONS_TOGETHER) -> DataFrame:
+    """Correlation over dates of each pair of candidates of a long table, over the dates that have both: a, b, correlation.
+
+    Blocks of sessions give the pairs' sums from one product of matrices; the blocks' sums are added up by pair.
+    """
+    means = returns.groupBy("candidate").agg(F.avg(value).alias("_mean"))
+    dates = returns.select("date").distinct().withColumn("_block", F.floor((F.row_number().over(W.orderBy("date")) - 1) / together))  # one row a session
+    rows = returns.join(means, "candidate").join(F.broadcast(dates), "date").select("_block", "date", "candidate", (F.col(value) - F.col("_mean")).alias("x"))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="date", columns="candidate", values="x")
+        sums, names = gram_sums(wide.to_numpy(float)), wide.columns.to_numpy()
+        i, j = np.triu_indices(len(names), 1)
+        n, s, q, xy = sums
+        return pd.DataFrame({"a": names[i], "b": names[j], "n": n[i, j], "sa": s[i, j], "sb": s[j, i], "qa": q[i, j], "qb": q[j, i], "xy": xy[i, j]})
+
+    sums = rows.groupBy("_block").applyInPandas(block, "a string, b string, n double, sa double, sb double, qa double, qb double, xy double")
+    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "xy")])
+    part = lambda q, s: F.expr(f"case when {q} - {s} * {s} / n > 1e-14 * {q} then {q} - {s} * {s} / n end")
+    value_ = F.when(F.col("n") > 1, F.expr("xy - sa * sb / n") / F.sqrt(part("qa", "sa") * part("qb", "sb")))
+    return sums.where("n > 0").select("a", "b", value_.alias("correlation"))
 
 
 def prune(scores: dict[str, float], correlations: dict[tuple[str, str], float], budget: int, most: float = 0.85) -> list[str]:

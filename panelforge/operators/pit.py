@@ -13,11 +13,31 @@ from panelforge.operators.panel import require
 META = ("symbol", "report_date", "notice_date", "update_date")
 
 
+#: Days of a block in which sessions are looked up.
+BLOCK = 64
+
+
+def next_sessions(dates: DataFrame, calendar: DataFrame, column: str) -> DataFrame:
+    """Each distinct date of ``column`` with ``session``, the first one strictly after it; null after the last.
+
+    Sessions lie in blocks of days, as sorted arrays. A date meets its own block by an equal-key join and takes the first later
+    session in it, or else the first session of the blocks after, found once a block: no date meets the whole calendar.
+    """
+    block = lambda c: F.floor(F.unix_date(c) / BLOCK)
+    asked = dates.select(column).distinct().withColumn("_block", block(column))
+    held = calendar.select("date").distinct().groupBy(block("date").alias("_block")).agg(F.sort_array(F.collect_list("date")).alias("_sessions"))  # BLOCK dates at most
+    blocks = asked.select("_block").distinct().join(held, "_block", "full")
+    ahead = W.orderBy("_block").rowsBetween(1, W.unboundedFollowing)  # one row a block of days
+    blocks = blocks.withColumn("_later", F.first(F.get("_sessions", F.lit(0)), ignorenulls=True).over(ahead))
+    found = asked.join(blocks, "_block")
+    here = F.get(F.filter("_sessions", lambda s: s > F.col(column)), F.lit(0))
+    return found.select(column, F.coalesce(here, "_later").alias("session"))
+
+
 def available_sessions(statements: DataFrame, calendar: DataFrame) -> DataFrame:
     """Each statement with the first session strictly after its notice and update; those without one go unused."""
     known = statements.withColumn("_available", F.greatest("notice_date", F.coalesce("update_date", "notice_date")))
-    dates = known.select("_available").distinct()
-    first = dates.join(F.broadcast(calendar.select("date")), F.col("date") > F.col("_available")).groupBy("_available").agg(F.min("date").alias("session"))
+    first = next_sessions(known, calendar, "_available").where("session is not null")
     return known.join(first, "_available").drop("_available")
 
 

@@ -182,6 +182,29 @@ def test_stream_filter_equals_the_batch_filter(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_change_stream_equals_the_batch_however_it_is_cut(spark, tmp_path):
+    """Rows out of order within the delay, over several cuts into triggers, with a restart from the checkpoint."""
+    rng = np.random.default_rng(4)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(s, t, None if rng.random() < 0.05 else float(rng.normal(3 * (t > 25), 0.3)), base + dt.timedelta(minutes=t)) for s in "ab" for t in range(50)]
+    kind = "series_id string, t long, value double, at timestamp"
+    want = {(r["series_id"], r["t"]): r["probability"] for r in mechanisms.change_probability(spark.createDataFrame(rows, kind)).collect()}
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 6))  # out of order by less than the delay
+    end = [(s, 10_000, None, base + dt.timedelta(days=9)) for s in "ab"]  # moves the watermark past all
+    for cuts in ((100,), (30, 61, 100)):
+        folder, out = f"{tmp_path}/in{len(cuts)}", f"{tmp_path}/out{len(cuts)}"
+        for low, high in zip((0, *cuts), (*cuts, None)):
+            part = shuffled[low:high] if high else end
+            spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(folder)
+            stream = filters.change_stream(spark.readStream.schema(kind).parquet(folder), delay="10 minutes")
+            query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination(90)
+            assert not query.isActive and query.exception() is None
+        found = [(r["series_id"], r["t"], r["probability"]) for r in spark.read.parquet(out).where("t < 10000").collect()]
+        got = {k[:2]: k[2] for k in found}
+        assert len(found) == len(got) == 100 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # overfitting and evidence
 
 
@@ -376,6 +399,50 @@ def test_expressions_by_name():
         dsl.validate(deep, {"close"})
 
 
+def test_correlations_by_products_of_matrices(spark):
+    """Gaps, a constant and an empty signal; then 500 signals in one job of few rows sent."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(5, 1, (6, 30, 5))
+    x[:, :, 1] += x[:, :, 0]
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[:, :, 3], x[:, :, 4] = 2.0, np.nan
+    x[2, 1:, 2] = np.nan  # one name in a session
+    clean = lambda v: None if np.isnan(v) else float(v)
+    rows = [(day(t), f"s{i}", *map(clean, x[t, i])) for t in range(6) for i in range(30)]
+    frame = spark.createDataFrame(rows, "date date, symbol string, a double, b double, `c.d` double, e double, f double")
+    got = {(r["a"], r["b"]): r["correlation"] for r in overfit.pairwise_correlations(frame, ["b", "a", "c.d", "e", "f"]).collect()}
+    names = ["a", "b", "c.d", "e", "f"]
+    assert set(got) == set(itertools.combinations(names, 2))
+    for (i, a), (j, b) in itertools.combinations(enumerate(names), 2):
+        days = [pd.Series(x[t, :, i]).corr(pd.Series(x[t, :, j])) for t in range(6)]
+        days = [c for c in days if not np.isnan(c)] if "e" not in (a, b) else []
+        assert (got[a, b] is None) if not days else abs(got[a, b] - np.mean(days)) < 1e-9
+    wide = frame.select("date", *[(F.col("a") * k + F.col("b")).alias(f"n{k}") for k in range(500)])
+    many = overfit.pairwise_correlations(wide, [f"n{k}" for k in range(500)])
+    assert many.count() == 500 * 499 // 2
+    assert overfit.pairwise_correlations(frame, ["a"]).collect() == []
+    long = [(day(t), f"c{j}", clean(x[t % 6, t // 6 % 30, j])) for t in range(170) for j in range(4)]
+    table = pd.DataFrame(long, columns=["date", "candidate", "d"]).pivot(index="date", columns="candidate", values="d").astype(float).corr(min_periods=2)
+    for together in (7, 1000):
+        found = overfit.candidate_correlations(spark.createDataFrame(long, "date date, candidate string, d double"), together=together).collect()
+        for r in found:
+            want = table.loc[r["a"], r["b"]]
+            assert (r["correlation"] is None) if "c3" in (r["a"], r["b"]) else abs(r["correlation"] - want) < 1e-9
+        assert len(found) == 6
+
+
+def test_next_sessions_equal_a_plain_search(spark):
+    """Gaps longer than a block, dates before, between and after the sessions, none at all."""
+    rng = random.Random(3)
+    sessions = sorted({day(rng.choice((0, 400, 900)) + rng.randrange(150)) for _ in range(90)})
+    asked = sorted({day(rng.randrange(-300, 1400)) for _ in range(200)} | set(sessions[::7]))
+    calendar, dates = spark.createDataFrame([(d,) for d in sessions], "date date"), spark.createDataFrame([(d,) for d in asked] * 2, "x date")
+    found = pit.next_sessions(dates, calendar, "x")
+    assert {r["x"]: r["session"] for r in found.collect()} == {d: next((s for s in sessions if s > d), None) for d in asked}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert {r["session"] for r in pit.next_sessions(dates, calendar.limit(0), "x").collect()} == {None} and pit.next_sessions(dates.limit(0), calendar, "x").collect() == []
+
+
 def test_statements_show_after_notice_and_update(spark):
     sessions = [dt.date(2026, 1, k) for k in (2, 5, 6, 7, 8)]
     grid = spark.createDataFrame([(d, s) for d in sessions for s in ("A", "B")], "date date, symbol string")
