@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from panelforge.functions.columns import finite
+from panelforge.sources.shared import fresh_folder
 
 DATE_NAMES = ("date", "dt", "day")
 
@@ -49,68 +53,159 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+BARS = "date date, symbol string, open double, high double, low double, close double, volume double, amount double"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a fetch may use: seconds for all of it and for one call, tries a symbol, and the share of failures that opens the circuit."""
+
+    budget_s: float = 3300.0
+    call_s: float = 45.0
+    retries: int = 2
+    most_failed: float = 0.5
+    least_tried: int = 8
+    chunk: int = 50
+
+
 class BySymbol(DataSource):
-    """A connector that asks a vendor for each symbol's bars: one partition a chunk of symbols, with retries and a time budget.
+    """A connector that asks a vendor for each symbol's bars, one partition a chunk of symbols.
 
-    Options: ``symbols`` (comma-separated), ``chunk``, ``retries``, ``budget_s``. The fetching function is given to ``connector``.
+    The plan holds one deadline, so the budget is that of all partitions together, whenever they start. Every symbol leaves a
+    partition either with its bars or as one row with its ``problem``. The fetching function is given to ``fetched``.
     """
 
     fetch: Callable[[str], list[tuple]] | None = None
+    symbols: tuple[str, ...] = ()
+    limits: Limits = Limits()
 
     @classmethod
     def name(cls) -> str:
         return "by_symbol"
 
     def schema(self) -> str:
-        return "date date, symbol string, open double, high double, low double, close double, volume double, amount double"
+        return f"{BARS}, problem string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _BySymbolReader(self.options, type(self).fetch)
+        own = type(self)
+        return _BySymbolReader(own.fetch, own.symbols, own.limits)
 
 
 class _Chunk(InputPartition):
-    def __init__(self, symbols: list[str]):
-        self.symbols = symbols
+    def __init__(self, symbols: tuple[str, ...], deadline: float):
+        self.symbols, self.deadline = symbols, deadline
+
+
+class _Circuit:
+    """Open once more than a share of the symbols tried so far have failed."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.tried, self.failed = limits, 0, 0
+
+    def seen(self, ok: bool) -> None:
+        self.tried += 1
+        self.failed += not ok
+
+    def is_open(self) -> bool:
+        return self.tried >= self.limits.least_tried and self.failed > self.limits.most_failed * self.tried
 
 
 class _BySymbolReader(DataSourceReader):
-    def __init__(self, options, fetch):
-        self.symbols = [s for s in options.get("symbols", "").split(",") if s]
-        self.chunk, self.retries, self.budget = int(options.get("chunk", 50)), int(options.get("retries", 2)), float(options.get("budget_s", 3300))
-        self.fetch = fetch
+    def __init__(self, fetch, symbols: tuple[str, ...], limits: Limits):
+        self.fetch, self.symbols, self.limits = fetch, symbols, limits
 
     def partitions(self) -> list[InputPartition]:
-        return [_Chunk(self.symbols[i : i + self.chunk]) for i in range(0, len(self.symbols), self.chunk)]
+        deadline, n = time.time() + self.limits.budget_s, self.limits.chunk
+        return [_Chunk(self.symbols[i : i + n], deadline) for i in range(0, len(self.symbols), n)]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
-        end, again = time.monotonic() + self.budget, []
+        circuit, again = _Circuit(self.limits), {}
         for symbol in partition.symbols:
-            rows = self._tried(symbol, end)
+            rows, problem = self._tried(symbol, partition.deadline, circuit, 1 + self.limits.retries)
+            if rows is None:
+                again[symbol] = problem
+            else:
+                yield from rows
+        for symbol, problem in again.items():  # a last sweep, one call each, while the circuit is closed
+            rows, later = self._tried(symbol, partition.deadline, circuit, 1)
             if rows is None:
-                again.append(symbol)
+                yield (None, symbol, *[None] * 6, problem if later in ("out of time", "circuit open") and problem != later else later)
             else:
                 yield from rows
-        for symbol in again:  # a last sweep, one by one
-            yield from self._tried(symbol, end) or []
 
-    def _tried(self, symbol: str, end: float) -> list[tuple] | None:
-        for _ in range(self.retries + 1):
-            if time.monotonic() > end:
-                return None
+    def _tried(self, symbol: str, deadline: float, circuit: _Circuit, tries: int) -> tuple[list[tuple] | None, str]:
+        problem = "out of time"
+        for _ in range(tries):
+            left = deadline - time.time()
+            if left <= 0:
+                return None, problem
+            if circuit.is_open():
+                return None, "circuit open" if problem == "out of time" else problem
             try:
-                return list(self.fetch(symbol))
-            except OSError:
-                continue
-        return None
-
-
-def connector(spark: SparkSession, fetch: Callable[[str], list[tuple]], symbols: list[str], **options) -> DataFrame:
-    kind = type("BySymbolWith", (BySymbol,), {"fetch": staticmethod(fetch)})
+                rows = _within(self.fetch, symbol, min(left, self.limits.call_s))
+            except TimeoutError:
+                problem = "timed out"
+            except OSError as error:
+                problem = f"failed: {error}"
+            except Exception as error:  # an answer that can't be read is the symbol's problem, not the run's
+                circuit.seen(True)
+                return None, f"unreadable: {error}"
+            else:
+                circuit.seen(True)
+                if not rows:
+                    return None, "no bars"
+                try:
+                    return [(r[0], symbol, *map(_number, r[2:8]), None) for r in rows], ""
+                except (TypeError, ValueError, IndexError) as error:
+                    return None, f"unreadable: {error}"
+        circuit.seen(False)
+        return None, problem
+
+
+def _number(value) -> float | None:
+    return None if value is None else float(value)
+
+
+def _within(fetch: Callable[[str], list[tuple]], symbol: str, seconds: float) -> list[tuple]:
+    """The call's answer, or TimeoutError; a call that hangs is left behind in its thread."""
+    answer: queue.Queue = queue.Queue()
+
+    def call() -> None:
+        try:
+            answer.put((list(fetch(symbol)), None))
+        except BaseException as error:  # handed to the caller
+            answer.put((None, error))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        rows, error = answer.get(timeout=max(seconds, 0.001))
+    except queue.Empty:
+        raise TimeoutError(symbol) from None
+    if error is not None:
+        raise error
+    return rows
+
+
+def fetched(spark: SparkSession, fetch: Callable[[str], list[tuple]], symbols: list[str], limits: Limits = Limits(), least_symbols: float = 0.98) -> tuple[DataFrame, DataFrame]:
+    """Bars, and the quarantine: (symbol, problem) of every symbol left out. Each symbol is in exactly one of them.
+
+    A vendor is asked once: answers are written to the shared folder first. Raises if less than the share ``least_symbols``
+    of the symbols has bars. Symbols named twice are asked for once; without symbols both are empty.
+    """
+    names = tuple(dict.fromkeys(symbols))
+    if not names:
+        return spark.createDataFrame([], BARS), spark.createDataFrame([], "symbol string, problem string")
+    kind = type("BySymbolWith", (BySymbol,), {"fetch": staticmethod(fetch), "symbols": names, "limits": limits})
     spark.dataSource.register(kind)
-    reader = spark.read.format("by_symbol").option("symbols", ",".join(symbols))
-    for k, v in options.items():
-        reader = reader.option(k, str(v))
-    return reader.load()
+    folder = fresh_folder(spark, "fetched")
+    spark.read.format("by_symbol").load().write.parquet(folder)
+    answers = spark.read.schema(f"{BARS}, problem string").parquet(folder)
+    out = answers.where("problem is not null").select("symbol", "problem")
+    left_out = out.count()
+    if len(names) - left_out < least_symbols * len(names):
+        problems = {r["problem"].split(":")[0]: r["count"] for r in out.withColumn("problem", F.substring_index("problem", ":", 1)).groupBy("problem").count().collect()}
+        raise ValueError(f"{left_out} of {len(names)} symbols have no bars: {problems}")
+    return answers.where("problem is null").drop("problem"), out
 
 
 def coverage(bars: DataFrame, expected_symbols: int, least_symbols: float = 0.98, least_quoting: float = 0.95) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -512,6 +513,55 @@ def test_earlier_trials_deflate():
     assert overfit.deflated_sharpe(250, 0.1, 0.0, 0.0, [0.1]) > 0.9  # one trial has no spread to deflate by
 
 
+def vendor(folder, slow=(), broken=(), empty=(), odd=(), throttled=()):
+    """A made-up vendor: some calls hang, some always fail, some fail once for each symbol, some have nothing, some can't be read."""
+
+    def fetch(symbol):
+        import os
+        import time
+
+        if symbol in slow:
+            time.sleep(30)
+        if symbol in broken:
+            raise OSError("reset")
+        if symbol in odd:
+            return [(dt.date(2024, 1, 1), symbol, "x", 1, 1, 1, 1, 1)]
+        if symbol in throttled and not os.path.exists(f"{folder}/{symbol}"):
+            open(f"{folder}/{symbol}", "w").close()
+            raise OSError("too many calls")
+        return [] if symbol in empty else [(dt.date(2024, 1, k), symbol, 1, 2, 0.5, 1.5, 100, None) for k in (1, 2)]
+
+    return fetch
+
+
+def test_every_symbol_has_bars_or_a_problem(spark, tmp_path):
+    symbols = [f"s{k:02d}" for k in range(40)]
+    limits = readers.Limits(budget_s=60, call_s=0.3, retries=1, chunk=7, least_tried=6)
+    fetch = vendor(tmp_path, slow=("s01",), broken=("s09",), empty=("s20",), odd=("s30",), throttled=symbols[33:])
+    bars, out = readers.fetched(spark, fetch, symbols + symbols[:3], limits, 0.85)
+    problems = {r["symbol"]: r["problem"] for r in out.collect()}
+    assert {k: v.split(":")[0] for k, v in problems.items()} == {"s01": "timed out", "s09": "failed", "s20": "no bars", "s30": "unreadable"}
+    have = [r["symbol"] for r in bars.collect()]
+    assert sorted(have) == sorted(2 * [s for s in symbols if s not in problems]) and bars.columns == ["date", "symbol", "open", "high", "low", "close", "volume", "amount"]
+    with pytest.raises(ValueError, match="4 of 40"):
+        readers.fetched(spark, fetch, symbols, limits, 0.95)
+    assert all(f.collect() == [] for f in readers.fetched(spark, fetch, []))
+
+
+def test_one_deadline_and_a_circuit_for_a_dead_vendor(spark, tmp_path):
+    """All calls hang: the circuit opens in each chunk, and the whole fetch ends by the budget, not by a budget a partition."""
+    symbols = [f"s{k:03d}" for k in range(200)]
+    began = time.time()
+    _, out = readers.fetched(spark, vendor(tmp_path, slow=symbols), symbols, readers.Limits(budget_s=6, call_s=0.2, retries=0, chunk=10, least_tried=3), 0.0)
+    kinds = {r["problem"]: r["count"] for r in out.groupBy("problem").count().collect()}
+    assert sum(kinds.values()) == 200 and set(kinds) <= {"timed out", "circuit open", "out of time"} and kinds["circuit open"] > 0
+    assert time.time() - began < 40
+    reader = readers._BySymbolReader(None, tuple(symbols), readers.Limits(chunk=10))
+    assert len({p.deadline for p in reader.partitions()}) == 1
+    late = readers._Chunk(("a", "b"), time.time() - 1)  # a partition that starts after the deadline asks nothing
+    assert [r[1::7] for r in reader.read(late)] == [("a", "out of time"), ("b", "out of time")]
+
+
 # records and checks
 
 
