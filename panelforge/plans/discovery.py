@@ -1,8 +1,7 @@
 """Search for factors and their evaluation under guards.
 
 The driver holds expressions, scores and verdicts; every number comes from a job over the panel. Seeds are scored in
-one wide job. Later candidates depend on the scores before them, so they are scored one by one on the persisted
-panel.
+one wide job. Later candidates depend on the scores before them; they are scored a frontier of guesses at a time.
 """
 
 from __future__ import annotations
@@ -136,28 +135,63 @@ def train_scores(panel: DataFrame, candidates: list[Candidate], least: int = 60)
     return {c.id: r[c.id] if r[f"n_{c.id}"] >= least else None for c in candidates}
 
 
-def generate(panel: DataFrame, budget: int, pool: int, windows=dsl.WINDOWS) -> tuple[list[Candidate], dict[str, float], list[dict]]:
-    """Candidates, their scores and the ledger of trials; at most 30 attempts a place in the budget."""
+#: Children that are scored together ahead of their turn.
+AHEAD = 16
+
+
+def _ranked(known: dict[str, Candidate], scores: dict[str, float | None], pool: int) -> list[Candidate]:
+    return sorted(known.values(), key=lambda c: (-abs(scores[c.id] or 0.0), c.id))[:pool]
+
+
+def _frontier(attempt: int, last: int, parents: list[Candidate], seen: set[str], allowed, most: int) -> list[Candidate]:
+    """The children that the next attempts would give if the ranking stayed as it is: new and allowed ones, each once."""
+    out: dict[str, Candidate] = {}
+    for k in range(attempt, last):
+        if len(out) == most:
+            break
+        new = child(k, parents)
+        if new.id not in seen and new.id not in out and allowed(new.expr) is None:
+            out[new.id] = new
+    return list(out.values())
+
+
+def generate(panel: DataFrame, budget: int, pool: int, windows=dsl.WINDOWS, ahead: int = AHEAD) -> tuple[list[Candidate], dict[str, float], list[dict]]:
+    """Candidates, their scores and the ledger of trials; at most 30 attempts a place in the budget.
+
+    Which child an attempt gives depends on all scores before it. Children are scored ``ahead`` at a time on the guess that the
+    ranking of parents stays: one job, in which expressions that children share are computed once. Attempts then follow in their
+    order, and one whose child was not guessed begins the next frontier, so results are those of one job a child. Scores
+    that were guessed for nothing are in no result.
+    """
     numeric = [n for n, t in panel.dtypes if t in ("double", "bigint", "int") and n not in ("target", "one_day")]
+
+    def refusal(expr: dict) -> str | None:
+        try:
+            dsl.validate(expr, numeric, windows)
+        except ValueError as error:
+            return str(error)
+        return None
+
     known = {c.id: c for c in seeds(numeric)[:budget]}
     for c in known.values():
         dsl.validate(c.expr, numeric, windows)
-    scores = train_scores(panel, list(known.values()))
+    guessed = train_scores(panel, list(known.values()))
+    scores = dict(guessed)
     ledger = [c.certificate() | {"train_ic": scores[c.id]} for c in known.values()]
     for attempt in range(budget * 30):
         if len(known) >= budget:
             break
-        parents = sorted(known.values(), key=lambda c: (-abs(scores[c.id] or 0.0), c.id))[:pool]
+        parents = _ranked(known, scores, pool)
         new = child(attempt, parents)
         if new.id in known:
             continue
-        try:
-            dsl.validate(new.expr, numeric, windows)
-        except ValueError as error:
-            ledger.append({"id": new.id, "rejected": str(error)})
+        refused = refusal(new.expr)
+        if refused is not None:
+            ledger.append({"id": new.id, "rejected": refused})
             continue
-        known[new.id] = new
-        scores |= train_scores(panel, [new])
+        if new.id not in guessed:
+            guessed |= train_scores(panel, _frontier(attempt, budget * 30, parents, set(known) | set(guessed), refusal, min(ahead, budget - len(known))))
+        known[new.id], scores[new.id] = new, guessed[new.id]
         ledger.append(new.certificate() | {"train_ic": scores[new.id]})
     return list(known.values()), scores, ledger
 

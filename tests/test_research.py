@@ -470,6 +470,49 @@ def test_seeds():
     assert young.generation == 1 and young.certificate()["certificate_sha256"] != own["certificate_sha256"] and young.parents
 
 
+def plain_search(scores_of, first, budget, pool, numeric):
+    """Candidate after candidate, each scored alone."""
+    known = {c.id: c for c in first[:budget]}
+    scores, ledger = {i: scores_of(c) for i, c in known.items()}, list(known)
+    for attempt in range(budget * 30):
+        if len(known) >= budget:
+            break
+        new = discovery.child(attempt, sorted(known.values(), key=lambda c: (-abs(scores[c.id] or 0.0), c.id))[:pool])
+        if new.id in known:
+            continue
+        ledger.append(new.id)
+        try:
+            dsl.validate(new.expr, numeric)
+        except ValueError:
+            continue
+        known[new.id], scores[new.id] = new, scores_of(new)
+    return list(known), scores, ledger
+
+
+@pytest.mark.parametrize("steady", [0.0, 0.5, 1.0])
+def test_search_is_that_of_one_job_a_child(monkeypatch, steady):
+    """Scores by a digest of the expression, at ``steady`` 1 ever lower so that the ranking stays; any number of guesses gives the same."""
+
+    class Panel:
+        dtypes = [(n, "double") for n in ("returns", "close", "amount", "market_return", "volume")]
+
+    def score(c):
+        return None if int(c.id[-2:], 16) < 20 else (int(c.id[7:13], 16) / 2**24 - 0.5) * (1 - steady) ** c.generation
+
+    jobs = []
+    monkeypatch.setattr(discovery, "train_scores", lambda panel, cs: jobs.append(len(cs)) or {c.id: score(c) for c in cs})
+    numeric = [n for n, _ in Panel.dtypes]
+    want = plain_search(score, discovery.seeds(numeric), 40, 5, numeric)
+    for ahead in (1, 7, 16, 100):
+        jobs.clear()
+        found, scores, ledger = discovery.generate(Panel, 40, 5, ahead=ahead)
+        assert ([c.id for c in found], scores, [r["id"] for r in ledger]) == want
+        children = len(want[0]) - 6
+        assert children > 0 and (len(jobs) == 1 + children if ahead == 1 else len(jobs) <= 1 + children)
+        if steady == 1.0:
+            assert len(jobs) <= 3 + children // ahead and children > 10, (jobs, children)
+
+
 def test_discovery_run(spark):
     prices, statements = readers.synthetic_market(spark, 420, 12, 3)
     config = readers.demo_config() | {"candidate_budget": 7, "stage2_budget": 1, "placebo_repetitions": 4, "validation_days": 60, "shadow_days": 40, "minimum_train_days": 150, "walk_forward_folds": 2}
