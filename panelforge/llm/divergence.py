@@ -24,7 +24,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,16 +41,22 @@ _TERMS = re.compile(rb"[a-z\x80-\xff]+").findall
 _HELD = 300_000
 
 
-def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("df", pa.int64())])
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents by group and term, sent on whenever ``_HELD`` terms are held."""
 
-    def out() -> pd.DataFrame:
-        rows = [(lang, source, t, n, df[t]) for (lang, source), (count, df) in held.items() for t, n in count.items()]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "df"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (count, df) in held.items():
+            m = len(count)
+            whole = lambda values, m=m: pa.array(np.fromiter(values, np.int64, m))
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, m), pa.repeat(source, m), pa.array(list(count), pa.binary()), whole(count.values()), whole(map(df.__getitem__, count))], schema=_COUNTS)
+        held.clear()
 
     held, size = defaultdict(lambda: (Counter(), Counter())), 0
-    for pdf in batches:
-        for lang, source, raw in zip(pdf["lang"], pdf["source"], pdf["text"]):
+    for batch in batches:
+        for lang, source, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
             terms = _TERMS(raw.lower())
             if not terms:
                 continue
@@ -59,11 +66,9 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             df.update(set(terms))
             size += len(count)
             if size > _HELD:
-                yield out()
-                held.clear()
+                yield from out()
                 size = 0
-    if held:
-        yield out()
+    yield from out()
 
 
 def _p(count: str, total: str, kept: str) -> Column:
@@ -76,7 +81,7 @@ def audit_tables(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> tup
     """Groups (with their totals and the probability of a term they lack) and postings (with p and q), written once."""
     blank = lambda c, kind: F.coalesce(docs[c].cast(kind), F.lit("").cast(kind)).alias(c)
     rows = docs.select(blank("lang", "string"), blank("source", "string"), blank("text", "string").cast("binary").alias("text"))
-    counts = rows.mapInPandas(_count_terms, "lang string, source string, term binary, n long, df long")
+    counts = rows.mapInArrow(_count_terms, "lang string, source string, term binary, n long, df long")
     counts = materialise(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "term-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("df").alias("df")).where(F.col("df") >= least_documents).drop("df")
     postings = materialise(counts.drop("df").join(kept, ["lang", "term"]), "postings")
