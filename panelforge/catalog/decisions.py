@@ -155,17 +155,17 @@ def pairs(spark, d):
     return r6(_pairs(spark, d).withColumn("mass", F.round("mass", 9)), "mass")
 
 
-def _halvings(dates: str, replica: str) -> str:
-    """The weight of the first of two factors by bisection of the loss's slope along the simplex, for each replica."""
+def _halvings(dates: str, replica: str, replicas: int) -> str:
+    """The weight of the first of two factors by bisection of the loss's slope along the simplex, for each replica; the prior's without pairs."""
     slope = "sum(w * (-1 / (1 + exp(f1 * m + f2 * (1 - m)))) * (f1 - f2)) / sum(w) + 0.4 * (any_value(m) - 0.5)"
     steps = [f"fitted AS MATERIALIZED (SELECT {replica} AS replica, f1, f2, 1.0 AS w FROM pairs {dates}), b0 AS (SELECT DISTINCT replica, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM fitted)"]
     for i in range(36):
         at = f"SELECT b.replica, b.lo, b.hi, (b.lo + b.hi) / 2 AS m, f1, f2, w FROM b{i} b JOIN fitted f ON b.replica = f.replica"
         steps.append(f"b{i + 1} AS MATERIALIZED (SELECT replica, CASE WHEN g > 0 THEN lo ELSE m END AS lo, CASE WHEN g > 0 THEN m ELSE hi END AS hi FROM (SELECT replica, any_value(lo) AS lo, any_value(hi) AS hi, any_value(m) AS m, {slope} AS g FROM ({at}) GROUP BY replica))")
-    return ", ".join([*steps, "weight AS (SELECT replica, (lo + hi) / 2 AS w1 FROM b36)"])
+    return ", ".join([*steps, f"weight AS (SELECT CAST(k AS INTEGER) AS replica, coalesce((lo + hi) / 2, 0.5) AS w1 FROM range({replicas}) r(k) LEFT JOIN b36 ON replica = k)"])
 
 
-@query("K03_pairwise_weights", f"WITH {_PAIRS}, {_halvings('', '0')} SELECT 'f1' AS factor, round(w1, 6) AS weight FROM weight UNION ALL SELECT 'f2', round(1 - w1, 6) FROM weight")
+@query("K03_pairwise_weights", f"WITH {_PAIRS}, {_halvings('', '0', 1)} SELECT 'f1' AS factor, round(w1, 6) AS weight FROM weight UNION ALL SELECT 'f2', round(1 - w1, 6) FROM weight")
 def pairwise_weights(spark, d):
     w = decision.fit_pairwise(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]))
     return r6(spark.createDataFrame(list(zip(_FACTORS, map(float, w))), "factor string, weight double"))
@@ -177,13 +177,13 @@ bk AS (SELECT replica, block, row_number() OVER (PARTITION BY replica ORDER BY m
 chosen AS (SELECT CAST(replica AS INTEGER) AS replica, date FROM dy JOIN bk USING (block) WHERE nth <= ceil(round({share} * n, 9)))"""
 
 
-@query("K04_replica_weights", f"WITH {_PAIRS}, {_blocks('pairs', 0.8, 21, 7, 5)}, {_halvings('JOIN chosen ON pairs.date = chosen.date', 'chosen.replica')} SELECT replica, round(w1, 6) AS f1, round(1 - w1, 6) AS f2 FROM weight")
+@query("K04_replica_weights", f"WITH {_PAIRS}, {_blocks('pairs', 0.8, 21, 7, 5)}, {_halvings('JOIN chosen ON pairs.date = chosen.date', 'chosen.replica', 5)} SELECT replica, round(w1, 6) AS f1, round(1 - w1, 6) AS f2 FROM weight")
 def replica_weights(spark, d):
     w = decision.replica_weights(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5]))
     return r6(spark.createDataFrame([(r, *map(float, x)) for r, x in enumerate(w)], "replica int, f1 double, f2 double"))
 
 
-@query("K04_weight_ensemble", f"""WITH {_PAIRS}, {_blocks('pairs', 0.8, 21, 7, 5)}, {_halvings('JOIN chosen ON pairs.date = chosen.date', 'chosen.replica')}, each AS (SELECT 'f1' AS factor, w1 AS w FROM weight UNION ALL SELECT 'f2', 1 - w1 FROM weight)
+@query("K04_weight_ensemble", f"""WITH {_PAIRS}, {_blocks('pairs', 0.8, 21, 7, 5)}, {_halvings('JOIN chosen ON pairs.date = chosen.date', 'chosen.replica', 5)}, each AS (SELECT 'f1' AS factor, w1 AS w FROM weight UNION ALL SELECT 'f2', 1 - w1 FROM weight)
 SELECT factor, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS std, round(min(w), 6) AS low, round(max(w), 6) AS high FROM each GROUP BY factor""")
 def ensemble(spark, d):
     return r6(decision.weight_ensemble(_pairs(spark, d), _FACTORS, np.array([0.5, 0.5])))
