@@ -6,10 +6,16 @@ tokens: structural tags under their path of open elements, and words under the p
 occurrence vectors over the group's pages are equal form a class. A class is valid if its tokens come in one
 order in every page; the class that occurs once a page is the template's root, and the space between two of its
 tokens is a slot. A class that repeats is valid if each page has all its occurrences in one slot, and is nested
-there: rows of a list. Words are tokens outside articles; inside, where common words agree by chance, whole
+there: rows of a list. Words are tokens outside running text; inside, where common words agree by chance, whole
 blocks are. Blocks of the template's words, or that half the pages with their path share, are the template's and
-are dropped, in articles too. What is left varies over pages; its slots are judged once for the group by a sum of
-features: article or main element, names, running text, headings, links, and the share of the text they hold.
+are dropped. Running text has its own rule, as sentences and headings repeat there without being the template's: a
+block on a path whose blocks vary is dropped only if every page with that path has it, and a heading that leads to
+such text under the same parent stays.
+
+What is left varies over pages. The main container of a layout is the deepest element that holds over half of the
+varying running text of its pages (pages with no text in it are a layout of their own, and so on). Slots are judged once
+for the group by a sum of features: in the main container or not, running text, headings, links; article elements and
+names add less, and decide where these leave a tie, but for the names of comments, forms and the like.
 
 Pages of equal blocks count once as evidence. In groups under ``LEAST_PAGES`` such pages, and for paths on fewer,
 nothing can be seen to vary: there elements and names decide, and without an article element running text that
@@ -60,6 +66,7 @@ STRONG_TAGS = NO_ARTICLE_TAGS - {"form"}
 RUNNING_WORDS = 10
 _HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 _DIGITS = re.compile(r"\d+")
+_MARKS = str.maketrans("/\0\1", "|||")  # what paths and tokens are told apart by, as part of a name
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -129,7 +136,7 @@ def parsed(html: str | None) -> tuple[list[str], list[Block]]:
         names = " ".join(filter(None, (x for g in _NAMES.findall(m["rest"]) for x in g))).lower() if m["rest"] else ""
         parts = set(_PARTS.findall(names))
         _, path, article, other = stack[-1]
-        path = f"{path}/{tag}" + (f".{_DIGITS.sub('0', names)}" if names else "")
+        path = f"{path}/{tag}" + (f".{_DIGITS.sub('0', names.translate(_MARKS))}" if names else "")
         starts = tag in ("article", "main") or "articlebody" in names.replace("-", "").replace("_", "") or "main" in parts and "role" in m["rest"]
         if tag in STRONG_TAGS or parts & STRONG_WORDS:
             other = 2
@@ -181,6 +188,12 @@ class Template:
 
     def __init__(self, pages: list[tuple[list[str], list[Block]]]):
         self.with_words = len(pages) >= LEAST_PAGES
+        self.having = Counter(path for _, blocks in pages for path in {b.path for b in blocks})
+        self.shared = Counter(t for _, blocks in pages for t in {b.token for b in blocks})
+        self.known = {path for path, n in self.having.items() if self.with_words and n >= LEAST_PAGES}
+        self.fixed = {t for t, n in self.shared.items() if (path := t.partition("\1")[0]) in self.known and 2 * n >= self.having[path]}
+        self.running = self.running_paths(pages)
+        self.mains = self.main_containers(pages)
         rows = [self.tokens(p) for p in pages]
         by = classes(rows)
         self.root = root_class(rows, by)
@@ -198,16 +211,53 @@ class Template:
                 if len(slots) == 1:
                     self.nested[slots.pop()].append(tokens)
         self.template_words = {t for t in self.rank if "\0" in t} | {t for c in self.nested.values() for g in c for t in g if "\0" in t}
-        having = Counter(path for _, blocks in pages for path in {b.path for b in blocks})
-        shared = Counter(t for _, blocks in pages for t in {b.token for b in blocks})
-        self.known = {path for path, n in having.items() if self.with_words and n >= LEAST_PAGES}
-        self.fixed = {t for t, n in shared.items() if (path := t.partition("\1")[0]) in self.known and 2 * n >= having[path]}
+    def running_paths(self, pages: list[tuple[list[str], list[Block]]]) -> set[str]:
+        """Paths of which some blocks vary over the pages, and all are running text on the whole, not links nor, by a strong name, something else."""
+        words: Counter = Counter()
+        linked: Counter = Counter()
+        blocks: Counter = Counter()
+        varies = set()
+        for b in (b for _, page in pages for b in page):
+            if b.path in self.known and b.other < 2:
+                words[b.path] += len(b.words)
+                linked[b.path] += b.linked
+                blocks[b.path] += 1
+                if b.token not in self.fixed:
+                    varies.add(b.path)
+        return {path for path in varies if words[path] >= RUNNING_WORDS * blocks[path] and 2 * linked[path] <= words[path] and not _HEADING.search(path)}
+
+    def main_containers(self, pages: list[tuple[list[str], list[Block]]]) -> list[str]:
+        """Main containers of the layouts, those of more text first."""
+        left = []
+        for _, page in pages:
+            words: Counter = Counter()
+            for b in page:
+                if b.path in self.running and b.token not in self.fixed:
+                    words[b.path] += len(b.words)
+            left.append(words)
+        mains: list[str] = []
+        while left := [words for words in left if words]:
+            total = sum(left, Counter())
+            under: Counter = Counter()
+            for path, n in total.items():
+                for k, c in enumerate(path):
+                    if c == "/":
+                        under[path[:k]] += n
+            half = sum(total.values()) / 2
+            mains.append(max((c for c, n in under.items() if n > half), key=len))
+            left = [words for words in left if not any(path.startswith(mains[-1] + "/") for path in words)]
+        return mains
+
+    def main_of(self, page: list[Block]) -> str | None:
+        """The main container of a page's layout."""
+        paths = {b.path for b in page if b.path in self.running}
+        return next((m for m in self.mains if any(p.startswith(m + "/") for p in paths)), None)
 
     def block_tokens(self, b: Block) -> list[str]:
-        return [b.token] if b.article else [f"{b.path}\0{w}" for w in b.words]
+        return [b.token] if b.article or b.path in self.running else [f"{b.path}\0{w}" for w in b.words]
 
     def tokens(self, page: tuple[list[str], list[Block]]) -> list[str]:
-        """A page's tags, its words outside articles and its blocks inside, in order."""
+        """A page's tags, its words outside running text and its blocks inside, in order."""
         tags, blocks = page
         if not self.with_words:
             return tags
@@ -232,19 +282,39 @@ class Template:
                     slot = self.rank.get(t, slot)
         return out
 
-    def owns(self, b: Block) -> bool:
-        """Whether a block is the template's."""
-        return b.token in self.fixed or bool(self.template_words) and all(f"{b.path}\0{w}" in self.template_words for w in b.words)
+    def key(self, slot: int, b: Block) -> tuple[int, str, bool]:
+        """What is judged as one: a slot's blocks of one path, links apart where the path is no running text."""
+        return slot, b.path, b.path not in self.running and 2 * b.linked > len(b.words)
+
+    def owns(self, page: list[Block]) -> list[bool]:
+        """Of each block of a page, whether it is the template's."""
+        out, leads = [False] * len(page), ""  # leads: the parent of the running text that comes next
+        for i in range(len(page) - 1, -1, -1):
+            b = page[i]
+            if b.path in self.running:
+                out[i] = b.token in self.fixed and self.shared[b.token] == self.having[b.path]
+            elif not (_HEADING.search(b.path) and b.other < 2 and leads and parent(b.path) == leads):
+                out[i] = b.token in self.fixed or bool(self.template_words) and all(f"{b.path}\0{w}" in self.template_words for w in b.words)
+                leads = ""
+                continue
+            if not out[i]:
+                leads = parent(b.path)
+        return out
+
+
+def parent(path: str) -> str:
+    return path[: path.rfind("/")]
 
 
-def is_text(b: Block, marked: bool, words: int, linked: int, blocks: int, share: float) -> bool:
-    """Whether a slot that varies over pages is the article's, on a page with an article element or without: a sum of features."""
+def is_text(b: Block, inside: bool, marked: bool, words: int, linked: int, blocks: int) -> bool:
+    """Whether a slot that varies over pages is the article's: a sum of features. ``inside``: it lies in the main
+    container; ``marked``: its page has an article element."""
     links = 2 * linked > words
-    score = 2 if b.article else 0 if marked else 1
-    score -= (0, 2, 3)[b.other]
+    score = 2 if inside else -1
+    score += 1 if b.article else -1 if marked else 0
+    score -= (0, 2, 4)[b.other]
     score += words >= RUNNING_WORDS * blocks
-    score += b.article and _HEADING.search(b.path) is not None
-    score += 2 * (share > 0.5 and not links)
+    score += (inside or b.article) and _HEADING.search(b.path) is not None
     score -= links * (1 if b.article else 2)
     return score > 0
 
@@ -257,24 +327,25 @@ def extracted(pages: list[tuple[list[str], list[Block]]]) -> list[str]:
     links: Counter = Counter()
     blocks_in: Counter = Counter()
     for page in unlike.values():
-        for b, s in zip(page[1], template.slots(page)):
-            if not template.owns(b):
-                key = (s, b.path)
+        for b, s, owned in zip(page[1], template.slots(page), template.owns(page[1])):
+            if not owned:
+                key = template.key(s, b)
                 words[key] += len(b.words)
                 links[key] += b.linked
                 blocks_in[key] += 1
-    total = sum(words.values())
     out = []
     for page in pages:
         blocks = page[1]
         marked = any(b.article and not b.other for b in blocks)
+        main = template.main_of(blocks)
         keep = []
-        for b, s in zip(blocks, template.slots(page)):
-            if template.owns(b):
+        for b, s, owned in zip(blocks, template.slots(page), template.owns(blocks)):
+            if owned:
                 continue
-            key = (s, b.path)
+            key = template.key(s, b)
             if b.path in template.known:
-                if not is_text(b, marked, words[key], links[key], blocks_in[key], words[key] / total):
+                inside = b.article or not marked if main is None else b.path.startswith(main + "/")
+                if not is_text(b, inside, marked, words[key], links[key], blocks_in[key]):
                     continue
             elif b.other or (not b.article if marked else 2 * links[key] > words[key]):
                 continue

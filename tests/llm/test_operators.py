@@ -282,6 +282,55 @@ def test_template_decides_inside_articles(spark):
     assert got == {k: want for k, _, _, want in rows}
 
 
+def sentences(rng, n, words=14):
+    return [" ".join(rng.choice("river stone cloud amber forest winter lantern harbor".split()) + str(rng.randrange(50)) for _ in range(words)) for _ in range(n)]
+
+
+def test_template_keeps_what_repeats_in_running_text(spark):
+    """Headings that lead to text stay on a small host too, and so does a paragraph that half the pages share; what every page has goes."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        a, b, c, d = sentences(rng, 4)
+        shared = "<p>This passage stands in half of the articles of the host</p>" if k % 2 else ""
+        html = (
+            f"<body><header><h1>The daily harbor</h1></header><article class='w-1/2'><h1>Story {k}</h1><h2>Introduction</h2><p>{a}</p><p>{b}</p>{shared}<h2>Conclusion</h2><p>{c}</p>"
+            f"<p>Follow us for daily updates of this and of all other stories</p><h3>Leave a word</h3><form><p>Name</p></form>"
+            f"<section class='comments'><h3>Comments</h3><p>{d}</p></section></article><footer>{k} visits</footer></body>"
+        )
+        mid = f" {shared[3:-4]}" if shared else ""
+        rows.append((k, "https://twelve.example/x", html, f"Story {k} Introduction {a} {b}{mid} Conclusion {c}"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert got == {k: want for k, _, _, want in rows}
+
+
+def test_template_decides_without_names(spark):
+    """Pages of two layouts without article elements, classes, ids or telling elements: only what varies, and how, is left to go by."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(60):
+        a, b, c = sentences(rng, 3)
+        tip = " ".join(rng.sample("buy now at our shop for less today".split(), 6))
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.sample("home news sport arts food maps help jobs".split(), 5))
+        text = f"<div><h2>Story {k}</h2><p>{a}</p><p>{b}</p><ul><li>{c}</li></ul></div>" if k % 3 else f"<table><tr><td><p>{a}</p><p>{b}</p><p>{c}</p></td></tr></table>"
+        html = f"<body><div><ul>{menu}</ul></div><div>{tip}</div>{text}<div>Made by us &middot; {rng.randrange(10**6)} visits</div></body>"
+        rows.append((k, "https://plain.example/x", html, f"Story {k} {a} {b} {c}" if k % 3 else f"{a} {b} {c}"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert got == {k: want for k, _, _, want in rows}
+
+
+def test_template_gives_the_tables_text_without_names(spark):
+    """On the table, erasing every class and id and turning article, nav and the like into plain elements leaves each text as it is."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(</?)(nav|article|footer|aside|header|main|section)\b", "$1div"), r'\s(class|id|role)="[^"]*"', "")
+    big = pages.groupBy(F.regexp_extract("url", "://([^/]*)", 1).alias("host")).agg(F.collect_list("page_id").alias("ids")).where(F.size("ids") >= 2 * templates.LEAST_PAGES)
+    ids = {i for r in big.collect() for i in r["ids"]}
+    with_names, without = ({r["page_id"]: r["text"] for r in templates.main_text(x).collect()} for x in (pages, pages.withColumn("html", plain)))
+    assert len(ids) > 2000 and all(without[i] == with_names[i] for i in ids)
+
+
 # 4
 
 
