@@ -431,18 +431,79 @@ def doctor_audit(spark, d):
     return spark.createDataFrame([(found["status"], len(found["blocked"]), len(found["warnings"]))], "status string, blocked int, warnings int")
 
 
-@query("R01_contributor_cards", "WITH c AS (SELECT s_name AS card, (s_suppkey % 11) / 10.0 AS a, (s_suppkey % 7) / 6.0 AS b, (s_suppkey % 5) / 4.0 AS g FROM supplier), t AS (SELECT card, 20 * a + 15 * b + 20 * g + 15 * a + 15 * b + 10 * g + 5 * a AS score FROM c) SELECT card, round(score, 6) AS score, CASE WHEN score >= 85 THEN 'gold' WHEN score >= 70 THEN 'silver' WHEN score >= 50 THEN 'bronze' ELSE 'listed' END AS tier FROM t")
+_K = "s_suppkey"
+_CARD_FAULTS = {
+    "unsupported schemaVersion": f"{_K} % 13 = 0",
+    "hypothesis needs 20 characters": f"{_K} % 19 = 0",
+    "paper.url must use https": f"{_K} % 17 = 0",
+    "implementation is not callable": f"{_K} % 3 > 0 AND s_nationkey % 5 = 0",
+    "expression: window 7 is not allowed": f"{_K} % 3 = 0 AND {_K} % 7 = 0",
+}
+
+
+@query(
+    "R01_contributor_cards",
+    f"""WITH t AS (SELECT *, s_nationkey % 2 = 0 AS tested, {_K} % 4 > 0 AS prefix, {_K} % 5 > 0 AS adversarial, s_acctbal > 5000 AS example,
+        concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{reason}' END" for reason, c in _CARD_FAULTS.items())}) AS reasons FROM supplier),
+        p AS (SELECT *, 70 + CASE WHEN prefix AND tested THEN 15 ELSE 0 END + CASE WHEN adversarial AND tested THEN 10 ELSE 0 END + CASE WHEN example THEN 5 ELSE 0 END AS points FROM t)
+        SELECT 'card-' || {_K} AS submission_id, s_name AS title, CASE WHEN {_K} % 3 = 0 THEN 'factor' ELSE 'mechanism' END AS kind, CASE WHEN reasons = '' THEN points END AS score,
+        CASE WHEN reasons <> '' THEN NULL WHEN points >= 90 AND prefix AND adversarial THEN 'research-grade' WHEN prefix AND tested THEN 'causal-tested' ELSE 'reproducible-implementation' END AS tier, reasons FROM p""",
+)
 def cards(spark, d):
-    k = F.col("s_suppkey")
-    a, b, g = (k % 11) / 10.0, (k % 7) / 6.0, (k % 5) / 4.0
-    rows = testbed.table(spark, d, "supplier").select(F.col("s_name").alias("card"), a.alias("reproducibility"), b.alias("causality"), g.alias("controls"), a.alias("evidence"), b.alias("documentation"), g.alias("novelty"), a.alias("community"))
-    return r6(registries.card_scores(rows))
-
-
-@query("R02_literature", "WITH e AS (SELECT p_brand || p_type AS key, min(CASE WHEN p_size % 3 = 0 THEN 'adopted' WHEN p_size % 3 = 1 THEN 'tested' END) AS status, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN n > 1 OR status IS NULL THEN 'invalid' ELSE status END AS status, count(*) AS entries FROM e GROUP BY 1")
+    """A card of each supplier, as JSON that the registry reads; nations are modules, and their tests are known or not."""
+    s, n = testbed.table(spark, d, "supplier"), testbed.table(spark, d, "nation")
+    k, nation, factor = F.col(_K), F.col("s_nationkey").cast("string"), F.col(_K) % 3 == 0
+    long = F.lit("what is known at the close explains what follows")
+    tree = F.struct(F.lit("mean").alias("rolling"), F.struct(F.lit("close").alias("field")).alias("arg"), F.when(k % 7 == 0, 7).otherwise(20).alias("window"))
+    document = F.struct(
+        F.when(k % 13 == 0, "card_v0").otherwise("card_v1").alias("schemaVersion"),
+        F.concat(F.lit("card-"), k).alias("submissionId"),
+        F.col("s_name").alias("title"),
+        nation.alias("contributor"),
+        F.when(factor, "factor").otherwise("mechanism").alias("kind"),
+        F.struct(F.col("s_name").alias("title"), F.concat(F.when(k % 17 == 0, "http").otherwise("https"), F.lit("://papers.example/"), k).alias("url"), (k % 30 + 1990).alias("year")).alias("paper"),
+        F.when(k % 19 == 0, "too short").otherwise(long).alias("hypothesis"),
+        long.alias("causalBoundary"),
+        long.alias("counterfactual"),
+        F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("tests/n"), nation, F.lit(".py::test_prefix"))).alias("testSelector"),
+        (k % 4 > 0).alias("prefixCausalityTested"),
+        (k % 5 > 0).alias("adversarialTested"),
+        F.when(~factor, F.concat(F.lit("nation"), nation, F.lit(":run"))).alias("implementation"),
+        F.when(factor, tree).alias("expression"),
+        F.when(factor, F.struct(F.lit("open").alias("field"))).alias("counterExpression"),
+        F.when(factor, F.array(F.lit("open"), F.lit("close"))).alias("allowedFields"),
+        F.when(factor, F.array(F.lit(5), F.lit(20))).alias("allowedWindows"),
+        F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("examples/n"), nation, F.lit(".py"))).alias("reproductionExample"),
+    )
+    documents = s.select(F.concat(F.lit("card-"), k).alias("name"), F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+    key = F.col("n_nationkey").cast("string")
+    surfaces = n.select(F.explode(F.array(F.when(F.col("n_nationkey") % 5 > 0, F.concat(F.lit("nation"), key, F.lit(":run"))), F.concat(F.lit("tests/n"), key, F.lit(".py::test_prefix")), F.concat(F.lit("examples/n"), key, F.lit(".py")))).alias("surface"))
+    return registries.cards(documents, surfaces, "card_v1").select("submission_id", "title", "kind", "score", "tier", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    "R02_literature",
+    f"""WITH t AS (SELECT list_extract({list(registries.STATUSES)}, CAST(p_size % 7 + 1 AS INTEGER)) AS status, p_size % 7 AS k, p_size % 11 = 0 AS named, length(p_name) >= 8 AS titled, CAST(substr(p_brand, 7) AS INTEGER) % 4 = 0 AS odd FROM part),
+        v AS (SELECT CASE WHEN NOT titled OR (named AND odd) OR (k < 2 AND NOT named) THEN 'refused' ELSE status END AS status FROM t),
+        s AS (SELECT generate_subscripts({[*registries.STATUSES, 'refused']}, 1) AS place, unnest({[*registries.STATUSES, 'refused']}) AS status)
+        SELECT CAST(s.place AS INTEGER) AS place, s.status, count(v.status) AS entries FROM s LEFT JOIN v ON s.status = v.status GROUP BY ALL""",
+)
 def literature(spark, d):
+    """An entry of each part, as JSON; brands are surfaces, every fourth of them unknown."""
     p = testbed.table(spark, d, "part")
-    return registries.literature_status(p.select(F.concat("p_brand", "p_type").alias("key"), F.when(F.col("p_size") % 3 == 0, "adopted").when(F.col("p_size") % 3 == 1, "tested").alias("status")))
+    long = F.lit("a mapping of the part")
+    document = F.struct(
+        F.concat(F.lit("part-"), F.col("p_partkey")).alias("paperId"),
+        F.col("p_name").alias("title"),
+        (F.col("p_size") + 1950).alias("year"),
+        F.concat(F.lit("https://parts.example/"), F.col("p_partkey")).alias("url"),
+        F.col("p_type").alias("domain"),
+        F.element_at(F.array(*map(F.lit, registries.STATUSES)), (F.col("p_size") % 7 + 1).cast("int")).alias("status"),
+        *[long.alias(c) for c in ("systemMapping", "implementationBoundary", "requiredData", "nextFalsifiableStep")],
+        F.when(F.col("p_size") % 11 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("repositorySurfaces"),
+    )
+    surfaces = p.where(F.substring("p_brand", 7, 9).cast("int") % 4 > 0).select("p_brand").distinct()
+    return registries.literature_counts(registries.literature(p.select(F.to_json(document).alias("document")), surfaces))
 
 
 @query("R03_agreement", "SELECT count(*) AS sessions, round(avg(CAST(o_custkey % 5 < 3 AS INTEGER)), 6) AS agreement, round(median(o_custkey % 17), 6) AS median_rank FROM orders")

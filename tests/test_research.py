@@ -8,6 +8,7 @@ import math
 import os
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import streams
-from panelforge.operators import decision, doctor, evidence, forward, mechanisms, overfit, pit, placebos
+from panelforge.operators import decision, doctor, evidence, forward, mechanisms, overfit, pit, placebos, registries
 from panelforge.plans import discovery, dsl
 from panelforge.sources import readers, record_log
 from panelforge.streaming import filters
@@ -747,3 +748,74 @@ def test_doctor_blocks_and_warns(spark):
     assert doctor.audit(prices.unionByName(prices.limit(1)))["status"] == "blocked"
     assert doctor.audit(prices.withColumn("low", F.col("high") * 2))["status"] == "blocked"
     assert doctor.digest(prices) == doctor.digest(prices.repartition(3)) != doctor.digest(prices.where("symbol <> 'S0001'"))
+
+
+# registries
+
+
+def a_card(**changes):
+    card = {
+        "schemaVersion": "v1", "submissionId": "one", "title": "Four", "contributor": "x", "kind": "mechanism", "paper": {"title": "P", "url": "https://p.example", "year": 2001},
+        "hypothesis": "h" * 20, "causalBoundary": "c" * 20, "counterfactual": "f" * 10, "implementation": "m:run", "testSelector": "t.py::test_a", "prefixCausalityTested": True, "adversarialTested": True,
+    }
+    return {k: v for k, v in (card | changes).items() if v != "absent"}
+
+
+def test_cards_are_scored_or_refused_with_reasons(spark, tmp_path):
+    field = {"field": "close"}
+    factor = {"kind": "factor", "implementation": "absent", "expression": {"rolling": "mean", "arg": field, "window": 20}, "counterExpression": field, "allowedFields": ["close"], "allowedWindows": [20]}
+    want = {
+        "one": (a_card(reproductionExample="e.py"), 100, "research-grade", []),
+        "two": (a_card(), 95, "research-grade", []),
+        "three": (a_card(adversarialTested=False), 85, "causal-tested", []),
+        "four": (a_card(testSelector=None), 70, "reproducible-implementation", []),
+        "five": (a_card(**factor), 95, "research-grade", []),
+        "six": (a_card(**factor | {"expression": {"field": "open"}, "allowedWindows": []}), None, None, ["factor cards need allowedFields and allowedWindows", "expression: field 'open' is not allowed"]),
+        "seven": (a_card(title=7, odd=1, hypothesis="absent"), None, None, ["missing fields: hypothesis", "unknown fields: odd", "title needs 4 characters", "hypothesis needs 20 characters"]),
+        "eight": (a_card(paper={"title": " ", "url": "http://p", "year": "2001"}), None, None, ["paper.title needs 1 characters", "paper.url must use https", "paper.year is invalid"]),
+        "nine": (a_card(implementation="m:gone", expression=field, futureDataRole=None), None, None, ["implementation is not callable", "mechanism cards have no expressions", "invalid futureDataRole"]),
+        "ten": (a_card(testSelector="t.py", reproductionExample="none.py", prefixCausalityTested="yes"), None, None, ["testSelector must be path::test_name", "reproductionExample does not exist", "prefixCausalityTested must be boolean"]),
+        "eleven": (a_card(testSelector="t.py::test_b", schemaVersion="v0"), None, None, ["unsupported schemaVersion", "test does not exist"]),
+        "twelve": (a_card(submissionId="other", kind="idea", paper=[1]), None, None, ["name and submissionId must match", "kind must be mechanism or factor", "paper must be an object", "paper.title needs 1 characters", "paper.url must use https", "paper.year is invalid"]),
+    }
+    for name, (card, *_) in want.items():
+        if card["submissionId"] == "one":
+            card["submissionId"] = name
+        (tmp_path / f"{name}.json").write_text(json.dumps(card))
+    for name, text in (("broken", "{"), ("list", "[1]"), ("empty", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+        want[name] = (None, None, None, ["no JSON object"])
+    surfaces = spark.createDataFrame([("m:run",), ("t.py::test_a",), ("e.py",), ("e.py",), (None,)], "surface string")
+    read = registries.read_cards(spark, str(tmp_path)).withColumn("score", F.lit("clash"))
+    got = registries.cards(read, surfaces, "v1").collect()
+    assert {r["name"]: (r["score"], r["tier"], r["reasons"]) for r in got} == {k: (s, t, why) for k, (_, s, t, why) in want.items()}
+    again = registries.cards(read.where("name = 'two'").unionByName(read.where("name in ('two', 'three')")), surfaces, "v1").collect()
+    assert sorted((r["name"], r["reasons"]) for r in again) == [("three", []), ("two", ["id repeats"]), ("two", ["id repeats"])]
+    assert [r["reasons"] for r in registries.cards(spark.createDataFrame([(None, None)], "name string, document string"), surfaces, "v1").collect()] == [["no JSON object"]]
+    assert registries.cards(read.limit(0), surfaces, "v1").count() == 0
+
+
+def test_literature_is_counted_or_refused_with_reasons(spark, tmp_path):
+    def entry(k, **changes):
+        texts = {c: "x" * 10 for c in ("systemMapping", "implementationBoundary", "requiredData", "nextFalsifiableStep")}
+        return {"paperId": f"p{k}", "title": "A long title", "year": 2020, "url": "https://a.example", "domain": "abc", "status": "deferred", "repositorySurfaces": [], **texts} | changes
+
+    entries = [
+        entry(0), entry(1, status="implemented", repositorySurfaces=["m:run", "m:run"]), entry(2, status="implemented"), entry(3, repositorySurfaces=["a.md", "m:run", "b.md"]), entry(4, year=2101, domain=" ab "),
+        entry(5, repositorySurfaces=[1]), entry("X"), entry(6, status=None, url=None), entry(7), entry(7), entry(8, extra=1),
+    ]
+    path = tmp_path / "registry.json"
+    path.write_text(json.dumps({"schemaVersion": "v1", "purpose": "what the literature says", "entries": entries}))
+    surfaces = spark.createDataFrame([("m:run",)], "surface string")
+    out = registries.literature(registries.read_literature(spark, str(path), "v1"), surfaces)
+    assert Counter((r["paper_id"], tuple(r["reasons"])) for r in out.collect()) == Counter(
+        [
+            ("p0", ()), ("p1", ()), ("p2", ("a mapping needs a surface",)), ("p3", ("unknown surfaces: a.md, b.md",)), ("p4", ("domain needs 3 characters", "year is invalid")), ("p5", ("repositorySurfaces must be texts",)),
+            ("pX", ("invalid paperId",)), ("p6", ("url must use https", "status is invalid")), ("p7", ("id repeats",)), ("p7", ("id repeats",)), ("p8", ("unknown fields: extra",)),
+        ]
+    )
+    counts = {r["status"]: r["entries"] for r in registries.literature_counts(out).collect()}
+    assert counts == dict.fromkeys(registries.STATUSES, 0) | {"implemented": 1, "deferred": 1, "refused": 9}
+    with pytest.raises(ValueError, match="version"):
+        registries.read_literature(spark, str(path), "v0")
+    assert registries.literature(out.limit(0).select(F.lit("").alias("document")), surfaces).count() == 0
