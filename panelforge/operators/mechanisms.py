@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import rolling, rolling_corr
+from panelforge.functions.ranges import RANGE, over_ranges
 
 
 def line() -> WindowSpec:
@@ -157,51 +158,57 @@ def dmd_residual(series: DataFrame, window: int = 60, ridge: float = 1e-6, steps
 LPPLS_WINDOWS, LPPLS_M, LPPLS_OMEGA, LPPLS_AHEAD = (60, 120), (0.3, 0.5, 0.7), (6.0, 9.0, 12.0), (1.05, 1.15, 1.30)
 
 
-def lppls_fits(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of log prices, all of one window: the error at each grid point, and the points' critical times after the end."""
-    n = y.shape[1]
-    errors, ahead = [], []
+def lppls_grid(n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For a window of n logs: an orthonormal basis of the power law at each grid point, and the points' critical times after the end."""
+    bases, ahead = [], []
     for m in LPPLS_M:
         for omega in LPPLS_OMEGA:
             for k in LPPLS_AHEAD:
                 left = np.maximum(n - 1 + k * n - np.arange(n), 1e-6)
                 x = np.stack([np.ones(n), left**m, left**m * np.cos(omega * np.log(left)), left**m * np.sin(omega * np.log(left))], 1)
-                q, _ = np.linalg.qr(x)
-                errors.append(np.sqrt(np.mean((y - (y @ q) @ q.T) ** 2, axis=1)))
+                bases.append(np.linalg.qr(x)[0])
                 ahead.append(k * n)
-    return np.stack(errors, 1), np.array(ahead)
+    return bases, np.array(ahead)
+
+
+def lppls_errors(logs: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
+    """The error at each grid point of every window of the logs; a window's rows are a view, copied a thousand at a time."""
+    past = np.lib.stride_tricks.sliding_window_view(logs, len(bases[0]))
+    out = np.empty((len(past), len(bases)))
+    for lo in range(0, len(past), 1000):
+        y = np.nan_to_num(past[lo : lo + 1000])
+        for j, q in enumerate(bases):
+            out[lo : lo + 1000, j] = np.sqrt(np.mean((y - (y @ q) @ q.T) ** 2, axis=1))
+        out[lo : lo + 1000][~np.isfinite(past[lo : lo + 1000]).all(1)] = np.nan
+    return out
 
 
-def lppls(series: DataFrame) -> DataFrame:
+def lppls(series: DataFrame, size: int = RANGE) -> DataFrame:
     """Log-periodic power law on a fixed grid: median error of the best tenth of the fits (three at least) and the
-    deviation of their critical times, by step; null before the shortest window and where it has a gap or a value up to 0."""
-    w = W.partitionBy("series_id").orderBy("t").rowsBetween(-(max(LPPLS_WINDOWS) - 1), 0)
-    logs = F.when(F.col("value") > 0, F.log("value")).otherwise(F.lit(float("nan")))
-    held = series.select("series_id", "t", F.collect_list(F.coalesce(logs, F.lit(float("nan")))).over(w).alias("past"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size = pdf["past"].map(len).to_numpy()
-            errors, ahead = [], []
-            for n in LPPLS_WINDOWS:
-                y = np.full((len(pdf), n), np.nan)
-                for i in np.flatnonzero(size >= n):
-                    y[i] = pdf["past"].iat[i][-n:]
-                e, a = lppls_fits(np.nan_to_num(y))
-                e[~np.isfinite(y).all(1)] = np.nan
-                errors.append(e)
-                ahead.append(np.broadcast_to(a, e.shape))
-            e, a = np.concatenate(errors, 1), np.concatenate(ahead, 1)
-            residual, spread = [None] * len(pdf), [None] * len(pdf)
-            for i, row in enumerate(e):
-                order = np.argsort(row, kind="stable")  # nan last
-                known = int(np.isfinite(row).sum())
-                if known:
-                    best = order[: max(3, known // 10)]
-                    residual[i], spread[i] = float(np.median(row[best])), float(np.std(a[i][best]))
-            yield pdf[["series_id", "t"]].assign(residual=residual, tc_dispersion=spread)
-
-    return held.mapInPandas(run, "series_id string, t long, residual double, tc_dispersion double")
+    deviation of their critical times, by step; null before the shortest window and where it has a gap or a value up to 0.
+    Ranges of a series slide over the projections; no row holds its past."""
+    grids = [lppls_grid(n) for n in LPPLS_WINDOWS]
+
+    def run(values: np.ndarray, first: int) -> list[np.ndarray]:
+        logs = np.log(np.where(values > 0, values, np.nan))
+        parts = []
+        for n, (bases, _) in zip(LPPLS_WINDOWS, grids):
+            e = np.full((len(logs), len(bases)), np.nan)
+            begin = max(first - n + 1, 0)
+            if len(logs) - begin >= n:
+                e[begin + n - 1 :] = lppls_errors(logs[begin:], bases)
+            parts.append(e[first:])
+        e, ahead = np.concatenate(parts, 1), np.concatenate([a for _, a in grids])
+        residual, spread = np.full(len(e), np.nan), np.full(len(e), np.nan)
+        order, known = np.argsort(e, axis=1, kind="stable"), np.isfinite(e).sum(1)  # nan last
+        for k in np.unique(known[known > 0]):
+            here = np.flatnonzero(known == k)
+            best = order[here, : max(3, k // 10)]
+            residual[here], spread[here] = np.median(np.take_along_axis(e[here], best, 1), axis=1), np.std(ahead[best], axis=1)
+        return [residual, spread]
+
+    rows = series.select("series_id", "t", "value")
+    return over_ranges(rows, "series_id", "t", "value", max(LPPLS_WINDOWS), run, "residual double, tc_dispersion double", size).select("series_id", "t", "residual", "tc_dispersion")
 
 
 def black_litterman(prior: np.ndarray, cov: np.ndarray, views: np.ndarray, targets: np.ndarray, omega: np.ndarray, tau: float = 0.05) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import rolling, ts
+from panelforge.functions.columns import ts
+from panelforge.functions.ranges import rolling_median
 
 
 def sealed_bars(panel: DataFrame, require_volume: bool = True) -> DataFrame:
@@ -32,7 +33,7 @@ def apply_sealed(panel: DataFrame, overwrite: bool = False) -> DataFrame:
 def eligible(panel: DataFrame, window: int = 60, least_amount: float = 0.0, least_observations: int = 0, exclude_st: bool = True, normal_status: bool = True) -> DataFrame:
     """``eligible``: liquid on lagged amounts, observed before, and trading normally in the session itself."""
     observed = F.col("close").isNotNull().cast("int")
-    rows = panel.withColumns({"_med": rolling("median", "amount", window, max(2, window // 3)), "_obs": F.sum(observed).over(ts().rowsBetween(W.unboundedPreceding, 0))})
+    rows = rolling_median(panel, "amount", window, max(2, window // 3), "_med").withColumn("_obs", F.sum(observed).over(ts().rowsBetween(W.unboundedPreceding, 0)))
     ok = (F.lag("_med").over(ts()) >= least_amount) & (F.lag("_obs").over(ts()) >= least_observations) & (F.col("volume") > 0) & (F.col("amount") > 0)
     ok = ok & ~F.col("is_suspended") & ~F.col("is_delisted")
     if exclude_st:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import ROLLING, divided, rolling, rolling_corr, ts, zscore
+from panelforge.functions.ranges import FRAMES_TO, rolling_median
 
 UNARY = {"abs": F.abs, "neg": lambda c: -c, "tanh": F.tanh, "signed_log1p": lambda c: F.signum(c) * F.log1p(F.abs(c))}
 BINARY = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": divided}
@@ -98,6 +99,10 @@ def evaluate(panel: DataFrame, exprs: dict[str, dict]) -> DataFrame:
             return BINARY[expr["binary"]](*args)
         if "lag" in expr:
             value = F.lag(args[0], expr["lag"]).over(ts()) if expr["lag"] else args[0]
+        elif expr.get("rolling") == "median" and expr["window"] > FRAMES_TO:
+            made[key] = f"_x{len(made)}"
+            panel = rolling_median(panel.withColumn("_of", args[0].cast("double")), "_of", expr["window"], max(2, expr["window"] // 2), made[key]).drop("_of")
+            return F.col(made[key])
         elif "rolling" in expr:
             value = rolling(expr["rolling"], args[0], expr["window"])
         elif "corr" in expr:

@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import streams
+from panelforge.functions import columns, ranges, streams
 from panelforge.operators import decision, doctor, evidence, forward, mechanisms, overfit, pit, placebos, registries
 from panelforge.plans import discovery, dsl
 from panelforge.sources import readers, record_log
@@ -819,3 +819,34 @@ def test_literature_is_counted_or_refused_with_reasons(spark, tmp_path):
     with pytest.raises(ValueError, match="version"):
         registries.read_literature(spark, str(path), "v0")
     assert registries.literature(out.limit(0).select(F.lit("").alias("document")), surfaces).count() == 0
+
+
+# ranges
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 8192])
+def test_rolling_medians_over_ranges_equal_those_over_frames(spark, size):
+    """Series that end at, before and after a range's end, with gaps, a null name, columns that other types would spoil."""
+    rng = random.Random(21)
+    rows = [(name, t, None if rng.random() < 0.3 else rng.choice([rng.random(), 0.5]), 2**60 + t if t % 3 else None, bool(t % 2) if t % 5 else None, day(t)) for name, n in (("a", 64), ("b", 100), ("c", 1), (None, 30)) for t in range(n)]
+    frame = spark.createDataFrame(rows, "symbol string, date long, value double, big long, flag boolean, day date")
+    for window, least in ((1, 1), (5, 2), (40, 20)):
+        got = ranges.rolling_median(frame, "value", window, least, "median", size=size, frames_to=0)
+        want = frame.withColumn("median", columns.rolling("median", "value", window, least))
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert ranges.rolling_median(frame.limit(0), "value", 5, 2, "median", frames_to=0).count() == 0
+    long = dsl.evaluate(frame.withColumnRenamed("date", "t").withColumnRenamed("day", "date"), {"m": dsl.roll("median", dsl.f("value"), 120)})
+    want = frame.withColumn("m", columns.rolling("median", "value", 120))
+    assert Counter((r["symbol"], r["date"], r["m"]) for r in want.collect()) == Counter((r["symbol"], r["t"], r["m"]) for r in long.collect())
+
+
+def test_power_law_is_the_same_over_any_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(name, k, float(np.exp(v))) for name, n in (("p", 300), ("q", 59), ("r", 121)) for k, v in enumerate(np.cumsum(rng.normal(0, 0.02, n)))]
+    rows += [("gap", k, None if k == 100 else 2.0 + k % 7) for k in range(240)]
+    frame = spark.createDataFrame(rows, "series_id string, t long, value double")
+    one, many = ({(r["series_id"], r["t"]): (r["residual"], r["tc_dispersion"]) for r in mechanisms.lppls(frame, size).collect()} for size in (8192, 50))
+    assert one.keys() == many.keys() and len(one) == len(rows)
+    for k, (a, b) in one.items():
+        assert (many[k] == (a, b)) if a is None else (abs(many[k][0] - a) < 1e-12 and many[k][1] == b)
+    assert one["q", 58] == (None, None) and one["r", 59][0] is not None and one["gap", 159] == (None, None) and one["gap", 160][0] is not None
