@@ -80,9 +80,11 @@ def bootstrap_visits(spark, d):
     return evidence.visit_counts(spark, n, DESIGN).select("rep", F.inline(F.arrays_zip("t", "visits")))
 
 
-@query("M02_bootstrap_means", f"WITH {_MEANS} SELECT rep, candidate, round(mean, 9) + 0.0 AS mean FROM means")
+@query("M02_bootstrap_means", f"WITH {_MEANS} SELECT rep, candidate, round(mean * n, 9) / n + 0.0 AS mean FROM means, num")
 def bootstrap_means(spark, d):
-    return _bootstrap(spark, d)[1].withColumn("mean", F.round("mean", 9) + 0.0)
+    """Differentials have nine digits, so their sums are rounded: means in n-ths often lie on a tie, which no order of summing decides alike."""
+    n, means, _ = _bootstrap(spark, d)
+    return means.withColumn("mean", F.round(F.col("mean") * n, 9) / n + 0.0)
 
 
 @query("M04_intervals", f"WITH {_MEANS}, q AS (SELECT candidate, stddev_samp(mean) AS se, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY 1) SELECT candidate, round(observed, 6) + 0.0 AS observed, round(se, 6) AS se, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM q JOIN obs USING (candidate)")
