@@ -9,9 +9,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from panelforge.functions.columns import rolling, rolling_corr
 from panelforge.functions.ranges import RANGE, over_ranges
@@ -47,22 +49,78 @@ def hmm_step(posterior: tuple[float, float], x: float | None, stay: tuple[float,
     return p[0] / total, p[1] / total
 
 
-def hmm_filter(series: DataFrame, stay=(0.95, 0.95), mean=(0.0, 0.0), sd=(1.0, 2.0), start=(0.5, 0.5)) -> DataFrame:
-    """Probability of the second state given the past, by a fold over each series in order."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s)
-    state = F.struct(F.lit(float(start[0])).alias("p0"), F.lit(float(start[1])).alias("p1"), F.expr("cast(array() as array<struct<t:bigint,p:double>>)").alias("out"))
+#: Steps of a block of a filtered series.
+HMM_STEPS = 8192
 
-    def step(acc: Column, s: Column) -> Column:
-        a = acc["p0"] * stay[0] + acc["p1"] * (1 - stay[1])
-        b = acc["p0"] * (1 - stay[0]) + acc["p1"] * stay[1]
-        seen = s["value"].isNotNull()
-        like = [F.when(seen, F.exp(-0.5 * F.pow((s["value"] - mean[k]) / max(sd[k], 1e-12), F.lit(2.0))) / max(sd[k], 1e-12)).otherwise(1.0) for k in (0, 1)]
-        a, b = a * like[0], b * like[1]
-        total = F.greatest(a + b, F.lit(1e-300))
-        return F.struct((a / total).alias("p0"), (b / total).alias("p1"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), (b / total).alias("p")))).alias("out"))
 
-    folded = series.groupBy("series_id").agg(values.alias("v")).select("series_id", F.aggregate("v", state, step)["out"].alias("o"))
-    return folded.select("series_id", F.inline("o")).withColumnRenamed("p", "probability")
+def _then(scale: np.ndarray, shares: np.ndarray, scale2: np.ndarray, shares2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of matrices, of which each row is kept as the logarithm of its sum and its shares, so that long products stay in range."""
+    with np.errstate(divide="ignore"):
+        w = np.log(shares) + scale2[..., None, :]
+        top = w.max(-1)
+        top = np.where(np.isfinite(top), top, 0.0)
+        out = np.exp(w - top[..., None]) @ shares2
+        total = out.sum(-1)
+        return scale + top + np.log(total), out / np.where(total > 0, total, 1.0)[..., None]
+
+
+def hmm_filter(series: DataFrame, stay=(0.95, 0.95), mean=(0.0, 0.0), sd=(1.0, 2.0), start=(0.5, 0.5), size: int = HMM_STEPS) -> DataFrame:
+    """Probability of the second state given the past: ``hmm_step`` along each series.
+
+    A step multiplies the weights of both states by a matrix, so blocks of ``size`` steps of ``t`` are multiplied out apart from
+    each other, one small row a block is followed along the series to give the weights that each begins with, and the steps are
+    taken inside each block. No task holds a series. A value that is null, NaN or infinite only predicts; rows of equal ``t`` go
+    by value, rows without ``t`` come last; an empty frame stays empty.
+    """
+    kind = {f.name: f.dataType for f in series.schema.fields}
+    key = StructType([StructField("series_id", kind["series_id"]), StructField("_block", LongType())])
+    rows = series.select("series_id", "t", F.col("value").cast("double").alias("value"), F.coalesce(F.floor(F.col("t") / size), F.lit(2**62)).alias("_block"))
+    change, width = np.array([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]]), np.maximum(sd, 1e-12)
+
+    def values(table: pa.Table) -> np.ndarray:
+        return table["value"].to_numpy(zero_copy_only=False)
+
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.sort_by([("t", "ascending"), ("value", "ascending")])
+
+    def product(table: pa.Table) -> pa.Table:
+        x = values(ordered(table))[:, None]
+        seen = np.isfinite(x)
+        like = np.where(seen, np.exp(-0.5 * ((np.where(seen, x, 0.0) - mean) / width) ** 2) / width, 1.0)
+        shares = change * like[:, None, :]
+        total = shares.sum(-1)
+        with np.errstate(divide="ignore"):
+            scale, shares = np.log(total), shares / np.where(total > 0, total, 1.0)[..., None]
+        while len(scale) > 1:
+            even = len(scale) // 2 * 2
+            s, m = _then(scale[0:even:2], shares[0:even:2], scale[1:even:2], shares[1:even:2])
+            scale, shares = np.concatenate([s, scale[even:]]), np.concatenate([m, shares[even:]])
+        made = {"s0": scale[:, 0], "s1": scale[:, 1], "m00": shares[:, 0, 0], "m01": shares[:, 0, 1], "m10": shares[:, 1, 0], "m11": shares[:, 1, 1]}
+        return pa.table({c: table[c].slice(0, 1) for c in key.names} | {c: pa.array(a) for c, a in made.items()})
+
+    def begins(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        s, m = np.stack([table[c].to_numpy() for c in ("s0", "s1")], 1), np.stack([table[c].to_numpy() for c in ("m00", "m01", "m10", "m11")], 1).reshape(-1, 2, 2)
+        weights, out = np.array([start], float), np.empty((len(table), 2))
+        for k in range(len(table)):
+            out[k] = weights[0]
+            weights = _then(np.zeros(1), weights, s[k], m[k])[1]
+        return table.select(key.names).append_column("p0", pa.array(out[:, 0])).append_column("p1", pa.array(out[:, 1]))
+
+    def inside(table: pa.Table, begin: pa.Table) -> pa.Table:
+        table, p, out = ordered(table), (begin["p0"][0].as_py(), begin["p1"][0].as_py()), []
+        for x in values(table).tolist():
+            p = hmm_step(p, x, stay, mean, sd)
+            out.append(p[1])
+        return table.select(["series_id", "t"]).append_column("probability", pa.array(out, pa.float64()))
+
+    def doubles(*names: str) -> StructType:
+        return StructType([*key.fields, *[StructField(c, DoubleType()) for c in names]])
+
+    blocks = rows.groupBy(*key.names).applyInArrow(product, doubles("s0", "s1", "m00", "m01", "m10", "m11"))
+    first = blocks.groupBy("series_id").applyInArrow(begins, doubles("p0", "p1"))
+    out = StructType([StructField("series_id", kind["series_id"]), StructField("t", kind["t"]), StructField("probability", DoubleType())])
+    return rows.groupBy(*key.names).cogroup(first.groupBy(*key.names)).applyInArrow(inside, out)
 
 
 def _per_series(run, columns: list[str]):

@@ -184,6 +184,25 @@ def test_stream_filter_equals_the_batch_filter(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_filter_is_the_same_over_any_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, t, float(rng.normal(0, 1 + 2 * (t > 60))) if t % 7 else [None, math.nan, math.inf][t % 3]) for s in ("a", "b", None) for t in (*range(-9, 120), 500, 501)]
+    rows += [("far", t, 1e6 if t == 40 else 0.5) for t in range(60)]  # no state explains the value: nothing is known from there on
+    rows += [("ties", 3, 2.0), ("ties", 3, -1.0), ("ties", None, 0.1), ("one", 0, 4.0)]
+    frame = spark.createDataFrame(rows, "series_id string, t long, value double").repartition(4)
+    for stay in ((0.95, 0.9), (1.0, 1.0)):
+        want = []
+        for name in {r[0] for r in rows}:
+            p = (0.5, 0.5)
+            for _, t, x in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1] is None, r[1] or 0, r[2] if r[2] is not None and math.isfinite(r[2]) else 9e9)):
+                p = mechanisms.hmm_step(p, x, stay, (0.0, 0.0), (1.0, 2.0))
+                want.append((str(name), str(t), round(p[1], 9)))
+        for size in (1, 7, mechanisms.HMM_STEPS):
+            got = mechanisms.hmm_filter(frame, stay, size=size).collect()
+            assert sorted((str(r["series_id"]), str(r["t"]), round(r["probability"], 9)) for r in got) == sorted(want)
+    assert mechanisms.hmm_filter(frame.limit(0)).collect() == []
+
+
 def test_change_stream_equals_the_batch_however_it_is_cut(spark, tmp_path):
     """Rows out of order within the delay, over several cuts into triggers, with a restart from the checkpoint."""
     rng = np.random.default_rng(4)
