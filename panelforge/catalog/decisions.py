@@ -44,6 +44,11 @@ def audit(spark, d):
     return evidence.audit(testbed.type_returns(spark, d))
 
 
+@query("M09_assumptions", f"WITH {CASES}, pairs AS (SELECT date, candidate, count(*) AS n, count(*) FILTER (WHERE d IS NULL) AS missing FROM diff GROUP BY 1, 2) SELECT CAST(coalesce(sum(n) FILTER (WHERE date IS NULL OR candidate IS NULL), 0) AS BIGINT) AS without_key, count(*) FILTER (WHERE date IS NOT NULL AND candidate IS NOT NULL AND n > 1) AS repeated_keys, CAST(sum(missing) AS BIGINT) AS missing_values, count(DISTINCT date) AS dates, (SELECT count(DISTINCT date) FROM cases) AS joint_dates, (SELECT min(date) FROM cases) AS first_date, (SELECT max(date) FROM cases) AS last_date FROM pairs")
+def assumptions(spark, d):
+    return evidence.assumptions(testbed.type_returns(spark, d))
+
+
 @query("M03_observed_means", f"WITH {CASES} SELECT candidate, round(avg(d), 9) + 0.0 AS observed, count(*) AS n FROM cases GROUP BY candidate")
 def observed(spark, d):
     return evidence.observed_means(evidence.complete_cases(testbed.type_returns(spark, d))).withColumn("observed", F.round("observed", 9) + 0.0)

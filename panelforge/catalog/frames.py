@@ -201,6 +201,32 @@ def ratios(spark, d):
     return P.build(bars_, pit.align(testbed.statements(spark, d), P.dense(bars_))).select("date", "symbol", "book_to_price", "earnings_yield_proxy")
 
 
+_MEASURES = ("roe", "roic", "gross_margin", "cash_to_profit", "revenue_yoy", "profit_yoy", "debt_ratio", "current_ratio", "quick_ratio")
+_LAST = ", ".join(f"arg_max({c}, (notice_date, update_date, report_date, {c})) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _MEASURES)
+_CARRIED = ", ".join(f"last_value(f4.{c} IGNORE NULLS) OVER w AS {c}" for c in _MEASURES)
+_Z = ", ".join(f"greatest(-5, least(5, ({c} - avg({c}) OVER v) / nullif(stddev_samp({c}) OVER v, 0))) AS z_{c}, ({c} IS NOT NULL AND stddev_samp({c}) OVER v > 0) AS has_{c}" for c in _MEASURES)
+
+
+def _composite(*terms: str) -> str:
+    fields = [t.lstrip("-") for t in terms]
+    total = " + ".join(f"-z_{f}" if t != f else f"z_{f}" for t, f in zip(terms, fields))
+    return f"CASE WHEN {' AND '.join(f'has_{f}' for f in fields)} THEN round(({total}) / {len(terms)}, 6) + 0.0 END"
+
+
+@query("D03_composites", f"""WITH {AVAILABLE},
+f1 AS (SELECT CAST(o_custkey % 25 AS INTEGER) AS brand_no, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, round(sum(o_totalprice), 2) AS s, max(o_totalprice) AS hi, min(o_totalprice) AS lo, count(*) AS n,
+  count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS p1, count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS p2 FROM orders GROUP BY 1, 2),
+f2 AS (SELECT 'Brand#' || CAST(brand_no + 1 AS VARCHAR) AS symbol, CAST(quarter + INTERVAL 3 MONTH AS DATE) - 1 AS report_date, lo / hi AS roe, (s / n) / hi AS roic, 1 - lo / (s / n) AS gross_margin, f / n AS cash_to_profit,
+  s / lag(s, 4) OVER y - 1 AS revenue_yoy, (s / n) / lag(s / n, 4) OVER y - 1 AS profit_yoy, o / n AS debt_ratio, n / (p1 + 1) AS current_ratio, (n - p2) / (p1 + 1) AS quick_ratio FROM f1 WINDOW y AS (PARTITION BY brand_no ORDER BY quarter)),
+f3 AS (SELECT s2.session, s2.notice_date, s2.update_date, f2.* FROM s2 JOIN f2 ON s2.symbol = f2.symbol AND s2.report_date = f2.report_date WHERE s2.session IS NOT NULL),
+f4 AS (SELECT session AS date, symbol, {_LAST} FROM f3 GROUP BY 1, 2),
+f5 AS (SELECT g.date, g.symbol, {_CARRIED} FROM grid g LEFT JOIN f4 ON g.date = f4.date AND g.symbol = f4.symbol WINDOW w AS (PARTITION BY g.symbol ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f6 AS (SELECT date, symbol, {_Z} FROM f5 WINDOW v AS (PARTITION BY date))
+SELECT date, symbol, {_composite("roe", "roic", "gross_margin", "cash_to_profit")} AS quality_composite, {_composite("revenue_yoy", "profit_yoy")} AS growth_composite, {_composite("-debt_ratio", "current_ratio", "quick_ratio")} AS safety_composite FROM f6""")
+def composites(spark, d):
+    return r6(P.build(testbed.bars(spark, d), testbed.aligned_fundamentals(spark, d)).select("date", "symbol", "quality_composite", "growth_composite", "safety_composite"))
+
+
 @query("D03_cross_section_z", f"WITH {PANEL}, z AS (SELECT date, symbol, (returns - avg(returns) OVER (PARTITION BY date)) / nullif(stddev_samp(returns) OVER (PARTITION BY date), 0) AS z FROM panel) SELECT date, symbol, CASE WHEN z IS NOT NULL THEN round(greatest(-5, least(5, z)), 6) + 0.0 END AS z FROM z")
 def cross_z(spark, d):
     return r6(testbed.panel(spark, d).select("date", "symbol", C.cross_z("returns").alias("z")))

@@ -222,8 +222,8 @@ def counter(spark, d):
 
 @query("S01_seed_scores")
 def seed_scores(spark, d):
-    p = testbed.panel(spark, d).withColumn("segment", F.lit("train"))
-    found = discovery.seeds(p.columns)
+    p = testbed.panel(spark, d, testbed.aligned_fundamentals(spark, d)).withColumn("segment", F.lit("train"))
+    found = discovery.seeds(p.columns)  # all 18, prices and statements
     scores = discovery.train_scores(p, found)
     return spark.createDataFrame([(c.id, c.origin, scores[c.id]) for c in found], "id string, origin string, train_ic double")
 

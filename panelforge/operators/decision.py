@@ -187,7 +187,9 @@ def calibration_rows(book: DataFrame, score: str, event: Column, date: str = "da
 
 
 def normalised_mass(rows: DataFrame, mass: str = "mass") -> DataFrame:
-    return rows.withColumn(mass, F.col(mass) / F.sum(mass).over(W.partitionBy()))
+    """Masses that sum to one: their sum is one row, so rows stay in their partitions."""
+    total = rows.agg(F.sum(mass).alias("_total"))
+    return rows.crossJoin(F.broadcast(total)).withColumn(mass, F.col(mass) / F.col("_total")).drop("_total")
 
 
 @dataclass(frozen=True)
@@ -262,13 +264,29 @@ def fit_logistic(rows: DataFrame, features: list[str], y: str = "event", mass: s
     return LogisticModel(tuple(features), tuple(mean), tuple(scale), float(beta[0]), tuple(map(float, beta[1:])))
 
 
+#: Ranges of values in which places are counted.
+RANGES = 64
+
+
+def range_cuts(distinct: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
+    """One row: where to cut distinct values into ranges of about as many each. The cuts may be approximate, since they decide
+    only which task counts which places."""
+    return distinct.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))
+
+
 def probability_metrics(rows: DataFrame, p: str = "p", event: str = "event", bins: int = 10) -> DataFrame:
-    """Brier score, log loss, AUC by average ranks and expected calibration error."""
+    """Brier score, log loss, AUC by average ranks and expected calibration error.
+
+    Ranks come from the distinct probabilities: counted inside ranges of them, to which the counts of the ranges before are added,
+    so that no task orders all of them. Rows without a probability or an event are in no measure but ``n``."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
     y = F.col(event).cast("double")
-    # ranks come from the distinct probabilities, so no window holds all rows
     tied = rows.groupBy(F.col(p).alias("_v")).agg(F.count("*").alias("c"), F.sum(y).alias("pos"))
-    place = tied.withColumn("_before", F.coalesce(F.sum("c").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = tied.crossJoin(F.broadcast(range_cuts(tied, "_v"))).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    before = place.groupBy("_range").agg(F.sum("c").alias("_n"))
+    before = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))  # RANGES rows
+    inside = F.coalesce(F.sum("c").over(W.partitionBy("_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = place.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("_before", F.col("_earlier") + F.col("_inside"))
     auc = place.agg(F.sum(F.col("pos") * (F.col("_before") + (F.col("c") + 1) / 2)).alias("r"), F.sum("pos").alias("np"), (F.sum("c") - F.sum("pos")).alias("nn"))
     auc = auc.select(((F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / F.nullif(F.col("np") * F.col("nn"), F.lit(0.0))).alias("auc"))
     basic = rows.agg(F.count("*").alias("n"), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier"), (-F.avg(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"))

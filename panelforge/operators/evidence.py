@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.streams import PRIME, mixed
+from panelforge.operators.overfit import commitment
 
 
 @dataclass(frozen=True)
@@ -144,8 +145,55 @@ def false_discovery(p_values: DataFrame, p: str = "p", key: str = "candidate") -
     return out.select(key, p, F.least(F.lit(1.0), "_q").alias("q_bh"), F.least(F.lit(1.0), F.col("_q") * F.col("_h")).alias("q_by"))
 
 
+# Where the methods are published.
+LITERATURE = (
+    ("stationary_bootstrap", "Politis and Romano (1994)", "10.1080/01621459.1994.10476870"),
+    ("reality_check", "White (2000)", "10.1111/1468-0262.00152"),
+    ("stepdown_max_t", "Romano and Wolf (2005)", "10.1111/j.1468-0262.2005.00615.x"),
+    ("false_discovery_rate", "Benjamini and Hochberg (1995)", "10.1111/j.2517-6161.1995.tb02031.x"),
+    ("false_discovery_rate_under_dependency", "Benjamini and Yekutieli (2001)", "10.1214/aos/1013699998"),
+)
+
+
+def digests(differentials: DataFrame) -> DataFrame:
+    """One row: order-free digests of the differentials as given and of the joint sample, as rows, sums and exclusive ors of hashes.
+
+    Values are hashed as doubles, with -0.0 as 0.0; a NaN is a missing value. Equal data have equal digests, in whatever order
+    and partitions they come; a repeated row counts.
+    """
+    d = F.col("d").cast("double")
+    plain = lambda df: df.select("date", "candidate", F.when(~F.isnan(d), d + 0.0).alias("d"))
+
+    def of(df: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64("date", "candidate", "d")
+        return plain(df).agg(F.count("*").alias(f"{name}_rows"), F.coalesce(F.sum(F.pmod(h, F.lit(2**31 - 1))), F.lit(0)).alias(f"{name}_sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias(f"{name}_xor"))
+
+    return of(differentials, "input").crossJoin(of(complete_cases(differentials), "joint"))  # a row each
+
+
+def assumptions(differentials: DataFrame) -> DataFrame:
+    """One row on what the tests take for granted of their input: rows without date or candidate, pairs of date and candidate
+    that come more than once, missing values, dates given and dates that all candidates have, the first and the last of these."""
+    missing = F.col("d").isNull() | F.isnan("d")
+    pairs = differentials.groupBy("date", "candidate").agg(F.count("*").alias("n"), F.count_if(missing).alias("missing"))
+    without = F.col("date").isNull() | F.col("candidate").isNull()
+    given = pairs.agg(
+        F.coalesce(F.sum(F.when(without, F.col("n"))), F.lit(0)).alias("without_key"),
+        F.count_if(~without & (F.col("n") > 1)).alias("repeated_keys"),
+        F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_values"),
+        F.count_distinct("date").alias("dates"),
+    )
+    joint = complete_cases(differentials).agg(F.count_distinct("date").alias("joint_dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return given.crossJoin(joint)  # a row each
+
+
 def report(differentials: DataFrame, design: BootstrapDesign) -> dict:
-    """All tests on one bootstrap; research only."""
+    """All tests on one bootstrap, with a check of what they assume and digests of what they were given; research only.
+
+    Rows without a key and keys that repeat are refused: the joint sample has one value a candidate and date."""
+    checked = assumptions(differentials).first().asDict()
+    if checked["without_key"] or checked["repeated_keys"]:
+        raise ValueError(f"{checked['without_key']} differentials without date or candidate, {checked['repeated_keys']} keys more than once")
     cases = complete_cases(differentials).persist()
     n = cases.select("t").distinct().count()
     design.validate(n)
@@ -162,6 +210,13 @@ def report(differentials: DataFrame, design: BootstrapDesign) -> dict:
         "reality_check": rows(reality_check(means, observed))[0],
         "step_down": rows(steps.withColumn("rejected", (F.col("p_adjusted") <= design.alpha) & (F.col("observed") > 0))),
         "false_discovery": rows(false_discovery(steps.select("candidate", F.col("p_adjusted").alias("p")))),
+        "input_contract": "a positive differential: the candidate did better than a benchmark that was fixed before",
+        "assumptions": {
+            "checked": checked | {"blocks_in_sample": n / design.block_length},
+            "unchecked": ["differentials are stationary and weakly dependent", "the block length was chosen before the data were seen", "a rejection in the past is no licence to trade"],
+        },
+        "literature": [{"method": m, "citation": c, "doi": d} for m, c, d in LITERATURE],
+        "manifest": {"input": rows(digests(differentials))[0], "design": commitment(asdict(design)), "spark": differentials.sparkSession.version},
     }
     means.unpersist()
     cases.unpersist()

@@ -299,12 +299,12 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
         books.append(seen.select("date", F.lit(i).alias("candidate"), F.col("costed").alias("d")))
         rows.append(row)
 
-    project_pbo, dsr = None, {}
+    project_pbo, dsr, declared = None, {}, config["previous_research_trials"] + len(candidates)
     if books:
         family = reduce(DataFrame.unionByName, books).persist()
         if len(books) > 1:
             project_pbo = _first(overfit.pbo(family, config["pbo_blocks"])).get("pbo")
-        dsr = {r["candidate"]: r["probability"] for r in overfit.deflated_sharpes(family, declared=config["previous_research_trials"] + len(candidates)).collect()}
+        dsr = {r["candidate"]: r["probability"] for r in overfit.deflated_sharpes(family, declared=declared).collect()}
         family.unpersist()
     for row in rows:
         row |= {"project_pbo": project_pbo, "dsr": dsr.get(row["id"])}
@@ -317,7 +317,8 @@ def run(prices: DataFrame, statements: DataFrame | None, config: dict) -> dict:
     panel.unpersist()
     return {
         "status": "research_only", "orders": [], "automatic_trading_changes": [], "candidates": rows, "survivors": [r["id"] for r in rows if r["survivor"]], "trial_ledger": ledger, "project_pbo": project_pbo, "hard_stop": hard_stop,
-        "research_plan": plan, "split": audit, "pruned": pruned, "shadow_commitment": overfit.commitment(shadow), "previous_research_trials": config["previous_research_trials"],
+        "research_plan": plan, "split": audit, "pruned": pruned, "shadow_commitment": overfit.commitment(shadow), "previous_research_trials": config["previous_research_trials"], "declared_trials": declared,
+        "train_correlations": {f"{a}|{b}": r for (a, b), r in sorted(pairs.items()) if a in stage2 and b in stage2}, "births": [c.certificate() for c in candidates],
         "manifest": {"config": overfit.commitment(config), "prices": digest(prices), "statements": digest(statements) if statements is not None else None, "spark": spark.version, "commit": _commit()},
     }
 

@@ -53,6 +53,25 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``statements`` with nine measures more: ratios among a brand's orders of a quarter, and growth over four of its quarters."""
+    quarter = F.date_trunc("quarter", "o_orderdate").cast("date")
+    sums = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).cast("int").alias("brand_no"), quarter.alias("quarter")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("s"), F.max("o_totalprice").alias("hi"), F.min("o_totalprice").alias("lo"), F.count("*").alias("n"),
+        *[F.count_if(F.col("o_orderstatus") == c).alias(c.lower()) for c in ("F", "O")], *[F.count_if(F.col("o_orderpriority").startswith(c)).alias(f"p{c}") for c in ("1", "2")],
+    )
+    year = W.partitionBy("brand_no").orderBy("quarter")
+    mean = F.col("s") / F.col("n")
+    ratios = sums.select(
+        F.concat(F.lit("Brand#"), (F.col("brand_no") + 1).cast("string")).alias("symbol"),
+        F.date_add(F.add_months("quarter", 3), -1).alias("report_date"),
+        (F.col("lo") / F.col("hi")).alias("roe"), (mean / F.col("hi")).alias("roic"), (1 - F.col("lo") / mean).alias("gross_margin"), (F.col("f") / F.col("n")).alias("cash_to_profit"),
+        (F.col("s") / F.lag("s", 4).over(year) - 1).alias("revenue_yoy"), (mean / F.lag(mean, 4).over(year) - 1).alias("profit_yoy"),
+        (F.col("o") / F.col("n")).alias("debt_ratio"), (F.col("n") / (F.col("p1") + 1)).alias("current_ratio"), ((F.col("n") - F.col("p2")) / (F.col("p1") + 1)).alias("quick_ratio"),
+    )
+    return statements(spark, sf_dir).join(ratios, ["symbol", "report_date"])
+
+
 def type_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly mean discount by part type less that of all: differentials of six candidates, long form (date, candidate, d)."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
@@ -80,9 +99,17 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 HORIZON, WINDOW, COST = 5, 20, 0.003
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full panel: fields, sealed-bar limits, eligibility, tradability and labels."""
+def panel(spark: SparkSession, sf_dir: str, disclosed: DataFrame | None = None) -> DataFrame:
+    """The full panel: fields, sealed-bar limits, eligibility, tradability and labels; with ``disclosed``, aligned statements, their fields too."""
     from panelforge.operators import universe
     from panelforge.operators.panel import build, labels
 
-    return labels(universe.tradable(universe.eligible(universe.apply_sealed(build(prices(spark, sf_dir))), WINDOW)), HORIZON)
+    return labels(universe.tradable(universe.eligible(universe.apply_sealed(build(prices(spark, sf_dir), disclosed)), WINDOW)), HORIZON)
+
+
+def aligned_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last disclosed value of every measure for each (date, symbol)."""
+    from panelforge.operators import pit
+    from panelforge.operators.panel import dense
+
+    return pit.align(fundamentals(spark, sf_dir), dense(bars(spark, sf_dir)))

@@ -394,6 +394,120 @@ def test_evidence_finds_what_is_planted_and_nothing_in_noise(spark):
     assert low["planted"] > 0 > low["noise_a"]
 
 
+def test_evidence_reports_what_it_was_given_and_assumes(spark):
+    rng = np.random.default_rng(7)
+    rows = [(day(t), c, float(rng.normal(0.0, 0.01))) for t in range(60) for c in ("x", "y")] + [(day(70), "x", math.nan), (day(70), "y", 0.0), (day(71), "x", None), (day(71), "y", -0.0)]
+    frame = lambda r: spark.createDataFrame(r, "date date, candidate string, d double")
+    design = evidence.BootstrapDesign(repetitions=99, block_length=5)
+    found = evidence.report(frame(rows), design)
+    checked = found["assumptions"]["checked"]
+    assert {k: checked[k] for k in ("without_key", "repeated_keys", "missing_values", "dates", "joint_dates")} == {"without_key": 0, "repeated_keys": 0, "missing_values": 2, "dates": 62, "joint_dates": 60}
+    assert checked["first_date"] == day(0) and checked["last_date"] == day(59) and checked["blocks_in_sample"] == 12
+    assert len({r["doi"] for r in found["literature"]}) == 5 and len(found["manifest"]["design"]) == 64
+    json.dumps(found, default=str)
+    of = lambda r: evidence.digests(frame(r).repartition(5)).first()
+    own = of(rows)
+    assert own.asDict() == found["manifest"]["input"] and own["input_rows"] == 124 and own["joint_rows"] == 120
+    assert of(rows[::-1]) == own and of([(t, c, None if d is None or math.isnan(d) else d + 0.0) for t, c, d in rows]) == own
+    other = of([(t, c, 1.0 if t == day(70) and c == "y" else d) for t, c, d in rows])
+    assert other["input_xor"] != own["input_xor"] and other["joint_xor"] == own["joint_xor"]
+    for bad in ((day(3), "x", 0.5), (None, "x", 0.5), (day(3), None, 0.5)):
+        with pytest.raises(ValueError):
+            evidence.report(frame([*rows, bad]), design)
+    assert evidence.assumptions(frame(rows[:0])).first().asDict() == {"without_key": 0, "repeated_keys": 0, "missing_values": 0, "dates": 0, "joint_dates": 0, "first_date": None, "last_date": None}
+
+
+@pytest.mark.parametrize("case", ["real", "tied", "one value", "one class", "none"])
+def test_probability_metrics_equal_plain_loops(spark, case):
+    rng = np.random.default_rng(9)
+    p = {"real": rng.random(500), "tied": rng.integers(1, 9, 500) / 9, "one value": np.full(30, 0.3), "one class": rng.random(40), "none": np.zeros(0)}[case]
+    y = (rng.random(len(p)) < p).astype(float) if case != "one class" else np.ones(40)
+    got = decision.probability_metrics(spark.createDataFrame([*zip(p.tolist(), y.tolist())], "p double, event double").repartition(4)).first()
+    assert got["n"] == len(p)
+    pairs = [(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]]
+    assert got["auc"] is None if not pairs else abs(got["auc"] - np.mean(pairs)) < 1e-12
+    if len(p):
+        assert abs(got["brier"] - np.mean((p - y) ** 2)) < 1e-12 and abs(got["log_loss"] + np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))) < 1e-9
+        k = np.minimum((p * 10).astype(int), 9)
+        assert abs(got["ece"] - sum(abs(p[k == b].sum() - y[k == b].sum()) for b in set(k)) / len(p)) < 1e-12
+
+
+def test_logistic_fit_meets_its_conditions(spark):
+    """At the optimum the penalised gradient is zero, and slopes have the signs that the data were made with."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 2)) * [1.0, 50.0] + [0.0, 1000.0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.02 * (x[:, 1] - 1000))))).astype(float)
+    mass = rng.random(400) + 0.5
+    frame = spark.createDataFrame([(*map(float, r), float(e), float(m), 7.0) for r, e, m in zip(x, y, mass)], "a double, b double, event double, mass double, flat double")
+    for ridge in (0.5, 20.0):
+        model = decision.fit_logistic(frame, ["a", "b", "flat"], ridge=ridge)
+        z = np.column_stack([np.ones(400), (x - np.average(x, axis=0, weights=mass)) / np.sqrt(np.average((x - np.average(x, axis=0, weights=mass)) ** 2, axis=0, weights=mass)), np.zeros(400)])
+        beta = np.array([model.intercept, *model.slopes])
+        p = 1 / (1 + np.exp(-z @ beta))
+        assert np.abs(z.T @ (mass * (y - p)) - ridge * np.array([0, *beta[1:]])).max() < 1e-5
+        assert model.slopes[0] > 0 > model.slopes[1] and abs(model.slopes[2]) < 1e-9
+        got = [r["p"] for r in frame.select(model.predict().alias("p")).collect()]
+        assert np.allclose(got, p, atol=1e-9)
+
+
+def test_masses_sum_to_one_in_their_partitions(spark):
+    frame = spark.createDataFrame([(i, float(i % 5)) for i in range(100)], "id long, mass double").repartition(7)
+    out = decision.normalised_mass(frame)
+    assert abs(out.agg(F.sum("mass")).first()[0] - 1) < 1e-12 and out.columns == ["id", "mass"] and out.rdd.getNumPartitions() == 7
+    assert {r["id"]: r["mass"] for r in out.collect()} == {i: (i % 5) / 200 for i in range(100)}
+    assert decision.normalised_mass(frame.limit(0)).collect() == []
+
+
+# audits of returns and the command line
+
+
+def test_returns_are_found_cleaned_and_scaled(spark, tmp_path):
+    def read(text):
+        path = f"{tmp_path}/{abs(hash(text))}.csv"
+        with open(path, "w") as f:
+            f.write(text)
+        return readers.read_returns(spark, path)
+
+    got = read("Day,a,b,none\n2024-01-02,1.0,-2.5,\n2024-01-03,x,0.5,\n")
+    assert got.columns == ["date", "a", "b"] and [(str(r["date"]), r["a"], r["b"]) for r in got.orderBy("date").collect()] == [("2024-01-02", 0.01, -0.025), ("2024-01-03", None, 0.005)]
+    assert [tuple(r)[1:] for r in read("dt,a\n2024-01-02,1.5\n2024-01-03,inf\n").orderBy("date").collect()] == [(1.5,), (None,)]  # 1.5 is no percentage yet
+    with pytest.raises(ValueError, match="date"):
+        read("when,a\n2024-01-02,1\n")
+
+
+@pytest.mark.parametrize("pbo, dsr, p, word", [(0.51, 0.1, 0.9, "overfit"), (0.5, 0.94, 0.9, "luck"), (0.5, 0.95, 0.11, "snooping"), (0.5, 0.95, 0.10, "no objection"), (None, None, None, "no objection"), (None, None, 0.2, "snooping")])
+def test_verdicts_go_by_the_first_objection(pbo, dsr, p, word):
+    assert word in overfit.audit_verdict(pbo, dsr, p)
+
+
+def test_digest_is_of_rows_not_of_their_order(spark):
+    frame = spark.createDataFrame([(i, f"v{i % 3}") for i in range(50)], "a long, b string")
+    own = doctor.digest(frame)
+    assert doctor.digest(frame.repartition(5).orderBy(F.desc("a"))) == own == doctor.digest(frame.select("b", "a"))
+    assert len({own, doctor.digest(frame.unionAll(frame.limit(1))), doctor.digest(frame.withColumn("b", F.lit("v0"))), doctor.digest(frame.limit(0))}) == 4
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from panelforge import cli
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    demo = f"{tmp_path}/demo"
+    assert cli.main(["demo", "--output-dir", demo, "--days", "300", "--symbols", "5"]) == 0
+    assert cli._json(f"{demo}/config.json")["random_seed"] == 7
+    run = ["doctor", "--prices", f"{demo}/prices", "--fundamentals", f"{demo}/fundamentals", "--output", f"{tmp_path}/doctor.json"]
+    assert (cli.main(run), cli.main([*run, "--strict-warnings"])) == (0, 3) and cli._json(f"{tmp_path}/doctor.json")["status"] == "ready_with_warnings"
+    assert cli.main(["doctor", "--prices", f"{demo}/fundamentals"]) == doctor.EXIT["blocked"] != 0
+    rng = np.random.default_rng(1)
+    with open(f"{tmp_path}/perf.csv", "w") as f:
+        f.write("date,good,base\n" + "\n".join(f"{day(t)},{0.01 + rng.normal() / 500},{rng.normal() / 500}" for t in range(60)))
+    design = ["--repetitions", "99", "--expected-block-length", "4"]
+    assert cli.main(["evidence", "--performance", f"{tmp_path}/perf.csv", "--benchmark", "base", "--output", f"{tmp_path}/evidence.json", *design]) == 0
+    found = cli._json(f"{tmp_path}/evidence.json")
+    assert found["design"]["block_length"] == 4 and found["step_down"][0]["rejected"] and found["assumptions"]["checked"]["joint_dates"] == 60
+    with pytest.raises(SystemExit):
+        cli.main(["evidence", "--performance", "x"])
+
+
 # expressions, statements, discovery
 
 
@@ -490,6 +604,49 @@ def test_seeds():
     assert young.generation == 1 and young.certificate()["certificate_sha256"] != own["certificate_sha256"] and young.parents
 
 
+def plain_values(expr, frame):
+    """An expression by pandas, symbol by symbol; ``frame`` is in order of symbol and date."""
+    (kind,) = [k for k in ("field", "unary", "binary", "rolling", "lag", "corr") if k in expr]
+    if kind == "field":
+        return frame[expr["field"]].astype(float)
+    by = lambda s: s.groupby(frame["symbol"], sort=False)
+    if kind == "binary":
+        a, b = plain_values(expr["left"], frame), plain_values(expr["right"], frame)
+        return a * b if expr["binary"] == "mul" else a / b.where(b != 0)
+    if kind == "corr":
+        a, b = plain_values(expr["left"], frame), plain_values(expr["right"], frame)
+        n = expr["window"]
+        return pd.concat([a[i].rolling(n, min_periods=n).corr(b[i]) for i in frame.groupby("symbol", sort=False).groups.values()]).reindex(frame.index)
+    x = plain_values(expr["arg"], frame)
+    if kind == "unary":
+        return -x if expr["unary"] == "neg" else np.sign(x) * np.log1p(x.abs())
+    if kind == "lag":
+        return by(x).shift(expr["lag"])
+    n = expr["window"]
+    return by(x).transform(lambda s: getattr(s.rolling(n, min_periods=max(2, n // 2)), expr["rolling"])())
+
+
+def test_every_seed_is_scored_as_by_plain_loops(spark, sf_dir):
+    from panelforge.sources import testbed
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # on fewer rows most windows lack values
+    panel = testbed.panel(spark, sf_dir, testbed.aligned_fundamentals(spark, sf_dir)).withColumn("segment", F.when(F.col("session_index") < 250, "train").otherwise("later")).persist()
+    found = discovery.seeds(panel.columns)
+    assert len(found) == 18
+    got = discovery.train_scores(panel, found)
+    frame = panel.toPandas().sort_values(["symbol", "date"], ignore_index=True)
+    train = frame["segment"] == "train"
+    for c in found:
+        rows = pd.DataFrame({"date": frame["date"], "s": plain_values(c.expr, frame), "t": frame["target"].astype(float)})[train].dropna(subset=["t"])
+        rows["s"] = rows.groupby("date")["s"].rank()
+        rows["t"] = rows.groupby("date")["t"].rank()
+        ics = [g["s"].corr(g["t"]) for _, g in rows.groupby("date") if g["s"].notna().sum() > 1 and g["s"].std() > 0 and g.dropna()["t"].std() > 0]
+        ics = [x for x in ics if math.isfinite(x)]
+        assert got[c.id] is None if len(ics) < 60 else abs(got[c.id] - np.mean(ics)) < 1e-6, (c.origin, got[c.id], len(ics), np.mean(ics) if ics else None)
+    assert sum(v is not None for v in got.values()) == 18
+    panel.unpersist()
+
+
 def plain_search(scores_of, first, budget, pool, numeric):
     """Candidate after candidate, each scored alone."""
     known = {c.id: c for c in first[:budget]}
@@ -546,6 +703,7 @@ def test_discovery_run(spark):
     assert len(found["shadow_commitment"]) == 64 and {r["segment"]: r["sessions"] for r in found["split"]}["shadow"] == 40 and found["research_plan"] and all(k in row for k in ("gross", "turnover_mean", "capacity_median"))
     assert row["dsr"] is not None and len(found["candidates"]) + len(found["pruned"]) <= 4
     assert all(set(r) >= {"horizon", "mean_ic", "t"} for r in row["ic_decay"])
+    assert found["declared_trials"] == found["previous_research_trials"] + 7 and len({b["id"] for b in found["births"]}) == 7 and found["train_correlations"] == {}
     json.dumps(found, default=str)
     for bad in ({"status": "live"}, {"orders": [1]}, {"automatic_trading_changes": [1]}, {"purge_days": 9}):
         with pytest.raises(ValueError):
