@@ -221,6 +221,29 @@ def test_token_files_find_damage(tmp_path):
         tokenfiles.FrameReader(io.BytesIO(bytes(broken)), len(raw)).frame(0)
 
 
+def test_token_files_of_an_empty_table(spark, none, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    assert tokenfiles.write(none, folder, queries.bpe_path()).collect() == []
+    assert tokenfiles.read(spark, folder).collect() == []
+
+
+def test_a_document_is_read_from_its_frames_alone():
+    """Bytes that are fetched after the seek table are those of the frames which hold the document."""
+    import io
+
+    raw = tokenfiles.file_bytes([(k, np.arange(k * 100 + 1, dtype="<u4").tobytes()) for k in range(20)], ids_a_frame=256)
+    reader = tokenfiles.FrameReader(io.BytesIO(raw), len(raw))
+    fetched, at = [], reader._at
+    reader._at = lambda place, n: fetched.append((place, n)) or at(place, n)
+    for i in (0, 3, 19):
+        fetched.clear()
+        reader.kept = (-1, b"")
+        ids = reader.ids(i)
+        low, high = 4 * int(reader.starts[i]), 4 * int(reader.ends[i])
+        held = [k for k in range(len(reader.frames)) if reader.first[k] < high and reader.first[k + 1] > low]
+        assert ids == np.arange(i * 100 + 1, dtype="<u4").tobytes() and fetched == [(int(reader.place[k]), reader.frames[k][0]) for k in held] and len(held) < len(reader.frames)
+
+
 # 3
 
 
@@ -254,6 +277,14 @@ def test_template_extraction(spark):
     assert as_rows(again, "page_id", "n_chars") == Counter({(1, got[1]["n_chars"]): 2, (100, 0): 2})
 
 
+def test_template_extraction_of_pages_without_anything(spark):
+    kind = "page_id long, url string, html string, text string, _h string"
+    rows = [(None, None, None, "clash", "clash")] * 3 + [(k, "https://a.example/x", None if k % 2 else "", None, None) for k in range(20)] + [(50, None, "<p>", None, None), (51, "", "no markup", None, None), (51, "", "no markup", None, None)]
+    got = templates.main_text(spark.createDataFrame(rows, kind).repartition(4)).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert all(r["text"] == "" for r in got if r["page_id"] not in (51,)) and Counter(r["page_id"] for r in got)[None] == 3
+
+
 def test_template_of_a_host_of_most_pages(spark):
     """A host with over a share of all pages is salted; its boilerplate, of no listed name, still goes from every page."""
     frame = spark.range(1200).selectExpr("id as page_id", "if(id % 12 = 0, concat('https://small', id % 24, '.example/'), 'https://big.example/') as url", "concat('<article><p>', id, ' tells of number ', id * 7919 % 1200, '</p><p>Ask at our desk</p></article>') as html")
