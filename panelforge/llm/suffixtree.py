@@ -23,6 +23,7 @@ rows that repeat are learned from and scored each; an empty table gives no rows;
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,15 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as bytes: a task has most of them at zero or small, however many tasks there are."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.int64)
+
+
 COUNTED = "word long, n long, level int, chunk int, fold int, counts binary"
 
 
@@ -114,16 +124,17 @@ def _count(depth: int):
         if held:
             yield flush()
         part, width = TaskContext.get().partitionId(), COUNTERS // _CHUNKS
-        rows = [(level, c, part % _FOLDS, counters[level, c * width : (c + 1) * width].astype(np.int64).tobytes()) for level in range(depth) for c in range(_CHUNKS)]
-        out = pd.DataFrame(rows, columns=["level", "chunk", "fold", "counts"]).assign(word=pd.NA, n=pd.NA)
-        yield out.astype({"word": "Int64", "n": "Int64"})[["word", "n", "level", "chunk", "fold", "counts"]]
+        for level in range(depth):
+            rows = [(level, c, part % _FOLDS, _packed(counters[level, c * width : (c + 1) * width])) for c in range(_CHUNKS)]
+            out = pd.DataFrame(rows, columns=["level", "chunk", "fold", "counts"]).assign(word=pd.NA, n=pd.NA)
+            yield out.astype({"word": "Int64", "n": "Int64"})[["word", "n", "level", "chunk", "fold", "counts"]]
 
     return run
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(b, np.int64) for b in pdf["counts"])
-    return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "fold": [0], "counts": [total.tobytes()]})
+    total = sum(map(_unpacked, pdf["counts"]))
+    return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "fold": [0], "counts": [_packed(total)]})
 
 
 class Words:
@@ -321,7 +332,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     counters = np.zeros((depth, COUNTERS), np.int64)  # so many numbers at any size
     width = COUNTERS // _CHUNKS
     for r in sums.toLocalIterator():
-        counters[r["level"], r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+        counters[r["level"], r["chunk"] * width : (r["chunk"] + 1) * width] = _unpacked(r["counts"])
     counters = np.minimum(counters, np.iinfo(np.int32).max).astype(np.int32)
 
     common = max(least_count, math.ceil(WORD_SHARE * total))
