@@ -14,6 +14,8 @@ from panelforge.llm.queries import bpe_path
 
 #: Shingles as hashes, suffix arrays and token ids are beyond SQL.
 ORACLE_SQL = None
+#: Passages of over 50 words that repeat are cut.
+PASSAGE_WORDS = 51
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixdedup.without_repeats(docs)
+    return suffixdedup.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
