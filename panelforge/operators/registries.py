@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from panelforge.plans import dsl
+from panelforge.sources.shared import fresh_folder
 
 # Fields, kinds and roles of a card, points for its parts, statuses of literature in their order.
 CARD_FIELDS = (
@@ -170,9 +171,6 @@ def literature(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
     rows = documents.select(F.col("document").cast("string").alias("document")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_v", F.try_parse_json("document"))
     named = F.when(_type("repositorySurfaces").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get("_v", "$.repositorySurfaces", "array<string>"))
     rows = rows.withColumn("_named", named).withColumn("_named", F.when(~F.exists("_named", lambda x: x.isNull()), F.col("_named")))
-    known = surfaces.select(F.col(surfaces.columns[0]).cast("string").alias("_s")).where("_s is not null").distinct()
-    asked = rows.select("_row", F.explode("_named").alias("_a")).join(known, F.col("_a") == F.col("_s"), "left").groupBy("_row").agg(F.array_sort(F.collect_set(F.when(F.col("_s").isNull(), F.col("_a")))).alias("_unknown"))
-    rows = rows.join(asked, "_row", "left")
     year = F.try_variant_get("_v", "$.year", "long")
     rules = [
         *_fields(ENTRY_FIELDS, ENTRY_FIELDS),
@@ -182,11 +180,28 @@ def literature(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
         _wrong(_text("url").startswith("https://"), "url must use https"),
         _wrong(_text("status").isin(*STATUSES), "status is invalid"),
         _wrong(F.col("_named").isNotNull(), "repositorySurfaces must be texts"),
-        F.when(F.size("_unknown") > 0, F.concat(F.lit("unknown surfaces: "), F.array_join("_unknown", ", "))),
-        F.when(_text("status").isin(*MAPPED) & (F.size("_named") == 0), F.lit("a mapping needs a surface")),
     ]
     place = F.array_position(F.array(*map(F.lit, STATUSES)), _text("status"))
-    return _with_reasons(rows, rules, _text("paperId")).select(F.col("_id").alias("paper_id"), _text("title").alias("title"), year.alias("year"), _text("status").alias("status"), place.alias("place"), "reasons")
+    object_ = F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT")
+    read = rows.select(
+        "_row", F.when(object_, _text("paperId")).alias("_id"), _text("title").alias("title"), year.alias("year"), _text("status").alias("status"), place.alias("place"), "_named", object_.alias("_object"), F.array_compact(F.array(*rules)).alias("_reasons")
+    )
+    # documents are parsed once; only what was read of them goes on to the joins
+    folder = fresh_folder(documents.sparkSession, "entries")
+    read.write.parquet(folder)
+    read = documents.sparkSession.read.schema(read.schema).parquet(folder)
+
+    known = surfaces.select(F.col(surfaces.columns[0]).cast("string").alias("_s")).where("_s is not null").distinct()
+    asked = read.select("_row", F.explode("_named").alias("_a")).join(known, F.col("_a") == F.col("_s"), "left").where("_s is null").groupBy("_row").agg(F.array_sort(F.collect_set("_a")).alias("_unknown"))
+    twice = read.where("_id is not null").groupBy(F.col("_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1")
+    read = read.join(asked, "_row", "left").join(twice, F.col("_id") == F.col("_twice"), "left")
+    more = F.array(
+        F.when(F.size("_unknown") > 0, F.concat(F.lit("unknown surfaces: "), F.array_join("_unknown", ", "))),
+        F.when(F.col("status").isin(*MAPPED) & (F.size("_named") == 0), F.lit("a mapping needs a surface")),
+        F.when(F.col("_twice").isNotNull(), F.lit("id repeats")),
+    )
+    reasons = F.when(F.col("_object"), F.concat("_reasons", F.array_compact(more))).otherwise(F.array(F.lit("no JSON object")))
+    return read.select(F.col("_id").alias("paper_id"), "title", "year", "status", "place", reasons.alias("reasons"))
 
 
 def literature_counts(entries: DataFrame) -> DataFrame:
