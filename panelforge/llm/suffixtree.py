@@ -8,13 +8,14 @@ the context have their discounted share; the rest of the mass goes to all other
 has them. A token is scored in the longest retained suffix of the words before it. Words are the tokens, and
 every text ends in one end symbol.
 
-A context and a symbol count as frequent from a share of all tokens on, so the tree has a bounded number of entries
-at any size of the corpus, and may be broadcast; the price is that on a larger corpus a context must be seen more often.
-Frequent word sequences are found exactly: counters of a
-fixed number, summed over the corpus, bound each count from above; what they cannot rule out is counted.
+A context and a symbol count as frequent from ``least_count`` occurrences on, at any size of the corpus, so the tree grows with it
+and is a table. Frequent word sequences are found exactly: counters of pairs, one of 2^32 each, are summed over the corpus in ranges and
+bound each pair's count from above; what they cannot rule out is counted. A filter of a fixed number of bits tells which pairs may be
+frequent, and passes more of the others where it is full.
+A text's score is a sum over the sequences in it, so that scoring is a join with their weights: the most frequent ones are broadcast, a
+bounded number of rows, the others that a text has are joined with the distributed table, and add nothing less.
 At the root are all words, with exact counts, and their number grows with the corpus: frequent ones are broadcast (their
-number is bounded by the share), the tokens of others are joined with the distributed vocabulary. Since such symbols have
-their parent's probability times a factor of the context, a text's score is its base score plus what the tree adds.
+number is bounded by the share), the tokens of others are joined with the distributed vocabulary.
 
 Cases: a null or empty text is one end symbol; a null ``doc_id`` has a null ``held_out`` and is not learned from;
 rows that repeat are learned from and scored each; an empty table gives no rows; other columns are ignored.
@@ -30,17 +31,25 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import keyed_bytes, materialise, words_of
 from panelforge.llm.shinglejoin import WordHashes, _mixed
 
-#: Shares of all tokens from which a word's count is broadcast, and a context and next symbol are frequent; never under so many.
-WORD_SHARE, GRAM_SHARE, LEAST_COUNT = 2e-7, 1e-6, 8
+#: Share of all tokens from which a word is broadcast; never under ``LEAST_COUNT`` occurrences, from which sequences are frequent.
+WORD_SHARE, LEAST_COUNT = 2e-7, 8
+#: Sequences whose weights are broadcast; the others' are joined.
+HOT_SEQUENCES = 1 << 20
 #: Words of the longest contexts.
 DEPTH = 4
-COUNTERS = 1 << 20
-_CHUNKS, _FOLDS = 16, 32
+MOST_DEPTH = 8
+#: Levels whose sequences, of two and of three words, are counted by hash first.
+COUNTED_LEVELS = 2
+#: Bits of a filter, which are sent to all tasks.
+FILTER = 1 << 27
+_FILTER_SHIFT = 64 - 27
+_CHUNKS = 16
 DISCOUNT = 0.5
 END = np.uint64(0x5EED0F7E47E0D001)  # the end symbol's hash
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -86,106 +95,247 @@ def grams(t: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
+def _hashes(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+    """One of 2^32 counters of a sequence."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _packed(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counters as bytes, those above zero alone, in order of slot: a task has few of them, however many tasks there are."""
+    steps = np.diff(slots, prepend=slots[:1]).astype("<u4")
+    planes = np.concatenate([slots[:1].astype("<u4"), steps]).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zlib.compress(planes + counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counters as bytes: a task has most of them at zero or small, however many tasks there are."""
-    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+def _unpacked_slots(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    size = (len(data) + 4) // 8  # a first slot if there are any, a step and a count each
+    steps, counts = data[: len(data) - 4 * (size - 1)], data[len(data) - 4 * (size - 1) :]
+    steps = np.ascontiguousarray(steps.reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint64).astype(np.uint32)[1:], np.ascontiguousarray(counts.reshape(4, -1).T).view("<i4").ravel()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.int64)
+    return _unpacked_slots(raw)[1]
 
 
 COUNTED = "word long, n long, level int, chunk int, fold int, counts binary"
 
 
-def _count(depth: int):
-    """Of training texts: words with counts, and at the end the task's counters of sequences of two words and more."""
+def _count(depth: int, chunks: int = _CHUNKS):
+    """Of training texts, about two million tokens at a time: words with counts, and counters of sequences of two words and more."""
+
+    shift = np.uint64(32 - (chunks.bit_length() - 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, counters = WordHashes(), np.zeros((depth, COUNTERS), np.int32)
-        held, size = [], 0
+        memo = WordHashes()
+        held, size, slots = [], 0, [[] for _ in range(depth)]
 
         def flush() -> pd.DataFrame:
             w, n = np.unique(np.concatenate(held), return_counts=True)
             return pd.DataFrame({"word": w.view(np.int64), "n": n}).assign(level=None, chunk=None, fold=None, counts=None)
 
+        def counters() -> Iterator[pd.DataFrame]:
+            for level in range(depth):
+                s, n = np.unique(np.concatenate(slots[level]), return_counts=True)
+                slots[level] = []
+                ends = np.searchsorted(s, (np.arange(1, chunks, dtype=np.uint64) << shift).astype(np.uint32))
+                ends = [0, *ends.tolist(), len(s)]
+                rows = [(level, c, 0, _packed(s[a:b], n[a:b])) for c, (a, b) in enumerate(zip(ends, ends[1:]))]
+                out = pd.DataFrame(rows, columns=["level", "chunk", "fold", "counts"]).assign(word=pd.NA, n=pd.NA)
+                yield out.astype({"word": "Int64", "n": "Int64"})[["word", "n", "level", "chunk", "fold", "counts"]]
+
         for t, at in _parts(batches, memo):
             held.append(t)
             size += len(t)
             for level, h in enumerate(grams(t, depth + 1)[1:]):
-                counters[level] += np.bincount(_slot(h[at > level]), minlength=COUNTERS).astype(np.int32)
+                slots[level].append(_slot(h[at > level]))
             if size > 2_000_000:
                 yield flush()
+                yield from counters()
                 held, size = [], 0
         if held:
             yield flush()
-        part, width = TaskContext.get().partitionId(), COUNTERS // _CHUNKS
-        for level in range(depth):
-            rows = [(level, c, part % _FOLDS, _packed(counters[level, c * width : (c + 1) * width])) for c in range(_CHUNKS)]
-            out = pd.DataFrame(rows, columns=["level", "chunk", "fold", "counts"]).assign(word=pd.NA, n=pd.NA)
-            yield out.astype({"word": "Int64", "n": "Int64"})[["word", "n", "level", "chunk", "fold", "counts"]]
+            yield from counters()
 
     return run
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in order with the sum of their counts."""
+    slots, counts = np.concatenate([s for s, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+    order = np.argsort(slots, kind="stable")
+    slots, counts = slots[order], counts[order]
+    start = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
+    return slots[start], np.add.reduceat(counts, start) if len(start) else counts
+
+
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(map(_unpacked, pdf["counts"]))
-    return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "fold": [0], "counts": [_packed(total)]})
+    slots, counts = _added([_unpacked_slots(x) for x in pdf["counts"]])
+    counts = np.minimum(counts, np.iinfo(np.int32).max)
+    return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "fold": [0], "counts": [_packed(slots, counts)]})
 
 
-class Words:
-    """Frequent words in order of hash, with counts: a token's index by binary search, -1 for others."""
+def _frequent(chunks: int, least: int):
+    """Of one chunk of counters, its part of the filter of those that are at least ``least``."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        slots, counts = _added([_unpacked_slots(x) for x in pdf["counts"]])
+        bits = np.zeros(FILTER // chunks, np.uint8)
+        bits[(slots[counts >= least] >> np.uint32(_FILTER_SHIFT - 32)).astype(np.int64) - chunk * len(bits)] = 1
+        return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": [chunk], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
+
+    return run
+
+
+def _of_chunk(chunks: int):
+    """The filter's part of one chunk of keys."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        bits = np.zeros(FILTER // chunks, np.uint8)
+        bits[(_hashes(pdf["key"]) >> np.uint64(_FILTER_SHIFT)).astype(np.int64) - chunk * len(bits)] = 1
+        return pd.DataFrame({"level": [0], "chunk": [chunk], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
+
+    return run
+
+
+def _bits(parts: DataFrame, chunks: int, levels: int = 1) -> np.ndarray:
+    """Bits of a filter a level, so many at any size, from their chunks."""
+    bits, width = np.zeros((levels, FILTER // 8), np.uint8), FILTER // 8 // chunks
+    for r in parts.toLocalIterator():
+        bits[r["level"], r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return bits
+
+
+def _filter_of(cold: DataFrame, chunks: int) -> Filter | None:
+    """Which sequences may be among these; None if there are none."""
+    if cold.isEmpty():
+        return None
+    keys = cold.select("key", F.shiftrightunsigned("key", 64 - (chunks.bit_length() - 1)).cast("int").alias("chunk"))
+    return Filter(_bits(keys.groupBy("chunk").applyInPandas(_of_chunk(chunks), PART), chunks)[0])
+
+
+PART = "level int, chunk int, bits binary"
+
+
+class Filter:
+    """A fixed number of bits, by the first bits of a hash: tells for certain what is not in a set."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Filter:
+        bits = np.zeros(FILTER // 8, np.uint8)
+        place = (hashes >> np.uint64(_FILTER_SHIFT)).astype(np.int64)
+        np.bitwise_or.at(bits, place >> 3, np.left_shift(np.uint8(1), (place & 7).astype(np.uint8)))
+        return cls(bits)
+
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes >> np.uint64(_FILTER_SHIFT)).astype(np.int64)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+class Places:
+    """Places of hashes in a sorted array of distinct ones, -1 for others: from the first of those with the same first bits on."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.first = hashes, None
+        self.shift = np.uint64(64 - max(1, (2 * len(hashes)).bit_length()))
 
     def index(self, t: np.ndarray) -> np.ndarray:
+        out = np.full(len(t), -1, np.int64)
         if not len(self.hashes):
-            return np.full(len(t), -1)
-        i = np.minimum(np.searchsorted(self.hashes, t), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == t, i, -1)
+            return out
+        if self.first is None:  # made where it is used, not sent
+            self.first = np.searchsorted(self.hashes >> self.shift, np.arange(1 << int(64 - self.shift), dtype=np.uint64)).astype(np.int32)
+        i, asked, open_ = self.first[(t >> self.shift).astype(np.int64)].astype(np.int64), t, np.arange(len(t))
+        while len(open_):
+            held = self.hashes[np.minimum(i, len(self.hashes) - 1)]
+            same = held == asked
+            out[open_[same]] = i[same]
+            on = (held < asked) & (i + 1 < len(self.hashes))
+            i, asked, open_ = i[on] + 1, asked[on], open_[on]
+        return out
+
+
+class Words(Places):
+    """Frequent words in order of hash, with counts and the factors of those that are contexts."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, factors: np.ndarray):
+        order = np.argsort(hashes)
+        super().__init__(hashes[order])
+        self.counts, self.factors = counts[order], factors[order]
+
+
+class Weights(Places):
+    """What each occurrence of a sequence of two words and more adds to a text's score: of frequent sequences, and which others may add."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, others: Filter | None):
+        order = np.argsort(keys)
+        super().__init__(keys[order])
+        self.weights, self.some, self.others = weights[order], None, others
 
-def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of ``asked`` in sorted ``keys``, -1 where absent."""
-    if not len(keys):
-        return np.full(len(asked), -1)
-    i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[i] == asked, i, -1)
+    def of(self, t: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sum of each place's weights, then places and keys of sequences that are to be looked up elsewhere."""
+        if self.some is None:
+            self.some = Filter.of(self.hashes)
+        out, places, keys = np.zeros(len(t)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for k, h in enumerate(grams(t, depth + 1)[1:]):
+            inside = at > k
+            place = np.flatnonzero(self.some.may_have(h) & inside)
+            i = self.index(h[place])
+            out[place[i >= 0]] += self.weights[i[i >= 0]]
+            if self.others is not None:
+                place = np.flatnonzero(self.others.may_have(h) & inside)
+                place = place[self.index(h[place]) < 0]
+                places.append(place)
+                keys.append(h[place])
+        return out, np.concatenate(places), np.concatenate(keys)
 
 
-#: ``tag`` is the symbol's index times ``MOST_DEPTH``, and the level.
-GRAM, MOST_DEPTH = "key long, tag int, n int", 8
+GRAM = "key long, symbol long, level byte, n int"
 
 
-def _grams(shared, least: int):
-    """Counts of the sequences of frequent words that the counters do not rule out. ``key`` is the hash of a context and its
-    next symbol; since it can be undone, no more is needed to know both."""
+def _grams(shared, depth: int):
+    """Counts of the sequences all of whose pairs and triples may be frequent. ``key`` is the hash of a context and its next symbol; since it
+    can be undone, no more is needed to know both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counters = shared.value
+        filters = [Filter(bits) for bits in shared.value]
         memo = WordHashes()
+        held, size = [[] for _ in range(depth)], 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for level, parts in enumerate(held):
+                if parts:
+                    h, t = (np.concatenate(x) for x in zip(*parts))
+                    key, one, n = np.unique(h, return_index=True, return_counts=True)
+                    yield pd.DataFrame({"key": key.view(np.int64), "symbol": t[one].view(np.int64), "level": np.full(len(key), level, np.int8), "n": n.astype(np.int32)})
+                parts.clear()
+
         for t, at in _parts(batches, memo):
-            w = words.index(t)
-            h = grams(t, len(counters) + 1)
-            ok, out = w >= 0, []
-            for level in range(len(counters)):
+            h = grams(t, depth + 1)
+            for level in range(depth):
                 # a sequence is frequent only if what it has without its last and without its first word is
-                place = np.flatnonzero(ok & np.concatenate([[False], ok[:-1]]) & (at > level))
-                place = place[counters[level][_slot(h[level + 1][place])] >= least]
-                if not len(place):
-                    break
-                ok = np.zeros(len(t), bool)
-                ok[place] = True
-                key, one, n = np.unique(h[level + 1][place], return_index=True, return_counts=True)
-                out.append(pd.DataFrame({"key": key.view(np.int64), "tag": (w[place[one]] * MOST_DEPTH + level).astype(np.int32), "n": n.astype(np.int32)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                ok = ok & np.concatenate([[False], ok[:-1]]) & (at > level) if level else at > 0
+                place = np.flatnonzero(ok)
+                if level < len(filters):
+                    place = place[filters[level].may_have(h[level + 1][place])]
+                    ok = np.zeros(len(t), bool)
+                    ok[place] = True
+                held[level].append((h[level + 1][place], t[place]))
+                size += len(place)
+            if size > 2_000_000:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     return run
 
@@ -204,83 +354,87 @@ def context_of(key: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (_unmixed(key) - last * _M2) * np.uint64(pow(int(_M1), -1, 1 << 64))
 
 
-class Level:
-    """Retained contexts of one length, with their entries."""
-
-    def __init__(self, contexts: np.ndarray, factors: np.ndarray, keys: np.ndarray, gains: np.ndarray):
-        self.contexts, self.factors, self.keys, self.gains = contexts, factors, keys, gains
-
-
-class SuffixTree:
-    """Retained contexts, level by level.
-
-    For each entry (context, symbol) ``gain`` is log10 of the symbol's probability over its root probability; a
-    context's ``factor`` is log10 of what its parent's probability is multiplied by for symbols without entry.
-    """
+def _with_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequences with the hash of their context, that of a context of one word undone to its word's."""
+    for pdf in batches:
+        context = context_of(_hashes(pdf["key"]), _hashes(pdf["symbol"]))
+        yield pdf.assign(context=np.where(pdf["level"].to_numpy() == 0, _unmixed(context), context).view(np.int64))
 
-    def __init__(self, words: Words, total: int, vocabulary: int, counted: list[pd.DataFrame]):
-        """``counted``: of each level from contexts of one word on, key, symbol and n of its frequent entries."""
-        root = (words.counts + 0.1) / (total + 0.1 * (vocabulary + 1)) if len(words.counts) else np.zeros(0)
-        self.levels: list[Level] = []
-        single = _mixed(words.hashes)
-        order = np.argsort(single)
-        # what a shorter sequence counts and adds to its last word's root probability, by its hash
-        below, count, gain, tail = single[order], words.counts[order].astype(float), np.zeros(len(single)), None
-        for rows in counted:
-            key, symbol = rows["key"].to_numpy(np.int64).view(np.uint64), rows["symbol"].to_numpy(np.int64)
-            context = context_of(key, words.hashes[symbol])
-            by = np.lexsort((key, context))
-            key, symbol, context, n = key[by], symbol[by], context[by], rows["n"].to_numpy(np.float64)[by]
-            of = _found(below, context)
-            if not len(key) or not len(below):
-                break
-            # the context without its first word, then the symbol: what follows the first word of a context is known of each
-            parent = _mixed(words.hashes[symbol]) if tail is None else _mixed(tail[of] * _M1 + words.hashes[symbol] * _M2)
-            under = _found(below, parent)
-            known = (of >= 0) & (under >= 0)
-            key, context, symbol, n, of, under, parent = (x[known] for x in (key, context, symbol, n, of, under, parent))
-            if not len(key):
-                break
-            start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
-            p, q = (n - DISCOUNT) / count[of], root[symbol] * 10 ** gain[under]
-            rest, left = 1 - np.add.reduceat(p, start), 1 - np.add.reduceat(q, start)
-            able = (rest > 0) & (left > 0)
-            safe = np.where(able, rest, 1.0) / np.where(able, left, 1.0)
-            divergence = np.add.reduceat(p * np.log(p / q), start) + np.where(able, rest, 0.0) * np.log(safe)
-            kept = able & (count[of[start]] * divergence > 0.5 * np.bincount(group) * math.log(max(total, 2)))
-            own = np.where(kept[group], np.log10(p / root[symbol]), gain[under])
-            use = kept[group]
-            entry = np.argsort(key[use])
-            self.levels.append(Level(context[start][kept], np.log10(safe[kept]), key[use][entry], own[use][entry]))
-            order = np.argsort(key)
-            below, count, gain, tail = key[order], n[order], own[order], parent[order]
-
-    def gains(self, t: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability over its root probability; t: hashes of tokens, at: places in their texts."""
-        out = np.zeros(len(t))
-        h = grams(t, len(self.levels) + 1)
-        for k, level in enumerate(self.levels):
-            place = np.flatnonzero(at > k)
-            context = _found(level.contexts, h[k][place - 1])
-            place, context = place[context >= 0], context[context >= 0]
-            if len(place):
-                entry = _found(level.keys, h[k + 1][place])
-                out[place] = np.where(entry >= 0, level.gains[entry], out[place] + level.factors[context])
-        return out
 
+def _with_tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequences with the hash of what they have without their first word, made of their context's."""
+    for pdf in batches:
+        symbol = _hashes(pdf["symbol"])
+        tail = _mixed(symbol) if "tail" not in pdf else _mixed(_hashes(pdf["tail"]) * _M1 + symbol * _M2)
+        yield pdf.assign(tail=tail.view(np.int64)).drop(columns="symbol")
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gain double, word long, n long"
 
+def _tree(found: DataFrame, vocabulary: DataFrame, total: int, size: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Factors of the retained contexts of one word, and the weights of longer sequences: key, n and weight.
 
-def _score(shared, total: int, vocabulary: int):
-    """A row for each text, without its rare tokens' part of the base score, and a row for each of its rare words."""
+    By levels: a context's entries meet the counts of the context and what its parent gives their symbols, sums over a context decide
+    if it is retained. A symbol's gain is log10 of its probability over its root probability; a context's factor is log10 of what its
+    parent's probability is multiplied by for symbols without entry. A sequence's weight is its factor, as a context of
+    whatever follows, and what its entry adds to its parent's gain and its context's factor, so that a text's score is its base
+    score plus the weights of all sequences in it.
+    """
+    root = (F.col("c") + 0.1) / (total + 0.1 * (size + 1))
+    of_context = W.partitionBy("context")  # a context has at most as many entries as there are frequent words
+    p, q = (F.col("n") - DISCOUNT) / F.col("seen"), F.col("root") * F.pow(F.lit(10.0), F.col("under"))
+    sums = {"m": F.count("*").over(of_context), "rest": 1 - F.sum("p").over(of_context), "left": 1 - F.sum("q").over(of_context)}
+    sums["divergence"] = F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).over(of_context)
+    able = (F.col("rest") > 0) & (F.col("left") > 0)
+    safe = F.log(F.col("rest") / F.col("left"))
+    diverges = F.col("seen") * (F.col("divergence") + F.col("rest") * safe) > 0.5 * F.col("m") * math.log(max(total, 2))
+    factors, weights, below = None, [], None
+    for level in range(depth):
+        rows = found.where(F.col("level") == level).select("key", "symbol", "context", "n")
+        if below is None:
+            rows = rows.join(vocabulary.select(F.col("word").alias("context"), F.col("c").alias("seen")), "context")
+            rows = rows.join(vocabulary.select(F.col("word").alias("symbol"), root.alias("root")), "symbol").withColumn("under", F.lit(0.0))
+            rows = rows.mapInPandas(_with_tails, "key long, context long, n long, seen long, root double, under double, tail long")
+        else:
+            rows = rows.join(below.select(F.col("key").alias("context"), F.col("n").alias("seen"), "tail"), "context")
+            rows = rows.mapInPandas(_with_tails, "key long, context long, n long, seen long, tail long")
+            rows = rows.join(below.select(F.col("key").alias("tail"), "root", F.col("gain").alias("under")), "tail")
+        rows = rows.withColumns({"p": p, "q": q}).withColumns(sums)
+        rows = rows.withColumn("factor", F.when(able, F.when(diverges, safe / math.log(10))))
+        rows = rows.withColumn("gain", F.coalesce(F.when(F.col("factor").isNotNull(), F.log10(F.col("p") / F.col("root"))), "under"))
+        below = materialise(rows.select("key", "context", "n", "seen", "gain", "under", "root", "tail", "factor"), "entries")
+        kept = below.where("factor is not null")
+        weights.append(kept.select("key", "n", (F.col("gain") - F.col("under") - F.col("factor")).alias("weight")))
+        kept = kept.groupBy("context").agg(F.first("seen").alias("n"), F.first("factor").alias("factor"))
+        if level:
+            weights.append(kept.select("context", "n", "factor"))
+        else:
+            factors = kept.select(F.col("context").alias("word"), "factor")
+        if below.isEmpty():
+            break
+    every = weights[0]
+    for w in weights[1:]:
+        every = every.unionAll(w)
+    return factors, materialise(every.groupBy("key").agg(F.first("n").alias("n"), F.sum("weight").alias("weight")), "weights")
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gain double, word long, n long, gram boolean"
+
+
+def _score(shared, total: int, vocabulary: int, depth: int):
+    """A row for each text, without its rare tokens' part of the score, and a row for each of its rare words and sequences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, tree = shared.value
+        words, weights = shared.value
         memo, row = WordHashes(), TaskContext.get().partitionId() << 36
         log0 = math.log10(total + 0.1 * (vocabulary + 1))
         log_of = np.log10(words.counts + 0.1) - log0 if len(words.counts) else np.zeros(1)
+
+        def apart(doc: np.ndarray, h: np.ndarray, rows: np.ndarray, gram: bool) -> pd.DataFrame:
+            order = np.lexsort((h, doc))
+            d, h = doc[order], h[order]
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]))
+            out = pd.DataFrame({"row": rows[d[new]], "word": h[new].view(np.int64), "n": np.diff(np.append(new, len(d))), "gram": gram})
+            return out.assign(doc_id=None, held_out=None, n_tokens=None, n_known=None, base_score=None, gain=None)[[c.split()[0] for c in SCORED.split(", ")]]
+
         for pdf in batches:
             texts = pdf["text"].tolist()
             for lo in range(0, len(texts), 500):
@@ -292,6 +446,8 @@ def _score(shared, total: int, vocabulary: int):
                 row += k
                 seen = w >= 0
                 base = np.bincount(doc[seen], log_of[w[seen]], minlength=k)
+                gain, place, key = weights.of(t, at, depth)
+                gain[seen] += words.factors[w[seen]]
                 yield pd.DataFrame(
                     {
                         "row": rows,
@@ -300,20 +456,30 @@ def _score(shared, total: int, vocabulary: int):
                         "n_tokens": np.bincount(doc, minlength=k),
                         "n_known": np.bincount(doc[seen], minlength=k),
                         "base_score": base,
-                        "gain": np.bincount(doc, tree.gains(t, at), minlength=k),
+                        "gain": np.bincount(doc, gain, minlength=k),
                     }
-                ).assign(word=None, n=None)
-                rare = np.flatnonzero(~seen)
-                if len(rare):
-                    order = rare[np.lexsort((t[rare], doc[rare]))]
-                    d, h = doc[order], t[order]
-                    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]))
-                    out = pd.DataFrame({"row": rows[d[new]], "word": h[new].view(np.int64), "n": np.diff(np.append(new, len(d)))})
-                    yield out.assign(doc_id=None, held_out=None, n_tokens=None, n_known=None, base_score=None, gain=None)[[c.split()[0] for c in SCORED.split(", ")]]
+                ).assign(word=None, n=None, gram=None)
+                if not seen.all():
+                    yield apart(doc[~seen], t[~seen], rows, False)
+                if len(place):
+                    yield apart(doc[place], key, rows, True)
 
     return run
 
 
+def _most(weights: DataFrame, most: int) -> int:
+    """The smallest count from which on at most ``most`` sequences are, in steps of an eighth of an octave."""
+    step = F.floor(8 * F.log2("n"))
+    held = weights.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred rows
+    over, least = 0, None
+    for r in held:
+        over += r["count"]
+        if over > most:
+            break
+        least = r["step"]
+    return math.inf if least is None else least
+
+
 def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and the tree's score."""
     if not 1 <= depth <= MOST_DEPTH:
@@ -321,35 +487,38 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     spark = docs.sparkSession
     rows = keyed_bytes(docs).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
     training = rows.where("not held_out").select("text")
-    counted = materialise(training.mapInPandas(_count(depth), COUNTED), "counted")
+    counters = min(depth, COUNTED_LEVELS)
+    chunks = min(1 << 14, max(64, 1 << (2 * training.rdd.getNumPartitions()).bit_length()))
+    counted = materialise(training.mapInPandas(_count(counters, chunks), COUNTED), "counted")
     vocabulary = materialise(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, size = int(totals["n"]), int(totals["v"])
 
-    sums = counted.where("level is not null").select("level", "chunk", "fold", "counts")
-    for keys in (["level", "chunk", "fold"], ["level", "chunk"]):
-        sums = sums.groupBy(*keys).applyInPandas(_summed, "level int, chunk int, fold int, counts binary")
-    counters = np.zeros((depth, COUNTERS), np.int64)  # so many numbers at any size
-    width = COUNTERS // _CHUNKS
-    for r in sums.toLocalIterator():
-        counters[r["level"], r["chunk"] * width : (r["chunk"] + 1) * width] = _unpacked(r["counts"])
-    counters = np.minimum(counters, np.iinfo(np.int32).max).astype(np.int32)
+    parts = counted.where("level is not null").select("level", "chunk", "counts").groupBy("level", "chunk").applyInPandas(_frequent(chunks, least_count), PART)
+    found = training.mapInPandas(_grams(spark.sparkContext.broadcast(_bits(parts, chunks, counters)), depth), GRAM)
+    found = found.groupBy("key", "symbol", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    found = materialise(found.mapInPandas(_with_contexts, "key long, symbol long, level byte, n long, context long"), "sequences")
+    factors, weights = _tree(found, vocabulary.where(F.col("c") >= least_count), total, size, depth)
+    vocabulary = vocabulary.join(factors, "word", "left")
 
     common = max(least_count, math.ceil(WORD_SHARE * total))
-    heavy = vocabulary.where(F.col("c") >= common).toPandas()  # at most 1 / WORD_SHARE rows
-    words = Words(heavy["word"].to_numpy(np.int64).view(np.uint64), heavy["c"].to_numpy(np.int64))
-    least = max(least_count, math.ceil(GRAM_SHARE * total))
-    found = training.mapInPandas(_grams(spark.sparkContext.broadcast((words, counters)), min(least, np.iinfo(np.int32).max)), GRAM)
-    kept = found.groupBy("key", "tag").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()  # at most 1 / GRAM_SHARE rows a level
-    level, kept["symbol"] = kept["tag"] % MOST_DEPTH, kept["tag"] // MOST_DEPTH
-    tree = SuffixTree(words, total, size, [kept[level == k] for k in range(depth)])
-
-    scored = materialise(rows.mapInPandas(_score(spark.sparkContext.broadcast((words, tree)), total, size), SCORED), "scored")
-    rare = scored.where("word is not null").select("row", "word", "n").join(vocabulary, "word", "left")
+    heavy = vocabulary.where(F.col("c") >= common).fillna(0.0, "factor").toArrow()  # at most 1 / WORD_SHARE rows
+    words = Words(heavy["word"].to_numpy().view(np.uint64), heavy["c"].to_numpy(), heavy["factor"].to_numpy())
+    hot = F.floor(8 * F.log2("n")) >= _most(weights, HOT_SEQUENCES)
+    top, cold = weights.where(hot).select("key", "weight").toArrow(), weights.where(~hot)
+    others = _filter_of(cold, chunks)
+    shared = spark.sparkContext.broadcast((words, Weights(top["key"].to_numpy().view(np.uint64), top["weight"].to_numpy(), others)))
+
+    scored = materialise(rows.mapInPandas(_score(shared, total, size, depth), SCORED), "scored")
+    rare = scored.where("not gram").select("row", "word", "n").join(vocabulary, "word", "left")
     p = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / (total + 0.1 * (size + 1)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * p).alias("_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"))
-    out = scored.where("word is null").drop("word", "n").join(rare, "row", "left")
+    rare = rare.select("row", (F.col("n") * p).alias("_base"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("_known"), (F.col("n") * F.coalesce("factor", F.lit(0.0))).alias("_gain"))
+    if others is not None:
+        more = scored.where("gram").select("row", F.col("word").alias("key"), F.col("n").alias("times")).join(cold.drop("n"), "key")
+        rare = rare.unionAll(more.select("row", F.lit(0.0), F.lit(0), F.col("times") * F.col("weight")))
+    rare = rare.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("_base", "_known", "_gain")))
+    out = scored.where("word is null").drop("word", "n", "gram").join(rare, "row", "left")
     base = F.col("base_score") + F.coalesce("_base", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("_gain", F.lit(0.0))).alias("score")
     )
