@@ -47,6 +47,7 @@ class ChunkedBpe:
         self.bare = Tokenizer(self.tok.model)  # takes pieces that are cut and mapped already
         self.cut = regex.compile(PIECES).findall
         self.map = _alphabet()
+        self.between = self.map | {0: "\0"}
         self.space_led = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         self.space_led[[i for w, i in self.tok.get_vocab().items() if w[0] == "\u0120"]] = True
         self.memo = memo
@@ -55,36 +56,37 @@ class ChunkedBpe:
     def _whole(self, text: str) -> bytes:
         return _pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, p: str) -> str:
-        word = p[1:] if p[0] == " " else p
-        if word.isascii() and word.isalpha():
-            return p if word is p else "\u0120" + word
-        return p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.map)
+    def _pieces(self, text: str) -> list[str]:
+        """The pieces of a text in the alphabet of bytes; all are mapped at once, with zero bytes between them."""
+        if "\0" in text:
+            return [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.map) for p in self.cut(text)]
+        return "\0".join(self.cut(text)).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.between).split("\0")
 
     def _learn(self, words: list[str]) -> None:
         """Memorise the ids of words that follow a space."""
         plain = [w for w in words if w and not w[0].isspace()]
         for at in range(0, len(plain), 50_000):
             part = plain[at : at + 50_000]
-            pieces = self.cut("".join([" " + w for w in part]))
-            found = self.bare.encode_batch_fast([list(map(self._piece, pieces))], is_pretokenized=True, add_special_tokens=False)[0]
+            pieces = self._pieces(" " + " ".join(part))
+            found = self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
             ids = np.array(found.ids, dtype="<u4")
             starts = np.flatnonzero(self.space_led[ids])
             if len(starts) != len(part):  # a word with a space of its own
                 self.rest.update((w, self._whole(" " + w)) for w in part)
                 continue
             raw, at_byte = ids.tobytes(), (4 * starts).tolist()
-            self.rest.update((w, raw[a:b]) for w, a, b in zip(part, at_byte, [*at_byte[1:], len(raw)]))
+            self.rest.update(zip(part, map(raw.__getitem__, map(slice, at_byte, [*at_byte[1:], len(raw)]))))
         self.rest.update((w, self._whole(" " + w)) for w in words if not w or w[0].isspace())
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts, known = list(texts), self.rest
         cut = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
         heads = [c.pop(0) if c else "" for c in cut]
-        missing = dict.fromkeys(w for c in cut if c for w in c if w not in known)
+        asked = set().union(*filter(None, cut))
+        missing = asked.difference(known)
         if len(known) + len(missing) > self.memo:  # common words come back at once
             known.clear()
-            missing = dict.fromkeys(w for c in cut if c for w in c)
+            missing = asked
         self._learn(list(missing))
         joined = (t if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut))
         return [self._whole(j) if isinstance(j, str) else (self._whole(h) if h else b"") + j for h, j in zip(heads, joined)]
