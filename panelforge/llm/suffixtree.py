@@ -16,6 +16,8 @@ A text's score is a sum over the sequences in it, so that scoring is a join with
 bounded number of rows, the others that a text has are joined with the distributed table, and add nothing less.
 At the root are all words, with exact counts, and their number grows with the corpus: frequent ones are broadcast (their
 number is bounded by the share), the tokens of others are joined with the distributed vocabulary.
+What is many times the vocabulary (counts of each task, lookups of each text) is shuffled by ranges of hashes: one row holds all of a
+task's or of a million tokens' in a range as columns of bytes, and a range is small, since there are more of them the more input there is.
 
 Cases: a null or empty text is one end symbol; a null ``doc_id`` has a null ``held_out`` and is not learned from;
 rows that repeat are learned from and scored each; an empty table gives no rows; other columns are ignored.
@@ -29,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import keyed_bytes, materialise, words_of
+from panelforge.llm.common import exact, keyed_bytes, materialise, words_of
 from panelforge.llm.shinglejoin import WordHashes, _mixed
 
 #: Share of all tokens from which a word is broadcast; never under ``LEAST_COUNT`` occurrences, from which sequences are frequent.
@@ -104,50 +107,65 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes, plane by plane, so that equal first bytes take little."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), 1)
+
+
+def _unpack(raw: bytes, *types: str) -> list[np.ndarray]:
+    data, widths = np.frombuffer(zstandard.decompress(raw), np.uint8), [np.dtype(t).itemsize for t in types]
+    size, at, out = len(data) // sum(widths), 0, []
+    for t, width in zip(types, widths):
+        out.append(np.ascontiguousarray(data[at : at + size * width].reshape(width, size).T).view(t).ravel())
+        at += size * width
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    """The first value, then differences."""
+    return np.concatenate([sorted_[:1], sorted_[1:] - sorted_[:-1]])
+
+
+def _ranges(sorted_: np.ndarray, chunks: int) -> list[slice]:
+    """Where hashes of each range, by their first bits, lie among sorted ones."""
+    kind = sorted_.dtype.type
+    first = np.arange(1, chunks, dtype=kind) << kind(8 * sorted_.itemsize - (chunks.bit_length() - 1))
+    ends = [0, *np.searchsorted(sorted_, first).tolist(), len(sorted_)]
+    return [slice(*x) for x in zip(ends, ends[1:])]
+
+
 def _packed(slots: np.ndarray, counts: np.ndarray) -> bytes:
     """Counters as bytes, those above zero alone, in order of slot: a task has few of them, however many tasks there are."""
-    steps = np.diff(slots, prepend=slots[:1]).astype("<u4")
-    planes = np.concatenate([slots[:1].astype("<u4"), steps]).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zlib.compress(planes + counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return _pack(_steps(slots.astype("<u4")), counts.astype("<i4"))
 
 
 def _unpacked_slots(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(zlib.decompress(raw), np.uint8)
-    size = (len(data) + 4) // 8  # a first slot if there are any, a step and a count each
-    steps, counts = data[: len(data) - 4 * (size - 1)], data[len(data) - 4 * (size - 1) :]
-    steps = np.ascontiguousarray(steps.reshape(4, -1).T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.uint64).astype(np.uint32)[1:], np.ascontiguousarray(counts.reshape(4, -1).T).view("<i4").ravel()
+    steps, counts = _unpack(raw, "<u4", "<i4")
+    return np.cumsum(steps, dtype=np.uint32), counts
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     return _unpacked_slots(raw)[1]
 
 
-COUNTED = "word long, n long, level int, chunk int, fold int, counts binary"
+COUNTED = "level int, chunk int, counts binary"
 
 
 def _count(depth: int, chunks: int = _CHUNKS):
-    """Of training texts, about two million tokens at a time: words with counts, and counters of sequences of two words and more."""
-
-    shift = np.uint64(32 - (chunks.bit_length() - 1))
+    """Of training texts, about two million tokens at a time and by ranges of hashes: words with counts (of no level), and counters of sequences
+    of two words and more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         held, size, slots = [], 0, [[] for _ in range(depth)]
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             w, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"word": w.view(np.int64), "n": n}).assign(level=None, chunk=None, fold=None, counts=None)
-
-        def counters() -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({"level": None, "chunk": range(chunks), "counts": [_pack(_steps(w[x]), n[x].astype("<i4")) for x in _ranges(w, chunks)]})
             for level in range(depth):
                 s, n = np.unique(np.concatenate(slots[level]), return_counts=True)
                 slots[level] = []
-                ends = np.searchsorted(s, (np.arange(1, chunks, dtype=np.uint64) << shift).astype(np.uint32))
-                ends = [0, *ends.tolist(), len(s)]
-                rows = [(level, c, 0, _packed(s[a:b], n[a:b])) for c, (a, b) in enumerate(zip(ends, ends[1:]))]
-                out = pd.DataFrame(rows, columns=["level", "chunk", "fold", "counts"]).assign(word=pd.NA, n=pd.NA)
-                yield out.astype({"word": "Int64", "n": "Int64"})[["word", "n", "level", "chunk", "fold", "counts"]]
+                yield pd.DataFrame({"level": level, "chunk": range(chunks), "counts": [_packed(s[x], n[x]) for x in _ranges(s, chunks)]})
 
         for t, at in _parts(batches, memo):
             held.append(t)
@@ -155,12 +173,10 @@ def _count(depth: int, chunks: int = _CHUNKS):
             for level, h in enumerate(grams(t, depth + 1)[1:]):
                 slots[level].append(_slot(h[at > level]))
             if size > 2_000_000:
-                yield flush()
-                yield from counters()
+                yield from flush()
                 held, size = [], 0
         if held:
-            yield flush()
-            yield from counters()
+            yield from flush()
 
     return run
 
@@ -180,15 +196,32 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "fold": [0], "counts": [_packed(slots, counts)]})
 
 
-def _frequent(chunks: int, least: int):
-    """Of one chunk of counters, its part of the filter of those that are at least ``least``."""
+PART = "level int, chunk int, bits binary, word long, c long, tokens long, words long"
+
+
+def _gathered(chunks: int, least: int):
+    """Of one range of counters, its part of the filter of those that are at least ``least``. Of one range of words (level -1), all with their
+    counts as bytes, the number of tokens and of words in it, and a row for each word seen ``least`` times."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iloc[0])
+        level, chunk = int(pdf["level"].iloc[0]), int(pdf["chunk"].iloc[0])
+        if level < 0:
+            held = [_unpack(x, "<u8", "<i4") for x in pdf["counts"]]
+            w, n = _added([(np.cumsum(w, dtype=np.uint64), n) for w, n in held])
+            often = n >= least
+            k = int(often.sum())
+            return pd.DataFrame(
+                {
+                    "level": -1, "chunk": chunk, "bits": [_pack(_steps(w), n.astype("<i8")), *[None] * k],
+                    "word": exact([None, *w[often].view(np.int64).tolist()]), "c": exact([None, *n[often].tolist()]),
+                    "tokens": exact([int(n.sum()), *[None] * k]), "words": exact([len(w), *[None] * k]),
+                }
+            )
         slots, counts = _added([_unpacked_slots(x) for x in pdf["counts"]])
         bits = np.zeros(FILTER // chunks, np.uint8)
         bits[(slots[counts >= least] >> np.uint32(_FILTER_SHIFT - 32)).astype(np.int64) - chunk * len(bits)] = 1
-        return pd.DataFrame({"level": pdf["level"].iloc[:1], "chunk": [chunk], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
+        packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+        return pd.DataFrame({"level": [level], "chunk": [chunk], "bits": [packed]}).assign(word=None, c=None, tokens=None, words=None)
 
     return run
 
@@ -218,10 +251,7 @@ def _filter_of(cold: DataFrame, chunks: int) -> Filter | None:
     if cold.isEmpty():
         return None
     keys = cold.select("key", F.shiftrightunsigned("key", 64 - (chunks.bit_length() - 1)).cast("int").alias("chunk"))
-    return Filter(_bits(keys.groupBy("chunk").applyInPandas(_of_chunk(chunks), PART), chunks)[0])
-
-
-PART = "level int, chunk int, bits binary"
+    return Filter(_bits(keys.groupBy("chunk").applyInPandas(_of_chunk(chunks), "level int, chunk int, bits binary"), chunks)[0])
 
 
 class Filter:
@@ -300,12 +330,12 @@ class Weights(Places):
         return out, np.concatenate(places), np.concatenate(keys)
 
 
-GRAM = "key long, symbol long, level byte, n int"
+GRAM = "level int, chunk int, counts binary, symbols binary"
 
 
-def _grams(shared, depth: int):
-    """Counts of the sequences all of whose pairs and triples may be frequent. ``key`` is the hash of a context and its next symbol; since it
-    can be undone, no more is needed to know both."""
+def _grams(shared, depth: int, chunks: int):
+    """Counts of the sequences all of whose pairs and triples may be frequent, by ranges of their keys. A key is the hash of a context and its
+    next symbol; since it can be undone, no more is needed to know both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filters = [Filter(bits) for bits in shared.value]
@@ -317,7 +347,12 @@ def _grams(shared, depth: int):
                 if parts:
                     h, t = (np.concatenate(x) for x in zip(*parts))
                     key, one, n = np.unique(h, return_index=True, return_counts=True)
-                    yield pd.DataFrame({"key": key.view(np.int64), "symbol": t[one].view(np.int64), "level": np.full(len(key), level, np.int8), "n": n.astype(np.int32)})
+                    rows = []
+                    for chunk, x in enumerate(_ranges(key, chunks)):
+                        if x.stop > x.start:
+                            symbols, i = np.unique(t[one[x]], return_inverse=True)
+                            rows.append((level, chunk, _pack(_steps(key[x]), i.astype("<u4"), n[x].astype("<i4")), _pack(_steps(symbols))))
+                    yield pd.DataFrame(rows, columns=["level", "chunk", "counts", "symbols"])
                 parts.clear()
 
         for t, at in _parts(batches, memo):
@@ -354,11 +389,31 @@ def context_of(key: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (_unmixed(key) - last * _M2) * np.uint64(pow(int(_M1), -1, 1 << 64))
 
 
-def _with_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequences with the hash of their context, that of a context of one word undone to its word's."""
-    for pdf in batches:
-        context = context_of(_hashes(pdf["key"]), _hashes(pdf["symbol"]))
-        yield pdf.assign(context=np.where(pdf["level"].to_numpy() == 0, _unmixed(context), context).view(np.int64))
+SEQUENCE = "key long, symbol long, level int, n long, context long"
+
+
+def _sequences(least: int):
+    """Of one range of keys, the sequences seen ``least`` times, with the hash of their context, that of a context of one word undone to its word's."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, symbols, counts = [], [], []
+        for raw, held in zip(pdf["counts"], pdf["symbols"]):
+            step, i, n = _unpack(raw, "<u8", "<u4", "<i4")
+            keys.append(np.cumsum(step, dtype=np.uint64))
+            symbols.append(np.cumsum(*_unpack(held, "<u8"), dtype=np.uint64)[i])
+            counts.append(n)
+        key, symbol = np.concatenate(keys), np.concatenate(symbols)
+        order = np.argsort(key, kind="stable")
+        key, symbol, n = key[order], symbol[order], np.concatenate(counts)[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.add.reduceat(n, start)
+        start, n = start[n >= least], n[n >= least]
+        key, symbol, level = key[start], symbol[start], int(pdf["level"].iloc[0])
+        context = context_of(key, symbol)
+        context = context if level else _unmixed(context)
+        return pd.DataFrame({"key": key.view(np.int64), "symbol": symbol.view(np.int64), "level": level, "n": n, "context": context.view(np.int64)})
+
+    return run
 
 
 def _with_tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,24 +471,41 @@ def _tree(found: DataFrame, vocabulary: DataFrame, total: int, size: int, depth:
     return factors, materialise(every.groupBy("key").agg(F.first("n").alias("n"), F.sum("weight").alias("weight")), "weights")
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gain double, word long, n long, gram boolean"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gain double, chunk int, gram boolean, lookups binary"
 
 
-def _score(shared, total: int, vocabulary: int, depth: int):
-    """A row for each text, without its rare tokens' part of the score, and a row for each of its rare words and sequences."""
+def _score(shared, total: int, vocabulary: int, depth: int, chunks: int):
+    """A row for each text, without its rare tokens' part of the score, and its rare words and sequences by ranges of hashes: of about a
+    million tokens together, the first text's ``row``, and a text, a hash and how often."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, weights = shared.value
         memo, row = WordHashes(), TaskContext.get().partitionId() << 36
         log0 = math.log10(total + 0.1 * (vocabulary + 1))
         log_of = np.log10(words.counts + 0.1) - log0 if len(words.counts) else np.zeros(1)
+        held, size, first = {False: [], True: []}, 0, row
+        shift = np.uint64(64 - (chunks.bit_length() - 1))
+        names = [c.split()[0] for c in SCORED.split(", ")]
 
-        def apart(doc: np.ndarray, h: np.ndarray, rows: np.ndarray, gram: bool) -> pd.DataFrame:
+        def apart(gram: bool) -> pd.DataFrame:
+            doc, h = (np.concatenate(x) for x in zip(*held[gram]))
             order = np.lexsort((h, doc))
-            d, h = doc[order], h[order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]))
-            out = pd.DataFrame({"row": rows[d[new]], "word": h[new].view(np.int64), "n": np.diff(np.append(new, len(d))), "gram": gram})
-            return out.assign(doc_id=None, held_out=None, n_tokens=None, n_known=None, base_score=None, gain=None)[[c.split()[0] for c in SCORED.split(", ")]]
+            doc, h = doc[order], h[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+            doc, h, n = doc[new], h[new], np.diff(np.append(new, len(h)))
+            chunk = (h >> shift).astype(np.uint16)
+            order = np.argsort(chunk, kind="stable")  # texts stay in order within a range
+            doc, h, n, chunk = doc[order], h[order], n[order], chunk[order]
+            ends = np.searchsorted(chunk, np.arange(chunks + 1))
+            rows = [(c, _pack(_steps(doc[a:b].astype("<u4")), h[a:b], n[a:b].astype("<i4"))) for c, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+            out = pd.DataFrame(rows, columns=["chunk", "lookups"]).assign(row=first, gram=gram)
+            return out.assign(doc_id=None, held_out=None, n_tokens=None, n_known=None, base_score=None, gain=None)[names]
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for gram, parts in held.items():
+                if parts:
+                    yield apart(gram)
+                parts.clear()
 
         for pdf in batches:
             texts = pdf["text"].tolist()
@@ -442,15 +514,13 @@ def _score(shared, total: int, vocabulary: int, depth: int):
                 w = words.index(t)
                 doc = np.cumsum(at == 0) - 1
                 k = int(doc[-1]) + 1
-                rows = row + np.arange(k)
-                row += k
                 seen = w >= 0
                 base = np.bincount(doc[seen], log_of[w[seen]], minlength=k)
                 gain, place, key = weights.of(t, at, depth)
                 gain[seen] += words.factors[w[seen]]
                 yield pd.DataFrame(
                     {
-                        "row": rows,
+                        "row": row + np.arange(k),
                         "doc_id": pdf["doc_id"].iloc[lo : lo + k].astype("Int64").array,
                         "held_out": pdf["held_out"].iloc[lo : lo + k].astype("boolean").array,
                         "n_tokens": np.bincount(doc, minlength=k),
@@ -458,15 +528,66 @@ def _score(shared, total: int, vocabulary: int, depth: int):
                         "base_score": base,
                         "gain": np.bincount(doc, gain, minlength=k),
                     }
-                ).assign(word=None, n=None, gram=None)
+                ).assign(chunk=None, gram=None, lookups=None)
                 if not seen.all():
-                    yield apart(doc[~seen], t[~seen], rows, False)
+                    held[False].append((doc[~seen] + (row - first), t[~seen]))
                 if len(place):
-                    yield apart(doc[place], key, rows, True)
+                    held[True].append((doc[place] + (row - first), key))
+                row += k
+                size += len(t)
+                if size > 1_000_000:
+                    yield from flush()
+                    size, first = 0, row
+        yield from flush()
+
+    return run
+
+
+SUMS = "row long, sums binary"
+PARTS = "row long, _base double, _known long, _gain double"
+
+
+def _looked_up(total: int, vocabulary: int):
+    """Of one range of hashes, what its words or sequences add to the texts: their lookups meet all words' counts and factors, or weights. As
+    bytes, one row for each of the lookups: a text has few words in a range, so that sums by text would be as many rows as words."""
+
+    def run(lookups: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        words = [(np.cumsum(step, dtype=np.uint64), c) for step, c in (_unpack(x, "<u8", "<i8") for x in known["packed"].dropna())]
+        held = known[known["weight"].notna()]
+        keys, weights = _hashes(held["key"].astype(np.int64)), held["weight"].to_numpy(np.float64)
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+        log0 = math.log10(total + 0.1 * (vocabulary + 1))
+
+        def found(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+            """The value of each hash, 0 for others; keys are sorted."""
+            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            return np.where(keys[i] == h, values[i], 0) if len(keys) else np.zeros(len(h), values.dtype)
+
+        out = []
+        for gram, raw in zip(lookups["gram"], lookups["lookups"]):
+            step, h, n = _unpack(raw, "<u4", "<u8", "<i4")
+            doc = np.cumsum(step, dtype=np.uint32)
+            base, times, gain = np.zeros(len(h)), np.zeros(len(h), np.int64), n * found(keys, weights, h)
+            if not gram:
+                c = sum((found(*x, h) for x in words), np.zeros(len(h), np.int64))
+                base, times = n * (np.log10(c + 0.1) - log0), np.where(c > 0, n, 0)
+            start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            out.append(_pack(_steps(doc[start]), np.add.reduceat(base, start), np.add.reduceat(times, start).astype("<i8"), np.add.reduceat(gain, start)))
+        return pd.DataFrame({"row": lookups["row"].to_numpy(np.int64), "sums": out})
 
     return run
 
 
+def _added_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A row for each text that was handed on with others."""
+    parts = [_unpack(x, "<u4", "<f8", "<i8", "<f8") for x in pdf["sums"]]
+    doc = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in parts])
+    doc, of = np.unique(doc, return_inverse=True)
+    base, known, gain = (np.bincount(of, np.concatenate([x[k] for x in parts])) for k in (1, 2, 3))
+    return pd.DataFrame({"row": int(pdf["row"].iloc[0]) + doc.astype(np.int64), "_base": base, "_known": known.astype(np.int64), "_gain": gain})
+
+
 def _most(weights: DataFrame, most: int) -> int:
     """The smallest count from which on at most ``most`` sequences are, in steps of an eighth of an octave."""
     step = F.floor(8 * F.log2("n"))
@@ -489,35 +610,36 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     training = rows.where("not held_out").select("text")
     counters = min(depth, COUNTED_LEVELS)
     chunks = min(1 << 14, max(64, 1 << (2 * training.rdd.getNumPartitions()).bit_length()))
-    counted = materialise(training.mapInPandas(_count(counters, chunks), COUNTED), "counted")
-    vocabulary = materialise(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    counted = training.mapInPandas(_count(counters, chunks), COUNTED).fillna(-1, "level")
+    counted = materialise(counted.groupBy("level", "chunk").applyInPandas(_gathered(chunks, least_count), PART), "counted")
+    vocabulary = counted.where("word is not null").select("word", "c")
+    totals = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     total, size = int(totals["n"]), int(totals["v"])
 
-    parts = counted.where("level is not null").select("level", "chunk", "counts").groupBy("level", "chunk").applyInPandas(_frequent(chunks, least_count), PART)
-    found = training.mapInPandas(_grams(spark.sparkContext.broadcast(_bits(parts, chunks, counters)), depth), GRAM)
-    found = found.groupBy("key", "symbol", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
-    found = materialise(found.mapInPandas(_with_contexts, "key long, symbol long, level byte, n long, context long"), "sequences")
-    factors, weights = _tree(found, vocabulary.where(F.col("c") >= least_count), total, size, depth)
-    vocabulary = vocabulary.join(factors, "word", "left")
+    bits = _bits(counted.where("level >= 0").select("level", "chunk", "bits"), chunks, counters)
+    found = training.mapInPandas(_grams(spark.sparkContext.broadcast(bits), depth, chunks), GRAM)
+    found = materialise(found.groupBy("level", "chunk").applyInPandas(_sequences(least_count), SEQUENCE), "sequences")
+    factors, weights = _tree(found, vocabulary, total, size, depth)
 
     common = max(least_count, math.ceil(WORD_SHARE * total))
-    heavy = vocabulary.where(F.col("c") >= common).fillna(0.0, "factor").toArrow()  # at most 1 / WORD_SHARE rows
+    heavy = vocabulary.where(F.col("c") >= common).join(factors, "word", "left").fillna(0.0, "factor").toArrow()  # at most 1 / WORD_SHARE rows
     words = Words(heavy["word"].to_numpy().view(np.uint64), heavy["c"].to_numpy(), heavy["factor"].to_numpy())
     hot = F.floor(8 * F.log2("n")) >= _most(weights, HOT_SEQUENCES)
     top, cold = weights.where(hot).select("key", "weight").toArrow(), weights.where(~hot)
     others = _filter_of(cold, chunks)
     shared = spark.sparkContext.broadcast((words, Weights(top["key"].to_numpy().view(np.uint64), top["weight"].to_numpy(), others)))
 
-    scored = materialise(rows.mapInPandas(_score(shared, total, size, depth), SCORED), "scored")
-    rare = scored.where("not gram").select("row", "word", "n").join(vocabulary, "word", "left")
-    p = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / (total + 0.1 * (size + 1)))
-    rare = rare.select("row", (F.col("n") * p).alias("_base"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("_known"), (F.col("n") * F.coalesce("factor", F.lit(0.0))).alias("_gain"))
+    scored = materialise(rows.mapInPandas(_score(shared, total, size, depth, chunks), SCORED), "scored")
+    # all words as bytes, by the ranges that they were counted in; factors and the cold weights as rows
+    range_of = lambda key: F.shiftrightunsigned(key, 64 - (chunks.bit_length() - 1)).cast("int")
+    known = counted.where("tokens is not null").select(F.lit(False).alias("gram"), "chunk", F.col("bits").alias("packed"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("weight"))
+    known = known.unionAll(factors.select(F.lit(False), range_of("word"), F.lit(None), "word", "factor"))
     if others is not None:
-        more = scored.where("gram").select("row", F.col("word").alias("key"), F.col("n").alias("times")).join(cold.drop("n"), "key")
-        rare = rare.unionAll(more.select("row", F.lit(0.0), F.lit(0), F.col("times") * F.col("weight")))
-    rare = rare.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("_base", "_known", "_gain")))
-    out = scored.where("word is null").drop("word", "n", "gram").join(rare, "row", "left")
+        known = known.unionAll(cold.select(F.lit(True), range_of("key"), F.lit(None), "key", "weight"))
+    lookups = scored.where("lookups is not null").select("gram", "chunk", "row", "lookups")
+    rare = lookups.groupBy("gram", "chunk").cogroup(known.groupBy("gram", "chunk")).applyInPandas(_looked_up(total, size), SUMS)
+    rare = rare.groupBy("row").applyInPandas(_added_up, PARTS)
+    out = scored.where("lookups is null").drop("chunk", "gram", "lookups").join(rare, "row", "left")
     base = F.col("base_score") + F.coalesce("_base", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("_gain", F.lit(0.0))).alias("score")
