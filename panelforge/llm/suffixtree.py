@@ -630,9 +630,9 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     shared = spark.sparkContext.broadcast((words, Weights(top["key"].to_numpy().view(np.uint64), top["weight"].to_numpy(), others)))
 
     scored = materialise(rows.mapInPandas(_score(shared, total, size, depth, chunks), SCORED), "scored")
-    # all words as bytes, by the ranges that they were counted in; factors and the cold weights as rows
+    # all words as bytes, by the ranges that they were counted in; factors and the cold weights as rows; a null key would make hashes floats
     range_of = lambda key: F.shiftrightunsigned(key, 64 - (chunks.bit_length() - 1)).cast("int")
-    known = counted.where("tokens is not null").select(F.lit(False).alias("gram"), "chunk", F.col("bits").alias("packed"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("weight"))
+    known = counted.where("tokens is not null").select(F.lit(False).alias("gram"), "chunk", F.col("bits").alias("packed"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("double").alias("weight"))
     known = known.unionAll(factors.select(F.lit(False), range_of("word"), F.lit(None), "word", "factor"))
     if others is not None:
         known = known.unionAll(cold.select(F.lit(True), range_of("key"), F.lit(None), "key", "weight"))
