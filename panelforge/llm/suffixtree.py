@@ -18,6 +18,7 @@ At the root are all words, with exact counts, and their number grows with the co
 number is bounded by the share), the tokens of others are joined with the distributed vocabulary.
 What is many times the vocabulary (counts of each task, lookups of each text) is shuffled by ranges of hashes: one row holds all of a
 task's or of a million tokens' in a range as columns of bytes, and a range is small, since there are more of them the more input there is.
+Each step's result is written, and then its shuffle files are let go, so that disk holds one step's at a time.
 
 Cases: a null or empty text is one end symbol; a null ``doc_id`` has a null ``held_out`` and is not learned from;
 rows that repeat are learned from and scored each; an empty table gives no rows; other columns are ignored.
@@ -455,7 +456,7 @@ def _tree(found: DataFrame, vocabulary: DataFrame, total: int, size: int, depth:
         rows = rows.withColumns({"p": p, "q": q}).withColumns(sums)
         rows = rows.withColumn("factor", F.when(able, F.when(diverges, safe / math.log(10))))
         rows = rows.withColumn("gain", F.coalesce(F.when(F.col("factor").isNotNull(), F.log10(F.col("p") / F.col("root"))), "under"))
-        below = materialise(rows.select("key", "context", "n", "seen", "gain", "under", "root", "tail", "factor"), "entries")
+        below = materialise(rows.select("key", "context", "n", "seen", "gain", "under", "root", "tail", "factor"), "entries", release=True)
         kept = below.where("factor is not null")
         weights.append(kept.select("key", "n", (F.col("gain") - F.col("under") - F.col("factor")).alias("weight")))
         kept = kept.groupBy("context").agg(F.first("seen").alias("n"), F.first("factor").alias("factor"))
@@ -468,7 +469,7 @@ def _tree(found: DataFrame, vocabulary: DataFrame, total: int, size: int, depth:
     every = weights[0]
     for w in weights[1:]:
         every = every.unionAll(w)
-    return factors, materialise(every.groupBy("key").agg(F.first("n").alias("n"), F.sum("weight").alias("weight")), "weights")
+    return factors, materialise(every.groupBy("key").agg(F.first("n").alias("n"), F.sum("weight").alias("weight")), "weights", release=True)
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gain double, chunk int, gram boolean, lookups binary"
@@ -611,14 +612,14 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     counters = min(depth, COUNTED_LEVELS)
     chunks = min(1 << 14, max(64, 1 << (2 * training.rdd.getNumPartitions()).bit_length()))
     counted = training.mapInPandas(_count(counters, chunks), COUNTED).fillna(-1, "level")
-    counted = materialise(counted.groupBy("level", "chunk").applyInPandas(_gathered(chunks, least_count), PART), "counted")
+    counted = materialise(counted.groupBy("level", "chunk").applyInPandas(_gathered(chunks, least_count), PART), "counted", release=True)
     vocabulary = counted.where("word is not null").select("word", "c")
     totals = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     total, size = int(totals["n"]), int(totals["v"])
 
     bits = _bits(counted.where("level >= 0").select("level", "chunk", "bits"), chunks, counters)
     found = training.mapInPandas(_grams(spark.sparkContext.broadcast(bits), depth, chunks), GRAM)
-    found = materialise(found.groupBy("level", "chunk").applyInPandas(_sequences(least_count), SEQUENCE), "sequences")
+    found = materialise(found.groupBy("level", "chunk").applyInPandas(_sequences(least_count), SEQUENCE), "sequences", release=True)
     factors, weights = _tree(found, vocabulary, total, size, depth)
 
     common = max(least_count, math.ceil(WORD_SHARE * total))
@@ -629,7 +630,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     others = _filter_of(cold, chunks)
     shared = spark.sparkContext.broadcast((words, Weights(top["key"].to_numpy().view(np.uint64), top["weight"].to_numpy(), others)))
 
-    scored = materialise(rows.mapInPandas(_score(shared, total, size, depth, chunks), SCORED), "scored")
+    scored = materialise(rows.mapInPandas(_score(shared, total, size, depth, chunks), SCORED), "scored", release=True)
     # all words as bytes, by the ranges that they were counted in; factors and the cold weights as rows; a null key would make hashes floats
     range_of = lambda key: F.shiftrightunsigned(key, 64 - (chunks.bit_length() - 1)).cast("int")
     known = counted.where("tokens is not null").select(F.lit(False).alias("gram"), "chunk", F.col("bits").alias("packed"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("double").alias("weight"))
