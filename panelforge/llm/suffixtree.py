@@ -18,7 +18,7 @@ At the root are all words, with exact counts, and their number grows with the co
 number is bounded by the share), the tokens of others are joined with the distributed vocabulary.
 What is many times the vocabulary (counts of each task, lookups of each text) is shuffled by ranges of hashes: one row holds all of a
 task's or of a million tokens' in a range as columns of bytes, and a range is small, since there are more of them the more input there is.
-Each step's result is written, and then its shuffle files are let go, so that disk holds one step's at a time.
+Each step's result is written, and then its shuffle files and what was broadcast to it are let go, so that disk holds one step's at a time.
 
 Cases: a null or empty text is one end symbol; a null ``doc_id`` has a null ``held_out`` and is not learned from;
 rows that repeat are learned from and scored each; an empty table gives no rows; other columns are ignored.
@@ -618,8 +618,10 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     total, size = int(totals["n"]), int(totals["v"])
 
     bits = _bits(counted.where("level >= 0").select("level", "chunk", "bits"), chunks, counters)
-    found = training.mapInPandas(_grams(spark.sparkContext.broadcast(bits), depth, chunks), GRAM)
+    filters = spark.sparkContext.broadcast(bits)
+    found = training.mapInPandas(_grams(filters, depth, chunks), GRAM)
     found = materialise(found.groupBy("level", "chunk").applyInPandas(_sequences(least_count), SEQUENCE), "sequences", release=True)
+    filters.destroy()  # a file on the driver and on each executor
     factors, weights = _tree(found, vocabulary, total, size, depth)
 
     common = max(least_count, math.ceil(WORD_SHARE * total))
@@ -631,6 +633,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -
     shared = spark.sparkContext.broadcast((words, Weights(top["key"].to_numpy().view(np.uint64), top["weight"].to_numpy(), others)))
 
     scored = materialise(rows.mapInPandas(_score(shared, total, size, depth, chunks), SCORED), "scored", release=True)
+    shared.destroy()
     # all words as bytes, by the ranges that they were counted in; factors and the cold weights as rows; a null key would make hashes floats
     range_of = lambda key: F.shiftrightunsigned(key, 64 - (chunks.bit_length() - 1)).cast("int")
     known = counted.where("tokens is not null").select(F.lit(False).alias("gram"), "chunk", F.col("bits").alias("packed"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("double").alias("weight"))
